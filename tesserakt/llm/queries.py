@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, langid, minhash, toxicity
+from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pivot_topk, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
 #: Vocabulary of op7 and of the pipeline; another file can be named here.
@@ -29,6 +29,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(read_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold("doc_id", 5) != 0))
@@ -36,6 +41,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivot_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
@@ -45,6 +59,30 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(read_table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), last AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
+bits AS (SELECT page_id, h, m, unhex(sha1(h)) AS s FROM p JOIN last USING (h)),
+letters AS (
+  SELECT page_id, h, m, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(sha1(h), 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS d FROM bits
+)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM letters
+"""
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
 #: Exact: all pairs of documents that share a shingle, then the closure of their links.
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
@@ -68,9 +106,13 @@ FROM documents d JOIN component c USING (doc_id) LEFT JOIN sizes s USING (doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_language": op3_language,
+    "op4_topk": op4_topk,
+    "op5_decontamination": op5_decontamination,
     "op7_bpe": op7_bpe,
     "op9_minhash": op9_minhash,
+    "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {"op9_minhash": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL}
