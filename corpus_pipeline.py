@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, minhash, queries, toxicity
+from tesserakt.llm import bpe, decontam, minhash, pii, queries, toxicity
 from tesserakt.llm.common import fold, materialise, read_table
 
 
@@ -13,8 +13,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that score as toxic; the model learns from labels outside the held-out fold."""
     labels = read_table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
     model = toxicity.fit(docs, labels)
-    bad = toxicity.score(docs.select("doc_id", "text"), model).filter(F.col("score") >= toxicity.THRESHOLD)
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
+    return toxicity.reject(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +21,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.keep_one(docs, k=5, percent=80)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; n_chars follows the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their number and digests."""
     path, pattern = queries.vocabulary()
@@ -31,6 +40,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal_data", redact),
     ("bpe", encode),
 ]
 

@@ -193,8 +193,8 @@ class Page:
         for i in range(n - 1, 0, -1):
             size[self.parent[i]] += size[i]
             linked[self.parent[i]] += linked[i]
-        out = []
-        for i in range(n):
+        out: list[list[str]] = [[]]  # the page itself shows nothing of its own
+        for i in range(1, n):
             share = linked[i] / size[i] if size[i] else 0
             links = "none" if not linked[i] else "some" if share < 0.3 else "half" if share < 0.7 else "all"
             kind = "leaf" if i in self.text else "node"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pivot_topk, toxicity, warc
+from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pii, pivot_topk, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
 #: Vocabulary of op7 and of the pipeline; another file can be named here.
@@ -50,6 +50,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
@@ -92,9 +96,9 @@ WITH RECURSIVE words AS (
     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM words WHERE len(w) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)
 ), ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_topk": op4_topk,
     "op5_decontamination": op5_decontamination,
+    "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op9_minhash": op9_minhash,
     "op10_html": op10_html,

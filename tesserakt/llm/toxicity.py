@@ -193,22 +193,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([rows[i] for i in order], gold[order], n1 / (n1 + n0))
 
 
+def _scores(column: pa.Array, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    used, weights, bias = model
+    wanted, table = np.zeros(SPACE, dtype=bool), np.zeros(SPACE, dtype=np.float32)
+    wanted[used], table[used] = True, weights
+    raw, offs = buffers(column)
+    z = np.full(len(column), bias)
+    for i, j in chunks(offs):
+        doc, number = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wanted)
+        z[i:j] += np.bincount(doc, table[number], j - i)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most KEPT features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, weights, bias = shared.value
-        wanted, table = np.zeros(SPACE, dtype=bool), np.zeros(SPACE, dtype=np.float32)
-        wanted[used], table[used] = True, weights
         for batch in batches:
-            raw, offs = buffers(batch.column(1))
-            z = np.full(len(batch), bias)
-            for i, j in chunks(offs):
-                doc, number = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wanted)
-                z[i:j] += np.bincount(doc, table[number], j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), shared.value))], names=["id", "score"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, all their columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), shared.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
