@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pii, pivot_topk, toxicity, warc
+from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pii, pivot_topk, suffix_dedup, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
 #: Vocabulary of op7 and of the pipeline; another file can be named here.
@@ -59,6 +59,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op8_suffix": op8_suffix,
     "op9_minhash": op9_minhash,
     "op10_html": op10_html,
 }
