@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserakt.llm.common import materialise
 
-#: Links that one union-find takes at once; longer partitions are taken in such portions.
+#: Links that one union-find takes at once; longer partitions are taken in such portions, and no task gets more in the end.
 PORTION = 500_000
 
 
@@ -50,6 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialise(edges.filter("a <> b").mapInPandas(forest, "a long, b long").distinct(), "links")
     while True:
+        if edges.count() <= PORTION:  # one union-find can take what is left
+            trees = materialise(edges.coalesce(1).mapInPandas(forest, "a long, b long"), "links")
+            return _labelled(trees)
         # large star: every neighbour greater than x gets the least of x and its neighbours
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -63,6 +66,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = small.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         many = state.filter("n > 1").limit(1).count()
         if not many and not small.join(small.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
-            roots = small.select(F.col("b").alias("node")).distinct()
-            return small.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+            return _labelled(small)
         edges = small
+
+
+def _labelled(stars: DataFrame) -> DataFrame:
+    """Every node of the stars (a, b) with its centre, the centres too."""
+    roots = stars.select(F.col("b").alias("node")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -6,11 +6,14 @@ sequence; none or a null text: the empty set, linked with nothing). Two
 documents are linked if 100 * |A and B| >= percent * |A or B|.
 
 Equal sets form a class first, and only its smallest id goes on. A signature
-has BANDS * ROWS values; at a similarity of 0.8 a link shares no band with a
-probability of 3e-7. In each bucket one member after another becomes a centre
-that is compared with those it isn't connected with, until what is left in the
-bucket is connected: no pairs within a group are emitted beforehand, and no
-bucket is capped. Links are confirmed on the full sets.
+has PLACES values; a band is ROWS of them, and at a similarity of 0.8 a link
+shares none of BANDS bands with a probability of 8e-6. In each bucket one
+member after another becomes a centre that is compared with those it isn't
+connected with, until what is left in the bucket is connected: no pairs within
+a group are emitted beforehand, and no bucket is capped. A sketch of two bits a
+place goes with the members and rules a pair out when more places differ than
+a link's ever would (6.3 standard deviations, 2e-10). Links are confirmed on
+the full sets.
 
 Rows that share an id count as one node each time they occur; a row without an
 id keeps its shingle count and has neither component nor kept. Extra columns
@@ -23,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, word_hashes
 from tesserakt.llm.components import components
 
-BANDS, ROWS = 50, 6
+BANDS, ROWS, PLACES = 64, 8, 320
 _EMPTY = np.uint64(2**64 - 1)
 #: Elements whose permutations are held at once.
 _HELD = 40_000
@@ -98,21 +101,53 @@ def _sign(elements: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
                 rows = np.arange(len(elements))
 
 
+def band_places(bands: int, rows: int, places: int) -> np.ndarray:
+    """Places of each band: permutations of all places, cut into bands."""
+    rng = np.random.default_rng(97)
+    each = places // rows
+    return np.concatenate([rng.permutation(places)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))])[:bands]
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
-    parts = signature.reshape(len(signature), bands, rows)
+    parts = signature[:, band_places(bands, rows, signature.shape[1])]
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), parts.shape[:2]).copy()
     for r in range(rows):
         h = mix(h * np.uint64(0x9FB21C651E98DF25) + parts[:, :, r])
     return h
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each place, 32 places in a number."""
+    bits = mix(signature) & np.uint64(3)
+    words = -(-signature.shape[1] // 32)
+    out = np.zeros((len(signature), words), np.uint64)
+    for p in range(signature.shape[1]):
+        out[:, p // 32] |= bits[:, p] << np.uint64(2 * (p % 32))
+    return out
+
+
+def most_different(places: int, percent: int) -> int:
+    """Places of the sketch that differ at most, but for 6.3 standard deviations, at a similarity of `percent`."""
+    share = 0.75 * (1 - percent / 100)
+    return int(places * share + 6.3 * (places * share * (1 - share)) ** 0.5) + 1
+
+
+def _different(a: Column, b: Column, words: int) -> Column:
+    """In how many places two sketches differ."""
+    total = F.lit(0)
+    for i in range(words):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
 def _list(values: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """id, n (size of the set), set_key (16 bytes that name the set), bands (array of keys)."""
+def signatures(docs: DataFrame, k: int, bands: int, rows: int, places: int) -> DataFrame:
+    """id, n (size of the set), set_key (16 bytes that name the set), bands (array of keys), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,17 +155,18 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             for i, j in chunks(offs):
                 elements, starts = document_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 sizes = np.diff(starts)
-                keys = band_keys(super_minhash(elements, starts, bands * rows), bands, rows)
+                signed = super_minhash(elements, starts, places)
+                keys, sketch = band_keys(signed, bands, rows), sketches(signed)
                 names = np.zeros((j - i, 2), np.uint64)
                 for r, salt in enumerate((0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(salt)), dtype=np.uint64)))
                     names[:, r] = sums[starts[1:]] - sums[starts[:-1]] + sizes.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array([x.tobytes() for x in names], pa.binary()), _list(keys.reshape(-1), np.arange(j - i + 1) * bands)],
-                    names=["id", "n", "set_key", "bands"],
+                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array([x.tobytes() for x in names], pa.binary()), _list(keys.reshape(-1), np.arange(j - i + 1) * bands), _list(sketch.reshape(-1), np.arange(j - i + 1) * sketch.shape[1])],
+                    names=["id", "n", "set_key", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, set_key binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -154,44 +190,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, places: int = PLACES) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable), kept (the row's id is that), one row per row of docs."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(signatures(texts, k, bands, rows), "signatures")
+    signed = materialise(signatures(texts, k, bands, rows, places), "signatures")
     whole = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = materialise(whole.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = whole.select("id", "n", "set_key", "bands").join(classes.filter("copies > 1").select("set_key", "rep"), "set_key", "left").filter("rep IS NULL OR rep = id").dropDuplicates(["id", "set_key"])
-    members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    members = materialise(members.join(crowded, "bucket"), "members")
-    sets = materialise(shingle_sets(texts.join(members.select("id").distinct(), "id", "left_semi"), k), "sets")
-
+    copied = whole.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("set_key", "rep")
+    members = whole.select("id", "n", "set_key", "bands").join(materialise(copied, "classes"), "set_key", "left")
     # An id that occurs with several texts is one node with several sets: its classes are linked through it.
-    links = whole.join(classes.filter("copies > 1").select("set_key", "rep"), "set_key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = materialise(links.distinct(), "links")
-    pending = members.select("bucket", "id", "n", F.col("id").alias("component"))
+    members = materialise(members, "members")
+    links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    reps = members.filter("rep IS NULL OR rep = id").select("id", "n", F.explode("bands").alias("bucket"))
+    crowded = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1").select("bucket")
+    reps = materialise(reps.join(crowded, "bucket").distinct(), "buckets")
+    sketch = whole.select("id", "n", "sketch").dropDuplicates(["id", "n"])
+    pending = reps.join(sketch, ["id", "n"]).withColumn("component", F.col("id"))
+    sets = materialise(shingle_sets(texts.join(reps.select("id").distinct(), "id", "left_semi"), k), "sets")
+    words, most = -(-places // 32), most_different(places, percent)
+    labels = None
     width = 1
     while True:
-        # The first members of each bucket in turn are its centres. A centre is done with its bucket once compared with all.
-        order = Window.partitionBy("bucket").orderBy("id")
+        # Some members of each bucket are its centres: the first one, then those of the components named last.
         if width == 1:
-            centres = pending.groupBy("bucket").agg(F.min(F.struct("id", "n", "component")).alias("c")).select("bucket", "c.*")
+            centres = pending.groupBy("bucket").agg(F.min(F.struct("id", "n", "component", "sketch")).alias("c")).select("bucket", "c.*")
         else:
+            order = Window.partitionBy("bucket").orderBy(F.desc("component"), F.desc("id"))
             centres = pending.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= width).drop("turn")
-        centre = centres.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        pairs = pending.join(centre, "bucket").filter("id > b AND component <> cb").filter(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-        found = _confirmed(pairs.select(F.col("id").alias("a"), "b").distinct(), sets, percent)
-        links = materialise(links.union(found), "links")
-        labels = materialise(components(links), "components")
-        # Keep buckets whose members, but for the centres of this turn, lie in more than one component.
-        rest = pending.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti").drop("component")
-        rest = rest.join(labels, rest["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+        centre = centres.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"))
+        near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (_different(F.col("sketch"), F.col("kb"), words) <= most)
+        same = pending["bucket"] == centre["bucket"]
+        pairs = pending.join(centre, same & (F.col("id") != F.col("b")) & (F.col("component") != F.col("cb")) & near)
+        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        found = _confirmed(pairs, sets, percent)
+        known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(known.union(found))
+        # A centre is done with its bucket. Keep the buckets whose other members lie in more than one component.
+        rest = pending.drop("component").join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        rest = rest.join(labels, rest["id"] == labels["node"], "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
         several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         pending = materialise(rest.join(several, "bucket"), "pending")
         if pending.isEmpty():
             break
-        width = min(width * 2, 64)
+        width = min(width * 4, 64)
     out = signed.select("id", "n").join(labels, signed["id"] == labels["node"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
