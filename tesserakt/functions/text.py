@@ -51,7 +51,7 @@ def best_f1(pred: Column, golds: Column) -> Column:
 
 def answers(text: Column) -> Column:
     """Contents of all answer tags, trimmed."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def last_answer(text: Column, at_least: int = 1) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clip(x: Column, low: float | Column, high: float | Column) -> Column:
-    return F.least(F.greatest(x, low if isinstance(low, Column) else F.lit(low)), high if isinstance(high, Column) else F.lit(high))
+    held = F.least(F.greatest(x, low if isinstance(low, Column) else F.lit(low)), high if isinstance(high, Column) else F.lit(high))
+    return F.when(x.isNotNull(), held)  # greatest and least pass nulls over
 
 
 def kl_penalty(logp: Column, ref: Column, kind: str) -> Column:
