@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tesserakt.plans import registry
+from tesserakt.plans import more, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
