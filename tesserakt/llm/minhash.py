@@ -12,8 +12,11 @@ member after another becomes a centre that is compared with those it isn't
 connected with, until what is left in the bucket is connected: no pairs within
 a group are emitted beforehand, and no bucket is capped. A sketch of two bits a
 place goes with the members and rules a pair out when more places differ than
-a link's ever would (6.3 standard deviations, 2e-10). Links are confirmed on
-the full sets.
+a link's would (4.5 standard deviations, 3e-6). Members also keep their distance
+to the first centre of their bucket: the Jaccard distance is a metric, so two
+members whose distances to it differ by more than a link allows are no link. A
+pair that shares several buckets is compared in the first of its bands alone.
+Links are confirmed on the full sets.
 
 Rows that share an id count as one node each time they occur; a row without an
 id keeps its shingle count and has neither component nor kept. Extra columns
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, word_hashes
 from tesserakt.llm.components import components
 
-BANDS, ROWS, PLACES = 64, 8, 320
+BANDS, ROWS, PLACES = 64, 8, 640
 _EMPTY = np.uint64(2**64 - 1)
 #: Elements whose permutations are held at once.
 _HELD = 40_000
@@ -128,9 +131,9 @@ def sketches(signature: np.ndarray) -> np.ndarray:
 
 
 def most_different(places: int, percent: int) -> int:
-    """Places of the sketch that differ at most, but for 6.3 standard deviations, at a similarity of `percent`."""
+    """Places of the sketch that differ at most, but for 4.5 standard deviations, at a similarity of `percent`."""
     share = 0.75 * (1 - percent / 100)
-    return int(places * share + 6.3 * (places * share * (1 - share)) ** 0.5) + 1
+    return int(places * share + 4.5 * (places * share * (1 - share)) ** 0.5) + 1
 
 
 def _different(a: Column, b: Column, words: int) -> Column:
@@ -182,12 +185,13 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with the Jaccard distance of their full sets, and whether they are linked."""
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     found = found.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return found.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    found = found.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    union = F.col("sum") - F.col("both")
+    return found.select("a", "b", (1 - F.col("both") / union).alias("distance"), (100 * F.col("both") >= percent * union).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, places: int = PLACES) -> DataFrame:
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     crowded = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1").select("bucket")
     reps = materialise(reps.join(crowded, "bucket").distinct(), "buckets")
     sketch = whole.select("id", "n", "sketch").dropDuplicates(["id", "n"])
-    pending = reps.join(sketch, ["id", "n"]).withColumn("component", F.col("id"))
+    pending = reps.join(sketch, ["id", "n"]).select("bucket", "id", "n", "sketch", F.col("id").alias("component"), F.lit(None).cast("double").alias("far"))
     sets = materialise(shingle_sets(texts.join(reps.select("id").distinct(), "id", "left_semi"), k), "sets")
     words, most = -(-places // 32), most_different(places, percent)
     labels = None
@@ -212,23 +216,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     while True:
         # Some members of each bucket are its centres: the first one, then those of the components named last.
         if width == 1:
-            centres = pending.groupBy("bucket").agg(F.min(F.struct("id", "n", "component", "sketch")).alias("c")).select("bucket", "c.*")
+            centres = pending.groupBy("bucket").agg(F.min(F.struct("id", "n", "component", "sketch", "far")).alias("c")).select("bucket", "c.*")
         else:
             order = Window.partitionBy("bucket").orderBy(F.desc("component"), F.desc("id"))
             centres = pending.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= width).drop("turn")
-        centre = centres.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"))
+        centre = centres.select(F.col("bucket").alias("at"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"), F.col("far").alias("fb"), *([F.col("keys").alias("ks")] if width > 1 else []))
         near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (_different(F.col("sketch"), F.col("kb"), words) <= most)
-        same = pending["bucket"] == centre["bucket"]
-        pairs = pending.join(centre, same & (F.col("id") != F.col("b")) & (F.col("component") != F.col("cb")) & near)
+        if width > 1:
+            near &= F.coalesce(F.abs(F.col("far") - F.col("fb")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+            near &= F.array_position(F.zip_with("keys", "ks", lambda x, y: x == y), True) == F.array_position("keys", F.shiftright("bucket", 32).cast("int"))
+        pairs = pending.join(centre, (F.col("bucket") == F.col("at")) & (F.col("id") != F.col("b")) & (F.col("component") != F.col("cb")) & near)
         pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        found = _confirmed(pairs, sets, percent)
+        compared = materialise(_compared(pairs, sets, percent), "compared")
+        found = compared.filter("linked").select("a", "b")
         known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(known.union(found))
         # A centre is done with its bucket. Keep the buckets whose other members lie in more than one component.
         rest = pending.drop("component").join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        rest = rest.join(labels, rest["id"] == labels["node"], "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+        rest = rest.join(labels, rest["id"] == labels["node"], "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"), "far", *(["keys"] if width > 1 else []))
         several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        pending = materialise(rest.join(several, "bucket"), "pending")
+        rest = rest.join(several, "bucket")
+        if width == 1:  # the first centre has the least id of its bucket, so it is b of its pairs
+            first = centres.join(several, "bucket", "left_semi").select("bucket", F.col("id").alias("b"))
+            rest = rest.drop("far").join(first, "bucket").join(compared.select(F.col("a").alias("id"), "b", F.col("distance").alias("far")), ["id", "b"], "left").drop("b")
+            keys = whole.select("id", "n", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("keys")).dropDuplicates(["id", "n"])
+            rest = rest.join(keys, ["id", "n"])
+        pending = materialise(rest, "pending")
         if pending.isEmpty():
             break
         width = min(width * 4, 64)
