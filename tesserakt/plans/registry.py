@@ -4,7 +4,8 @@ Tables play the roles of a training run: `events` are scored rollouts (group:
 user and day, tree: kind of event), `lineitem` tokens of sequences (order),
 `part` programs (parent: half the key), `customer` and `supplier` programs on
 islands (nation), `documents`, `benchmark` and `conversations` texts.
-Floating-point results are rounded to 6 places, as sums depend on order.
+Floating-point results are rounded, as sums depend on order: to 6 places, or to 10
+where exact ties at the seventh place are common.
 """
 
 from __future__ import annotations
@@ -161,12 +162,12 @@ def _arrays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_token(df: DataFrame, value: Column) -> DataFrame:
-    return df.select("seq", F.posexplode(value).alias("i", "x")).select("seq", (F.col("i") + 1).alias("pos"), r6("x", "adv"))
+    return df.select("seq", F.posexplode(value).alias("i", "x")).select("seq", (F.col("i") + 1).alias("pos"), F.round("x", 10).alias("adv"))
 
 
 _RECURSE = """, k AS (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM t), f AS (
   SELECT seq, pos, {first} FROM k WHERE pos = n UNION ALL SELECT k.seq, k.pos, {step} FROM f JOIN k ON k.seq = f.seq AND k.pos = f.pos - 1)
-SELECT seq, pos::INT AS pos, round(adv, 6) AS adv FROM f"""
+SELECT seq, pos::INT AS pos, round(adv, 10) AS adv FROM f"""
 
 
 def _recursive(first: str, step: str) -> str:
@@ -189,7 +190,7 @@ def _gae_ignore(spark, sf):
     return _by_token(_arrays(spark, sf), ad.gae("r", "v", "m", 0.9, 0.95, "ignore"))
 
 
-@query("remax", T + " SELECT seq, pos::INT AS pos, round(sum(r * m) OVER (PARTITION BY seq ORDER BY pos DESC) - first_value(r) OVER (PARTITION BY seq ORDER BY pos) * m, 6) AS adv FROM t")
+@query("remax", T + " SELECT seq, pos::INT AS pos, round(sum(r * m) OVER (PARTITION BY seq ORDER BY pos DESC) - first_value(r) OVER (PARTITION BY seq ORDER BY pos) * m, 10) AS adv FROM t")
 def _remax(spark, sf):
     a = _arrays(spark, sf).withColumn("base", F.get("r", F.lit(0)))
     return _by_token(a, ad.remax("r", "base", "m"))
@@ -340,8 +341,8 @@ query(
 )(lambda spark, sf: ranking.effective_scores(programs(spark, sf), "score", "raw", "w", ["island"]).select("id", r6("effective")))
 query("top_programs", P + " SELECT island, id, score FROM p QUALIFY row_number() OVER (PARTITION BY island ORDER BY score DESC, id) <= 3")(lambda spark, sf: ranking.top_programs(programs(spark, sf), 3, "score", "id", ["island"]).select("island", "id", "score"))
 query("best_program", P + " SELECT id, score FROM p ORDER BY score DESC, id LIMIT 1")(lambda spark, sf: ranking.top_programs(programs(spark, sf), 1, "score", "id").select("id", "score"))
-query("archive_rank", P + " SELECT id, round(0.7 * (rank() OVER (PARTITION BY island ORDER BY score) - 1) / count(*) OVER (PARTITION BY island) + 0.3 * (rank() OVER (PARTITION BY island ORDER BY raw DESC) - 1) / count(*) OVER (PARTITION BY island), 6) AS archive_score FROM p")(
-    lambda spark, sf: ranking.archive_rank_score(programs(spark, sf), {"score": 0.7, "raw": -0.3}, ["island"]).select("id", r6("archive_score"))
+query("archive_rank", P + " SELECT id, round(0.7 * (rank() OVER (PARTITION BY island ORDER BY score) - 1) / count(*) OVER (PARTITION BY island) + 0.3 * (rank() OVER (PARTITION BY island ORDER BY raw DESC) - 1) / count(*) OVER (PARTITION BY island), 10) AS archive_score FROM p")(
+    lambda spark, sf: ranking.archive_rank_score(programs(spark, sf), {"score": 0.7, "raw": -0.3}, ["island"]).select("id", F.round("archive_score", 10).alias("archive_score"))
 )
 query("percentile_rank", P + " SELECT id, round(CASE WHEN count(*) OVER (PARTITION BY island) > 1 THEN percent_rank() OVER (PARTITION BY island ORDER BY raw) ELSE 1 END, 6) AS percentile FROM p")(
     lambda spark, sf: ranking.percentile(programs(spark, sf), "raw", ["island"], "rank").select("id", r6("percentile"))
