@@ -161,33 +161,33 @@ def _arrays(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("seq", *(F.col("x")[c].alias(c) for c in ("pos", "r", "v", "m", "old", "new")))
 
 
-def _by_token(df: DataFrame, value: Column) -> DataFrame:
-    return df.select("seq", F.posexplode(value).alias("i", "x")).select("seq", (F.col("i") + 1).alias("pos"), F.round("x", 10).alias("adv"))
+def _by_token(df: DataFrame, value: Column, places: int = 10) -> DataFrame:
+    return df.select("seq", F.posexplode(value).alias("i", "x")).select("seq", (F.col("i") + 1).alias("pos"), F.round("x", places).alias("adv"))
 
 
 _RECURSE = """, k AS (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM t), f AS (
   SELECT seq, pos, {first} FROM k WHERE pos = n UNION ALL SELECT k.seq, k.pos, {step} FROM f JOIN k ON k.seq = f.seq AND k.pos = f.pos - 1)
-SELECT seq, pos::INT AS pos, round(adv, 10) AS adv FROM f"""
+SELECT seq, pos::INT AS pos, round(adv, {places}) AS adv FROM f"""
 
 
-def _recursive(first: str, step: str) -> str:
-    return T.replace("WITH t", "WITH RECURSIVE t", 1) + _RECURSE.format(first=first, step=step)
+def _recursive(first: str, step: str, places: int = 8) -> str:
+    return T.replace("WITH t", "WITH RECURSIVE t", 1) + _RECURSE.format(first=first, step=step, places=places)
 
 
-@query("discounted_returns", _recursive("r AS adv, r * m AS run", "k.r + 0.9 * f.run, (k.r + 0.9 * f.run) * k.m"))
+@query("discounted_returns", _recursive("r AS adv, r * m AS run", "k.r + 0.9 * f.run, (k.r + 0.9 * f.run) * k.m", 10))
 def _returns(spark, sf):
     a = _arrays(spark, sf)
     return _by_token(a, ad.discounted_returns("r", "m", 0.9))
 
 
-@query("gae", _recursive("(r - v) * m AS adv, v * m AS nv", "(k.r + 0.9 * f.nv - k.v + 0.9 * 0.95 * f.adv) * k.m + (1 - k.m) * f.adv, k.v * k.m + (1 - k.m) * f.nv"))
+@query("gae", _recursive("(r - v) * m AS adv, v * m AS nv", "(k.r + 0.9090909090909091 * f.nv - k.v + 0.9090909090909091 * 0.95 * f.adv) * k.m + (1 - k.m) * f.adv, k.v * k.m + (1 - k.m) * f.nv"))
 def _gae(spark, sf):
-    return _by_token(_arrays(spark, sf), ad.gae("r", "v", "m", 0.9, 0.95))
+    return _by_token(_arrays(spark, sf), ad.gae("r", "v", "m", 0.9090909090909091, 0.95), 8)
 
 
-@query("gae_unmasked", _recursive("r - v AS adv, v AS nv", "k.r + 0.9 * f.nv - k.v + 0.9 * 0.95 * f.adv, k.v"))
+@query("gae_unmasked", _recursive("r - v AS adv, v AS nv", "k.r + 0.9090909090909091 * f.nv - k.v + 0.9090909090909091 * 0.95 * f.adv, k.v"))
 def _gae_ignore(spark, sf):
-    return _by_token(_arrays(spark, sf), ad.gae("r", "v", "m", 0.9, 0.95, "ignore"))
+    return _by_token(_arrays(spark, sf), ad.gae("r", "v", "m", 0.9090909090909091, 0.95, "ignore"), 8)
 
 
 @query("remax", T + " SELECT seq, pos::INT AS pos, round(sum(r * m) OVER (PARTITION BY seq ORDER BY pos DESC) - first_value(r) OVER (PARTITION BY seq ORDER BY pos) * m, 10) AS adv FROM t")
