@@ -4,8 +4,10 @@ A string of `length` bytes goes to the shard named by the least hash among its
 K-byte grams; neighbouring strings of one text with the same least hash form a
 stretch. Equal stretches are counted before anything else: one that occurs
 twice is repeated as a whole, however often it occurs, and only one copy of each
-goes on. Stretches that share their least hash, or hold it twice, are laid out
-in a shard, whose suffix array comes from induced sorting: suffixes are
+goes on. A string that two stretches share holds their least gram at the same
+place, so half of the rest of it, before the gram or behind it, is equal too:
+stretches that share their least hash and one of these halves, or hold the hash
+twice, are laid out in a shard, whose suffix array comes from induced sorting: suffixes are
 classified, leftmost-smaller substrings are sorted by inducing and, once named,
 recursively, and inducing from them sorts all suffixes. Permuted common
 prefixes of neighbours then tell which strings start twice.
@@ -179,14 +181,15 @@ def _induce_scan(symbols: np.ndarray, small: np.ndarray, counts: np.ndarray, ord
     return np.array(sa, dtype=np.int64)
 
 
-def permuted_prefixes(symbols: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the one before it in the array, and their common prefix in symbols, up to `cap`."""
+def permuted_prefixes(symbols: np.ndarray, sa: np.ndarray, cap: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix (or those at the places) the one before it in the array, and their common prefix in symbols, up to `cap`."""
     n = len(symbols)
     before = np.full(n, n - 1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     sums = _sums(symbols)
-    here = np.arange(n)
-    common = np.zeros(n, dtype=np.int64)
+    here = np.arange(n) if places is None else places
+    before = before[here]
+    common = np.zeros(len(here), dtype=np.int64)
     step = 1 << int(cap).bit_length()
     while step:
         more = np.minimum(common + step, cap)
@@ -209,10 +212,10 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
         data[at + len(x)] = 1
         at += len(x) + 1
     sa = suffix_array(data)
-    before, common = permuted_prefixes(data, sa, length)
-    hit = np.flatnonzero(common >= length)
+    starts = np.concatenate([np.arange(o, o + max(n - length + 1, 0)) for o, n in zip(offs, sizes, strict=True)])
+    before, common = permuted_prefixes(data, sa, length, starts)
     twice = np.zeros(len(data), dtype=bool)
-    twice[hit] = twice[before[hit]] = True
+    twice[starts[common >= length]] = twice[before[common >= length]] = True
     return [twice[o : o + max(n - length + 1, 0)] for o, n in zip(offs, sizes, strict=True)]
 
 
@@ -229,8 +232,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: least hash, hash of all bytes, first start, number of starts, whether the least gram occurs twice."""
+def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of one text: least hash, hash of all bytes, first start, number of starts, whether the least gram occurs twice, hashes of what stands before and behind it (0: less than half a string)."""
     sums = prefix_sums(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = range_hash(sums, at, at + GRAM)
@@ -247,8 +250,14 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     base = np.searchsorted(values, np.unique(values))
     span = np.int64(len(grams) + 1)
     rank = np.repeat(np.arange(len(base)), np.diff(np.append(base, len(values)))) * span + hits
-    inside = np.searchsorted(rank, group * span + first + count + length - GRAM, "left") - np.searchsorted(rank, group * span + first, "left")
-    return key, own, first, count, inside > 1
+    begin = np.searchsorted(rank, group * span + first, "left")
+    inside = np.searchsorted(rank, group * span + first + count + length - GRAM, "left") - begin
+    gram, half = hits[begin], (length - GRAM) // 2
+    ends = first + count + length - 1
+    before = np.where(gram - half >= first, range_hash(sums, np.maximum(gram - half, 0), gram) | np.uint64(1), np.uint64(0))
+    stop = gram + GRAM + half
+    behind = np.where(stop <= ends, range_hash(sums, gram + GRAM, np.minimum(stop, len(data))) & ~np.uint64(1), np.uint64(0))
+    return key, own, first, count, inside > 1, before, behind
 
 
 def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -263,13 +272,13 @@ def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
                         rows.append(np.full(len(parts[-1][0]), r))
                 if not parts:
                     continue
-                key, own, first, count, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+                key, own, first, count, twice, before, behind = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(first), pa.array(count), pa.array(twice)],
-                    names=["th", "g", "sh", "first", "n", "twice"],
+                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(first), pa.array(count), pa.array(twice), pa.array(before.view(np.int64)), pa.array(behind.view(np.int64))],
+                    names=["th", "g", "sh", "first", "n", "twice", "before", "behind"],
                 )
 
-    return docs.select("th", "text").mapInArrow(run, "th binary, g long, sh long, first long, n long, twice boolean")
+    return docs.select("th", "text").mapInArrow(run, "th binary, g long, sh long, first long, n long, twice boolean, before long, behind long")
 
 
 def _bytes_of(docs: DataFrame, length: int) -> DataFrame:
@@ -311,12 +320,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(F.encode(text, "utf-8"))).alias("th"))
     found = _stretch_rows(texts, length)
-    found = materialise(found.groupBy("th", "g", "sh", "first", "n", "twice").agg(F.count(F.lit(1)).alias("c")), "stretches")
-    kinds = found.groupBy("g", "sh").agg(F.sum("c").alias("c"), F.max("twice").alias("twice"), F.min(F.struct("th", "first", "n")).alias("one"))
-    kinds = materialise(kinds, "kinds")
-    shared = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-    compared = kinds.filter("NOT twice").join(shared, "g", "left_semi").union(kinds.filter("twice"))
-    compared = materialise(compared.filter(F.col("c") >= 1).select("g", "sh", "one.*"), "compared")
+    found = materialise(found.groupBy("th", "g", "sh", "first", "n", "twice", "before", "behind").agg(F.count(F.lit(1)).alias("c")), "stretches")
+    kinds = found.groupBy("g", "sh").agg(F.sum("c").alias("c"), F.max("twice").alias("twice"), F.min(F.struct("th", "first", "n", "before", "behind")).alias("one"))
+    kinds = materialise(kinds.select("g", "sh", "c", "twice", "one.*"), "kinds")
+    shared = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("any")).filter("k > 1 OR any")
+    meeting = materialise(kinds.drop("twice").join(shared.select("g", "any"), "g"), "meeting")
+    sides = meeting.filter("NOT any").select("g", "sh", F.explode(F.array("before", "behind")).alias("side")).filter("side <> 0")
+    equal = sides.groupBy("g", "side").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "side")
+    alike = sides.join(equal, ["g", "side"]).select("g", "sh").union(meeting.filter("any").select("g", "sh")).distinct()
+    compared = materialise(meeting.join(alike, ["g", "sh"]).select("g", "sh", "th", "first", "n"), "compared")
     total = compared.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
     listed = compared.groupBy("th").agg(F.collect_list(F.struct("g", "sh", "first", "n")).alias("listed"))
     parts = _bytes_of(texts.select("th", "text").join(listed, "th"), length)
