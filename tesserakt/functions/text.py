@@ -6,10 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-#: Template of a retrieval question; a fixed format.
+# Fixed value: the wording of a retrieval question for base models.
 BASE_PROMPT = (
     "Answer the given question. "
     "You must conduct reasoning inside <think> and </think> first every time you get new information. "
+    "After reasoning, if you find you lack some knowledge, you can call a search engine by <search> query </search> and it will return the top searched results between <information> and </information>. "
+    "You can search as many times as your want. "
+    "If you find no further external knowledge needed, you can directly provide the answer inside <answer> and </answer>, without detailed illustrations. For example, <answer> Beijing </answer>. "
     "Question: "
 )
 
@@ -168,3 +171,30 @@ def finite(value: Column) -> Column:
 
 def pattern_counts(text: Column, patterns: dict[str, str]) -> list[Column]:
     return [F.regexp_count(text, F.lit(p)).alias(name) for name, p in patterns.items()]
+
+
+def last_boxed(text: Column) -> Column:
+    """Content of the last \\boxed{...} or \\fbox{...} with balanced braces; null without one.
+
+    The text after the last mark is cut at braces, and the depth is counted piece by piece.
+    """
+    back = F.reverse(text)
+    marks = F.filter(F.array(F.locate("{dexob\\", back), F.locate("{xobf\\", back)), lambda p: p > 0)
+    there = F.size(marks) > 0
+    rest = F.when(there, F.substr(text, F.length(text) - F.array_min(marks) + 2, F.length(text))).otherwise(F.lit(""))
+    pieces = F.regexp_extract_all(rest, F.lit(r"([^{}]*[{}])"), F.lit(1))
+    zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("end"), F.lit(0).alias("at"))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + F.when(F.endswith(p, F.lit("{")), 1).otherwise(-1)
+        here = acc["at"] + F.length(p)
+        return F.struct(depth.alias("depth"), F.when((acc["end"] == 0) & (depth == 0), here).otherwise(acc["end"]).alias("end"), here.alias("at"))
+
+    end = F.aggregate(pieces, zero, step, lambda a: a["end"])
+    return F.when(there & (end > 0), F.substr(rest, F.lit(1), end - 1))
+
+
+def same_mapping(found: Column, truth: Column) -> Column:
+    """Whether two JSON objects hold the same keys (case and outer spaces aside) with the same whole numbers."""
+    read = lambda c: F.transform(F.map_entries(F.from_json(F.regexp_replace(F.replace(c, F.lit("'"), F.lit('"')), r",\s*}", "}"), "map<string,string>")), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("k"), e["value"].try_cast("int").alias("v")))
+    return F.coalesce(F.sort_array(read(found)) == F.sort_array(read(truth)), F.lit(False))

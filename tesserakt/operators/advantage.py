@@ -255,3 +255,17 @@ def remax(rewards: str, baseline: str, mask: str) -> Column:
         return F.struct(run.alias("run"), (run - F.col(baseline) * x["m"]).alias("out"))
 
     return _reverse_fold(items, F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("out")), step)
+
+
+def optimal_token_baseline(df: DataFrame, group: list[str], pos: str, returns: str, weight: str, mask: str, out: str = "adv") -> DataFrame:
+    """Returns less, at each position of the group, the mean of returns weighted by the sequences' summed weights."""
+    w = Window.partitionBy(*group, pos)
+    m = F.col(mask)
+    base = F.sum(F.col(returns) * F.col(weight) * m).over(w) / (F.sum(F.col(weight) * m).over(w) + 1e-8)
+    return df.withColumn(out, (F.col(returns) - base) * m)
+
+
+def turn_mean_ratio(df: DataFrame, seq: str, turn: str, log_ratio: str, mask: str, out: str = "ratio") -> DataFrame:
+    """exp of the mean log-ratio of the masked tokens of each turn (or sequence)."""
+    kept = F.when(F.col(mask) == 1, F.col(log_ratio))
+    return df.withColumn(out, F.exp(F.least(F.avg(kept).over(Window.partitionBy(seq, turn)), F.lit(10.0))))

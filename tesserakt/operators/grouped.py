@@ -164,3 +164,38 @@ def aggregate_loss(df: DataFrame, seq: str, loss: str, mask: str, mode: str, var
 
 def all_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
+
+
+def sampler_difference(df: DataFrame, a: str, b: str, mask: str) -> DataFrame:
+    """Of the differences of two samplers' probabilities over masked tokens: greatest, mean, sample deviation, and Pearson's correlation of the probabilities; valid is 0 without a token."""
+    m = F.col(mask) == 1
+    x, y = F.when(m, F.exp(a)), F.when(m, F.exp(b))
+    d = F.abs(x - y)
+    return df.agg(F.when(F.count(d) > 0, 1).otherwise(0).alias("valid"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.corr(x, y).alias("pearson"))
+
+
+def differing(df: DataFrame, seq: str, a: str, b: str, mask: str) -> DataFrame:
+    """Masked tokens of each row in which two lists differ."""
+    return df.groupBy(seq).agg(F.count_if((F.col(mask) == 1) & ~F.col(a).eqNullSafe(F.col(b))).alias("n"))
+
+
+def bootstrap(df: DataFrame, group: list[str], row: str, value: str, size: int, rounds: int, seed: int = 42, how: str = "max") -> DataFrame:
+    """Mean and population deviation, over resamples with replacement, of the greatest, least or mean value of `size` draws.
+
+    Draw j of round i is the row whose number the seeded hash of (i, j) names: the same wherever it runs.
+    """
+    w = Window.partitionBy(*group)
+    rows = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(row)) - 1)
+    draws = df.select(*group).distinct().withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    draws = draws.join(sizes, group).withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), *group, "_round", "_draw"), F.col("_size")).cast("int"))
+    each = draws.join(rows.select(*group, "_i", value), [*group, "_i"]).groupBy(*group, "_round").agg({"max": F.max, "min": F.min, "mean": F.avg}[how](value).alias("_x"))
+    return each.groupBy(*group).agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"))
+
+
+def variance_proxy(df: DataFrame, seq: str, p: str, squares: str, mask: str, reward: str) -> DataFrame:
+    """W = masked sum of 1 - 2 p + sum of squared probabilities a sequence; mean W, mean reward squared times W, and the latter less the squared mean reward times mean W, 0 at least."""
+    m = F.col(mask) == 1
+    rows = df.groupBy(seq).agg(F.sum(F.when(m, 1 - 2 * F.exp(p) + F.col(squares)).otherwise(0.0)).alias("_w"), F.sum(F.when(m, F.col(reward)).otherwise(0.0)).alias("_r"))
+    out = rows.agg(F.avg("_w").alias("signal"), F.avg(F.col("_r") * F.col("_r") * F.col("_w")).alias("total"), F.avg("_r").alias("_m"))
+    return out.select("signal", "total", F.greatest(F.col("total") - F.col("_m") * F.col("_m") * F.col("signal"), F.lit(0.0)).alias("pure_noise"))

@@ -131,3 +131,30 @@ def distinct_best(df: DataFrame, group: list[str], key: Column, score: str, tie:
     """The best row of each normalised answer."""
     w = Window.partitionBy(*group, key).orderBy(F.desc(score), tie)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def resample_weights(df: DataFrame, score: str, method: str, power: float = 2.0, out: str = "weight") -> DataFrame:
+    """Chances of rows to be drawn again: pow |s|**power; max_min 1 for the greatest and the least score, else 0; max_random 1 for the greatest, 0.4 for the others; normalised."""
+    whole = df.agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"))
+    df = df.join(F.broadcast(whole))
+    s = F.col(score)
+    raw = {"pow": F.pow(F.abs(s), F.lit(power)), "max_min": F.when(s.isin(F.col("_hi"), F.col("_lo")), 1.0).otherwise(0.0), "max_random": F.when(s == F.col("_hi"), 1.0).otherwise(0.4)}[method]
+    df = df.withColumn("_w", raw)
+    return df.join(F.broadcast(df.agg(F.sum("_w").alias("_t")))).withColumn(out, F.col("_w") / F.col("_t")).drop("_hi", "_lo", "_w", "_t")
+
+
+def optimistic_bound(df: DataFrame, fitness: str, n: str, scale: float, fewest: int, prior: float, out: str = "bound") -> DataFrame:
+    """fitness + scale sqrt(ln N / n); rows tried fewer than `fewest` times take the prior as fitness."""
+    whole = df.agg(F.greatest(F.sum(n), F.lit(1)).cast("double").alias("_t"))
+    base = F.when(F.col(n) < fewest, prior).otherwise(F.col(fitness))
+    return df.join(F.broadcast(whole)).withColumn(out, base + scale * F.sqrt(F.log("_t") / F.greatest(F.col(n), F.lit(1)))).drop("_t")
+
+
+def one_right_rest_wrong(df: DataFrame, group: list[str], right: str, score: str, tie: str, size: int) -> DataFrame:
+    """`size` rows a group, best first; where more are there and any is right, the best right one and the best wrong ones."""
+    w = Window.partitionBy(*group)
+    df = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc(score), tie)))
+    df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group, right).orderBy(F.desc(score), tie)))
+    df = df.withColumn("_rights", F.sum(F.col(right).cast("int")).over(w))
+    mixed = F.when(F.col(right), F.col("_r") == 1).otherwise(F.col("_r") <= size - 1)
+    return df.filter(F.when((F.col("_n") > size) & (F.col("_rights") > 0), mixed).otherwise(F.col("_k") <= size)).drop("_n", "_k", "_r", "_rights")

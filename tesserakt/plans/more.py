@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserakt.functions import text as tx
-from tesserakt.operators import balance, geometry, grouped, losses, ranking, similarity, trees
-from tesserakt.plans.registry import programs, query, r6, table
+from tesserakt.operators import advantage as ad
+from tesserakt.operators import balance, batch, geometry, grouped, losses, ranking, similarity, trees
+from tesserakt.plans.registry import T, R, programs, query, r6, rollouts, table, tokens
 from tesserakt.sources import readers
 from tesserakt.streaming import replay
 
@@ -107,3 +108,39 @@ query("masked_mean_plain", "SELECT l_orderkey, round(sum(l_quantity * (l_linenum
 query("sampled_rows", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50")(lambda spark, sf: readers.sample_rows(table(spark, sf, "documents"), 50, "doc_id").select("doc_id"))
 query("token_bucket")(lambda spark, sf: replay.token_bucket(table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"), "value"), "user_id", "t", "value", 1e-6, 100.0))
 query("micro_batch_windows")(lambda spark, sf: replay.micro_batches(table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")), "user_id", "t", 8, 3.6e9))
+
+query("base_prompt")(lambda spark, sf: table(spark, sf, "benchmark").select("item_id", tx.base_prompt(F.col("text")).alias("prompt")))
+query("last_boxed", r"SELECT event_id, 'a{' || event_type || '}b' AS answer FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.last_boxed(F.concat(F.lit("x \\boxed{1} so \\boxed{a{"), "event_type", F.lit("}b} end}"))).alias("answer"))
+)
+query("same_mapping", "SELECT event_id, event_id % 2 = 0 AS same FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.same_mapping(F.concat(F.lit("{' A': "), (F.col("event_id") - F.col("event_id") % 2).cast("string"), F.lit(", 'b': 2,}")), F.concat(F.lit('{"b": 2, "a": '), F.col("event_id").cast("string"), F.lit("}"))).alias("same"))
+)
+query(
+    "sampler_difference",
+    f"{T}, d AS (SELECT exp(old) AS x, exp(new) AS y FROM t WHERE m = 1) SELECT 1 AS valid, round(max(abs(x - y)), 6) AS max, round(avg(abs(x - y)), 6) AS mean, round(stddev_samp(abs(x - y)), 6) AS std, round(corr(x, y), 6) AS pearson FROM d",
+)(lambda spark, sf: grouped.sampler_difference(tokens(spark, sf), "old", "new", "m").select("valid", r6("max"), r6("mean"), r6("std"), r6("pearson")))
+query("differing_tokens", f"{T} SELECT seq, count(*) FILTER (m = 1 AND old <> new) AS n FROM t GROUP BY seq")(lambda spark, sf: grouped.differing(tokens(spark, sf), "seq", "old", "new", "m"))
+query("bootstrap_best")(lambda spark, sf: grouped.bootstrap(table(spark, sf, "events"), ["event_type"], "event_id", "value", 4, 50).select("event_type", r6("mean"), r6("std")))
+query(
+    "variance_proxy",
+    f"{T}, s AS (SELECT seq, sum(CASE WHEN m = 1 THEN 1 - 2 * exp(old) + 0.3 ELSE 0 END) AS w, sum(CASE WHEN m = 1 THEN r ELSE 0 END) AS r FROM t GROUP BY seq), a AS (SELECT avg(w) AS signal, avg(r * r * w) AS total, avg(r) AS mr FROM s) SELECT round(signal, 6) AS signal, round(total, 6) AS total, round(greatest(total - mr * mr * signal, 0), 6) AS pure_noise FROM a",
+)(lambda spark, sf: grouped.variance_proxy(tokens(spark, sf).withColumn("q", F.lit(0.3)), "seq", "old", "q", "m", "r").select(r6("signal"), r6("total"), r6("pure_noise")))
+query("optimal_token_baseline", f"{T} SELECT seq, pos::INT AS pos, round((r - sum(r * v * m) OVER p / (sum(v * m) OVER p + 1e-8)) * m, 6) AS adv FROM t WINDOW p AS (PARTITION BY seq % 50, pos)")(
+    lambda spark, sf: ad.optimal_token_baseline(tokens(spark, sf).withColumn("g", F.col("seq") % 50), ["g"], "pos", "r", "v", "m").select("seq", "pos", r6("adv"))
+)
+query("sequence_ratio", f"{T} SELECT seq, pos::INT AS pos, round(exp(least(avg(CASE WHEN m = 1 THEN new - old END) OVER (PARTITION BY seq), 10)), 6) AS ratio FROM t WHERE seq IN (SELECT seq FROM t GROUP BY seq HAVING sum(m) > 0)")(
+    lambda spark, sf: ad.turn_mean_ratio(tokens(spark, sf).withColumn("x", F.expr("new - old")).withColumn("k", F.lit(0)).join(tokens(spark, sf).groupBy("seq").agg(F.sum("m").alias("s")).filter("s > 0").select("seq"), "seq", "left_semi"), "seq", "k", "x", "m").select("seq", "pos", r6("ratio"))
+)
+query("resample_weights", f"{R} SELECT event_id, round(s * s / sum(s * s) OVER (), 9) AS weight FROM r")(lambda spark, sf: ranking.resample_weights(rollouts(spark, sf), "s", "pow").select("event_id", F.round("weight", 9).alias("weight")))
+query("prompt_bound", "WITH a AS (SELECT event_type, avg(value) AS f, count(*) AS n FROM events GROUP BY 1) SELECT event_type, round(f + 1.4 * sqrt(ln(sum(n) OVER ()) / n), 6) AS bound FROM a")(
+    lambda spark, sf: ranking.optimistic_bound(table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("f"), F.count(F.lit(1)).alias("n")), "f", "n", 1.4, 2, 100.0).select("event_type", r6("bound"))
+)
+query(
+    "training_group",
+    f"{R}, k AS (SELECT *, s > 40 AS ok, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id) AS k, row_number() OVER (PARTITION BY user_id, s > 40 ORDER BY s DESC, event_id) AS j, sum((s > 40)::INT) OVER w AS rights FROM r WINDOW w AS (PARTITION BY user_id)) "
+    "SELECT user_id, event_id FROM k WHERE CASE WHEN n > 4 AND rights > 0 THEN (CASE WHEN ok THEN j = 1 ELSE j <= 3 END) ELSE k <= 4 END",
+)(lambda spark, sf: ranking.one_right_rest_wrong(rollouts(spark, sf).withColumn("ok", F.col("s") > 40), ["user_id"], "ok", "s", "event_id", 4).select("user_id", "event_id"))
+query("run_positions", "WITH o AS (SELECT event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events WHERE event_id < 2000), s AS (SELECT *, sum(c) OVER (ORDER BY event_id) AS g FROM o) SELECT event_id, (row_number() OVER (PARTITION BY g ORDER BY event_id) - 1)::INT AS place FROM s")(
+    lambda spark, sf: batch.run_positions(table(spark, sf, "events").filter("event_id < 2000"), "event_id", "event_type").select("event_id", "place")
+)
