@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps = members.filter("rep IS NULL OR rep = id").select("id", "n", F.explode("bands").alias("bucket"))
     crowded = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1").select("bucket")
     reps = materialise(reps.join(crowded, "bucket").distinct(), "buckets")
-    sketch = whole.select("id", "n", "sketch").dropDuplicates(["id", "n"])
+    sketch = whole.select("id", "n", "sketch").distinct()  # an id with several texts has several
     pending = reps.join(sketch, ["id", "n"]).select("bucket", "id", "n", "sketch", F.col("id").alias("component"), F.lit(None).cast("double").alias("far"))
     sets = materialise(shingle_sets(texts.join(reps.select("id").distinct(), "id", "left_semi"), k), "sets")
     words, most = -(-places // 32), most_different(places, percent)
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if width == 1:  # the first centre has the least id of its bucket, so it is b of its pairs
             first = centres.join(several, "bucket", "left_semi").select("bucket", F.col("id").alias("b"))
             rest = rest.drop("far").join(first, "bucket").join(compared.select(F.col("a").alias("id"), "b", F.col("distance").alias("far")), ["id", "b"], "left").drop("b")
-            keys = whole.select("id", "n", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("keys")).dropDuplicates(["id", "n"])
+            keys = whole.select("id", "n", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("keys")).distinct()
             rest = rest.join(keys, ["id", "n"])
         pending = materialise(rest, "pending")
         if pending.isEmpty():
