@@ -10,9 +10,12 @@ import heapq
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 256
+RANGE_ROWS = 2000
+
 
 def workload(length: Column) -> Column:
     """Cost of a sequence: linear and quadratic part."""
@@ -61,14 +64,37 @@ def largest_differencing(lengths: list[int], parts: int, equal_size: bool) -> li
 METHODS: dict[str, Callable[[list[int], int, bool], list[list[int]]]] = {"greedy": greedy, "differencing": largest_differencing}
 
 
-def partitions(df: DataFrame, batch: str, pos: str, length: str, parts: int, equal_size: bool = True, method: str = "differencing") -> DataFrame:
-    """batch, pos and part of every row."""
+def batches(df: DataFrame, order: str, batch: str, place: str, size: int) -> DataFrame:
+    """All rows with their number in the row order as `place`, cut into batches of `size` (the last may be smaller); equal keys are ordered by the other columns.
+
+    The rows are cut into ranges of the key, each numbered for itself from the count of those before it, so no task reads them all.
+    """
+    n, *bounds = df.agg(F.count(F.lit(1)), F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)])).first()
+    bounds = sorted(set(bounds[0] or []))
+    bounds = bounds[:: max(1, len(bounds) * RANGE_ROWS // max(n, 1))]
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(order) < bounds[mid], search(low, mid)).otherwise(search(mid + 1, high))
+
+    ranged = df.withColumn("_r", F.when(F.col(order).isNull(), 0).otherwise(search(0, len(bounds))))
+    counts = dict(ranged.groupBy("_r").count().collect())
+    before = F.create_map(*(F.lit(x) for r in range(len(bounds) + 1) for x in (r, sum(c for k, c in counts.items() if k < r))))
+    w = Window.partitionBy("_r").orderBy(order, *(c for c in df.columns if c != order))
+    numbered = ranged.withColumn(place, (F.row_number().over(w) - 1 + before[F.col("_r")]).cast("long"))
+    return numbered.withColumn(batch, F.floor(F.col(place) / size)).drop("_r")
+
+
+def partitions(df: DataFrame, batch: str, pos: str, length: str, parts: int, equal_size: bool | None = True, method: str = "differencing") -> DataFrame:
+    """batch, pos and part of every row; equal_size None: equal sizes in the batches that divide, any in the others."""
     deal = METHODS[method]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(pos).reset_index(drop=True)
         part = [0] * len(frame)
-        for k, rows in enumerate(deal(frame[length].tolist(), parts, equal_size)):
+        for k, rows in enumerate(deal(frame[length].tolist(), parts, len(frame) % parts == 0 if equal_size is None else equal_size)):
             for i in rows:
                 part[i] = k
         return frame[[batch, pos]].assign(part=part)

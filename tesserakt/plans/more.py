@@ -14,14 +14,20 @@ from tesserakt.streaming import replay
 
 
 def _lengths(spark, sf):
-    return table(spark, sf, "documents").select((F.col("doc_id") % 5).alias("batch"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("n")).filter("pos < 200")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("n"))
+    return balance.batches(d, "pos", "batch", "place", 200)
 
 
-query("balance_differencing")(lambda spark, sf: balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4))
-query("balance_greedy", None)(lambda spark, sf: balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4, method="greedy"))
-query("balance_groups")(lambda spark, sf: balance.group_partitions(_lengths(spark, sf).withColumn("g", F.floor(F.col("pos") / 20)), "batch", "pos", "n", "g", 2))
+def _loads(spark, sf):
+    d = _lengths(spark, sf)
+    return balance.loads(balance.partitions(d, "batch", "pos", "n", 4, None), d, "batch", "pos", "n")
+
+
+query("balance_differencing")(lambda spark, sf: balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4, None))
+query("balance_greedy", None)(lambda spark, sf: balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4, None, method="greedy"))
+query("balance_groups")(lambda spark, sf: balance.group_partitions(_lengths(spark, sf).withColumn("g", F.floor(F.col("place") / 20)), "batch", "pos", "n", "g", 2))
 query("balance_micro_batches")(lambda spark, sf: balance.micro_batches(_lengths(spark, sf), "batch", "pos", "n", 20000))
-query("balance_loads")(lambda spark, sf: balance.loads(balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4), _lengths(spark, sf), "batch", "pos", "n").select("batch", "least", "most", "difference", r6("mean")))
+query("balance_loads")(lambda spark, sf: _loads(spark, sf).select("batch", "least", "most", "difference", r6("mean")))
 query("workload", "SELECT doc_id, 24576 * n_chars + n_chars * n_chars AS workload FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", balance.workload(F.col("n_chars")).alias("workload")))
 
 # Solutions: 16 points of one label each, from the first coordinates of embeddings

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserakt.functions import text as tx
 from tesserakt.operators import advantage as ad
-from tesserakt.operators import batch, correction, grouped, losses, ranking, similarity, trees
+from tesserakt.operators import balance, batch, correction, grouped, losses, ranking, similarity, trees
+from tesserakt.plans import more, registry  # noqa: F401
 from tesserakt.streaming import replay
 
 
@@ -122,3 +123,30 @@ def test_token_bucket_and_micro_batches(spark):
     assert values(replay.token_bucket(df, "k", "t", "n", 10.0, 10.0).orderBy("t", "n"), "ready") == pytest.approx([0.0, 0.7, 1.0])
     times = spark.createDataFrame([(1, x) for x in (0.0, 0.1, 0.2, 0.9, 1.0)], "k int, t double")
     assert values(replay.micro_batches(times, "k", "t", 2, 0.5).orderBy("t"), "batch") == [0, 0, 1, 2, 2]
+
+
+# Whole tables
+
+
+@pytest.mark.parametrize("name", ["balance_differencing", "balance_greedy", "balance_groups", "balance_micro_batches"])
+def test_balance_deals_every_document(spark, tmp_path, name):
+    """450 documents, ids with gaps: batches of 200, 200 and 50, which four partitions don't divide."""
+    spark.createDataFrame([(3 * i, 1 + 37 * i % 500) for i in range(450)], "doc_id long, n_chars long").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["pos"], r["batch"]) for r in rows) == [(3 * i, i // 200) for i in range(450)]
+    if name in ("balance_differencing", "balance_greedy"):
+        assert all(sum(r["batch"] == b and r["part"] == k for r in rows) == 50 for b in (0, 1) for k in range(4))
+
+
+def test_batches_number_rows_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(balance, "RANGE_ROWS", 10)
+    rows = [(i // 2 if i else None, i) for i in range(997)]
+    got = balance.batches(spark.createDataFrame(rows, "k int, v int").repartition(5), "k", "batch", "place", 100).collect()
+    assert sorted((r["place"], r["v"], r["batch"]) for r in got) == [(i, i, i // 100) for i in range(997)]
+    assert balance.batches(spark.createDataFrame([], "k int, v int"), "k", "batch", "place", 100).count() == 0
+
+
+def test_balance_loads_of_every_batch(spark, tmp_path):
+    spark.createDataFrame([(i, 10) for i in range(450)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["balance_loads"](spark, str(tmp_path)).collect()
+    assert sorted((r["batch"], r["least"], r["most"], r["mean"]) for r in rows) == [(0, 500, 500, 500.0), (1, 500, 500, 500.0), (2, 120, 130, 125.0)]
