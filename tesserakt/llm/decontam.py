@@ -4,9 +4,10 @@ Texts become templates: words in lower case without punctuation, where numbers
 (digits, number words), units after a number and names (gazetteer, or the
 capitalised word after a title) turn into typed placeholders. WINDOW-word
 windows of the items' templates meet those of the documents by their hash. What
-fills the placeholders must agree: within one document and item a filler of the
-item may stand for one filler only, and the other way round; windows that break
-the rule don't count. An item is found if min(NEED, 80 %) of its windows are.
+fills the placeholders must agree: within one occurrence of an item (or in all of
+them together) a filler of the item may stand for one filler only, and the other
+way round; windows that break the rule don't count. An item is found if
+min(NEED, 80 %) of its windows are in one occurrence or in all together.
 
 An item of MIN_WORDS to WINDOW - 1 words is one window of its own length; a
 shorter one is not searched for, as it says too little. Null and empty texts
@@ -149,9 +150,27 @@ class Items:
         for (doc, item), pairs in sorted(found.items()):
             if len({b for b, _ in pairs}) < self.need[item]:
                 continue
-            kept, same = self.consistent(item, pairs, filler)
-            if len(kept) >= self.need[item]:
-                yield doc, item, len(kept), not same
+            best = None
+            for group in self.occurrences(item, pairs):
+                if len({b for b, _ in group}) < self.need[item]:
+                    continue
+                kept, same = self.consistent(item, group, filler)
+                if len(kept) >= self.need[item]:
+                    best = max(best or (False, 0), (same, len(kept)))
+            if best:
+                yield doc, item, best[1], not best[0]
+
+    def occurrences(self, item: int, pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+        """All matches together, then by alignment (text position less item place): each by itself, and close ones joined, as words may be put in or left out."""
+        yield pairs
+        if len({p - b for b, p in pairs}) == 1:
+            return
+        near = max(1, (self.total[item] + self.sizes[item] - 1) // 4)
+        for width, shift in ((1, 0), (2 * near, 0), (2 * near, near)):  # alignments up to `near` apart share a block of one of the shifts
+            groups: dict[int, list[tuple[int, int]]] = {}
+            for b, p in pairs:
+                groups.setdefault((p - b + shift) // width, []).append((b, p))
+            yield from groups.values()
 
     def consistent(self, item: int, pairs: list[tuple[int, int]], filler: np.ndarray) -> tuple[set[int], bool]:
         """Places of the item whose windows agree on the fillers, and whether these are the item's own."""

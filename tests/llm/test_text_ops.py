@@ -229,6 +229,23 @@ def test_reparameterised_question(spark, monkeypatch):
     assert {r["doc_id"]: r["kind"] for r in decontam.contaminated(frame(spark, rows), items).collect()} == want
 
 
+def test_reparameterised_variants_in_one_document(spark):
+    """Each variant by itself is the item, whatever the others put into the same places."""
+    item = "If Alice has 12 apples and Bob has 7 apples then how many apples do Alice and Bob have in 3 days"
+    names = ["Mary", "Tom", "Paul", "Anna", "Jack", "Jill", "Kate", "Mike", "Emily", "Kevin", "Laura", "Jason"]
+
+    def variant(k, number=None):
+        a, b = names[2 * k % 12], names[(2 * k + 1 + k // 6) % 12]
+        x, y, z = number or 20 + (7 * k) % 5, 40 + (3 * k) % 4, 60 + (5 * k) % 3
+        return item.replace("Alice", a).replace("Bob", b).replace("12", str(x)).replace("7", str(y)).replace(" 3 ", f" {z} ")
+
+    rows = [(n, " ".join(variant(k) for k in range(n))) for n in range(1, 7)]
+    rows += [(7, " ".join([variant(k, 99) for k in range(3)] + [item] + [variant(k, 99) for k in range(3, 6)]))]
+    rows += [(8, " ".join(variant(k).replace(" then", ", well, then") for k in range(4)))]
+    got = decontam.contaminated(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["kind"] for r in got} == {n: "reparameterised" for n in (1, 2, 3, 4, 5, 6, 8)} | {7: "verbatim"}
+
+
 def test_decontamination_windows_by_brute_force(spark, sf, docs):
     """Verbatim items (few placeholders in these texts): found where 80 % of, or 6, eight-word windows occur."""
     items = [(r["item_id"], r["text"]) for r in read_table(spark, sf, "benchmark").collect()]
