@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +41,40 @@ def child_counts(df: DataFrame, node: str, parent: str) -> DataFrame:
     return df.join(counts, F.col(node) == F.col("_k"), "left").select(node, F.coalesce("children", F.lit(0)).alias("children"))
 
 
-def leaf_means(df: DataFrame, node: str, parent: str, score: str, depth: int) -> DataFrame:
-    """For each node the number and mean score of the leaves under it; a leaf is its own."""
+def _stage(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder and reread; a single machine that names none gets one in its temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tesserakt-"))
+    return df.checkpoint()
+
+
+def leaf_means(df: DataFrame, node: str, parent: str, score: str) -> DataFrame:
+    """For each node the number and mean score of the leaves under it; a leaf is its own.
+
+    Sums and counts go up one link at a time, added up by node, until no parent is left; leaves under a circle of links raise an error.
+    """
+    ids = df.select(F.col(node).alias("_p")).distinct()
+    links = df.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).join(ids, "_p", "left_semi")
     inner = df.select(F.col(parent).alias("_k")).distinct()
-    leaves = df.join(inner, F.col(node) == F.col("_k"), "left_anti").select(F.col(node).alias("leaf"), F.col(score).alias("_s"))
-    up = ancestry(df, node, parent, depth).join(leaves, F.col("node") == F.col("leaf")).select(F.col("ancestor").alias("node"), "_s")
-    return up.union(leaves.select(F.col("leaf").alias("node"), "_s")).groupBy("node").agg(F.count("_s").alias("leaves"), F.avg("_s").alias("mean"))
+    leaves = df.join(inner, F.col(node) == F.col("_k"), "left_anti").select(F.col(node).alias("node"), F.col(score).alias("_s"))
+    step = _stage(leaves.groupBy("node").agg(F.sum("_s").alias("_t"), F.count("_s").alias("_c")))
+    out, steps, most = step, 0, df.count()
+    while not step.isEmpty():
+        if steps > most:
+            raise ValueError("parent links run in a circle")
+        up = step.join(links, F.col("node") == F.col("_n")).groupBy(F.col("_p").alias("node")).agg(F.sum("_t").alias("_t"), F.sum("_c").alias("_c"))
+        step, steps = _stage(up), steps + 1
+        out = out.union(step)
+    return out.groupBy("node").agg(F.sum("_c").alias("leaves"), F.try_divide(F.sum("_t"), F.sum("_c")).alias("mean"))
 
 
-def node_scores(df: DataFrame, node: str, parent: str, score: str, depth: int, margin: float = 0.0) -> DataFrame:
+def node_scores(df: DataFrame, node: str, parent: str, score: str, margin: float = 0.0) -> DataFrame:
     """(mean of a node's leaves + what it is above its parent's mean, the margin taken off) / root of its leaves."""
-    m = leaf_means(df, node, parent, score, depth)
+    m = leaf_means(df, node, parent, score)
     links = df.select(F.col(node).alias("node"), F.col(parent).alias("_p"))
     up = m.select(F.col("node").alias("_p"), F.col("mean").alias("_pm"))
     local = F.greatest(F.col("mean") - F.coalesce("_pm", "mean") - margin, F.lit(0.0))

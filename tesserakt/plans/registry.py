@@ -392,7 +392,7 @@ query(
     "tree_leaf_means",
     P + ", l AS (SELECT id, raw FROM p WHERE id NOT IN (SELECT parent FROM p WHERE parent IS NOT NULL)), u AS (SELECT id AS node, id AS leaf FROM l UNION ALL SELECT p.parent, leaf FROM u JOIN p ON p.id = u.node WHERE p.parent IS NOT NULL) "
     "SELECT node, count(*) AS leaves, round(avg(raw), 6) AS mean FROM u JOIN l ON l.id = u.leaf GROUP BY node",
-)(lambda spark, sf: trees.leaf_means(programs(spark, sf), "id", "parent", "raw", 20).select("node", "leaves", r6("mean")))
+)(lambda spark, sf: trees.leaf_means(programs(spark, sf), "id", "parent", "raw").select("node", "leaves", r6("mean")))
 
 # Similarity and retrieval
 

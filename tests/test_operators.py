@@ -150,3 +150,16 @@ def test_balance_loads_of_every_batch(spark, tmp_path):
     spark.createDataFrame([(i, 10) for i in range(450)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     rows = registry.QUERIES["balance_loads"](spark, str(tmp_path)).collect()
     assert sorted((r["batch"], r["least"], r["most"], r["mean"]) for r in rows) == [(0, 500, 500, 500.0), (1, 500, 500, 500.0), (2, 120, 130, 125.0)]
+
+
+def test_leaf_means_of_a_deep_tree(spark):
+    """A chain of 26 nodes with a second leaf below node 3 counts up to the root."""
+    df = spark.createDataFrame([(i, i - 1 if i else None, float(i)) for i in range(26)] + [(99, 3, 5.0)], "id int, up int, s double")
+    got = {r["node"]: (r["leaves"], r["mean"]) for r in trees.leaf_means(df, "id", "up", "s").collect()}
+    assert got == {i: (2, 15.0) if i <= 3 else (1, 25.0) for i in range(26)} | {99: (1, 5.0)}
+
+
+def test_leaf_means_in_a_circle(spark):
+    df = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (3, 1, 1.0)], "id int, up int, s double")
+    with pytest.raises(ValueError):
+        trees.leaf_means(df, "id", "up", "s")
