@@ -77,7 +77,7 @@ for _form, (_own, _below) in trees.GOAL_FORMS.items():
 query("open_leaf", G + " SELECT goal, lv FROM g WHERE goal NOT IN (SELECT up FROM g WHERE up IS NOT NULL) AND goal % 3 <> 2 AND lv < 9 ORDER BY lv, goal LIMIT 1")(
     lambda spark, sf: trees.open_leaf(_goals(spark, sf).withColumn("hits", F.when(F.col("goal") % 3 == 2, 1)), "goal", "up", "lv", "hits", 9)
 )
-query("tree_node_scores")(lambda spark, sf: trees.node_scores(programs(spark, sf).filter("id < 256"), "id", "parent", "raw").select("node", "leaves", r6("mean"), r6("score")))
+query("tree_node_scores")(lambda spark, sf: trees.node_scores(programs(spark, sf), "id", "parent", "raw").select("node", "leaves", r6("mean"), r6("score")))
 query("lineage", "WITH RECURSIVE u AS (SELECT p_partkey AS node, p_partkey // 2 AS a, 1 AS d FROM part WHERE p_partkey > 0 UNION ALL SELECT node, a // 2, d + 1 FROM u WHERE a > 0 AND d < 4) SELECT node, array_to_string(list(a ORDER BY d DESC), '>') AS path FROM u GROUP BY node")(
     lambda spark, sf: trees.lineage(programs(spark, sf), "id", "parent", 4).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 )

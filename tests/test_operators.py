@@ -159,6 +159,19 @@ def test_leaf_means_of_a_deep_tree(spark):
     assert got == {i: (2, 15.0) if i <= 3 else (1, 25.0) for i in range(26)} | {99: (1, 5.0)}
 
 
+def test_tree_node_scores_of_every_program(spark, tmp_path):
+    parts = [(i, 0.0, i % 50, "b") for i in range(600)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = {r["node"]: r["leaves"] for r in registry.QUERIES["tree_node_scores"](spark, str(tmp_path)).collect()}
+    assert rows == {i: 1 if i >= 300 else sum(_under(j, i) for j in range(300, 600)) for i in range(600)}
+
+
+def _under(leaf, node):
+    while leaf != node and leaf:
+        leaf //= 2
+    return leaf == node
+
+
 def test_leaf_means_in_a_circle(spark):
     df = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (3, 1, 1.0)], "id int, up int, s double")
     with pytest.raises(ValueError):
