@@ -9,8 +9,14 @@ them together) a filler of the item may stand for one filler only, and the other
 way round; windows that break the rule don't count. An item is found if
 min(NEED, 80 %) of its windows are in one occurrence or in all together.
 
+Besides this plain view, texts are read in two wider ones, where numbers and units
+are those of four languages, a run of numbers is one placeholder, and capitalised
+words are names: all of them, or those away from the start of a sentence. There
+half a window must be plain words, and an occurrence must be one by itself. An item
+that the plain view finds is reported by it.
+
 An item of MIN_WORDS to WINDOW - 1 words is one window of its own length; a
-shorter one is not searched for, as it says too little. Null and empty texts
+shorter one must stand there word for word, placeholders too. Null and empty texts
 match nothing. Repeated rows are searched each for itself; repeated items are
 found each; extra columns pass through or are ignored; an empty table on either
 side gives no match.
@@ -42,6 +48,16 @@ _BITS = 1 << 20
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half quarter".split()
 UNITS = "mm cm km m mg kg g lb lbs oz ml l s ms min h hr hrs kb mb gb tb w kw v kwh hz mph kmh ft inch inches feet foot yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms pound pounds ounce ounces ton tons litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split()
 NAMES = "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah christopher karen charles nancy daniel lisa matthew betty anthony margaret sandra steven ashley andrew emily joshua donna kenneth michelle kevin carol brian amanda george melissa edward deborah ronald stephanie timothy rebecca jason laura jeffrey sharon ryan cynthia jacob kathleen alice bob carlos maria pierre hans ahmed fatima natalia olivia sophia tom jerry peter paul anna janet jack jill kate mike".split()
+WIDE_NUMBERS = """null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde milliarden dutzend
+zéro deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante cent cents mille millions milliard milliards douzaine
+cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos mil millón millones docena""".split()
+WIDE_NUMBERS += [a + "und" + b for a in "ein zwei drei vier fünf sechs sieben acht neun".split() for b in "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()]
+WIDE_NUMBERS += [a + "hundert" for a in "ein zwei drei vier fünf sechs sieben acht neun".split()] + [a + "tausend" for a in "ein zwei drei vier fünf sechs sieben acht neun zehn".split()]
+WIDE_UNITS = """gramm kilogramm pfund unze unzen tonne tonnen zoll fuß meile meilen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad
+mètre mètres kilomètre kilomètres centimètre centimètres gramme grammes kilogramme kilogrammes livre livres tonnes pouce pouces pied pieds mille seconde secondes heure heures jour jours semaine semaines mois an ans année années pourcent degré degrés
+metro metros kilómetro kilómetros centímetro centímetros gramo gramos kilogramo kilogramos kilo kilos libra libras onza onzas tonelada toneladas pulgada pulgadas pie pies milla millas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares euros céntimo céntimos grado grados""".split()
+LINKS = "and und et y".split()  # within a number of several words: hundred and five, treinta y uno
+LINKED = "hundred thousand million hundert tausend vingt trente quarante cinquante soixante treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
 TITLES = "mr mrs ms dr prof".split()
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x51ED270B0A4B1F35, 0x6A09E667F3BCC909, 0x3C6EF372FE94F82B))
 
@@ -66,9 +82,13 @@ def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 _LISTS = [_hashes(x) for x in (NUMBER_WORDS, UNITS, NAMES, TITLES)]
+_WIDE_LISTS = [_hashes(x) for x in (NUMBER_WORDS + WIDE_NUMBERS, UNITS + WIDE_UNITS, LINKS, LINKED)]
+VIEWS = ("plain", "capitals", "inner capitals", "exact")
+_END = np.zeros(256, dtype=bool)
+_END[[ord(c) for c in ".!?:\n"]] = True
 
 
-def template(data: np.ndarray, doc_offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(data: np.ndarray, doc_offs: np.ndarray, view: str = "plain") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template words, what each placeholder stands for (0 for a plain word), and each text's first word."""
     n = len(data)
     digit = _DIGIT[data]
@@ -81,14 +101,36 @@ def template(data: np.ndarray, doc_offs: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
     own = range_hash(prefix_sums(text), starts, ends)
-    number = digit[starts] | _in(own, _LISTS[0])
+    if view == "exact":
+        return own, np.zeros(len(own), np.uint64), first
+    wide = view != "plain"
+    numbers, units = (_WIDE_LISTS if wide else _LISTS)[:2]
+    number = digit[starts] | _in(own, numbers)
     doc = np.repeat(np.arange(len(doc_offs) - 1), np.diff(first))
     follows = np.concatenate(([False], doc[1:] == doc[:-1]))
-    unit = _in(own, _LISTS[1]) & follows & np.concatenate(([False], number[:-1]))
+    if wide:
+        after = np.concatenate((number[1:] & follows[1:], [False]))
+        number |= _in(own, _WIDE_LISTS[2]) & after & follows & np.concatenate(([False], _in(own, _WIDE_LISTS[3])[:-1]))
+    unit = _in(own, units) & follows & np.concatenate(([False], number[:-1]))
     upper = (data[starts] >= 65) & (data[starts] <= 90)
     name = _in(own, _LISTS[2]) | (upper & follows & np.concatenate(([False], _in(own, _LISTS[3])[:-1])))
+    if wide:
+        second = data[np.minimum(starts + 1, n - 1)]
+        upper |= (data[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E)  # capitals with accents
+        if view == "inner capitals":
+            ended = np.concatenate(([0], np.cumsum(_END[data])))
+            upper &= follows & (ended[starts] == ended[np.concatenate(([0], ends[:-1]))])
+        name |= upper
+        unit &= ~number
     filler = np.where(number | unit | name, own | np.uint64(1), np.uint64(0))
     words = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, own)))
+    if wide:  # a run of numbers is one
+        keep = ~(number & follows & np.concatenate(([False], number[:-1])))
+        at = np.flatnonzero(keep)
+        run = np.arange(len(own)) - at[np.cumsum(keep) - 1]
+        filler = np.add.reduceat(np.where(run > 0, mix(own + run.astype(np.uint64)), filler), at)
+        filler = np.where(words[at] == _NUM, filler | np.uint64(1), filler)
+        words, first = words[at], np.concatenate(([0], np.cumsum(keep)))[first]
     return words, filler, first
 
 
@@ -102,27 +144,34 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
 
 
 class Items:
-    """The windows of a slice of the benchmark, sorted by hash."""
+    """The windows of a slice of the benchmark in one view, sorted by hash."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], view: str = "plain"):
+        self.view = view
         raw, offs = buffers(pa.array(texts, pa.string()))
         raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
-        words, self.filler, first = template(raw, offs)
+        words, self.filler, first = template(raw, offs, view)
         hashes, items, places = [], [], []
         self.first, self.ids, self.need, self.total, self.sizes = first, ids, [], [], []
         full = windows(words, WINDOW)
         for i in range(len(ids)):
             n = int(first[i + 1] - first[i])
             size = min(n, WINDOW)
-            count = n - size + 1 if n >= MIN_WORDS else 0
+            count = n - size + 1 if (0 < n < MIN_WORDS if view == "exact" else n >= MIN_WORDS) else 0
+            need = min(NEED, max(1, math.ceil(0.8 * count)))
+            own = first[i] + np.arange(count)
+            if view in VIEWS[1:3] and count:  # windows of too few plain words say nothing
+                plain = np.concatenate(([0], np.cumsum(self.filler == 0)))
+                own = own[2 * (plain[own + size] - plain[own]) >= size]
+                count = count if len(own) >= need else 0
             self.sizes.append(size)
             self.total.append(count)
-            self.need.append(min(NEED, max(1, math.ceil(0.8 * count))))
+            self.need.append(need)
             if count:
-                at = first[i] + np.arange(count)
-                hashes.append(full[at] if size == WINDOW else windows(words[first[i] : first[i + 1]], size))
-                items.append(np.full(count, i))
-                places.append(np.arange(count))
+                place = own - first[i]
+                hashes.append(full[own] if size == WINDOW else windows(words[first[i] : first[i + 1]], size)[place])
+                items.append(np.full(len(place), i))
+                places.append(place)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
@@ -134,7 +183,9 @@ class Items:
 
     def find(self, data: np.ndarray, doc_offs: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
         """(text, item, windows found, whether only with other fillers) of every item found in each text."""
-        words, filler, first = template(data, doc_offs)
+        if not self.lengths:
+            return
+        words, filler, first = template(data, doc_offs, self.view)
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for size in self.lengths:
             h = windows(words, size)
@@ -162,8 +213,10 @@ class Items:
 
     def occurrences(self, item: int, pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         """All matches together, then by alignment (text position less item place): each by itself, and close ones joined, as words may be put in or left out."""
-        yield pairs
-        if len({p - b for b, p in pairs}) == 1:
+        alone = len({p - b for b, p in pairs}) == 1
+        if alone or self.view == "plain":
+            yield pairs
+        if alone:
             return
         near = max(1, (self.total[item] + self.sizes[item] - 1) // 4)
         for width, shift in ((1, 0), (2 * near, 0), (2 * near, near)):  # alignments up to `near` apart share a block of one of the shifts
@@ -190,7 +243,22 @@ class Items:
         return {b for b, _ in kept}, all(x == y for _, slots in kept for x, y in slots)
 
 
-def slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+class Views:
+    """A slice of the benchmark in all views."""
+
+    def __init__(self, ids: list, texts: list[str | None]):
+        self.ids, self.views = ids, [Items(ids, texts, v) for v in VIEWS]
+
+    def find(self, data: np.ndarray, doc_offs: np.ndarray) -> Iterator[tuple[int, int, int, bool, int]]:
+        """What the first view that finds an item in a text says of it, and the windows of the item there."""
+        found: dict[tuple[int, int], tuple[int, int, int, bool, int]] = {}
+        for items in self.views:
+            for doc, item, n, other in items.find(data, doc_offs):
+                found.setdefault((doc, item), (doc, item, n, other, items.total[item]))
+        yield from (found[k] for k in sorted(found))
+
+
+def slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Views]:
     """The benchmark in slices of bounded size; usually one."""
     total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = -(-int(total) // SLICE_BYTES) or 1
@@ -199,10 +267,10 @@ def slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         if parts > 1:
             rows = rows.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)) == k)
         rows = sorted(((r[0], r[1]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-        yield Items([r[0] for r in rows], [r[1] for r in rows])
+        yield Views([r[0] for r in rows], [r[1] for r in rows])
 
 
-def _share(docs: DataFrame, items: Items) -> Broadcast:
+def _share(docs: DataFrame, items: Views) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(items)
 
 
@@ -226,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             batch.column(0).take(pa.array([i + r[0] for r in rows], pa.int64())),
                             pa.array([items.ids[r[1]] for r in rows], item_type),
                             pa.array([r[2] for r in rows], pa.int64()),
-                            pa.array([items.total[r[1]] for r in rows], pa.int64()),
+                            pa.array([r[4] for r in rows], pa.int64()),
                             pa.array(["reparameterised" if r[3] else "verbatim" for r in rows], pa.string()),
                         ],
                         names=[id_col, item_col, "n_found", "n_windows", "kind"],

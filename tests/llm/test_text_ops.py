@@ -246,6 +246,24 @@ def test_reparameterised_variants_in_one_document(spark):
     assert {r["doc_id"]: r["kind"] for r in got} == {n: "reparameterised" for n in (1, 2, 3, 4, 5, 6, 8)} | {7: "verbatim"}
 
 
+def test_reparameterised_names_numbers_and_short_items(spark):
+    item = "If Alice has 12 apples and Bob has 7 apples then how many apples do Alice and Bob have in 3 days"
+    german = "Wenn acht Züge nach zwei Stunden noch da sind fährt Lena mit drei Kindern nach Köln und isst vier Äpfel"
+    start = "Alice buys 21 red apples from Bob. Carla eats 4 of them with Dora. How many apples has Erin left?"
+    items = spark.createDataFrame([(1, item), (2, german), (3, start), (4, "Rivers run north"), (5, "x 17")], "item_id long, text string")
+    rows = [
+        (1, item.replace("Alice", "Priya").replace("Bob", "Kofi").replace("12", "twenty one")),
+        (2, german.replace("acht", "neun").replace("zwei Stunden", "einundzwanzig Minuten").replace("Lena", "Mia").replace("drei", "fünf").replace("Köln", "Bonn").replace("vier", "sieben")),
+        (3, start.replace("Alice", "Priya").replace("Bob", "Kofi").replace("21", "one hundred and five").replace("Carla", "Wanjiru").replace("4", "9").replace("Dora", "Ayo").replace("Erin", "Chidi")),
+        (4, "they say: rivers run NORTH, x 18 of them"),
+        (5, "Rivers run to the north and x is 17"),
+        (6, "WHEN ALL THE WORDS OF A TEXT ARE IN CAPITAL LETTERS NOTHING CAN BE SAID OF THE NAMES IN IT AT ALL"),
+        (7, item),
+    ]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontam.contaminated(frame(spark, rows), items).collect()}
+    assert got == {(1, 1, "reparameterised"), (2, 2, "reparameterised"), (3, 3, "reparameterised"), (4, 4, "verbatim"), (7, 1, "verbatim")}
+
+
 def test_decontamination_windows_by_brute_force(spark, sf, docs):
     """Verbatim items (few placeholders in these texts): found where 80 % of, or 6, eight-word windows occur."""
     items = [(r["item_id"], r["text"]) for r in read_table(spark, sf, "benchmark").collect()]
