@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,6 +63,12 @@ def fold(column: str, k: int):
     return F.crc32(F.col(column).cast("string")) % k
 
 
+def portion(column: str, wanted: int, total: int) -> Column:
+    """Whether a row is in the sample of about `wanted` of `total` rows, chosen by a hash of the column; never an empty share."""
+    space = 1 << 60
+    return F.pmod(F.xxhash64(column), F.lit(space)) < F.lit(max(1, space * min(wanted, total) // max(total, 1)))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

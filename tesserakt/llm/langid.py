@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import LOWER, buffers, chunks, mix
+from tesserakt.llm.common import LOWER, buffers, chunks, mix, portion
 
 BUCKETS = 1 << 16
 MAX_N = 4
@@ -70,7 +70,7 @@ def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = rows.count()
     if total > SAMPLE_ROWS:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_ROWS / total))
+        rows = rows.filter(portion(id_col, SAMPLE_ROWS, total))
     return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
 
