@@ -7,20 +7,20 @@ documents are linked if 100 * |A and B| >= percent * |A or B|.
 
 Equal sets form a class first, and only its smallest id goes on. A signature
 has PLACES values; a band is ROWS of them, and at a similarity of 0.8 a link
-shares none of BANDS bands with a probability of 8e-6. In each bucket one
-member after another becomes a centre that is compared with those it isn't
-connected with, until what is left in the bucket is connected: no pairs within
-a group are emitted beforehand, and no bucket is capped. A sketch of two bits a
-place goes with the members and rules a pair out when more places differ than
-a link's would (4.5 standard deviations, 3e-6). Members also keep their distance
-to the first centre of their bucket: the Jaccard distance is a metric, so two
-members whose distances to it differ by more than a link allows are no link. A
-pair that shares several buckets is compared in the first of its bands alone.
-Links are confirmed on the full sets.
+shares none of BANDS bands with a probability of 8e-6: the one thing that can
+lose a link. Buckets of the same members count once. All members of a bucket are
+compared with its first one, and where that leaves more than a few pairs of
+different components, with its last one, then with further ones. What still lies in
+different components meets in blocks of CELL members by CELL members, so that a
+crowded bucket is dealt over many tasks, each pair in the least of its buckets
+only; pairs that are no link by their sizes or their sketches (two bits a place; a
+link is ruled out with a probability of 1e-9) leave the join at once. Nothing is
+capped. Links are confirmed on the full sets.
 
 Rows that share an id count as one node each time they occur; a row without an
 id keeps its shingle count and has neither component nor kept. Extra columns
-are ignored; an empty table gives no rows.
+are are ignored; an empty table gives no rows. A text of any length is read whole; its
+signature is made SLICE shingles at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, word_hashes
@@ -38,7 +38,11 @@ from tesserakt.llm.components import components
 BANDS, ROWS, PLACES = 64, 8, 640
 _EMPTY = np.uint64(2**64 - 1)
 #: Elements whose permutations are held at once.
-_HELD = 40_000
+SLICE = 40_000
+#: Members of a bucket that one task compares with as many; star rounds at most; pairs left for each member that call for another one.
+CELL, STARS, LEFT = 512, 6, 8
+#: Sets of so many shingles or fewer go with the members of crowded buckets; larger ones are told apart by their sketches first.
+SMALL = 1024
 
 
 def document_sets(data: np.ndarray, doc_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +65,16 @@ def super_minhash(elements: np.ndarray, offs: np.ndarray, m: int) -> np.ndarray:
     out = np.full((n, m), _EMPTY, dtype=np.uint64)
     i = 0
     while i < n:
-        j = max(int(np.searchsorted(offs, offs[i] + _HELD, side="right")) - 1, i + 1)
+        j = max(int(np.searchsorted(offs, offs[i] + SLICE, side="right")) - 1, i + 1)
         j = min(j, n)
-        _sign(elements[offs[i] : offs[j]], np.diff(offs[i : j + 1]), out[i:j])
+        if j == i + 1:  # the signature of a large set is the least of those of its parts
+            for at in range(offs[i], offs[j], SLICE):
+                part = elements[at : min(at + SLICE, offs[j])]
+                own = np.full((1, m), _EMPTY, dtype=np.uint64)
+                _sign(part, np.array([len(part)]), own)
+                np.minimum(out[i], own[0], out=out[i])
+        else:
+            _sign(elements[offs[i] : offs[j]], np.diff(offs[i : j + 1]), out[i:j])
         i = j
     return out
 
@@ -131,9 +142,9 @@ def sketches(signature: np.ndarray) -> np.ndarray:
 
 
 def most_different(places: int, percent: int) -> int:
-    """Places of the sketch that differ at most, but for 4.5 standard deviations, at a similarity of `percent`."""
+    """Places of the sketch that differ at most, but for 6 standard deviations, at a similarity of `percent`."""
     share = 0.75 * (1 - percent / 100)
-    return int(places * share + 4.5 * (places * share * (1 - share)) ** 0.5) + 1
+    return int(places * share + 6 * (places * share * (1 - share)) ** 0.5) + 1
 
 
 def _different(a: Column, b: Column, words: int) -> Column:
@@ -185,13 +196,56 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with the Jaccard distance of their full sets, and whether they are linked."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     found = found.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     found = found.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    union = F.col("sum") - F.col("both")
-    return found.select("a", "b", (1 - F.col("both") / union).alias("distance"), (100 * F.col("both") >= percent * union).alias("linked"))
+    return found.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """bucket, id, n of the buckets with two members or more; of buckets with the same members, one."""
+    low, high = F.lit(0xFFFFFFFF), F.xxhash64("n", "id")
+    name = [F.sum(h.bitwiseAND(low)) for h in (F.xxhash64("id", "n"), high)] + [F.sum(F.shiftrightunsigned(h, 32)) for h in (F.xxhash64("id", "n"), high)]
+    crowd = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *(x.alias(f"h{i}") for i, x in enumerate(name))).filter("c > 1")
+    one = crowd.groupBy("c", "h0", "h1", "h2", "h3").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return reps.join(one, "bucket").distinct()
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _divided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that lie in several components, with their component and how many members and pairs of different components the bucket has."""
+    known = members.select("bucket", "id", "n").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    known = materialise(known, "members")
+    parts = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    several = parts.groupBy("bucket").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return known.join(several.select("bucket", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "bucket")
+
+
+def _blocks(members: DataFrame, sketch: DataFrame, sets: DataFrame, places: int, percent: int) -> DataFrame:
+    """Pairs of members of a bucket and of different components that may be links, each pair in one bucket and one block."""
+    # 32 bits of each shingle: with them two sets share as many as without them or more, but for those that fall together within a set
+    cuts = F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")))
+    small = sets.filter(F.size("shingles") <= SMALL).select("id", F.size("shingles").cast("long").alias("n"), cuts.alias("cuts")).distinct()
+    sketch = sketch.join(small, ["id", "n"], "left")
+    held = members.groupBy("id", "n").agg(F.collect_set("bucket").alias("held"))  # BANDS for each text at most
+    cells = F.ceil(F.col("c") / CELL)
+    rows = members.join(held, ["id", "n"]).join(sketch, ["id", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), cells))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "component", "sketch", "held", "cuts")
+    a, b = rows.alias("a"), rows.alias("b")
+    once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.own") != F.col("b.own"))
+    near = _alike("a.n", "b.n", percent) & (_different(F.col("a.sketch"), F.col("b.sketch"), -(-places // 32)) <= most_different(places, percent))
+    first = F.array_min(F.array_intersect("a.held", "b.held")) == F.col("a.bucket")
+    both = F.size(F.array_intersect("a.cuts", "b.cuts")) + F.col("a.n") - F.size("a.cuts")
+    enough = F.coalesce(100 * both >= percent * (F.col("a.n") + F.col("b.n") - both), F.lit(True))
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    pairs = a.join(b, on & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & once & near & first & enough)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, places: int = PLACES) -> DataFrame:
@@ -200,57 +254,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     signed = materialise(signatures(texts, k, bands, rows, places), "signatures")
     whole = signed.filter("n > 0 AND id IS NOT NULL")
     copied = whole.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("set_key", "rep")
-    members = whole.select("id", "n", "set_key", "bands").join(materialise(copied, "classes"), "set_key", "left")
     # An id that occurs with several texts is one node with several sets: its classes are linked through it.
-    members = materialise(members, "members")
+    members = materialise(whole.select("id", "n", "set_key", "bands").join(materialise(copied, "classes"), "set_key", "left"), "representatives")
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     reps = members.filter("rep IS NULL OR rep = id").select("id", "n", F.explode("bands").alias("bucket"))
-    crowded = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1").select("bucket")
-    reps = materialise(reps.join(crowded, "bucket").distinct(), "buckets")
-    sketch = whole.select("id", "n", "sketch").distinct()  # an id with several texts has several
-    pending = reps.join(sketch, ["id", "n"]).select("bucket", "id", "n", "sketch", F.col("id").alias("component"), F.lit(None).cast("double").alias("far"))
-    sets = materialise(shingle_sets(texts.join(reps.select("id").distinct(), "id", "left_semi"), k), "sets")
-    words, most = -(-places // 32), most_different(places, percent)
-    labels = None
-    width = 1
-    while True:
-        # Some members of each bucket are its centres: the first one, then those of the components named last.
-        if width == 1:
-            centres = pending.groupBy("bucket").agg(F.min(F.struct("id", "n", "component", "sketch", "far")).alias("c")).select("bucket", "c.*")
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.desc("component"), F.desc("id"))
-            centres = pending.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= width).drop("turn")
-        centre = centres.select(F.col("bucket").alias("at"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"), F.col("far").alias("fb"), *([F.col("keys").alias("ks")] if width > 1 else []))
-        near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (_different(F.col("sketch"), F.col("kb"), words) <= most)
-        if width > 1:
-            near &= F.coalesce(F.abs(F.col("far") - F.col("fb")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-            near &= F.array_position(F.zip_with("keys", "ks", lambda x, y: x == y), True) == F.array_position("keys", F.shiftright("bucket", 32).cast("int"))
-        pairs = pending.join(centre, (F.col("bucket") == F.col("at")) & (F.col("id") != F.col("b")) & (F.col("component") != F.col("cb")) & near)
-        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        compared = materialise(_compared(pairs, sets, percent), "compared")
-        found = compared.filter("linked").select("a", "b")
+    buckets = materialise(_buckets(reps), "buckets")
+    sets = materialise(shingle_sets(texts.join(buckets.select("id").distinct(), "id", "left_semi"), k), "sets")
+    pending, labels = buckets.withColumn("component", F.col("id")), None
+    before = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+    for turn in range(STARS):
+        # a star: every member of a bucket against one of them, the first, the last, then one of another component each time
+        order = [F.struct("id", "n", "component"), F.struct(-F.col("id"), "id", "n", "component"), F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("id", F.lit(turn)), "id", "n", "component")][min(turn, 2)]
+        centre = pending.groupBy("bucket").agg(F.min(order).alias("c")).select(F.col("bucket").alias("at"), F.col("c.id").alias("centre"), F.col("c.n").alias("size"), F.col("c.component").alias("own"))
+        pairs = pending.join(centre, (F.col("bucket") == F.col("at")) & (F.col("id") != F.col("centre")) & (F.col("component") != F.col("own")) & _alike("n", "size", percent))
+        found = _linked(pairs.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct(), sets, percent)
         known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(known.union(found))
-        # A centre is done with its bucket. Keep the buckets whose other members lie in more than one component.
-        rest = pending.drop("component").join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        rest = rest.join(labels, rest["id"] == labels["node"], "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"), "far", *(["keys"] if width > 1 else []))
-        several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        rest = rest.join(several, "bucket")
-        if width == 1:  # the first centre has the least id of its bucket, so it is b of its pairs
-            first = centres.join(several, "bucket", "left_semi").select("bucket", F.col("id").alias("b"))
-            rest = rest.drop("far").join(first, "bucket").join(compared.select(F.col("a").alias("id"), "b", F.col("distance").alias("far")), ["id", "b"], "left").drop("b")
-            keys = whole.select("id", "n", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("keys")).distinct()
-            rest = rest.join(keys, ["id", "n"])
-        pending = materialise(rest, "pending")
-        if pending.isEmpty():
+        pending = materialise(_divided(pending, labels), "pending")
+        left = pending.select("bucket", "c", "pairs").distinct().agg(F.sum("c").alias("c"), F.sum("pairs").alias("pairs")).first()
+        if (left["pairs"] or 0) <= LEFT * (left["c"] or 0) or left["pairs"] > before / 2:  # few are left, or alike without being links
             break
-        width = min(width * 4, 64)
+        before = left["pairs"]
+    if left["pairs"]:
+        sketch = whole.select("id", "n", "sketch").distinct()  # an id with several texts has several
+        found = _linked(_blocks(pending, sketch, sets, places, percent), sets, percent)
+        labels = components(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     out = signed.select("id", "n").join(labels, signed["id"] == labels["node"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their component; rows without an id stay."""
-    kept = near_duplicates(docs, k, percent, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents that stand for their component; rows without an id stay.
+
+    Of rows that share a kept id, one of each text stays.
+    """
+    found = near_duplicates(docs, k, percent, id_col, text_col)
+    gone = found.filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    again = materialise(found.filter("kept").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_again"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    here = F.col(id_col) == F.col("_again")
+    return left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates([id_col, text_col]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import buffers, chunks, materialise, mix, prefix_sums, range_hash
+from tesserakt.llm.common import buffers, chunks, materialise, mix, prefix_sums, range_hash, sums_of
 
 LENGTH = 400
 #: Bytes of the grams whose least hash names the shard; bytes of a shard, about.
@@ -80,13 +80,8 @@ def _smaller(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate((np.append(step, 1)[at] > 0, [True]))
 
 
-def _sums(symbols: np.ndarray) -> np.ndarray:
-    from tesserakt.llm.common import powers
-
-    power, _ = powers(len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, dtype=np.uint64)
-    np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * power[: len(symbols)], out=out[1:])
-    return out
+def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return sums_of(mix(symbols.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _induce_buckets(symbols: np.ndarray, small: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
