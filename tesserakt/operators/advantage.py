@@ -269,3 +269,51 @@ def turn_mean_ratio(df: DataFrame, seq: str, turn: str, log_ratio: str, mask: st
     """exp of the mean log-ratio of the masked tokens of each turn (or sequence)."""
     kept = F.when(F.col(mask) == 1, F.col(log_ratio))
     return df.withColumn(out, F.exp(F.least(F.avg(kept).over(Window.partitionBy(seq, turn)), F.lit(10.0))))
+
+
+def prefix_tree(df: DataFrame, group: list[str], row: str, pos: str, token: str, score: str, beta: float, epsilon: float = EPSILON, out: str = "adv") -> DataFrame:
+    """Advantages from the tree of common beginnings of a group's token sequences (long form; equal lengths, padded).
+
+    A node is a beginning that some rollouts of the group share; its value is their
+    entropic risk, (1 / beta) log mean exp(beta s). A token's advantage is its node's
+    value, standardised over all nodes of the group, the root included (population
+    deviation). Groups of one and groups of one score get 0. A beginning is named by a
+    hash that each token carries on, so no prefix is held.
+    """
+    w = Window.partitionBy(*group, row).orderBy(pos)
+    rows = df.withColumn("_h", F.md5(F.concat_ws(",", F.collect_list(F.col(token).cast("string")).over(w))))
+    node = [*group, pos, "_h"]
+    top = F.max(beta * F.col(score)).over(Window.partitionBy(*group))
+    rows = rows.withColumn("_t", top)
+    risk = lambda w: (F.log(F.avg(F.exp(beta * F.col(score) - F.col("_t"))).over(w)) + F.col("_t")) / beta if beta else F.avg(score).over(w)
+    rows = rows.withColumn("_v", risk(Window.partitionBy(*node)))
+    values = rows.groupBy(*node).agg(F.first("_v").alias("_v")).groupBy(*group).agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    each = df.groupBy(*group, row).agg(F.first(score).alias("_x"))
+    if beta:
+        root = each.withColumn("_t", F.max(beta * F.col("_x")).over(Window.partitionBy(*group))).groupBy(*group).agg(((F.log(F.avg(F.exp(beta * F.col("_x") - F.col("_t")))) + F.max("_t")) / beta).alias("_root"), F.stddev_samp("_x").alias("_d"))
+    else:
+        root = each.groupBy(*group).agg(F.avg("_x").alias("_root"), F.stddev_samp("_x").alias("_d"))
+    stats = values.join(root, group)
+    n = F.col("_n") + 1
+    mean = (F.col("_s") + F.col("_root")) / n
+    std = F.sqrt(F.greatest((F.col("_q") + F.col("_root") * F.col("_root")) / n - mean * mean, F.lit(0.0)))
+    stats = stats.select(*group, mean.alias("_m"), std.alias("_std"), (F.coalesce("_d", F.lit(0.0)) < 1e-12).alias("_same"))
+    rows = rows.join(stats, group).withColumn(out, F.when(F.col("_same"), 0.0).otherwise((F.col("_v") - F.col("_m")) / (F.col("_std") + epsilon)))
+    return rows.drop("_h", "_t", "_v", "_m", "_std", "_same")
+
+
+def kept_positions(df: DataFrame, seq: str, pos: str, mask: str, out: str = "kept_pos") -> DataFrame:
+    """Numbers the kept tokens of each sequence from 1, masked ones left out of the count: what baselines over several turns align by."""
+    w = Window.partitionBy(seq).orderBy(pos)
+    return df.withColumn(out, F.when(F.col(mask) == 1, F.sum(F.when(F.col(mask) == 1, 1).otherwise(0)).over(w)))
+
+
+def multi_turn_token_baseline(df: DataFrame, group: list[str], seq: str, pos: str, returns: str, weight: str, mask: str, out: str = "adv") -> DataFrame:
+    """optimal_token_baseline over kept tokens numbered without gaps; masked tokens get 0."""
+    rows = kept_positions(df, seq, pos, mask)
+    on = rows.filter(F.col(mask) == 1)
+    w = Window.partitionBy(*group, "kept_pos")
+    base = F.sum(F.col(returns) * F.col(weight)).over(w) / (F.sum(weight).over(w) + 1e-8)
+    done = on.withColumn(out, F.col(returns) - base)
+    rest = rows.filter(F.col(mask) != 1).withColumn(out, F.lit(0.0))
+    return done.unionByName(rest).drop("kept_pos")

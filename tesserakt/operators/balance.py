@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,3 +146,11 @@ def loads(dealt: DataFrame, df: DataFrame, batch: str, pos: str, length: str, pa
     """Least, greatest and mean load of each batch's partitions, and their difference."""
     totals = dealt.join(df.select(batch, pos, length), [batch, pos]).groupBy(batch, part).agg(F.sum(length).alias("_t"))
     return totals.groupBy(batch).agg(F.min("_t").alias("least"), F.max("_t").alias("most"), (F.max("_t") - F.min("_t")).alias("difference"), F.avg("_t").alias("mean"))
+
+
+def mini_batches(df: DataFrame, key: str, size: int, epochs: int, seed: int) -> DataFrame:
+    """Every row once an epoch, in an order that a seeded hash of its key makes, dealt into mini-batches of `size`, which has to divide the rows."""
+    if (n := df.count()) % size:
+        raise ValueError(f"{size} doesn't divide {n} rows")
+    parts = [batches(df.withColumn("_h", F.xxhash64(F.lit(seed + e), key)), "_h", "batch", "_place", size).drop("_h", "_place").withColumn("epoch", F.lit(e)) for e in range(epochs)]
+    return reduce(DataFrame.unionByName, parts)

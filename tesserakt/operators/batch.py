@@ -113,15 +113,63 @@ def without_pads(ids: Column, mask: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(ids.alias("i"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["i"])
 
 
-def missing_numbers(df: DataFrame, number: str, first: int, last: int) -> DataFrame:
-    """Numbers of first..last that no row has."""
+def missing_numbers(df: DataFrame, number: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Numbers of first..last that no row has; by default between the least and the greatest that some row has."""
+    if first is None or last is None:
+        low, high = df.agg(F.min(number), F.max(number)).first()
+        first, last = (low if first is None else first) or 0, (high if last is None else last) or -1
     return df.sparkSession.range(first, last + 1).select(F.col("id").alias(number)).join(df.select(number), number, "left_anti")
 
 
-def run_positions(df: DataFrame, pos: str, index: str) -> DataFrame:
-    """Position within the run of consecutive equal values, by the difference of two numberings; for one batch (a few thousand rows)."""
-    w = Window.orderBy(pos)
+def run_positions(df: DataFrame, pos: str, index: str, batch: list[str]) -> DataFrame:
+    """Position within the run of consecutive equal values, batch by batch, by the difference of two numberings."""
+    w = Window.partitionBy(*batch).orderBy(pos)
     change = F.when(F.col(index).eqNullSafe(F.lag(index).over(w)), 0).otherwise(1)
     df = df.withColumn("_c", change)
     df = df.withColumn("_run", F.sum("_c").over(w))
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("_run").orderBy(pos)) - 1).drop("_c", "_run")
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*batch, "_run").orderBy(pos)) - 1).drop("_c", "_run")
+
+
+def renamed(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    """Columns under new names; both lists have to be of one length, and all old names have to be there."""
+    if len(old) != len(new) or not set(old) <= set(df.columns):
+        raise ValueError(f"can't rename {old} to {new}")
+    return df.withColumnsRenamed(dict(zip(old, new, strict=True)))
+
+
+def chosen(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """The named columns, or all of them; a name that isn't there is an error."""
+    if columns is None:
+        return df
+    if missing := [c for c in columns if c not in df.columns]:
+        raise KeyError(f"no columns {missing}")
+    return df.select(*columns)
+
+
+def popped(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The named columns, and the others."""
+    return chosen(df, columns), df.drop(*columns)
+
+
+def folded(df: DataFrame, pos: str, k: int, columns: list[str]) -> DataFrame:
+    """k rows in one: arrays in the order of `pos`, which counts the groups."""
+    at = F.array_sort(F.collect_list(F.struct(pos, *columns)))
+    rows = df.groupBy(F.floor(F.col(pos) / k).alias("_g")).agg(at.alias("_x"))
+    return rows.select(F.col("_g").alias(pos), *(F.col("_x")[c].alias(c) for c in columns))
+
+
+def unfolded(df: DataFrame, pos: str, k: int, columns: list[str]) -> DataFrame:
+    """The inverse of folded."""
+    rows = df.select(pos, F.posexplode(F.arrays_zip(*columns)).alias("_i", "_x"))
+    return rows.select((F.col(pos) * k + F.col("_i")).alias(pos), *(F.col("_x")[c].alias(c) for c in columns))
+
+
+def last_columns(mask: Column, n: Column | int) -> Column:
+    """The part of an attention mask that belongs to the response: its last n entries."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(n > 0, F.slice(mask, -n, n)).otherwise(F.slice(mask, 1, 0))
+
+
+def loss_mask(response: Column, own: Column) -> Column:
+    """The response mask without what was retrieved and not generated."""
+    return F.zip_with(response, own, lambda a, b: a * b)

@@ -92,3 +92,23 @@ def offpolicy_statistics(df: DataFrame, seq: str, old: str, rollout: str, mask:
     rows = df.groupBy(seq).agg(F.avg(F.when(m, F.col(old))).alias("_o"), F.avg(F.when(m, F.col(rollout))).alias("_r"), F.sum(x).alias("_x"))
     seqs = rows.agg(F.avg(F.exp(-F.col("_o"))).alias("training_ppl"), F.avg(F.exp(-F.col("_r"))).alias("rollout_ppl"), F.avg(F.exp(F.col("_o") - F.col("_r"))).alias("ppl_ratio"), (F.avg(F.exp(2 * clip(F.col("_x"), -BOUND, BOUND))) - 1).alias("chi2_seq"))
     return tokens.join(seqs)
+
+
+def rejection_statistics(df: DataFrame, seq: str, value: str, mask: str, high: float, low: float | None = None, by_sequence: bool = False) -> DataFrame:
+    """What a rejection statistic looks like over masked tokens and over sequences: mean, extremes, shares beyond the thresholds, deviations.
+
+    The token deviation is that of values held within the thresholds (0 where there is
+    no lower one); extremes and shares are those of sequence means where `by_sequence`.
+    """
+    x = F.when(F.col(mask) == 1, F.col(value))
+    held = clip(x, low if low is not None else 0.0, high)
+    tokens = df.agg(F.avg(x).alias("mean"), F.max(x).alias("_max"), F.min(x).alias("_min"), F.avg(F.when(x > high, 1.0).when(x.isNotNull(), 0.0)).alias("_high"), F.avg(F.when(x < low, 1.0).when(x.isNotNull(), 0.0) if low is not None else F.lit(0.0)).alias("_low"), F.sqrt(F.greatest(F.avg(held * held) - F.avg(held) * F.avg(held), F.lit(0.0))).alias("std"))
+    rows = df.groupBy(seq).agg(F.avg(x).alias("_x")).filter("_x IS NOT NULL")
+    s = F.col("_x")
+    seqs = rows.agg(
+        F.avg(s).alias("seq_mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("seq_std"), F.max(s).alias("seq_max"), F.min(s).alias("seq_min"), F.max(F.abs(s)).alias("seq_max_deviation"),
+        F.avg(F.when(s > high, 1.0).otherwise(0.0)).alias("seq_fraction_high"), (F.avg(F.when(s < low, 1.0).otherwise(0.0)) if low is not None else F.lit(0.0)).alias("seq_fraction_low"),
+    )
+    pick = lambda a, b: F.col(a if by_sequence else b)
+    both = tokens.join(seqs)  # one row each
+    return both.select("mean", "std", pick("seq_max", "_max").alias("max"), pick("seq_min", "_min").alias("min"), pick("seq_fraction_high", "_high").alias("fraction_high"), pick("seq_fraction_low", "_low").alias("fraction_low"), *seqs.columns)

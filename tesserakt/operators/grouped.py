@@ -199,3 +199,51 @@ def variance_proxy(df: DataFrame, seq: str, p: str, squares: str, mask: str, rew
     rows = df.groupBy(seq).agg(F.sum(F.when(m, 1 - 2 * F.exp(p) + F.col(squares)).otherwise(0.0)).alias("_w"), F.sum(F.when(m, F.col(reward)).otherwise(0.0)).alias("_r"))
     out = rows.agg(F.avg("_w").alias("signal"), F.avg(F.col("_r") * F.col("_r") * F.col("_w")).alias("total"), F.avg("_r").alias("_m"))
     return out.select("signal", "total", F.greatest(F.col("total") - F.col("_m") * F.col("_m") * F.col("signal"), F.lit(0.0)).alias("pure_noise"))
+
+
+def stage_timing(stages: DataFrame, stage: str, seconds: str, batch: DataFrame, prompt: str, response: str) -> DataFrame:
+    """Seconds of each stage, and milliseconds a token: generation by response tokens, the stages that read prompts too by all."""
+    tokens = batch.agg(F.sum(response).alias("_r"), (F.sum(prompt) + F.sum(response)).alias("_a"))  # one row
+    by = F.when(F.col(stage) == "gen", F.col("_r")).when(F.col(stage).isin("ref", "values", "adv", "update_critic", "update_actor"), F.col("_a"))
+    return stages.join(F.broadcast(tokens)).select(stage, F.col(seconds).alias("seconds"), (F.col(seconds) * 1000 / by).alias("ms_per_token"))
+
+
+def throughput(batch: DataFrame, tokens: str, seconds: Column, devices: int) -> DataFrame:
+    """Tokens of a batch, seconds of its step, and tokens a second and device."""
+    return batch.agg(F.sum(tokens).alias("tokens"), F.max(seconds).alias("seconds")).withColumn("throughput", F.col("tokens") / (F.col("seconds") * devices))
+
+
+def metric_section(source: str, variable: str, name: str, n: str, core: str) -> Column:
+    """Name of a validation metric: in the core section if it is a mean, majority or best value of the core variable at the largest n."""
+    largest = F.max(n).over(Window.partitionBy(source, variable))
+    main = (F.col(variable) == core) & F.col(name).rlike("^(mean|maj|best)") & (F.col(n) == largest)
+    return F.concat_ws("/", F.when(main, "val-core").otherwise("val-aux"), source, variable, name)
+
+
+def majority_at(df: DataFrame, source: str, uid: str, answer: str, score: str, row: str, sizes: list[int], rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """maj@n: the score of the most frequent answer among n draws with replacement, mean and deviation over rounds, then means over prompts by source.
+
+    Draw j of a round is the row that a seeded hash names, so every prompt can be
+    resampled wherever it lies; answers as frequent tie to the one drawn first.
+    """
+    w = Window.partitionBy(source, uid)
+    rows = df.select(source, uid, F.col(answer).alias("_a"), F.col(score).alias("_s"), (F.row_number().over(w.orderBy(row)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n")).filter("_n > 1")
+    prompts = rows.groupBy(source, uid).agg(F.max("_n").alias("_n"))
+    out = None
+    for n in sizes:
+        draws = prompts.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), source, uid, "_round", "_draw"), F.col("_n")).cast("int")).drop("_n")
+        votes = draws.join(rows, [source, uid, "_i"]).groupBy(source, uid, "_round", "_a").agg(F.count(F.lit(1)).alias("_c"), F.min("_draw").alias("_first"), F.min_by("_s", "_draw").alias("_s"))
+        each = votes.groupBy(source, uid, "_round").agg(F.max_by("_s", F.struct("_c", -F.col("_first"))).alias("_s"))
+        part = each.groupBy(source, uid).agg(F.avg("_s").alias("_m"), F.stddev_pop("_s").alias("_d")).groupBy(source).agg(F.lit(n).alias("n"), F.avg("_m").alias("mean"), F.avg("_d").alias("std"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def largest_samples(n: int) -> list[int]:
+    """2, 4, 8, ... below n, and n."""
+    out, k = [], 2
+    while k < n:
+        out.append(k)
+        k *= 2
+    return [*out, n] if n > 1 else out

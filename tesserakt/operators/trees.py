@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,3 +110,35 @@ def open_leaf(df: DataFrame, goal: str, parent: str, level: str, satisfied: str,
     inner = df.select(F.col(parent).alias("_k")).distinct()
     leaves = df.join(inner, F.col(goal) == F.col("_k"), "left_anti")
     return leaves.filter((F.coalesce(satisfied, F.lit(0)) == 0) & (F.col(level) < deepest)).orderBy(level, goal).limit(1).select(goal, level)
+
+
+def with_ancestors(nodes: DataFrame, node: str, path: str, leaves: DataFrame, leaf: str) -> DataFrame:
+    """Chosen leaves and all their ancestors; `path` holds each node's ancestors."""
+    kept = nodes.join(leaves.select(F.col(leaf).alias(node)), node, "left_semi").select(F.explode(F.array_append(F.col(path), F.col(node))).alias(node)).distinct()
+    return nodes.join(kept, node, "left_semi")
+
+
+def span_scores(tokens: DataFrame, row: str, pos: str, spans: DataFrame, start: str, end: str, score: str) -> DataFrame:
+    """Each token with the score of the span [start, end) of its row that it lies in, 0 without one.
+
+    Spans of a row don't overlap: they are laid out over their places, so that no range
+    join is needed.
+    """
+    places = spans.select(row, F.col(score).alias("score"), F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias(pos))
+    return tokens.join(places, [row, pos], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def last_token_scores(tokens: DataFrame, row: str, pos: str, mask: str, score: str) -> DataFrame:
+    """A row's score on its last kept token, 0 on the others."""
+    last = F.max(F.when(F.col(mask) == 1, F.col(pos))).over(Window.partitionBy(row))
+    return tokens.withColumn("token_score", F.when(F.col(pos) == last, F.col(score)).otherwise(0.0))
+
+
+def best_by_tier(answers: DataFrame, group: list[str], text: str, complete: str, score: str, key: str, n: int) -> DataFrame:
+    """n answers of each group: complete ones of different texts first, then other complete ones, then incomplete ones, each tier by score; '' fills up."""
+    same = Window.partitionBy(*group, text, complete).orderBy(F.desc(score), key)
+    tier = F.when(~F.col(complete), 2).when(F.row_number().over(same) == 1, 0).otherwise(1)
+    rows = answers.withColumn("_tier", tier)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("_tier", F.desc(score), key))).filter(F.col("place") <= n)
+    places = answers.select(*group).distinct().withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return places.join(rows.select(*group, "place", text), [*group, "place"], "left").withColumn(text, F.coalesce(text, F.lit("")))

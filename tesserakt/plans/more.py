@@ -30,16 +30,15 @@ query("balance_micro_batches")(lambda spark, sf: balance.micro_batches(_lengths(
 query("balance_loads")(lambda spark, sf: _loads(spark, sf).select("batch", "least", "most", "difference", r6("mean")))
 query("workload", "SELECT doc_id, 24576 * n_chars + n_chars * n_chars AS workload FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", balance.workload(F.col("n_chars")).alias("workload")))
 
-# Solutions: 16 points of one label each, from the first coordinates of embeddings
+# Solutions: 16 consecutive vectors each, points from their first coordinates
 
 
 def _points(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"), (F.abs(F.get("embedding", F.lit(2))).cast("double") / 10).alias("r"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.withColumn("i", F.row_number().over(w)).filter("i <= 16")
+    coordinate = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("label"), (F.col("vec_id") % 16).cast("int").alias("i"), coordinate(0).alias("x"), coordinate(1).alias("y"), (F.abs(F.get("embedding", F.lit(2))).cast("double") / 10).alias("r"))
 
 
-PTS = "WITH p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, abs(embedding[3])::DOUBLE / 10 AS r FROM embeddings QUALIFY i <= 16)"
+PTS = "WITH p AS (SELECT vec_id // 16 AS label, (vec_id % 16)::INT AS i, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, abs(embedding[3])::DOUBLE / 10 AS r FROM embeddings)"
 query(
     "packing_report",
     PTS + ", o AS (SELECT DISTINCT a.label FROM p a JOIN p b ON a.label = b.label AND a.i < b.i WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < a.r + b.r - 1e-6) "
@@ -56,24 +55,24 @@ query("pair_distances", PTS + ", d AS (SELECT a.label, sqrt((a.x - b.x) * (a.x -
     lambda spark, sf: geometry.pair_distances(_points(spark, sf), "label", "i", "x", "y").select("label", r6("least"), r6("greatest"))
 )
 
-# Goals: parts as a tree of four levels
+# Goals: parts as trees of 15 goals on four levels
 
-G = "WITH RECURSIVE g AS (SELECT p_partkey AS goal, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS up, floor(log2(p_partkey))::INT AS lv, p_size / 50 AS s FROM part WHERE p_partkey BETWEEN 1 AND 15)"
+G = "WITH RECURSIVE j AS (SELECT p_partkey AS goal, p_partkey % 15 + 1 AS j, p_size / 50 AS s FROM part), g AS (SELECT goal, CASE WHEN j > 1 THEN goal - j + j // 2 END AS up, floor(log2(j))::INT AS lv, s FROM j)"
 
 
 def _goals(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey BETWEEN 1 AND 15")
-    return p.select(F.col("p_partkey").alias("goal"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("up"), F.floor(F.log2("p_partkey")).cast("int").alias("lv"), (F.col("p_size") / 50).alias("s"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("goal"), (F.col("p_partkey") % 15 + 1).alias("j"), (F.col("p_size") / 50).alias("s"))
+    return p.select("goal", F.when(F.col("j") > 1, F.col("goal") - F.col("j") + F.floor(F.col("j") / 2)).alias("up"), F.floor(F.log2("j")).cast("int").alias("lv"), "s")
 
 
 for _form, (_own, _below) in trees.GOAL_FORMS.items():
     _leaf = "0.0::DOUBLE" if _form == "children" else "s"
-    _up = lambda lower, lv, own=_own, below=_below: f"SELECT g.goal, g.up, g.lv, CASE WHEN s >= 1 - 1e-6 THEN 1.0::DOUBLE ELSE {own} * s + {below} * (SELECT avg(t) FROM {lower} c WHERE c.up = g.goal) END AS t FROM g WHERE lv = {lv}"
+    _up = lambda lower, lv, own=_own, below=_below, leaf=_leaf: f"SELECT g.goal, g.up, g.lv, CASE WHEN s >= 1 - 1e-6 THEN 1.0::DOUBLE WHEN NOT EXISTS (SELECT 1 FROM {lower} c WHERE c.up = g.goal) THEN {leaf} ELSE {own} * s + {below} * (SELECT avg(t) FROM {lower} c WHERE c.up = g.goal) END AS t FROM g WHERE lv = {lv}"
     query(
         f"goal_scores_{_form}",
         f"{G}, l3 AS (SELECT goal, up, lv, CASE WHEN s >= 1 - 1e-6 THEN 1.0::DOUBLE ELSE {_leaf} END AS t FROM g WHERE lv = 3), l2 AS ({_up('l3', 2)}), l1 AS ({_up('l2', 1)}), l0 AS ({_up('l1', 0)}), "
-        "a AS (SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0) SELECT goal, lv AS level, round(t, 6) AS score FROM a",
-    )(lambda spark, sf, form=_form: trees.goal_scores(_goals(spark, sf), "goal", "up", "lv", "s", 3, form).select("goal", "level", r6("score")))
+        "a AS (SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0) SELECT goal, lv AS level, round(t, 10) AS score FROM a",
+    )(lambda spark, sf, form=_form: trees.goal_scores(_goals(spark, sf), "goal", "up", "lv", "s", 3, form).select("goal", "level", F.round("score", 10).alias("score")))
 query("open_leaf", G + " SELECT goal, lv FROM g WHERE goal NOT IN (SELECT up FROM g WHERE up IS NOT NULL) AND goal % 3 <> 2 AND lv < 9 ORDER BY lv, goal LIMIT 1")(
     lambda spark, sf: trees.open_leaf(_goals(spark, sf).withColumn("hits", F.when(F.col("goal") % 3 == 2, 1)), "goal", "up", "lv", "hits", 9)
 )
@@ -98,8 +97,8 @@ query("distinct_best_answer", "SELECT user_id, event_id FROM events QUALIFY row_
 query("passages", "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents QUALIFY k <= 3) SELECT lang, string_agg('Doc ' || k || '(Title: ' || doc_id || ') x' || chr(10), '' ORDER BY k) AS passages FROM r GROUP BY lang")(
     lambda spark, sf: similarity.passages(ranking.top_programs(table(spark, sf, "documents").select("lang", "doc_id", (-F.col("doc_id")).alias("s")), 3, "s", "doc_id", ["lang"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).withColumn("t", F.col("doc_id").cast("string")).withColumn("x", F.lit("x")), "lang", "k", "t", "x")
 )
-query("most_similar", "WITH s AS (SELECT q.vec_id AS query, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS x FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 1) SELECT query, id, round(x, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY x DESC, id) = 1")(
-    lambda spark, sf: similarity.most_similar(table(spark, sf, "embeddings").filter("vec_id % 25 = 1"), table(spark, sf, "embeddings"), "vec_id", "embedding").select("query", "id", r6("score"))
+query("most_similar", "WITH s AS (SELECT q.vec_id AS query, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS x FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0) SELECT query, id, round(x, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY x DESC, id) = 1")(
+    lambda spark, sf: similarity.most_similar(table(spark, sf, "embeddings").filter("vec_id % 20 = 0"), table(spark, sf, "embeddings"), "vec_id", "embedding").select("query", "id", r6("score"))
 )
 query("pause_gate", "SELECT event_id, event_id % 100 >= 90 OR event_id % 57 >= 8 * (1.5 + 1) * 2 AS pause FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", replay.should_pause(F.col("event_id") % 100, 90, F.col("event_id") % 57, 8, 1.5, 2).alias("pause"))
@@ -147,6 +146,6 @@ query(
     f"{R}, k AS (SELECT *, s > 40 AS ok, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id) AS k, row_number() OVER (PARTITION BY user_id, s > 40 ORDER BY s DESC, event_id) AS j, sum((s > 40)::INT) OVER w AS rights FROM r WINDOW w AS (PARTITION BY user_id)) "
     "SELECT user_id, event_id FROM k WHERE CASE WHEN n > 4 AND rights > 0 THEN (CASE WHEN ok THEN j = 1 ELSE j <= 3 END) ELSE k <= 4 END",
 )(lambda spark, sf: ranking.one_right_rest_wrong(rollouts(spark, sf).withColumn("ok", F.col("s") > 40), ["user_id"], "ok", "s", "event_id", 4).select("user_id", "event_id"))
-query("run_positions", "WITH o AS (SELECT event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events WHERE event_id < 2000), s AS (SELECT *, sum(c) OVER (ORDER BY event_id) AS g FROM o) SELECT event_id, (row_number() OVER (PARTITION BY g ORDER BY event_id) - 1)::INT AS place FROM s")(
-    lambda spark, sf: batch.run_positions(table(spark, sf, "events").filter("event_id < 2000"), "event_id", "event_type").select("event_id", "place")
+query("run_positions", "WITH o AS (SELECT event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events), s AS (SELECT *, sum(c) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS g FROM o) SELECT event_id, (row_number() OVER (PARTITION BY event_id // 1000, g ORDER BY event_id) - 1)::INT AS place FROM s")(
+    lambda spark, sf: batch.run_positions(table(spark, sf, "events").withColumn("part", F.floor(F.col("event_id") / 1000)), "event_id", "event_type", ["part"]).select("event_id", "place")
 )

@@ -450,7 +450,9 @@ query("unfold", "SELECT vec_id * 4 + i AS pos, list_sum(embedding[i * 16 + 1 : i
 query("union_columns", "SELECT o_orderkey AS pos, o_custkey, o_totalprice, o_orderstatus FROM orders")(
     lambda spark, sf: batch.union_columns(ordered(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), "o_custkey", "o_orderstatus"), "pos").select("pos", "o_custkey", "o_totalprice", "o_orderstatus")
 )
-query("missing_numbers", "SELECT i AS l_orderkey FROM range(0, 2001) t(i) WHERE i NOT IN (SELECT l_orderkey FROM lineitem)")(lambda spark, sf: batch.missing_numbers(table(spark, sf, "lineitem"), "l_orderkey", 0, 2000))
+query("missing_numbers", "SELECT i AS l_orderkey FROM range((SELECT min(l_orderkey) FROM lineitem), (SELECT max(l_orderkey) + 1 FROM lineitem)) t(i) WHERE i NOT IN (SELECT l_orderkey FROM lineitem)")(
+    lambda spark, sf: batch.missing_numbers(table(spark, sf, "lineitem"), "l_orderkey")
+)
 query("response_mask", "WITH t AS (SELECT l_orderkey AS seq, list(l_linenumber ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY 1) SELECT seq, len(list_filter(ids, lambda x: x < 4))::INT + (CASE WHEN list_contains(ids, 4) THEN 1 ELSE len(list_filter(ids, lambda x: x > 4)) END)::INT AS n FROM t")(
     lambda spark, sf: table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("seq")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("ids")).select("seq", F.aggregate(batch.response_mask(F.col("ids"), 4), F.lit(0), lambda a, x: a + x).alias("n"))
 )

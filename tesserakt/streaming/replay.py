@@ -100,3 +100,23 @@ def running_metrics(stream: DataFrame, key: str, value: str) -> DataFrame:
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double, low double, high double", "n long, total double, low double, high double", "update", GroupStateTimeout.NoTimeout)
+
+
+def event_windows(df: DataFrame, time: str, length: str, keys: list[str], value: str, slide: str | None = None, late: str | None = None) -> DataFrame:
+    """start, keys, n and total of event-time windows, tumbling or sliding; on a stream, `late` is how long rows may lag behind the newest."""
+    rows = df.withWatermark(time, late) if late and df.isStreaming else df
+    span = F.window(time, length, slide) if slide else F.window(time, length)
+    out = rows.groupBy(span.alias("_w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return out.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *keys, "n", "total")
+
+
+def sessions(df: DataFrame, time: str, gap: str, keys: list[str], late: str | None = None) -> DataFrame:
+    """start, end and number of rows of each key's sessions: rows that follow each other within `gap`."""
+    rows = df.withWatermark(time, late) if late and df.isStreaming else df
+    out = rows.groupBy(F.session_window(time, gap).alias("_w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *keys, "n")
+
+
+def stale_span(lowest: Column, highest: Column) -> Column:
+    """Over how many parameter versions a partly generated sample stretches."""
+    return F.abs(highest - lowest)
