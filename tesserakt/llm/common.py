@@ -20,11 +20,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _pow = np.ones(1, dtype=np.uint64)
 _inv = np.ones(1, dtype=np.uint64)
-#: A second hash modulo the prime 2**31 - 1: some strings (Thue-Morse) collide modulo 2**64 whatever the base.
-_PRIME, _SECOND = np.uint64(2**31 - 1), 0x2C1B3C6D % (2**31 - 1)
-_SECOND_INV = pow(_SECOND, -1, 2**31 - 1)
-_pow2 = np.ones(1, dtype=np.uint64)
-_inv2 = np.ones(1, dtype=np.uint64)
+#: Longer ranges are hashed in blocks of so many bytes: beyond 512, some strings (Thue-Morse) collide modulo 2**64 whatever the base.
+_BLOCK = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -120,50 +117,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Modulo 2**31 - 1, for numbers below 2**63."""
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    return np.where(x >= _PRIME, x - _PRIME, x)
-
-
-def second_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same modulo 2**31 - 1."""
-    global _pow2, _inv2
-    if len(_pow2) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        out = []
-        for base in (_SECOND, _SECOND_INV):
-            table, have, step = np.ones(size, dtype=np.uint64), 1, base
-            while have < size:  # step is base ** have
-                table[have : 2 * have] = _reduced(table[:have] * np.uint64(step))
-                have, step = 2 * have, step * step % (2**31 - 1)
-            out.append(table)
-        _pow2, _inv2 = out
-    return _pow2, _inv2
-
-
-def sums_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sums_of(values: np.ndarray) -> np.ndarray:
     """Prefix sums of 64-bit values whose differences, times inverse powers, hash any range of them."""
     n = len(values)
-    power, power2 = powers(n + 1)[0], second_powers(n + 1)[0]
-    sums, sums2 = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * power[:n], out=sums[1:])
-    term = (values >> np.uint64(33)) * power2[:n]
-    np.cumsum((term & _PRIME) + (term >> np.uint64(31)), out=sums2[1:])
-    return sums, sums2
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * powers(n + 1)[0][:n], out=sums[1:])
+    return sums
 
 
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums for range_hash over bytes."""
     return sums_of(_TABLE[data])
 
 
-def range_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    first, second = sums
-    inverse, inverse2 = powers(len(first))[1], second_powers(len(first))[1]
-    other = _reduced(_reduced(second[end] - second[start]) * inverse2[start])
-    return mix((first[end] - first[start]) * inverse[start] ^ other * np.uint64(0xD1B54A32D192ED03))
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges: equal for equal contents; a range of more than _BLOCK chains the hashes of its blocks."""
+    inverse = powers(len(sums))[1]
+    whole = end - start
+    out = mix((sums[np.minimum(end, start + _BLOCK)] - sums[start]) * inverse[start])
+    at = np.flatnonzero(whole > _BLOCK)
+    done = _BLOCK
+    while len(at):
+        a = start[at] + done
+        block = mix((sums[np.minimum(end[at], a + _BLOCK)] - sums[a]) * inverse[a])
+        out[at] = mix(out[at] * np.uint64(0x9FB21C651E98DF25) + block)
+        done += _BLOCK
+        at = at[whole[at] > done]
+    return out
 
 
 def word_spans(data: np.ndarray, doc_offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ documents are linked if 100 * |A and B| >= percent * |A or B|.
 
 Equal sets form a class first, and only its smallest id goes on. A signature
 has PLACES values; a band is ROWS of them, and at a similarity of 0.8 a link
-shares none of BANDS bands with a probability of 8e-6: the one thing that can
+shares none of BANDS bands with a probability of 5e-6: the one thing that can
 lose a link. Buckets of the same members count once. All members of a bucket are
 compared with its first one, and where that leaves more than a few pairs of
 different components, with its last one, then with further ones. What still lies in
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, word_hashes
 from tesserakt.llm.components import components
 
-BANDS, ROWS, PLACES = 64, 8, 640
+BANDS, ROWS, PLACES = 40, 6, 320
 _EMPTY = np.uint64(2**64 - 1)
 #: Elements whose permutations are held at once.
 SLICE = 40_000
 #: Members of a bucket that one task compares with as many; star rounds at most; pairs left for each member that call for another one.
 CELL, STARS, LEFT = 512, 6, 8
 #: Sets of so many shingles or fewer go with the members of crowded buckets; larger ones are told apart by their sketches first.
-SMALL = 1024
+SMALL = 512
 
 
 def document_sets(data: np.ndarray, doc_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +206,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _buckets(reps: DataFrame) -> DataFrame:
     """bucket, id, n of the buckets with two members or more; of buckets with the same members, one."""
-    low, high = F.lit(0xFFFFFFFF), F.xxhash64("n", "id")
-    name = [F.sum(h.bitwiseAND(low)) for h in (F.xxhash64("id", "n"), high)] + [F.sum(F.shiftrightunsigned(h, 32)) for h in (F.xxhash64("id", "n"), high)]
-    crowd = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *(x.alias(f"h{i}") for i, x in enumerate(name))).filter("c > 1")
-    one = crowd.groupBy("c", "h0", "h1", "h2", "h3").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return reps.join(one, "bucket").distinct()
+    crowded = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
+    members = materialise(reps.join(crowded.hint("merge"), "bucket").distinct(), "crowded")  # crowded buckets grow with the documents: none are broadcast
+    names = [F.xxhash64("id", "n"), F.xxhash64("n", "id")]
+    halves = [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))) for h in names] + [F.sum(F.shiftrightunsigned(h, 32)) for h in names]
+    named = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *(x.alias(f"h{i}") for i, x in enumerate(halves))).filter("c > 1")
+    one = named.groupBy("c", "h0", "h1", "h2", "h3").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(one, "bucket")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -259,7 +261,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     reps = members.filter("rep IS NULL OR rep = id").select("id", "n", F.explode("bands").alias("bucket"))
     buckets = materialise(_buckets(reps), "buckets")
-    sets = materialise(shingle_sets(texts.join(buckets.select("id").distinct(), "id", "left_semi"), k), "sets")
+    candidates = buckets.select("id").distinct().hint("shuffle_hash")  # they grow with the documents: not broadcast; and no text is sorted
+    sets = materialise(shingle_sets(texts.join(candidates, "id", "left_semi"), k), "sets")
     pending, labels = buckets.withColumn("component", F.col("id")), None
     before = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
     for turn in range(STARS):
@@ -291,7 +294,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     """
     found = near_duplicates(docs, k, percent, id_col, text_col)
     gone = found.filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    left = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
     again = materialise(found.filter("kept").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_again"), "repeated-ids")
     if again.isEmpty():
         return left
