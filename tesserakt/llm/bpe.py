@@ -3,8 +3,12 @@
 For a byte string, ``last[i]`` is the one token that ends the BPE encoding of the
 prefix of i bytes. A token t that ends at i is it exactly if t may stand right
 of ``last[i - len(t)]``, that is, if BPE leaves that pair of tokens apart. The
-encoding is read backwards from the end, an append only adds entries, and after
-an edit only the entries from the edit on are computed again.
+encoding is read backwards from the end. An append goes on from the last entries,
+the automaton starting one longest token before the end; after an edit, entries
+before it stay, and as soon as one longest token's length of new entries equals the
+old ones, shifted, all later ones are the old ones. A text under a pattern keeps such
+a table for each of its pieces; after an edit, pieces are split anew from shortly
+before it up to the first place where an old piece begins again.
 
 Rows: a null text counts as empty and gives no ids; repeated rows are encoded
 each for itself; extra columns are ignored; an empty table gives no rows.
@@ -18,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -41,6 +46,9 @@ class PrefixBPE:
         for b, r in ranks.items():
             self.matcher.add_word(b.decode("latin-1"), (len(b), r))
         self.matcher.make_automaton()
+        self.longest = max(map(len, ranks), default=1)
+        #: Table entries computed so far.
+        self.entries = 0
 
     def parts(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; itself twice for a single byte."""
@@ -82,19 +90,37 @@ class PrefixBPE:
                 limit = right + 1
                 right = self.parts(right)[0]
 
-    def extend(self, data: bytes, last: list[int], start: int = 0) -> list[int]:
-        """Entries of `last` for all prefixes longer than `start`; those up to it are kept (last[0] is -1)."""
-        del last[start + 1 :]
-        pairs, done = self.pairs, start
-        for at, (n, token) in self.matcher.iter(data.decode("latin-1")):  # at one end the longest token comes first
-            if at < done:
+    def extend(self, data: bytes, last: list[int]) -> list[int]:
+        """Entries of `last` for all prefixes that it doesn't have yet (last[0] is -1)."""
+        pairs, done = self.pairs, len(last) - 1
+        begin = max(done - self.longest, 0)  # no token that ends later begins before it
+        for at, (n, token) in self.matcher.iter(data[begin:].decode("latin-1")):  # at one end the longest token comes first
+            at += begin
+            if at < done or at + 1 - n < begin:
                 continue
             before = last[at + 1 - n]
             if before < 0 or pairs.get(before << 32 | token) or ((before << 32 | token) not in pairs and self.apart(before, token)):
                 last.append(token)
                 done = at + 1
+        self.entries += len(last) - 1 - begin
         return last
 
+    def repaired(self, data: bytes, last: list[int], start: int, end: int, size: int) -> list[int]:
+        """The table after the bytes start..end of the old string became `size` new ones; `data` is the new string."""
+        out, moved, same = last[: start + 1], size - (end - start), 0
+        step = 4 * self.longest
+        while len(out) <= len(data):
+            have = len(out) - 1
+            self.extend(data[: have + step], out)
+            for i in range(have + 1, len(out)):
+                if i < start + size or out[i] != last[i - moved]:
+                    same = 0
+                    continue
+                same += 1
+                if same >= self.longest:  # what follows rests on these entries alone
+                    return out[: i + 1] + last[i + 1 - moved :]
+        return out
+
     def read(self, last: list[int]) -> list[int]:
         out, at = [], len(last) - 1
         while at:
@@ -109,27 +135,85 @@ class PrefixBPE:
         return self.read(self.extend(data, [-1])) if data else []
 
 
-class Encoded:
+class Piece:
     """A byte string with its table of last tokens, for appends and edits."""
 
     def __init__(self, bpe: PrefixBPE, data: bytes = b""):
         self.bpe, self.data = bpe, data
         self.last = bpe.extend(data, [-1])
 
-    def append(self, more: bytes) -> Encoded:
-        n = len(self.data)
-        self.data += more
-        self.bpe.extend(self.data, self.last, n)
+    def replace(self, start: int, end: int, new: bytes) -> Piece:
+        """Put `new` in the place of the bytes start..end; only entries that change are computed, and counted in bpe.entries."""
+        tail = self.data[end:]
+        self.last = self.bpe.repaired(self.data[:start] + new + tail, self.last, start, end, len(new))
+        self.data = self.data[:start] + new + tail
         return self
 
-    def edit(self, start: int, end: int, new: bytes) -> Encoded:
-        """Replace bytes; entries before the edit stay as they are."""
-        self.data = self.data[:start] + new + self.data[end:]
-        self.bpe.extend(self.data, self.last, start)
+    def append(self, more: bytes) -> Piece:
+        return self.replace(len(self.data), len(self.data), more)
+
+    def ids(self) -> list[int]:
+        whole = self.bpe.ranks.get(self.data)
+        return [whole] if whole is not None else self.bpe.read(self.last)
+
+
+class Encoded:
+    """A text under a pattern, piece by piece, for appends and edits in characters."""
+
+    #: Pieces before the edited one that are split again: a match depends on what follows it only as far as the next piece reaches.
+    AGAIN = 2
+
+    def __init__(self, bpe: PrefixBPE, pattern: str, text: str = ""):
+        self.bpe, self.pattern, self.text = bpe, regex.compile(pattern), text
+        found = [(m.start(), m.end()) for m in self.pattern.finditer(text)]
+        self.starts = np.array([a for a, _ in found], np.int64)
+        self.ends = np.array([b for _, b in found], np.int64)
+        self.pieces = [Piece(bpe, text[a:b].encode()) for a, b in found]
+
+    def edit(self, start: int, end: int, new: str) -> Encoded:
+        """Replace the characters start..end."""
+        moved = len(new) - (end - start)
+        text = self.text[:start] + new + self.text[end:]
+        first = max(int(np.searchsorted(self.ends, start, "left")) - self.AGAIN, 0)  # the first piece that is split again
+        at = int(self.starts[first]) if first < len(self.starts) and self.starts[first] <= start else 0 if not first else int(self.ends[first - 1])
+        found: list[tuple[int, int]] = []
+        stop = len(self.pieces)  # the first old piece that stays behind the edit
+        for m in self.pattern.finditer(text, at):
+            if m.start() >= start + len(new):
+                j = int(np.searchsorted(self.starts, m.start() - moved))
+                if j < len(self.starts) and self.starts[j] == m.start() - moved and self.starts[j] >= end:
+                    stop = j
+                    break
+            found.append((m.start(), m.end()))
+        old = {int(a): k for k, a in enumerate(self.starts[first:stop].tolist(), first)}
+        made = [self._piece(text, a, b, old, start, end, moved) for a, b in found]
+        self.starts = np.concatenate((self.starts[:first], np.array([a for a, _ in found], np.int64), self.starts[stop:] + moved))
+        self.ends = np.concatenate((self.ends[:first], np.array([b for _, b in found], np.int64), self.ends[stop:] + moved))
+        self.pieces[first:stop] = made
+        self.text = text
         return self
 
+    def _piece(self, text: str, a: int, b: int, old: dict[int, int], start: int, end: int, moved: int) -> Piece:
+        """The piece a..b of the new text, made from the old one that began there where there is one."""
+        k = old.get(a) if a <= start else None
+        if k is None:
+            return Piece(self.bpe, text[a:b].encode())
+        piece, stop = self.pieces[k], int(self.ends[k])
+        if stop <= start and b == stop:
+            return piece
+        head = len(self.text[a : min(start, stop)].encode())
+        if end <= stop and b == stop + moved:  # the edit lies within it
+            tail = len(self.text[end:stop].encode())
+            return piece.replace(head, len(piece.data) - tail, text[a:b].encode()[head : len(text[a:b].encode()) - tail])
+        data = text[a:b].encode()
+        head = min(head, len(data))
+        return piece.replace(head, len(piece.data), data[head:])
+
+    def append(self, more: str) -> Encoded:
+        return self.edit(len(self.text), len(self.text), more)
+
     def ids(self) -> list[int]:
-        return self.bpe.read(self.last)
+        return [i for p in self.pieces for i in p.ids()]
 
 
 class _Pieces(dict):
