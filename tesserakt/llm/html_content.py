@@ -13,9 +13,12 @@ part labelled as it is placed.
 
 A null or empty page gives an empty text; so does one without content. Broken
 markup is read as browsers do in the common cases: paragraphs and list items
-that aren't closed, stray end tags, quotes and comments that don't end. Very
-deep pages are handled without recursion. Repeated rows are read each for
-itself; extra columns are ignored; an empty table gives no rows.
+that aren't closed, stray end tags, quotes and comments that don't end. What script,
+style, title and textarea hold, and the fallback of frames, is no text of the page,
+also when they aren't closed; all other elements, drawings, formulas and objects too,
+are read as any element, and the model decides. Pages are read in time linear in
+their length, however deep or broken, and without recursion. Repeated rows are read
+each for itself; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +36,16 @@ from pyspark.sql import DataFrame
 CONTENT, BOILERPLATE, MIXED = 0, 1, 2
 SMOOTHING = 0.2
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?([a-zA-Z][^\s/>]*)[^>]*>""", re.S)
+#: A tag's beginning, and what follows its name up to the end of the tag, quoted values passed over; neither goes back over what it has read.
+OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas object".split())
+#: Elements whose content is no markup; of these, plain text that is shown.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SHOWN = frozenset(["xmp"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr picture audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -56,6 +64,9 @@ class Page:
         self.breaks: set[int] = set()
         self.linked: Counter = Counter()
         self._stack = [0]
+        #: Places in the stack of the open elements of each tag, and of all that are no inline elements.
+        self._open: defaultdict[str, list[int]] = defaultdict(list)
+        self._blocks: list[int] = []
         self._leaf = -1
         self._break = True
         self._link = False
@@ -91,42 +102,81 @@ class Page:
         if block:
             self._break, self._link = True, False
 
+    def _push(self, tag: str, words: tuple[str, ...]) -> None:
+        node = self._node(tag, words)
+        self._open[tag].append(len(self._stack))
+        if tag not in INLINE:
+            self._blocks.append(len(self._stack))
+        self._stack.append(node)
+
     def _pop_to(self, at: int) -> None:
-        block = any(self.tags[n] not in INLINE for n in self._stack[at:])
-        del self._stack[at:]
+        block = bool(self._blocks) and self._blocks[-1] >= at
+        while len(self._stack) > at:
+            tag = self.tags[self._stack.pop()]
+            self._open[tag].pop()
+            if tag not in INLINE:
+                self._blocks.pop()
         self._cut(block)
 
+    def _nearest(self, tags: set[str]) -> int:
+        """Place in the stack of the innermost open element of these tags, 0 for none."""
+        return max((self._open[t][-1] for t in tags if self._open[t]), default=0)
+
     def _parse(self, text: str) -> None:
-        at = 0
-        lowered = None
-        while True:
-            m = TOKEN.search(text, at)
-            if m is None:
-                self._chars(html.unescape(text[at:]))
-                return
-            if m.start() > at:
-                self._chars(html.unescape(text[at : m.start()]))
-            at = m.end()
-            tag = (m[2] or m[4] or "").lower()
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self._chars(m[0][9:].removesuffix("]]>"))
+        at, quotes, n = 0, True, len(text)
+        while at < n:
+            sign = text.find("<", at)
+            if sign < 0:
+                break
+            begin = at
+            if text.startswith("<!--", sign):
+                end = COMMENT_END.search(text, sign + 2)
+                stop = end.end() if end else n
+            elif text.startswith("<![CDATA[", sign):
+                end = text.find("]]>", sign)
+                self._chars(html.unescape(text[begin:sign]))
+                self._chars(text[sign + 9 : end if end >= 0 else n])
+                at = end + 3 if end >= 0 else n
                 continue
-            if m[1] or m[0].startswith("</"):
-                self._end(tag)
-                continue
-            if tag in RAW:
-                if not m[0].endswith("/>") or tag in ("script", "style", "textarea", "title"):
-                    lowered = text.lower() if lowered is None else lowered
-                    if len(lowered) != len(text):  # rare: a character whose lower case is longer
-                        found = re.compile("</" + re.escape(tag), re.I).search(text, at)
-                        stop = found.start() if found else -1
-                    else:
-                        stop = lowered.find("</" + tag, at)
-                    close = text.find(">", stop) if stop >= 0 else -1
-                    at = close + 1 if close >= 0 else len(text)
+            elif text.startswith(("<!", "<?", "</"), sign) and not text[sign + 2 : sign + 3].isalpha() or text.startswith("<!", sign):
+                stop = text.find(">", sign) + 1 or n
+            else:
+                m = OPEN.match(text, sign + 1)
+                if not m:  # a sign that opens nothing
+                    self._chars(html.unescape(text[begin : sign + 1]))
+                    at = sign + 1
+                    continue
+                rest = REST.match(text, m.end()) if quotes else None
+                stop = rest.end() if rest else text.find(">", m.end()) + 1
+                if not rest:  # a quote that doesn't end: from here on, the next sign ends a tag
+                    quotes = False
+                self._chars(html.unescape(text[begin:sign]))
+                if not stop:  # the page ends within the tag
+                    return
+                at = self._tag(text, m[1] == "/", m[2].lower(), text[m.end() : stop - 1], stop)
                 continue
-            self._start(tag, m[3] or "")
+            self._chars(html.unescape(text[begin:sign]))
+            at = stop
+        self._chars(html.unescape(text[at:]))
+
+    def _tag(self, text: str, ends: bool, tag: str, attributes: str, at: int) -> int:
+        """Take in a tag that ends at `at`; where to read on."""
+        if ends:
+            self._end(tag)
+            return at
+        if tag not in RAW:
+            self._start(tag, attributes)
+            return at
+        if attributes.endswith("/") and tag not in ("script", "style", "textarea", "title"):
+            return at
+        end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(text, at)
+        inside = text[at : end.start() if end else len(text)]
+        if tag in SHOWN:
+            self._cut(True)
+            self._chars(inside)
+            self._cut(True)
+        close = text.find(">", end.end()) if end else -1
+        return close + 1 if close >= 0 else len(text)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
@@ -148,40 +198,26 @@ class Page:
             if not words:
                 return
             self._cut(False)
-            self._stack.append(self._node(tag, words))
+            self._push(tag, words)
             return
-        if tag in CLOSES_P:
-            self._close({"p"}, {"table", "button", "td"})
+        if tag in CLOSES_P and (p := self._nearest({"p"})) > self._nearest({"table", "button", "td"}):
+            self._pop_to(p)
         if tag in CLOSED_BY:
-            self._close(CLOSED_BY[tag], SCOPE.get(tag, set()))
+            scope = self._nearest(SCOPE.get(tag, set()))
+            while (open_ := self._nearest(CLOSED_BY[tag])) > scope:
+                self._pop_to(open_)
         self._cut(True)
-        self._stack.append(self._node(tag, words))
-
-    def _close(self, tags: set[str], scope: set[str]) -> None:
-        """End open elements of these tags, as far as the nearest element of the scope."""
-        for i in range(len(self._stack) - 1, 0, -1):
-            t = self.tags[self._stack[i]]
-            if t in scope:
-                return
-            if t in tags:
-                self._pop_to(i)
-                if tags == {"p"}:
-                    return
-                return self._close(tags, scope)
+        self._push(tag, words)
 
     def _end(self, tag: str) -> None:
         if tag == "a":
             self._link = False
         if tag == "br":
             self._chars(" ")
-        for i in range(len(self._stack) - 1, 0, -1):
-            t = self.tags[self._stack[i]]
-            if t == tag:
-                self._pop_to(i)
-                return
-            if tag in INLINE and t not in INLINE:
-                return
-        if tag not in INLINE:
+        open_ = self._nearest({tag})
+        if open_ and (tag not in INLINE or open_ > (self._blocks[-1] if self._blocks else 0)):
+            self._pop_to(open_)
+        elif tag not in INLINE:
             self._cut(True)
 
     def evidence(self) -> list[list[str]]:
