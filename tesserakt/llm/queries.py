@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,15 @@ from pyspark.sql import functions as F
 from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pii, pivot_topk, suffix_dedup, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
-#: Vocabulary of op7 and of the pipeline; another file can be named here.
+#: Vocabulary of op7 and of the pipeline.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def vocabulary() -> tuple[str, str]:
+def vocabulary(name: str = VOCABULARY) -> tuple[str, str]:
     """Path of the vocabulary and the pattern that splits a text."""
     import public_tokenizers
 
-    return os.environ.get("TESSERAKT_VOCABULARY") or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +29,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.capture_index(read_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = warc.numbered(warc.capture_index(read_table(spark, sf_dir, "pages")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +70,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(read_table(spark, sf_dir, "pages"))
 
 
-OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), last AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
-bits AS (SELECT page_id, h, m, unhex(sha1(h)) AS s FROM p JOIN last USING (h)),
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), last AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
+u AS (SELECT *, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM p),
+k AS (SELECT *, array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE lower(path) END || CASE WHEN q = '' THEN '' ELSE '?' || lower(q) END AS url_key FROM u),
 letters AS (
-  SELECT page_id, h, m, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    ((('0x' || substr(sha1(h), 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS d FROM bits
+  SELECT page_id, h, m, url_key, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(sha1(h), 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS d FROM k JOIN last USING (h)
 )
-SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, d AS payload_digest,
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, d AS payload_digest, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position,
   CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
 FROM letters
 """

@@ -9,13 +9,17 @@ largest id, and revisits that refer to it; smaller ones are all responses.
 Reading parses whole archive files by their Content-Length, checks digests, and
 gives each file's captures as a run sorted by (URL key, time, id). Runs are
 merged by a loser tree: a few sampled keys cut the key space into ranges, every
-range takes its stretch of every run, and merges them k ways. Ranges are cut at
-(URL key, time, id), so a host or a URL with many captures is spread too.
-
-A null html is empty, a null url reads ``-``; repeated ids give a record each; a
-row without an id is always a response; offsets count from the start of the
-unpacked archive; extra columns are ignored; an empty table gives no archive and no rows.
-A URL that can't stand in a header line is form-encoded there.
+range takes its stretch of every run in the run's order, and merges them k ways.
+Ranges are cut at (URL key, time, id), so a host or a URL with many captures is
+spread too.
+
+The time of a capture is a column of the pages (a timestamp), or one time for all. A
+null html is empty, a null url reads ``-``, a null time the one time; repeated ids give
+a record each; a row without an id is always a response; offsets count from the start
+of the unpacked archive; extra columns are ignored; an empty table gives no archive and
+no rows. A URL that can't stand in a header line is form-encoded there. A file holds
+FILE_RECORDS records at most, fewer where the longest payload would take it beyond
+FILE_BYTES, so that no reader holds more; a longer payload is a file of its own.
 """
 
 from __future__ import annotations
@@ -27,15 +31,15 @@ from collections.abc import Iterator
 from urllib.parse import unquote_plus, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import materialise, new_path
+from tesserakt.llm.common import materialise, new_path, portion
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
-#: Records of one archive file, at most; captures of a range of the index, about; ranges, at most; keys sampled to cut them, about.
-FILE_RECORDS, RANGE_CAPTURES, RANGES, SAMPLED = 1_000, 20_000, 20_000, 50_000
+#: Records and unpacked bytes of one archive file, at most; captures of a range of the index, about; keys sampled to cut them, about.
+FILE_RECORDS, FILE_BYTES, RANGE_CAPTURES, SAMPLED = 1_000, 256 << 20, 20_000, 50_000
 TIME = "2024-01-01T00:00:00Z"
 
 
@@ -48,10 +52,11 @@ def base32(hex_digest: Column) -> Column:
     return F.concat(*out)
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """id, url, html, bytes, digest and refers_to (the id of the response, for revisits)."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, time_col: str | None = None) -> DataFrame:
+    """id, url, html, time, bytes, digest and refers_to (the id of the response, for revisits)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("-")).alias("url"), html.alias("html"))
+    time = F.coalesce(F.date_format(F.to_utc_timestamp(F.col(time_col).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(TIME)) if time_col else F.lit(TIME)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("-")).alias("url"), html.alias("html"), time.alias("time"))
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.encode("html", "utf-8")))
     # one small row for each payload that occurs twice or more, before any text is moved
     shared = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(F.encode(html, "utf-8")).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"))
@@ -60,7 +65,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     revisits = rows.select("id", "sha1", "bytes").join(shared, "sha1").filter((F.col("bytes") >= min_bytes) & (F.col("id") != F.col("response")))
     revisits = revisits.select(F.col("id").alias("_id"), F.col("sha1").alias("_sha1"), "response").distinct()
     out = rows.join(revisits, (rows["id"] == revisits["_id"]) & (rows["sha1"] == revisits["_sha1"]), "left")
-    return out.select("id", "url", "html", "bytes", base32(F.col("sha1")).alias("digest"), F.col("response").alias("refers_to"))
+    return out.select("id", "url", "html", "time", "bytes", base32(F.col("sha1")).alias("digest"), F.col("response").alias("refers_to"))
 
 
 def record_text(r: DataFrame) -> Column:
@@ -74,17 +79,19 @@ def record_text(r: DataFrame) -> Column:
     profile = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), uri(F.col("refers_to")), F.lit("\r\n"))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: "), uri(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit("\r\nWARC-Date: " + TIME + "\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nWARC-Record-ID: "), uri(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit("\r\nWARC-Date: "), F.col("time"), F.lit("\r\nWARC-Target-URI: "), url,
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"), F.lit("\r\n"), F.when(revisit, profile).otherwise(F.lit("")),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
     )
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> str:
-    """Write archives into the folder `path`, FILE_RECORDS records a file at most."""
-    rows = records(pages, id_col, url_col, html_col, min_bytes)
-    rows.select(record_text(rows).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, time_col: str | None = None) -> str:
+    """Write archives into the folder `path`."""
+    rows = records(pages, id_col, url_col, html_col, min_bytes, time_col)
+    longest = pages.agg(F.max(F.octet_length(html_col))).first()[0] or 0
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 2_000)))
+    rows.select(record_text(rows).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
     return path
 
 
@@ -121,7 +128,7 @@ CAPTURE = "url_key string, time string, page_id long, url string, payload_bytes
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of each archive file, sorted: a run a file."""
+    """The captures of each archive file, sorted: a run a file, with each capture's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +137,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 yield _run(name, gzip.decompress(data) if name.endswith(".gz") else data)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, CAPTURE)
+    return files.mapInArrow(run, CAPTURE + ", run_place long")
 
 
 def _run(file: str, content: bytes) -> pa.RecordBatch:
@@ -150,7 +157,8 @@ def _run(file: str, content: bytes) -> pa.RecordBatch:
     names = [x.split()[0] for x in CAPTURE.split(", ")]
     kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in CAPTURE.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(range(len(rows)), pa.int64())], names=[*names, "run_place"])
 
 
 def rank(row: tuple) -> tuple:
@@ -193,10 +201,10 @@ def histories(runs: DataFrame) -> DataFrame:
     """All captures in one global order: `range` and within it `place` count upwards along (url_key, time, page_id)."""
     key = F.struct("url_key", "time", "page_id")
     total = runs.count()
-    sample = runs.select(key.alias("k")) if total <= SAMPLED else runs.filter(F.pmod(F.xxhash64("page_id", "url_key"), F.lit(1_000_000)) < int(1_000_000 * SAMPLED / total)).select(key.alias("k"))
+    sample = (runs if total <= SAMPLED else runs.withColumn("_k", F.xxhash64("page_id", "url_key")).filter(portion("_k", SAMPLED, total))).select(key.alias("k"))
     keys = sorted(rank(tuple(r["k"])) for r in sample.limit(2 * SAMPLED).collect())
-    ranges = min(max(24, total // RANGE_CAPTURES), RANGES, len(keys) or 1)
-    shared = runs.sparkSession.sparkContext.broadcast([keys[len(keys) * i // ranges] for i in range(1, ranges)])  # RANGES keys at most
+    ranges = min(max(24, total // RANGE_CAPTURES), len(keys) or 1)
+    shared = runs.sparkSession.sparkContext.broadcast([keys[len(keys) * i // ranges] for i in range(1, ranges)])  # fewer than 2 * SAMPLED keys
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
@@ -206,13 +214,11 @@ def histories(runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "range"])
 
     def merged(table: pa.Table) -> pa.Table:
+        """Merge the stretches that runs have in a range; rows come file by file, each in its run's order."""
         names = [x.split()[0] for x in CAPTURE.split(", ")]
         by_file: dict[str, list[tuple]] = {}
         for row in zip(*(table.column(c).to_pylist() for c in names), strict=True):
             by_file.setdefault(row[8], []).append(row)
-        # a run's stretch keeps its order, but the shuffle may deliver its parts in any order; sorting sorted parts is linear
-        for stretch in by_file.values():
-            stretch.sort(key=rank)
         runs = [iter([(rank(x), x) for x in stretch]) for stretch in by_file.values()]
         rows = [r for _, r in merge(runs)]
         part = table.column("range")[0].as_py() if len(rows) else 0
@@ -220,11 +226,21 @@ def histories(runs: DataFrame) -> DataFrame:
         arrays = [pa.array(c, table.schema.field(n).type) for c, n in zip(columns, names, strict=True)]
         return pa.Table.from_arrays([*arrays, pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64())], names=[*names, "range", "place"])
 
-    return runs.mapInArrow(place, CAPTURE + ", range int").groupBy("range").applyInArrow(merged, CAPTURE + ", range int, place long")
+    placed = runs.mapInArrow(place, CAPTURE + ", run_place long, range int")
+    ordered = placed.repartition("range").sortWithinPartitions("range", "file", "run_place")
+    return ordered.groupBy("range").applyInArrow(merged, CAPTURE + ", range int, place long")
 
 
-def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
+def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None, time_col: str | None = None) -> DataFrame:
     """Write archives of the pages, read them back, and merge their captures into histories."""
     spark = pages.sparkSession
-    path = write(pages, path or new_path(spark, "warc"), id_col, url_col, html_col, min_bytes)
+    path = write(pages, path or new_path(spark, "warc"), id_col, url_col, html_col, min_bytes, time_col)
     return histories(materialise(captures(spark, path), "captures"))
+
+
+def numbered(index: DataFrame) -> DataFrame:
+    """The index with each capture's `position` in the whole order, from 0."""
+    index = materialise(index, "histories")
+    counts = index.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # fewer rows than sampled keys
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return index.join(counts.select("range", before.alias("_before")), "range").withColumn("position", F.col("_before") + F.col("place")).drop("_before")
