@@ -12,11 +12,16 @@ classified, leftmost-smaller substrings are sorted by inducing and, once named,
 recursively, and inducing from them sorts all suffixes. Permuted common
 prefixes of neighbours then tell which strings start twice.
 
+Words are treated alike beside the bytes: passages of WORDS words or more that another
+row holds too are reported as a number of words, and not removed. Their stretches go
+the same way; within a shard, hashes of whole windows of words take the place of the
+suffix array.
+
 Texts are UTF-8 bytes; a null is empty. Matches never cross texts. Texts of
 fewer than `length` bytes lose nothing and make others lose nothing. Rows are
 told apart by their text, so repeated rows repeat their strings; equal texts get
-equal results whatever their ids. Extra columns are ignored; an empty table
-gives no rows.
+equal results whatever their ids. Texts of any length are read whole. Extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import buffers, chunks, materialise, mix, prefix_sums, range_hash, sums_of
+from tesserakt.llm.common import buffers, chunks, materialise, mix, prefix_sums, range_hash, sums_of, word_spans
 
 LENGTH = 400
 #: Bytes of the grams whose least hash names the shard; bytes of a shard, about.
 GRAM, SHARD = 32, 1 << 20
+#: Words of a passage that is reported, at least, and of its grams; tells the grams of words from those of bytes.
+WORDS, WORD_GRAM, WORD_SALT = 51, 8, 0x5BD1E995C2B2AE35
 
 
 # Suffix arrays
@@ -80,7 +88,7 @@ def _smaller(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate((np.append(step, 1)[at] > 0, [True]))
 
 
-def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(symbols: np.ndarray) -> np.ndarray:
     return sums_of(mix(symbols.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
@@ -227,12 +235,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of one text: least hash, hash of all bytes, first start, number of starts, whether the least gram occurs twice, hashes of what stands before and behind it (0: less than half a string)."""
-    sums = prefix_sums(data)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = range_hash(sums, at, at + GRAM)
-    least = sliding_least(grams, length - GRAM + 1)
+def stretches(sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of one text of symbols, given by its prefix sums: least hash, hash of all symbols, first start, number of starts, whether the least gram occurs twice, hashes of what stands before and behind it (0: less than half a string)."""
+    n = len(sums) - 1
+    at = np.arange(n - gram + 1)
+    grams = range_hash(sums, at, at + gram)
+    least = sliding_least(grams, length - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     count = np.diff(np.append(first, len(least)))
     key = least[first]
@@ -241,57 +249,98 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     hits = np.flatnonzero(np.isin(grams, key))
     order = np.lexsort((hits, grams[hits]))
     hits, values = hits[order], grams[hits][order]
-    group = np.searchsorted(np.unique(values), key)
-    base = np.searchsorted(values, np.unique(values))
+    names = np.unique(values)
+    group = np.searchsorted(names, key)
+    base = np.searchsorted(values, names)
     span = np.int64(len(grams) + 1)
     rank = np.repeat(np.arange(len(base)), np.diff(np.append(base, len(values)))) * span + hits
     begin = np.searchsorted(rank, group * span + first, "left")
-    inside = np.searchsorted(rank, group * span + first + count + length - GRAM, "left") - begin
-    gram, half = hits[begin], (length - GRAM) // 2
+    inside = np.searchsorted(rank, group * span + first + count + length - gram, "left") - begin
+    where, half = hits[begin], (length - gram) // 2
     ends = first + count + length - 1
-    before = np.where(gram - half >= first, range_hash(sums, np.maximum(gram - half, 0), gram) | np.uint64(1), np.uint64(0))
-    stop = gram + GRAM + half
-    behind = np.where(stop <= ends, range_hash(sums, gram + GRAM, np.minimum(stop, len(data))) & ~np.uint64(1), np.uint64(0))
+    before = np.where(where - half >= first, range_hash(sums, np.maximum(where - half, 0), where) >> np.uint64(33) << np.uint64(1) | np.uint64(1), np.uint64(0))
+    stop = where + gram + half
+    behind = np.where(stop <= ends, (range_hash(sums, np.minimum(where + gram, n), np.minimum(stop, n)) >> np.uint64(33) << np.uint64(1)) + np.uint64(2), np.uint64(0))
     return key, own, first, count, inside > 1, before, behind
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and prefix sums over the words of a text."""
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    return starts, ends, sums_of(range_hash(prefix_sums(data), starts, ends))
+
+
+_STRETCH = "t1 long, t2 long, g long, sh long, first long, n long, twice boolean, before long, behind long, words boolean"
+
+
 def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = buffers(batch.column(1))
+            raw, offs = buffers(batch.column(2))
             for i, j in chunks(offs, 1 << 19):
                 rows, parts = [], []
                 for r in range(i, j):
-                    if offs[r + 1] - offs[r] >= length:
-                        parts.append(stretches(raw[offs[r] : offs[r + 1]], length))
-                        rows.append(np.full(len(parts[-1][0]), r))
+                    data = raw[offs[r] : offs[r + 1]]
+                    if len(data) >= length:
+                        parts.append((*stretches(prefix_sums(data), length, GRAM), False))
+                        rows.append(r)
+                    _, _, sums = _words(data)
+                    if len(sums) > WORDS:
+                        key, *rest = stretches(sums, WORDS, WORD_GRAM)
+                        parts.append((key ^ np.uint64(WORD_SALT), *rest, True))
+                        rows.append(r)
                 if not parts:
                     continue
-                key, own, first, count, twice, before, behind = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(first), pa.array(count), pa.array(twice), pa.array(before.view(np.int64)), pa.array(behind.view(np.int64))],
-                    names=["th", "g", "sh", "first", "n", "twice", "before", "behind"],
-                )
+                sizes = [len(x[0]) for x in parts]
+                key, own, first, count, twice, before, behind = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:7])
+                at = pa.array(np.repeat(rows, sizes))
+                arrays = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (key, own)), pa.array(first), pa.array(count), pa.array(twice)]
+                arrays += [pa.array(x.view(np.int64)) for x in (before, behind)] + [pa.array(np.repeat([x[7] for x in parts], sizes))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _STRETCH.split(", ")])
 
-    return docs.select("th", "text").mapInArrow(run, "th binary, g long, sh long, first long, n long, twice boolean, before long, behind long")
+    return docs.select("t1", "t2", "text").mapInArrow(run, _STRETCH)
 
 
 def _bytes_of(docs: DataFrame, length: int) -> DataFrame:
-    """g, sh and the bytes of the stretches listed for each text."""
+    """The bytes of the stretches listed for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = buffers(batch.column(0))
-            g, sh, out = [], [], []
+            rows = []
             for r, listed in enumerate(batch.column(1)):
                 text = raw[offs[r] : offs[r + 1]]
+                spans = None
                 for x in listed.as_py():
-                    g.append(x["g"])
-                    sh.append(x["sh"])
-                    out.append(text[x["first"] : x["first"] + x["n"] + length - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(sh, pa.int64()), pa.array(out, pa.binary())], names=["g", "sh", "bytes"])
-
-    return docs.select("text", "listed").mapInArrow(run, "g long, sh long, bytes binary")
+                    first, n = x["first"], x["n"]
+                    if x["words"]:
+                        spans = _words(text) if spans is None else spans
+                        part = text[spans[0][first] : spans[1][first + n + WORDS - 2]]
+                    else:
+                        part = text[first : first + n + length - 1]
+                    rows.append((x["g"], x["sh"], x["words"], x["low"], x["high"], part.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["g", "sh", "words", "low", "high", "bytes"])
+
+    return docs.select("text", "listed").mapInArrow(run, "g long, sh long, words boolean, low long, high long, bytes binary")
+
+
+def repeated_windows(strings: list[bytes], low: list[int], high: list[int], size: int) -> list[np.ndarray]:
+    """For each string whether the window of `size` words at each word occurs in rows of different texts; low and high: the least and greatest text that has the string."""
+    owner, hashes = [], []
+    for k, x in enumerate(strings):
+        _, _, sums = _words(np.frombuffer(x, np.uint8))
+        at = np.arange(len(sums) - size)
+        hashes.append(range_hash(sums, at, at + size))
+        owner.append(np.full(len(at), k))
+    values, owner = np.concatenate(hashes), np.concatenate(owner)
+    _, name = np.unique(values, return_inverse=True)
+    least, most = np.full(name.max() + 1, np.iinfo(np.int64).max), np.full(name.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, name, np.array(low)[owner])
+    np.maximum.at(most, name, np.array(high)[owner])
+    twice = (least != most)[name]
+    return np.split(twice, np.cumsum([len(h) for h in hashes])[:-1])
 
 
 def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -303,55 +352,82 @@ def _sorted_shards(parts: DataFrame, length: int) -> DataFrame:
     """The starts of each stretch that are repeated, as ranges."""
 
     def run(table: pa.Table) -> pa.Table:
-        found = repeated_starts([x.as_py() for x in table.column("bytes")], length)
-        rows = [{"g": g, "sh": h, "a": a, "b": b} for g, h, mask in zip(table.column("g").to_pylist(), table.column("sh").to_pylist(), found, strict=True) for a, b in _ranges(mask)]
+        rows = []
+        for words in (False, True):
+            part = table.filter(pa.compute.equal(table.column("words"), words))
+            if not part.num_rows:
+                continue
+            strings = [x.as_py() for x in part.column("bytes")]
+            found = repeated_windows(strings, part.column("low").to_pylist(), part.column("high").to_pylist(), WORDS) if words else repeated_starts(strings, length)
+            rows += [{"g": g, "sh": h, "a": a, "b": b} for g, h, mask in zip(part.column("g").to_pylist(), part.column("sh").to_pylist(), found, strict=True) for a, b in _ranges(mask)]
         return pa.Table.from_pylist(rows, schema=pa.schema([(c, pa.int64()) for c in ("g", "sh", "a", "b")]))
 
     return parts.groupBy("shard").applyInArrow(run, "g long, sh long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay), one row for each of docs."""
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and n_repeated_words, one row for each of docs.
+
+    n_repeated_words: words in passages of WORDS words or more that a row holds and another one too.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(F.encode(text, "utf-8"))).alias("th"))
-    found = _stretch_rows(texts, length)
-    found = materialise(found.groupBy("th", "g", "sh", "first", "n", "twice", "before", "behind").agg(F.count(F.lit(1)).alias("c")), "stretches")
-    kinds = found.groupBy("g", "sh").agg(F.sum("c").alias("c"), F.max("twice").alias("twice"), F.min(F.struct("th", "first", "n", "before", "behind")).alias("one"))
-    kinds = materialise(kinds.select("g", "sh", "c", "twice", "one.*"), "kinds")
-    shared = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("any")).filter("k > 1 OR any")
-    meeting = materialise(kinds.drop("twice").join(shared.select("g", "any"), "g"), "meeting")
+    name = F.md5(F.encode(text, "utf-8"))
+    part = lambda at: F.conv(F.substring(name, at, 15), 16, 10).cast("long")
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), part(1).alias("t1"), part(16).alias("t2"))
+    found = materialise(_stretch_rows(texts, length), "stretches")
+    # only stretches whose least gram occurs elsewhere go on; how many do grows with the texts, so none are broadcast
+    shared = found.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("sh").alias("lo"), F.max("sh").alias("hi"), F.max("twice").alias("any")).filter("k > 1 OR any")
+    some = materialise(found.join(shared.select("g", (F.col("lo") != F.col("hi")).alias("several"), "any").hint("merge"), "g"), "shared")
+    kinds = some.groupBy("g", "sh", "words").agg(F.count(F.lit(1)).alias("c"), F.max("several").alias("several"), F.max("any").alias("any"), F.max("before").alias("before"), F.max("behind").alias("behind"), F.min("t1").alias("low"), F.max("t1").alias("high"))
+    kinds = materialise(kinds, "kinds")
+    meeting = kinds.filter("several OR any")
     sides = meeting.filter("NOT any").select("g", "sh", F.explode(F.array("before", "behind")).alias("side")).filter("side <> 0")
     equal = sides.groupBy("g", "side").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "side")
     alike = sides.join(equal, ["g", "side"]).select("g", "sh").union(meeting.filter("any").select("g", "sh")).distinct()
-    compared = materialise(meeting.join(alike, ["g", "sh"]).select("g", "sh", "th", "first", "n"), "compared")
-    total = compared.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
-    listed = compared.groupBy("th").agg(F.collect_list(F.struct("g", "sh", "first", "n")).alias("listed"))
-    parts = _bytes_of(texts.select("th", "text").join(listed, "th"), length)
+    one = F.min(F.struct("t1", "t2", "first", "n")).alias("one")
+    compared = some.join(alike, ["g", "sh"]).groupBy("g", "sh", "words").agg(one).join(kinds.select("g", "sh", "low", "high"), ["g", "sh"])
+    compared = materialise(compared.select("g", "sh", "words", "low", "high", "one.*"), "compared")
+    total = compared.agg(F.sum(F.when(F.col("words"), 6 * (F.col("n") + WORDS)).otherwise(F.col("n") + length - 1))).first()[0] or 0
+    listed = compared.groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "sh", "words", "low", "high", "first", "n")).alias("listed"))
+    parts = _bytes_of(texts.select("t1", "t2", "text").join(listed, ["t1", "t2"]), length)
     shards = max(12, int(total // SHARD))
     parts = parts.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
     # a text that occurs in several rows gives its stretches each time: one of each goes on
-    parts = parts.groupBy("shard", "g", "sh").agg(F.min("bytes").alias("bytes"))
+    parts = parts.groupBy("shard", "g", "sh", "words", "low", "high").agg(F.min("bytes").alias("bytes"))
     repeated = _sorted_shards(parts, length)
-    whole = kinds.filter("c > 1").select("g", "sh", F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    again = F.when(F.col("words"), F.col("low") != F.col("high")).otherwise(F.col("c") > 1)
+    whole = kinds.filter(again).select("g", "sh", F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
     hits = materialise(repeated.union(whole), "repeated")
-    covered = found.select("th", "g", "sh", "first", "n").join(hits, ["g", "sh"])
-    span = F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.coalesce("b", "n") + (length - 1)).alias("b"))
-    covered = covered.groupBy("th").agg(F.sort_array(F.collect_set(span)).alias("covered"))
+    covered = some.select("t1", "t2", "g", "sh", "first", "n", "words").join(hits, ["g", "sh"])
+    size = F.when(F.col("words"), WORDS).otherwise(length)
+    span = F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.coalesce("b", "n") + (size - 1)).alias("b"))
+    spans = lambda on: F.sort_array(F.collect_set(F.when(on, span)))
+    covered = covered.groupBy("t1", "t2").agg(spans(~F.col("words")).alias("covered"), spans(F.col("words")).alias("passages"))
+    rows = texts.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    covered = covered.join(rows, ["t1", "t2"], "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = buffers(batch.column(1))
             rows = []
-            for r, spans in enumerate(batch.column(2)):
+            for r, (spans, passages, copies) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
                 data = raw[offs[r] : offs[r + 1]]
                 keep = np.ones(len(data), dtype=bool)
-                for x in spans.as_py() or ():
+                for x in spans or ():
                     keep[x["a"] : x["b"]] = False
                 kept = data[keep].tobytes()
-                rows.append((len(data), len(data) - len(kept), len(_ranges(~keep)), hashlib.sha256(kept).hexdigest(), kept))
-            n, removed, spans, digest, kept = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                words = 0
+                if copies or passages:
+                    count = len(word_spans(data, np.array([0, len(data)]))[0])
+                    inside = np.full(count, bool(copies) and count >= WORDS)
+                    for x in passages or ():
+                        inside[x["a"] : x["b"]] = True
+                    words = int(inside.sum())
+                rows.append((len(data), len(data) - len(kept), len(_ranges(~keep)), hashlib.sha256(kept).hexdigest(), kept, words))
+            n, removed, spans, digest, kept, words = zip(*rows, strict=True) if rows else ((),) * 6
+            columns = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_repeated_words"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    out = texts.join(covered, "th", "left").select("id", "text", "covered").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = texts.join(covered, ["t1", "t2"], "left").select("id", "text", "covered", "passages", "rows")
+    return out.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_repeated_words long").withColumnRenamed("id", id_col)
