@@ -37,6 +37,20 @@ def test_archives(spark, min_bytes):
     assert warc.capture_index(pages(spark, [])).count() == 0
 
 
+def test_captures_in_time_and_bounded_files(spark, monkeypatch, tmp_path):
+    """Captures of one URL follow each other in time, runs are true runs, and files are bounded by bytes."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rows = [(i, "http://a.org/same" if i % 2 else f"http://b.org/{i % 5}", "z" * (9_000 if i % 7 == 0 else 10), f"2024-02-{1 + (i * 11) % 28:02d} 10:00:00") for i in range(60)] + [(60, "http://a.org/same", "q", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").withColumn("at", F.to_timestamp("at"))
+    out = warc.capture_index(df, path=f"file://{tmp_path}/warc", time_col="at").collect()
+    assert len(out) == 61 and max(r["offset"] + r["length"] for r in out) <= 44_000 and len({r["file"] for r in out}) > 3
+    ordered = sorted(out, key=lambda r: (r["range"], r["place"]))
+    keys = [(r["url_key"], r["time"], r["page_id"]) for r in ordered]
+    assert keys == sorted(keys)
+    times = {r["page_id"]: r["time"] for r in out}
+    assert times[60] == warc.TIME and all(times[i] == at.replace(" ", "T") + "Z" for i, _, _, at in rows[:60])
+
+
 def test_loser_tree():
     rng = np.random.default_rng(3)
     for k in (0, 1, 2, 3, 6, 17):
@@ -90,6 +104,46 @@ def test_page_content(spark, sf):
     assert html_content.extract(pages(spark, []), model).count() == 0
 
 
+def test_broken_and_hostile_pages():
+    """Nothing but script and style runs to the end of a page, and time is linear in its length."""
+    import time
+
+    model = html_content.train()
+    article = "<article><h1>Title of it</h1><p>Before this there was a sentence of words.</p>{}<p>After it there came another sentence of words.</p></article>"
+    for odd, inside in (("<svg width=1>", ""), ("<math><mi>E</mi></math>", "E "), ("<object>the words of an object here</object>", "the words of an object here "), ("<canvas>", ""), ("<xmp>a <b> c</xmp>", "a <b> c "), ("<!-- <p> -->", ""), ("<script>'<p>x</p>'</script>", "")):
+        assert model.extract(article.format(odd)) == f"Title of it Before this there was a sentence of words. {inside}After it there came another sentence of words.", odd
+    assert model.extract(article.format("<script>")) == "Title of it Before this there was a sentence of words."
+    assert "another sentence" in model.extract(article.format('<p class="open>'))
+    for piece in ("<div>", '<a "', "<p", "<", "<!-", "</x", "<li><ul>", "<button><div>", "&amp", "<svg>", "</b>", "<b x><div>"):
+        took = []
+        for n in (4_000, 16_000):
+            began = time.perf_counter()
+            html_content.Page("<p>x" + piece * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * max(took[0], 0.02), piece
+
+
+def test_marginals_by_enumeration():
+    """Sum-product against the sum over all labelings of small trees."""
+    from itertools import product
+
+    model = html_content.train()
+    for text in ("<div class=menu><a href=x>one</a><p>two words", "<article><p>some text here</p></article><footer>x", "<p>a<p>b<div>c"):
+        page = html_content.Page(text)
+        n = len(page.parent)
+        own = np.zeros((n, 3))
+        for i, names in enumerate(page.evidence()):
+            own[i] = sum((model.evidence[x] for x in names if x in model.evidence), np.zeros(3))
+            if i in page.text:
+                own[i, html_content.MIXED] = -60.0
+        total = np.zeros((n, 3))
+        for labels in product(range(3), repeat=n):
+            weight = np.exp(model.root[labels[0]] + sum(own[i, k] for i, k in enumerate(labels)) + sum(model.child[labels[page.parent[i]], labels[i]] for i in range(1, n)))
+            for i, k in enumerate(labels):
+                total[i, k] += weight
+        assert n < 9 and np.allclose(model.marginals(page), total / total.sum(axis=1, keepdims=True), atol=1e-9)
+
+
 def test_page_content_of_the_table(spark, sf):
     import html
     import re
@@ -100,6 +154,62 @@ def test_page_content_of_the_table(spark, sf):
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
+def odd_documents(spark, docs):
+    """Null and repeated ids, null, empty and long texts, and a column that clashes with the operators' own names."""
+    rows = [(None, None, "en", "src0", None), (900_001, "", "en", "src0", 0), (900_002, "x" * 30_000, None, None, 30_000), (900_003, "same text " * 20, "en", "src1", 200), (900_003, "same text " * 20, "en", "src1", 200), (None, "same text " * 20, "en", "src1", 200), (900_004, "mail ann@x.org " + "a b c " * 9_000, "en", "src0", 54_015)]
+    return docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumn("id", F.lit("x")).withColumn("n", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("toxic", F.lit(1))
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """Every stage on what the one before kept, against plain code."""
+    import re
+
+    import tiktoken
+
+    from tesserakt.llm import bpe, decontam, minhash, toxicity
+
+    from .test_text_ops import brute_base, brute_components
+
+    docs = odd_documents(spark, read_table(spark, sf, "documents"))
+    names = docs.columns
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == names, name
+        before, kept[name] = plain(docs), plain(out)
+        if name == "toxicity":
+            labels = read_table(spark, sf, "labels").filter(fold("doc_id", 4) != 2)
+            scores = toxicity.score(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), toxicity.fit(docs, labels))
+            gone = {r["doc_id"] for r in scores.collect() if r["score"] >= toxicity.THRESHOLD}
+            hashed = sorted(((r["h"], tuple(r)[:-1]) for r in docs.withColumn("h", F.xxhash64("doc_id", "text")).collect()), key=str)
+            assert kept[name] == sorted((row for h, row in hashed if h not in gone), key=str)
+        elif name == "near_duplicates":
+            rows = [(r[0], r[1]) for r in before]
+            component, _ = brute_components([r for r in rows if r[0] is not None], 5, 80)
+            want = [r for r in before if r[0] is None or component[r[0]] == r[0]]
+            want = [r for i, r in enumerate(want) if r[0] is None or (r[0], r[1]) not in {(x[0], x[1]) for x in want[:i]}]
+            assert [r[:2] for r in kept[name]] == [r[:2] for r in want]
+        elif name == "decontamination":
+            found = {r["doc_id"] for r in decontam.contaminated(docs, read_table(spark, sf, "benchmark")).collect()}
+            assert kept[name] == [r for r in before if r[0] is None or r[0] not in found]
+        else:
+            texts = {(r[0], r[3]): r[1] for r in kept[name]}
+            for r in before:
+                new = texts[r[0], r[3]]
+                spans = brute_base(r[1] or "")
+                assert new is None if r[1] is None else all(r[1][a:b] not in new for a, _, b in spans)
+                if r[1] is not None and not spans and not re.search("[0-9]", r[1]):
+                    assert new == r[1]
+            assert all(r[4] == (None if r[1] is None else len(r[1])) for r in kept[name])
+        docs = spark.createDataFrame([r for r in out.collect()], out.schema)
+    path, pattern = queries.vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    want = sorted(((r[0], hashlib.sha256(np.array(own.encode_ordinary(r[1] or ""), "<u4").tobytes()).hexdigest()) for r in kept["personal_data"]), key=str)
+    got = sorted(((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()), key=str)
+    assert got == want and minhash.BANDS * minhash.ROWS <= minhash.PLACES
+
+
 def test_pipeline_stages(spark, sf):
     docs = read_table(spark, sf, "documents")
     names = docs.columns

@@ -46,13 +46,37 @@ def test_bpe_as_tiktoken(spark, docs):
 
 
 def test_bpe_append_and_edit():
-    path, _ = queries.vocabulary()
-    model = bpe.PrefixBPE(bpe.load_ranks(path))
-    text = bpe.Encoded(model, b"the quick")
+    """Random edits and appends against the library, and a long piece where only entries near the edit are computed."""
+    path, pattern = queries.vocabulary()
+    ranks = bpe.load_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    model = bpe.PrefixBPE(ranks)
+    rng = np.random.default_rng(3)
+    bits = ["the ", "quick", " ", "  ", "\n", "\n\n ", "1", "2345", "é", "中", "'s", "'", "ll", "!?", "ABC", "a", "\t", "😀", "internationalisation"]
+    for _ in range(60):
+        text = "".join(rng.choice(bits, rng.integers(0, 25)))
+        held = bpe.Encoded(model, pattern, text)
+        assert held.ids() == own.encode_ordinary(text)
+        for _ in range(25):
+            a, b = sorted(rng.integers(0, len(text) + 1, 2).tolist())
+            b = min(b, a + 3) if rng.random() < 0.7 else b
+            new = "".join(rng.choice(bits, rng.integers(0, 3)))
+            if rng.random() < 0.3:
+                a = b = len(text)
+                held.append(new)
+            else:
+                held.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert held.text == text and held.ids() == own.encode_ordinary(text)
     whole = lambda data: model.read(model.extend(data, [-1]))
-    assert text.append(b" brown fox").ids() == whole(b"the quick brown fox")
-    assert text.edit(4, 9, b"slowest").ids() == whole(b"the slowest brown fox")
-    assert text.edit(0, len(text.data), b"").ids() == []
+    data = bytes(rng.integers(97, 101, 300_000).astype(np.uint8))
+    piece = bpe.Piece(model, data)
+    for a, b, new in ((150_000, 150_003, b"xyzq"), (300_001, 300_001, b"abc"), (0, 5, b""), (299_000, 299_500, b"q" * 700)):
+        data = data[:a] + new + data[b:]
+        before = model.entries
+        assert piece.replace(a, b, new).ids() == whole(data)
+        model.entries -= len(data)  # those of the whole string just computed
+        assert model.entries - before < 20 * model.longest + len(new)
 
 
 # Near-duplicates
@@ -103,6 +127,53 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Crowded buckets cut into blocks, few stars, large sets by their sketches: the same components as brute force."""
+    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "LEFT", 0)
+    rng = np.random.default_rng(12)
+    base = [f"v{x}" for x in rng.integers(0, 10**6, 300)]
+    rows = [(i, edited(rng, base, 0.02 + (i % 9) / 300)) for i in range(90)]
+    for stars, small in ((1, 10**6), (1, 0), (3, 10**6)):
+        monkeypatch.setattr(minhash, "STARS", stars)
+        monkeypatch.setattr(minhash, "SMALL", small)
+        want, _ = brute_components(rows, 4, 80)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
+        assert got == want and len(set(want.values())) > 3
+
+
+def test_similarity_limit(spark):
+    """Pairs of sets with exactly 79, 80 and 81 % in common: linked from 80 on."""
+    rows, want = [], {}
+    for n in range(60):
+        for percent in (79, 80, 81):
+            # one-word shingles: n_both of n_all words
+            both = [f"w{n}x{percent}x{i}" for i in range(percent)]
+            a, b = 1000 * n + 10 * percent, 1000 * n + 10 * percent + 1
+            left = (100 - percent) // 2
+            rows += [(a, " ".join(both + [f"a{a}x{i}" for i in range(left)])), (b, " ".join(both + [f"b{b}x{i}" for i in range(100 - percent - left)]))]
+            want[a], want[b] = a, a if percent >= 80 else b
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), k=1).collect()}
+    assert got == want
+
+
+def test_rows_under_one_id(spark):
+    """Of rows that share a kept id, one of each text stays."""
+    long = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, long), (1, long), (1, "another text altogether here"), (2, long), (None, long), (None, long)]
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.keep_one(frame(spark, rows)).collect()), key=str)
+    assert left == sorted([(1, long), (1, "another text altogether here"), (None, long), (None, long)], key=str)
+
+
+def test_signature_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(1, 2**63, n, dtype=np.uint64) for n in (500, 3, 120, 0)]
+    flat, offs = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
+    want = minhash.super_minhash(flat, offs, 64)
+    monkeypatch.setattr(minhash, "SLICE", 37)
+    assert (minhash.super_minhash(flat, offs, 64) == want).all()
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     for n in (4, 40, 900):
@@ -140,15 +211,57 @@ def brute_repeats(rows, length):
     return out
 
 
+def brute_passages(rows, size):
+    """Words of each text in windows of `size` words that another row has too."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    rows_with: dict = {}
+    for r, w in enumerate(words):
+        for i in range(len(w) - size + 1):
+            rows_with.setdefault(tuple(w[i : i + size]), set()).add(r)
+    out = []
+    for w in words:
+        inside = set()
+        for i in range(len(w) - size + 1):
+            if len(rows_with[tuple(w[i : i + size])]) > 1:
+                inside |= set(range(i, i + size))
+        out.append(len(inside))
+    return out
+
+
 def test_suffix_dedup(spark, docs):
-    rows = [tuple(r) for r in docs[:60]] + ODD + [(3 * 10**6, "é" * 200), (3 * 10**6 + 1, "é" * 300), (3 * 10**6 + 2, "x" * 399), (3 * 10**6 + 3, "y" * 400)]
+    rng = np.random.default_rng(6)
+    passage = [f"p{x}" for x in rng.integers(0, 10**6, 60)]
+    mixed = [(5 * 10**6 + i, " ".join([f"q{x}" for x in rng.integers(0, 10**6, 40)] + passage[i % 3 : 52 + i % 7] + [f"r{x}" for x in rng.integers(0, 10**6, 30)])) for i in range(40)]
+    gram = "the gram of thirty-two letters!!"
+    hot = [(6 * 10**6 + i, "".join(rng.choice(list("abcdef"), 300)) + gram + "".join(rng.choice(list("abcdef"), 300)) + "x" * (i % 3) * 200) for i in range(300)]
+    marks = "ab"
+    while len(marks) < 1024:  # Thue-Morse
+        marks += marks.translate(str.maketrans("ab", "ba"))
+    odd = [(7 * 10**6, marks), (7 * 10**6 + 1, marks.translate(str.maketrans("ab", "ba"))), (7 * 10**6 + 2, "same line here " * 60)]
+    rows = [tuple(r) for r in docs[:60]] + ODD + [(3 * 10**6, "é" * 200), (3 * 10**6 + 1, "é" * 300), (3 * 10**6 + 2, "x" * 399), (3 * 10**6 + 3, "y" * 400)] + mixed + hot + odd
     out = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out]
-    want = [(i, *w) for (i, _), w in zip(rows, brute_repeats(rows, 400), strict=True)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated_words"]) for r in out]
+    want = [(i, *w, p) for (i, _), w, p in zip(rows, brute_repeats(rows, 400), brute_passages(rows, 51), strict=True)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_hashes_of_structured_strings():
+    from tesserakt.llm.common import prefix_sums, range_hash
+
+    marks = b"ab"
+    while len(marks) < 4096:
+        marks += marks.translate(bytes.maketrans(b"ab", b"ba"))
+    both = np.frombuffer(marks + marks.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    sums = prefix_sums(both)
+    for n in (512, 1024, 2048, 4096):
+        a, b = range_hash(sums, np.array([0, len(marks)]), np.array([n, len(marks) + n]))
+        assert a != b
+    same = np.frombuffer(b"xyz" * 700 + b"xyz" * 700, np.uint8)
+    a, b = range_hash(prefix_sums(same), np.array([0, 2100]), np.array([2100, 4200]))
+    assert a == b
+
+
 @pytest.mark.parametrize("scan", [False, True])
 def test_suffix_array(scan, monkeypatch):
     if scan:
@@ -182,6 +295,7 @@ def test_pii(spark, docs):
     bits = ["1", "12", "999", "4111111111111111", " ", "-", "--", ".", "@", "a", "b.c", "+1", "(", ")", "é", "😀", "x@y.z", "_", "5555 5555 5555 4444 ", "1.2.3.4", "\n", 'token = "', "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", '"', "+1 (017) 555-7713 "]
     rows = [tuple(r) for r in docs] + ODD + [(4 * 10**6 + i, "".join(rng.choice(bits, rng.integers(0, 40)))) for i in range(250)]
     rows += [(5 * 10**6, "1" * 5000 + "."), (5 * 10**6 + 1, "a@b" + ".c" * 3000), (5 * 10**6 + 2, "+1" + " 2" * 3000), (5 * 10**6 + 3, "12-" * 3000 + "1.1")]
+    rows += [(5 * 10**6 + 4, "token = '" + "0123456789abcdef" * 12 + "01234567" + "'"), (5 * 10**6 + 5, "key=ghp_Ab3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xYz123 ."), (5 * 10**6 + 6, " ".join(f"a{i}@x.org" for i in range(300)))]
     out = pii.report(frame(spark, rows)).collect()
     got = sorted((str(r["doc_id"]), r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in out)
     want = []
@@ -194,6 +308,8 @@ def test_pii(spark, docs):
     for i, t in rows:  # base spans stay
         assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(t or "")} <= by_id[i]
     assert any("secret:" in x for s in by_id.values() for x in s)
+    assert all(r["n_spans"] == len(r["spans"].split(",")) if r["spans"] else r["n_spans"] == 0 for r in out)
+    assert "secret:9:209" in by_id[5 * 10**6 + 4] and "secret:4:44" in by_id[5 * 10**6 + 5]
     assert pii.report(frame(spark, [])).count() == 0
 
 
@@ -299,6 +415,39 @@ def test_language(spark):
     assert none[0] == [] and {r["lang_pred"] for r in langid.predict(frame(spark, ODD), none).collect()} == {"und"}
 
 
+def test_language_by_plain_naive_bayes(spark, docs):
+    """Counts, log-probabilities and scores recomputed character by character."""
+    import math
+
+    def bucket(chars):
+        h = len(chars)
+        for c in chars:
+            raw = c.encode()
+            raw = bytes([raw[0] + 32]) if "A" <= c <= "Z" else raw
+            h = (h * 0x100000001B3 + int.from_bytes(raw, "little")) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = ((h ^ h >> shift) * factor) % 2**64
+        return h % langid.BUCKETS
+
+    grams = lambda t: [bucket(t[i : i + n]) for n in range(1, langid.MAX_N + 1) for i in range(len(t) - n + 1)]
+    rows = [(i, t[:400], "de" if "ch" in t[:200] else "en") for i, t in docs[:40]]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts: dict = {}
+    for _, t, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    langs = sorted(counts)
+    assert model[0] == langs
+    logs = [lambda b, c=counts[x]: math.log((c[b] + langid.SMOOTHING) / (sum(c.values()) + langid.SMOOTHING * langid.BUCKETS)) for x in langs]
+    for r in langid.predict(spark.createDataFrame([(i, t[400:900]) for i, t in docs[:60]], "doc_id long, text string"), model).collect():
+        text = dict((i, t[400:900]) for i, t in docs[:60])[r["doc_id"]]
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = [sum(f(b) for b in grams(text)) for f in logs]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        assert r["lang_pred"] == langs[best] and abs(r["score"] - 1 / sum(math.exp(x - total[best]) for x in total)) < 1e-3
+
+
 def test_ngram_counts_by_brute_force():
     texts = ["Aé b", "", "x", "中文中文"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -331,6 +480,88 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def test_toxicity_scores_by_plain_code(spark, docs):
+    """Features, score and rejection recomputed word by word."""
+    from tesserakt.llm.common import prefix_sums, range_hash
+
+    rows = [(i, f"plain words {'awful awful' if i % 2 else 'nice'} more words {i % 3}") for i in range(60)]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    weights = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+
+    def number(word, p):
+        data = np.frombuffer(word, np.uint8)
+        h = int(range_hash(prefix_sums(data), np.array([0]), np.array([len(data)]))[0]) ^ (p * 0x9E3779B9)
+        return h % (toxicity.SPACE // 4) * 4
+
+    some = [(i, t) for i, t in docs[:30]] + [(10**7 + i, t) for i, t in rows[:6]] + [(10**6, None), (10**6 + 1, "Awful, AWFUL!")]
+    for r in toxicity.score(frame(spark, some), model).collect():
+        text = dict(some)[r["doc_id"]]
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        seen: set = set()
+        for p in toxicity.PREFIXES:
+            count = Counter(number(w[:p] if p else w, p) for w in words if len(w) >= p)
+            seen |= {b + k for b, n in count.items() for k, least in enumerate(toxicity.RECURS) if n >= least}
+        z = model[2] + sum(weights.get(f, 0.0) for f in seen)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-5
+
+
+def test_label_model_by_plain_code(monkeypatch):
+    """Expectation-maximisation with one voter that depends on another, loop by loop."""
+    rng = np.random.default_rng(7)
+    y = rng.random(300) < 0.4
+    votes = np.column_stack([rng.random(300) < np.where(y, 0.8, 0.2), rng.random(300) < np.where(y, 0.6, 0.1), rng.random(300) < np.where(y, 0.7, 0.3)]).astype(float)
+    votes[:, 2] = np.where(rng.random(300) < 0.6, votes[:, 0], votes[:, 2])
+    gold = np.where(rng.random(300) < 0.9, y, ~y).astype(int)
+    parent = np.array([-1, -1, 0])
+    monkeypatch.setattr(toxicity, "dependencies", lambda *_: parent)
+    got = toxicity.label_model(votes, gold, np.ones(300), rounds=8)
+    post, up = [toxicity.TRUST if g else 1 - toxicity.TRUST for g in gold], [-1, -1, -1]
+    for turn in range(8):
+        up = parent.tolist() if turn >= 1 else up
+        odds = [0.0] * 300
+        for sign, w in ((1, post), (-1, [1 - p for p in post])):
+            mass = sum(w)
+            right = min(max((sum(x for x, g in zip(w, gold, strict=True) if g) + 1) / (mass + 2), 0.005), 0.995)
+            for r in range(300):
+                odds[r] += sign * (np.log(max(mass / 300, 1e-9)) + np.log(right if gold[r] else 1 - right))
+            for j in range(3):
+                plain = (sum(w[r] for r in range(300) if votes[r, j]) + 0.5) / (mass + 1)
+                rates = {}
+                for on in (0, 1):
+                    rows = [r for r in range(300) if (up[j] >= 0 and votes[r, up[j]] > 0) == bool(on)]
+                    rates[on] = (sum(w[r] for r in rows if votes[r, j]) + 2 * plain) / (sum(w[r] for r in rows) + 2)
+                for r in range(300):
+                    rate = rates[int(up[j] >= 0 and votes[r, up[j]] > 0)]
+                    odds[r] += sign * np.log(rate if votes[r, j] else 1 - rate)
+        post = [1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in odds]
+    assert np.allclose(got, post, atol=1e-6)
+    assert ((got > 0.5) == y).mean() > 0.85
+
+
+def test_dependent_voters_are_found():
+    rng = np.random.default_rng(1)
+    y = rng.random(3000) < 0.3
+    one = rng.random(3000) < np.where(y, 0.7, 0.2)
+    votes = np.column_stack([one, rng.random(3000) < np.where(y, 0.6, 0.1), one ^ (rng.random(3000) < 0.05)]).astype(float)
+    parent = toxicity.dependencies(votes, y.astype(float), np.ones(3000))
+    assert sorted(parent.tolist()) == [-1, -1, max(parent)] and {int(parent.argmax()), int(parent.max())} == {0, 2}
+
+
+def test_patterns_need_no_labels():
+    texts = ["You IDIOT and moron", "a a b b c c", "WHY ARE YOU SHOUTING", "no! no! no!", "", "nothing here at all"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = toxicity.patterns(raw, np.cumsum([0] + [len(t) for t in texts]))
+    assert got.astype(int).tolist() == [[1, 1, 1, 0, 0], [0, 0, 0, 0, 1], [0, 0, 1, 0, 0], [0, 0, 0, 1, 1], [0, 0, 0, 0, 0], [0, 0, 0, 0, 0]]
+
+
+def test_samples_are_never_empty(spark):
+    from tesserakt.llm.common import portion
+
+    rows = spark.range(2000)
+    assert 700 < rows.filter(portion("id", 1000, 2000)).count() < 1300 and rows.filter(portion("id", 5, 2)).count() == 2000
+    assert str(portion("id", 20_000, 10**13)).count("< 0") == 0
+
+
 def test_label_model_separates_and_discounts_copies():
     rng = np.random.default_rng(2)
     y = rng.random(2000) < 0.3
