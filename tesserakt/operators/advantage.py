@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
+#: Elements of a sequence that are collected at a time.
+FOLD = 128
 
 _ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -199,26 +201,35 @@ def multi_trajectory(df: DataFrame, score: str, group: list[str], session: list[
 
 
 def entropic_risk(df: DataFrame, score: str, group: list[str], beta: float) -> DataFrame:
-    """(1 / beta) log mean exp(beta s) of each group; the mean where beta is 0."""
+    """(1 / beta) log mean exp(beta s) of each group; the mean where beta is 0. The greatest exponent of each group is found first."""
     if beta == 0:
         return df.groupBy(*group).agg(F.avg(score).alias("risk"))
-    top = df.groupBy(*group).agg(F.max(beta * F.col(score)).alias("_t"), F.collect_list(score).alias("_s"))
-    mean = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(beta * s - F.col("_t"))) / F.size("_s")
-    return top.select(*group, ((F.log(mean) + F.col("_t")) / beta).alias("risk"))
+    rows = df.withColumn("_t", F.max(beta * F.col(score)).over(Window.partitionBy(*group)))
+    return rows.groupBy(*group).agg(((F.log(F.avg(F.exp(beta * F.col(score) - F.col("_t")))) + F.max("_t")) / beta).alias("risk"))
 
 
 # Token sequences: arrays of one length in each row
 
 
 def _reverse_fold(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Fold from the last element; `step` gives the accumulator, whose field `out` is collected in order."""
-    zero = F.struct(start.alias("acc"), F.array().cast("array<double>").alias("out"))
+    """Fold from the last element; `step` gives the accumulator, whose field `out` is collected in order.
+
+    An array that grows is copied at every step, so elements are collected FOLD at a
+    time, and the parts are put together at the end.
+    """
+    empty = F.array().cast("array<double>")
 
     def go(a: Column, x: Column) -> Column:
         acc = step(a["acc"], x)
         return F.struct(acc.alias("acc"), F.array_append(a["out"], acc["out"]).alias("out"))
 
-    return F.aggregate(F.reverse(values), zero, go, lambda a: F.reverse(a["out"]))
+    def part(a: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(a["acc"].alias("acc"), empty.alias("out")), go, lambda s: F.struct(s["acc"].alias("acc"), F.array_append(a["parts"], s["out"]).alias("parts")))
+
+    back = F.reverse(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / FOLD).cast("int"), F.lit(0))), lambda k: F.slice(back, k * FOLD + 1, FOLD))
+    zero = F.struct(start.alias("acc"), F.array().cast("array<array<double>>").alias("parts"))
+    return F.aggregate(blocks, zero, part, lambda a: F.reverse(F.flatten(a["parts"])))
 
 
 def discounted_returns(rewards: str, mask: str, gamma: float) -> Column:

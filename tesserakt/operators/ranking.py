@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,12 +109,32 @@ def migrants(df: DataFrame, island: str, score: str, generation: str, tie: str,
     return df.filter(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * rate))).drop("_n", "_r", "_k")
 
 
+def _skyline(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition that no other one of it dominates."""
+    front = None
+    for frame in frames:
+        both = frame if front is None else pd.concat([front, frame])
+        left = both.to_numpy(float)
+        order = np.argsort(-left.sum(axis=1), kind="stable")  # a row is dominated by one of a greater sum only
+        kept: list[int] = []
+        left = left[order]
+        for i in range(len(left)):
+            rivals = left[kept]
+            if not len(rivals) or not ((rivals >= left[i]).all(axis=1) & (rivals > left[i]).any(axis=1)).any():
+                kept.append(i)
+        front = both.iloc[order[kept]]
+    if front is not None:
+        yield front
+
+
 def pareto_front(df: DataFrame, goals: list[str]) -> DataFrame:
     """Rows that no row of the given candidates dominates: at least as good in all goals and better in one.
 
-    Candidates with equal goals stand or fall together, so the self-join runs over distinct goal vectors only.
+    Candidates with equal goals stand or fall together. Each partition of the distinct
+    goal vectors gives its own front first, and only what is on one is compared.
     """
-    points = df.select(*goals).distinct()
+    points = df.select(*goals).filter(" AND ".join(f"{g} IS NOT NULL" for g in goals)).distinct()
+    points = points.mapInPandas(_skyline, points.schema)
     other = points.select(*(F.col(g).alias(f"_{g}") for g in goals))
     as_good = F.lit(True)
     better = F.lit(False)

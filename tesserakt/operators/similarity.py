@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserakt.operators.stages import staged
+
 #: Rows of the query side of one pass, so that what is broadcast stays bounded.
 QUERY_ROWS = 2_000
 
@@ -20,21 +26,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fits & (na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(0.0)
 
 
+def _best(batches: Iterator[pa.RecordBatch], queries: tuple[np.ndarray, np.ndarray], k: int, by: str, exclude_self: bool) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows (id, vector), the k best for each query: one matrix product a batch, k rows a query held."""
+    names, wanted = queries
+    size = np.sqrt((wanted * wanted).sum(axis=1))
+    unit = np.divide(wanted, size[:, None], out=np.zeros_like(wanted), where=size[:, None] > 0) if by == "cosine" else wanted
+    ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+    for batch in batches:
+        own = batch.column(0).to_numpy(zero_copy_only=False)
+        vectors = [v if v is not None and len(v) == wanted.shape[1] and None not in v else None for v in batch.column(1).to_pylist()]
+        matrix = np.array([v or [0.0] * wanted.shape[1] for v in vectors], float).reshape(len(own), wanted.shape[1])
+        if by == "cosine":
+            length = np.sqrt((matrix * matrix).sum(axis=1))
+            matrix = np.divide(matrix, length[:, None], out=np.zeros_like(matrix), where=length[:, None] > 0)
+        score = np.round(unit @ matrix.T, 12)  # equal vectors, equal scores
+        if exclude_self:
+            score[names[:, None] == own[None, :]] = -np.inf
+        ids = np.concatenate((ids, np.broadcast_to(own, score.shape)), axis=1)
+        best = np.concatenate((best, score), axis=1)
+        keep = np.lexsort((ids, -best), axis=1)[:, :k]
+        ids, best = np.take_along_axis(ids, keep, 1), np.take_along_axis(best, keep, 1)
+    there = best > -np.inf
+    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], ids.shape)[there]), pa.array(ids[there]), pa.array(best[there])], names=["query", "id", "score"])
+
+
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, by: str = "cosine", exclude_self: bool = True) -> DataFrame:
     """query, rank, id and score of the k most similar rows of each query; ties to the smaller id.
 
-    Queries go in passes of QUERY_ROWS by a hash of their id; each pass is broadcast.
+    Queries go in passes of QUERY_ROWS by a hash of their id, and each pass is shared
+    with all tasks, which keep their k best rows for each query: no pair leaves a task.
+    Vectors that are null, hold nulls or have another length score 0. Queries of different lengths go in passes of their own.
     """
-    total = queries.count()
-    passes = max(1, -(-total // QUERY_ROWS))
+    session = rows.sparkSession
     found = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(passes)) == i)
-        q = F.broadcast(part.select(F.col(key).alias("query"), F.col(vector).alias("_q")))
-        score = cosine(F.col("_q"), F.col(vector)) if by == "cosine" else dot(F.col("_q"), F.col(vector))
-        pairs = rows.join(q, F.col("query") != F.col(key)) if exclude_self else rows.crossJoin(q)
-        pairs = pairs.select("query", F.col(key).alias("id"), score.alias("score"))
-        found = pairs if found is None else found.union(pairs)
+    for length, total in sorted((r[0] or 0, r[1]) for r in queries.groupBy(F.coalesce(F.size(vector), F.lit(0))).count().collect()):
+        part = queries.filter(F.coalesce(F.size(vector), F.lit(0)) == length)
+        passes = max(1, -(-total // QUERY_ROWS))
+        for i in range(passes):
+            block = part if passes == 1 else part.filter(F.pmod(F.xxhash64(key), F.lit(passes)) == i)
+            held = block.select(F.col(key).cast("long"), F.transform(vector, lambda x: x.cast("double"))).collect()  # about QUERY_ROWS rows
+            wanted = np.array([[x or 0.0 for x in r[1] or []] for r in held], float).reshape(len(held), max(length, 0))
+            shared = session.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), wanted))
+            near = rows.select(F.col(key).cast("long"), F.transform(vector, lambda x: x.cast("double"))).mapInArrow(lambda batches, shared=shared: _best(batches, shared.value, k, by, exclude_self), "query long, id long, score double")
+            found = near if found is None else found.union(near)
+    if found is None:
+        found = session.createDataFrame([], "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 
@@ -54,9 +90,12 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text
         return df.select(F.col(key).alias(name), split.alias("_w"))
 
     asked = words(queries, query_key, "query").select("query", F.explode("_w").alias("w")).groupBy("query", "w").agg(F.count(F.lit(1)).alias("qn"))
-    split = words(docs, doc_key, "id").select("id", F.size("_w").alias("len"), "_w")
-    whole = split.agg(F.count(F.lit(1)).alias("_docs"), F.avg("len").alias("_avg"))
-    counts = split.select("id", "len", F.explode("_w").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("id", "len", "w").agg(F.count(F.lit(1)).alias("tf"))
+    split = words(docs, doc_key, "id").select("id", F.size("_w").alias("len"), F.explode_outer("_w").alias("_any"))
+    named = asked.select(F.col("w").alias("_any"), F.col("w")).distinct()
+    # the documents are read once: words that nobody asks for are counted together, under no name
+    counts = staged(split.join(named, "_any", "left").groupBy("id", "len", "w").agg(F.count(F.lit(1)).alias("tf")))
+    whole = counts.select("id", "len").distinct().agg(F.count(F.lit(1)).alias("_docs"), F.avg("len").alias("_avg"))
+    counts = counts.filter("w IS NOT NULL")
     spread = counts.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qn") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserakt.operators.stages import staged
+
 
 def ancestry(df: DataFrame, node: str, parent: str, most: int = 10) -> DataFrame:
-    """node, ancestor, depth (1: the parent) for up to `most` steps; one equi-join a step, from the links alone."""
-    links = df.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).filter("_p IS NOT NULL")
-    step = links.select(F.col("_n").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("depth"))
-    out = step
-    for depth in range(2, most + 1):
-        step = step.join(links, step["ancestor"] == links["_n"]).select("node", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = out.union(step)
+    """node, ancestor, depth (1: the parent) for up to `most` steps; from the links alone, in joins that double the reach."""
+    step = df.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL")
+    out, reach = step.withColumn("depth", F.lit(1)), 1
+    while reach < most:
+        far = step.select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))  # exactly `reach` steps up
+        longer = out.join(far, out["ancestor"] == far["_n"]).select("node", F.col("_a").alias("ancestor"), (F.col("depth") + reach).alias("depth"))
+        out = out.union(longer.filter(F.col("depth") <= most))
+        step = step.join(far, step["ancestor"] == far["_n"]).select("node", F.col("_a").alias("ancestor"))
+        reach *= 2
+        if 2 <= reach < most:
+            out, step = staged(out), staged(step)
     return out.join(df.select(F.col(node).alias("ancestor")), "ancestor", "left_semi").select("node", "ancestor", "depth")
 
 
@@ -31,7 +35,11 @@ def subtree(df: DataFrame, node: str, parent: str, root: Column, largest: int, d
     level = df.filter(root).select(F.col(node).alias("node"), F.lit(0).alias("depth"))
     out = level
     for d in range(1, depth + 1):
-        level = level.join(links, level["node"] == links["_p"]).select(F.col("_c").alias("node"), F.lit(d).alias("depth"))
+        level = level.join(links, level["node"] == links["_p"]).select(F.col("_c").alias("node"), F.lit(d).alias("depth")).orderBy("node").limit(largest)  # no more of a level can be among the first
+        if d % 4 == 0:  # a plan of a few joins at a time
+            level = staged(level)
+            if level.isEmpty():
+                break
         out = out.union(level)
     return out.orderBy("depth", "node").limit(largest)
 
@@ -41,17 +49,6 @@ def child_counts(df: DataFrame, node: str, parent: str) -> DataFrame:
     return df.join(counts, F.col(node) == F.col("_k"), "left").select(node, F.coalesce("children", F.lit(0)).alias("children"))
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder and reread; a single machine that names none gets one in its temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tesserakt-"))
-    return df.checkpoint()
-
-
 def leaf_means(df: DataFrame, node: str, parent: str, score: str) -> DataFrame:
     """For each node the number and mean score of the leaves under it; a leaf is its own.
 
@@ -61,13 +58,13 @@ def leaf_means(df: DataFrame, node: str, parent: str, score: str) -> DataFrame:
     links = df.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).join(ids, "_p", "left_semi")
     inner = df.select(F.col(parent).alias("_k")).distinct()
     leaves = df.join(inner, F.col(node) == F.col("_k"), "left_anti").select(F.col(node).alias("node"), F.col(score).alias("_s"))
-    step = _stage(leaves.groupBy("node").agg(F.sum("_s").alias("_t"), F.count("_s").alias("_c")))
+    step = staged(leaves.groupBy("node").agg(F.sum("_s").alias("_t"), F.count("_s").alias("_c")))
     out, steps, most = step, 0, df.count()
     while not step.isEmpty():
         if steps > most:
             raise ValueError("parent links run in a circle")
         up = step.join(links, F.col("node") == F.col("_n")).groupBy(F.col("_p").alias("node")).agg(F.sum("_t").alias("_t"), F.sum("_c").alias("_c"))
-        step, steps = _stage(up), steps + 1
+        step, steps = staged(up), steps + 1
         out = out.union(step)
     return out.groupBy("node").agg(F.sum("_c").alias("leaves"), F.try_divide(F.sum("_t"), F.sum("_c")).alias("mean"))
 
