@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, total_ordering
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +18,13 @@ RANGES = 256
 RANGE_ROWS = 2000
 
 
-def workload(length: Column) -> Column:
-    """Cost of a sequence: linear and quadratic part."""
-    return 24576 * length + length * length
+# Fixed value: tokens whose linear cost is as great as the quadratic one.
+LINEAR = 24576
+
+
+def workload(length):
+    """Cost of a sequence (a column or a number): linear and quadratic part."""
+    return LINEAR * length + length * length
 
 
 def greedy(lengths: list[int], parts: int, equal_size: bool) -> list[list[int]]:
@@ -37,29 +41,39 @@ def greedy(lengths: list[int], parts: int, equal_size: bool) -> list[list[int]]:
     return out
 
 
+@total_ordering
+class Dealing:
+    """A state of the differencing: sets as (sum, number, items), the greatest first. The least state is the one to merge next: widest spread, then greatest first set."""
+
+    def __init__(self, sets: list[tuple[int, int, tuple]]):
+        self.sets = sorted(sets, reverse=True)
+        self.spread = self.sets[0][0] - self.sets[-1][0]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Dealing) and (self.spread, self.sets[0]) == (other.spread, other.sets[0])
+
+    def __lt__(self, other: Dealing) -> bool:
+        return (self.spread, self.sets[0]) > (other.spread, other.sets[0])
+
+    def with_(self, other: Dealing) -> Dealing:
+        """Heavy sets of one with light sets of the other."""
+        return Dealing([tuple(x + y for x, y in zip(a, b, strict=True)) for a, b in zip(self.sets, reversed(other.sets), strict=True)])
+
+
 def largest_differencing(lengths: list[int], parts: int, equal_size: bool) -> list[list[int]]:
     """Karmarkar-Karp: the two states of greatest spread are merged, heavy sets to light ones."""
-    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
-    states = []
+    single = [(lengths[i], 1, ((i, lengths[i]),)) for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i))]
     if equal_size:
         if len(lengths) % parts:
             raise ValueError("partitions of equal size must divide the batch")
-        for at in range(0, len(order), parts):
-            states.append([(lengths[i], (i,)) for i in order[at : at + parts]])
+        heap = [Dealing(single[at : at + parts]) for at in range(0, len(single), parts)]
     else:
-        states = [[(lengths[i], (i,))] + [(0, ())] * (parts - 1) for i in order]
-    heap = []
-    for number, state in enumerate(states):
-        state.sort(reverse=True)
-        heapq.heappush(heap, (state[-1][0] - state[0][0], number, state))
-    number = len(states)
+        heap = [Dealing([x] + [(0, 0, ())] * (parts - 1)) for x in single]
+    heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), reverse=True)
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], number, merged))
-        number += 1
-    return [list(ids) for _, ids in heap[0][2]] if heap else [[] for _ in range(parts)]
+        first = heapq.heappop(heap)
+        heapq.heapreplace(heap, first.with_(heap[0]))
+    return [[i for i, _ in items] for _, _, items in heap[0].sets] if heap else [[] for _ in range(parts)]
 
 
 METHODS: dict[str, Callable[[list[int], int, bool], list[list[int]]]] = {"greedy": greedy, "differencing": largest_differencing}
@@ -105,15 +119,20 @@ def partitions(df: DataFrame, batch: str, pos: str, length: str, parts: int, equ
 
 
 def group_partitions(df: DataFrame, batch: str, pos: str, length: str, group: str, parts: int) -> DataFrame:
-    """As partitions, but rows of one group stay together; groups are dealt by their workload."""
+    """As partitions of equal numbers of groups: rows of one group stay together, groups are dealt by their workload.
+
+    The parts have to divide a batch's groups; fewer groups than parts are an error.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(pos).reset_index(drop=True)
-        cost = frame[length].map(lambda n: 24576 * n + n * n)
+        cost = frame[length].map(workload)
         number = (frame[group] != frame[group].shift()).cumsum() - 1  # runs of one group
         loads = cost.groupby(number).sum().tolist()
+        if len(loads) < parts:
+            raise ValueError(f"{len(loads)} groups for {parts} parts")
         part = {}
-        for k, rows in enumerate(largest_differencing(loads, parts, len(loads) % parts == 0)):
+        for k, rows in enumerate(largest_differencing(loads, parts, True)):
             part.update(dict.fromkeys(rows, k))
         return frame[[batch, pos]].assign(part=number.map(part).astype("int32"))
 
@@ -128,7 +147,7 @@ def micro_batches(df: DataFrame, batch: str, pos: str, length: str, limit: int)
         frame = frame.sort_values(pos).reset_index(drop=True)
         lengths = frame[length].tolist()
         count = min(len(lengths), -(-sum(lengths) // limit)) or 1
-        cost = [24576 * n + n * n for n in lengths]
+        cost = [workload(n) for n in lengths]
         dealt = [x for x in largest_differencing(cost, count, False) if x]
         dealt.sort(key=lambda rows: -sum(cost[i] for i in rows))
         dealt = dealt[::2][::-1] + dealt[1::2]

@@ -25,7 +25,9 @@ def _loads(spark, sf):
 
 query("balance_differencing")(lambda spark, sf: balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4, None))
 query("balance_greedy", None)(lambda spark, sf: balance.partitions(_lengths(spark, sf), "batch", "pos", "n", 4, None, method="greedy"))
-query("balance_groups")(lambda spark, sf: balance.group_partitions(_lengths(spark, sf).withColumn("g", F.floor(F.col("place") / 20)), "batch", "pos", "n", "g", 2))
+query("balance_groups")(  # ten groups a batch
+    lambda spark, sf: balance.group_partitions(_lengths(spark, sf).withColumn("g", F.floor(F.col("place") % 200 * 10 / F.count(F.lit(1)).over(Window.partitionBy("batch")))), "batch", "pos", "n", "g", 2)
+)
 query("balance_micro_batches")(lambda spark, sf: balance.micro_batches(_lengths(spark, sf), "batch", "pos", "n", 20000))
 query("balance_loads")(lambda spark, sf: _loads(spark, sf).select("batch", "least", "most", "difference", r6("mean")))
 query("workload", "SELECT doc_id, 24576 * n_chars + n_chars * n_chars AS workload FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", balance.workload(F.col("n_chars")).alias("workload")))

@@ -86,6 +86,37 @@ def test_majority(spark):
     assert abs(r["mean"] - exact) < 0.06 and grouped.largest_samples(10) == [2, 4, 8, 10] and grouped.largest_samples(1) == []
 
 
+def brute_differencing(lengths, parts):
+    """The method with plain sets, one state an item, and a search for the next two states."""
+    key = lambda x: (sum(v for _, v in x), len(x), x)
+    states = [sorted([[(i, n)]] + [[] for _ in range(parts - 1)], key=key, reverse=True) for i, n in enumerate(lengths)]
+    rank = lambda s: (key(s[0])[0] - key(s[-1])[0], key(s[0]))
+    while len(states) > 1:
+        states.sort(key=rank, reverse=True)
+        a, b, *rest = states
+        states = [*rest, sorted([x + y for x, y in zip(a, reversed(b), strict=True)], key=key, reverse=True)]
+    return [[i for i, _ in x] for x in states[0]]
+
+
+def test_differencing():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = rng.integers(1, 9, rng.integers(1, 14)).tolist()  # many ties
+        assert balance.largest_differencing(lengths, 3, False) == brute_differencing(lengths, 3)
+    even = balance.largest_differencing([4, 4, 5, 6, 7, 8], 2, True)
+    assert sorted(map(len, even)) == [3, 3] and {sum([4, 4, 5, 6, 7, 8][i] for i in x) for x in even} == {17}
+    with pytest.raises(ValueError):
+        balance.largest_differencing([1, 2, 3], 2, True)
+
+
+def test_groups_that_do_not_divide(spark):
+    df = spark.createDataFrame([(0, i, 10, i // 2) for i in range(6)], "b long, p long, n long, g long")
+    with pytest.raises(Exception, match="must divide"):
+        balance.group_partitions(df, "b", "p", "n", "g", 2).collect()
+    with pytest.raises(Exception, match="3 groups for 5 parts"):
+        balance.group_partitions(df, "b", "p", "n", "g", 5).collect()
+
+
 def test_mini_batches(spark):
     rows = balance.mini_batches(spark.range(60), "id", 6, 2, 3).collect()
     for e in (0, 1):
