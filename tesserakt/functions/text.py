@@ -81,11 +81,13 @@ def actions(text: Column, kinds: tuple[str, ...] = ("think", "search", "answer",
     return F.zip_with(names, bodies, lambda k, b: F.struct(F.lower(k).alias("kind"), F.trim(b).alias("content")))
 
 
-def valid_sequence(text: Column) -> Column:
-    """think, then any number of search, information, think, then one answer, and nothing between."""
-    turn = r"\s*<{0}>(?:(?!</?(?:think|search|information|answer)>).)*</{0}>\s*"
-    think, search, info, answer = (turn.format(x) for x in ("think", "search", "information", "answer"))
-    return text.rlike(rf"(?s)^(?:{think})(?:{search}{info}{think})*{answer}$")
+def valid_sequence(text: Column, marker: str = "<|im_start|>assistant") -> Column:
+    """After the first mark of the assistant's turn: think, any number of search, information, think, then one answer, and nothing between; without the mark it isn't valid."""
+    inside = r"[^<]*+(?:<(?!/?(?:think|search|information|answer)>)[^<]*+)*+"
+    turn = r"\s*+<{0}>" + inside + r"</{0}>\s*+"
+    think, search, info, answer = (turn.replace("{0}", x) for x in ("think", "search", "information", "answer"))
+    said = F.when(F.contains(text, F.lit(marker)), F.substr(text, F.locate(marker, text) + len(marker), F.length(text)))
+    return F.coalesce(said.rlike(rf"(?s)^(?:{think})(?:{search}{info}{think})*{answer}$"), F.lit(False))
 
 
 def score_tiers(f1: Column, valid: Column, retrieved: Column, structure: float = 0.2, final: float = 0.1, retrieval: float = 0.1, variant: str = "f1") -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tesserakt.functions import grading
 from tesserakt.functions import text as tx
 from tesserakt.operators import advantage as ad
-from tesserakt.operators import balance, batch, correction, grouped, losses, policy, store, trees
+from tesserakt.operators import balance, batch, correction, grouped, losses, policy, similarity, store, trees
 from tesserakt.plans.registry import P, T, programs, query, r6, table, tokens
+from tesserakt.sources import readers
 from tesserakt.streaming import replay
 
 # Policy losses of tokens (adv: r, logp: new)
@@ -281,3 +282,75 @@ query("position_sums", f"{T} SELECT seq, sum(CASE WHEN m = 1 THEN c - 1 ELSE 0 E
 query("logit_squares", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: exp(2 * x::DOUBLE))) / pow(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))), 2), 6) AS squares FROM embeddings")(
     lambda spark, sf: table(spark, sf, "embeddings").select("vec_id", r6(losses.sum_of_squares(F.transform("embedding", lambda x: x.cast("double"))), "squares"))
 )
+
+
+def _among(values: list[str], by: str = "event_id"):
+    """One of some texts, by a number."""
+    return F.get(F.array(*map(F.lit, values)), (F.col(by) % len(values)).cast("int"))
+
+
+_THOUGHT = "<think>a < b</think>"
+_TURNS = [f"<|im_start|>assistant\n{_THOUGHT} <search>q</search>\n<information>i</information>{_THOUGHT}<answer>x</answer>", f"{_THOUGHT}<answer>x</answer>", f"<|im_start|>assistant {_THOUGHT}<answer>x</answer> more", f"<|im_start|>assistant{_THOUGHT}<search>q</search><answer>x</answer>", f"<|im_start|>assistant{_THOUGHT}<answer>x</answer>\n"]
+query("valid_sequence", "SELECT event_id, event_id % 5 IN (0, 4) AS valid FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", tx.valid_sequence(_among(_TURNS)).alias("valid")))
+query("first_action", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'answer' END AS kind, CASE event_id % 3 WHEN 0 THEN 'who' WHEN 1 THEN '7' END AS content FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.first_action(_among(["x <search> who </search> <answer>1</answer>", "<answer>7</answer><search>z</search>", "none <search>"])).alias("a")).select("event_id", "a.*")
+)
+query("actions", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'think=t;search=q' ELSE 'answer=9' END AS parts FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", F.array_join(F.transform(tx.actions(_among(["<Think> t </Think><search>q</search>", "<answer>9</answer>"])), lambda x: F.concat_ws("=", x["kind"], x["content"])), ";").alias("parts"))
+)
+_TIERS = "CASE WHEN f >= 1 THEN CASE WHEN v THEN 1.0 ELSE 0.8 END WHEN v THEN CASE WHEN r THEN 0.3 ELSE 0.2 END ELSE 0.1 END"
+_SOFT = "CASE WHEN f > 0 THEN CASE WHEN v THEN f ELSE f - 0.2 END WHEN v THEN CASE WHEN r THEN 0.3 ELSE 0.2 END ELSE 0.0 END"
+query("score_tiers", f"WITH t AS (SELECT event_id, (event_id % 3) / 2 AS f, event_id % 5 < 2 AS v, event_id % 7 < 3 AS r FROM events) SELECT event_id, round({_TIERS}, 6)::DOUBLE AS em, round({_SOFT}, 6)::DOUBLE AS f1 FROM t")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", (F.col("event_id") % 3 / 2).alias("f"), (F.col("event_id") % 5 < 2).alias("v"), (F.col("event_id") % 7 < 3).alias("r"))
+    .select("event_id", r6(tx.score_tiers(F.col("f"), F.col("v"), F.col("r"), variant="em"), "em"), r6(tx.score_tiers(F.col("f"), F.col("v"), F.col("r")), "f1"))
+)
+query("abstractions", "SELECT event_id, array_to_string(['a b' || event_id || ' c', '[X] b' || event_id || ' c', 'a [X] c', 'a b' || event_id || ' [X]', '[X] c', 'a [X]', '[X]'], '|') AS forms FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", F.array_join(tx.abstractions(F.array(F.lit("a"), F.concat(F.lit("b"), F.col("event_id").cast("string")), F.lit("c"))), "|").alias("forms"))
+)
+query("question_reference", "SELECT event_id, 'who is [X] of [X] at # x' AS question FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", tx.question_reference(F.concat(F.lit("who is #"), F.col("event_id").cast("string"), F.lit(" of #2 at # x"))).alias("question")))
+query("clock_seconds", "SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59 AS seconds FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.clock_seconds(F.format_string("%02d:%02d:%02d", F.col("event_id") % 24, F.col("event_id") % 60, F.col("event_id") % 59)).alias("seconds"))
+)
+query("between_marks", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'in ' || event_id END AS inside FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.between(F.concat(F.lit("a [[in "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "]] b ]]").otherwise("")), "[[", "]]").alias("inside"))
+)
+query("tag_counts", "SELECT event_id, (event_id % 4)::INT AS n FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", tx.count_of(F.repeat(F.lit("<answer>x</answer>"), (F.col("event_id") % 4).cast("int")), "</answer>").alias("n")))
+query("pattern_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\n'))::INT AS lines, len(regexp_extract_all(text, '[0-9]+'))::INT AS numbers FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", *tx.pattern_counts(F.col("text"), {"lines": r"\n", "numbers": "[0-9]+"})))
+query("hops", "SELECT event_id, (event_id % 5)::INT AS hops FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", readers.hops(F.when(F.col("event_id") % 5 > 0, F.struct(F.array_repeat(F.lit("q"), (F.col("event_id") % 5).cast("int")).alias("question_decomposition")))).alias("hops"))
+)
+query("flattened", 'SELECT o_orderkey AS k, o_custkey AS "a/b/c", o_orderstatus AS "a/d" FROM orders')(
+    lambda spark, sf: readers.flatten(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.struct(F.struct(F.col("o_custkey").alias("c")).alias("b"), F.col("o_orderstatus").alias("d")).alias("a")))
+)
+query("call_costs", "SELECT o_orderkey, round(o_custkey * CASE WHEN o_orderstatus = 'F' THEN 2.0 WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey > 50 THEN 6.0 ELSE 3.0 END END / 1e6, 9) AS cost FROM orders")(
+    lambda spark, sf: readers.price(
+        spark.createDataFrame([("F", None, 2.0, 9.0), ("O", 50, 3.0, 6.0)], "o_orderstatus string, beyond long, low double, high double"), table(spark, sf, "orders"), "o_orderstatus", "o_custkey", "beyond", "low", "high"
+    ).select("o_orderkey", F.round("cost", 9).alias("cost"))
+)
+query("read_files", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")(lambda spark, sf: readers.read_files(spark, [f"{sf}/nation.parquet", f"{sf}/nation.parquet"]).select("n_nationkey", "n_name"))
+query("padded_arrays", f"{T} SELECT seq, count(*)::INT AS n, array_to_string(list_concat(list(pos ORDER BY pos)[1:4], list_transform(range(greatest(4 - count(*), 0)), lambda i: 9)), ',') AS padded FROM t GROUP BY seq")(
+    lambda spark, sf: tokens(spark, sf).groupBy("seq").agg(F.sort_array(F.collect_list("pos")).alias("x")).select("seq", F.size("x").alias("n"), F.array_join(F.transform(batch.pad_array(F.col("x"), 4, 9), lambda x: x.cast("string")), ",").alias("padded"))
+)
+query("without_pads", f"{T} SELECT seq, array_to_string(coalesce(list(pos ORDER BY pos) FILTER (m = 1), []), ',') AS kept FROM t GROUP BY seq")(
+    lambda spark, sf: tokens(spark, sf).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("x")).select("seq", F.array_join(F.transform(batch.without_pads(F.transform("x", lambda x: x["pos"]), F.transform("x", lambda x: x["m"])), lambda x: x.cast("string")), ",").alias("kept"))
+)
+query("padded_batch", "SELECT n_nationkey AS pos, n_name FROM nation UNION ALL SELECT n_nationkey + 25, n_name FROM nation WHERE n_nationkey < 7")(lambda spark, sf: batch.pad_to_multiple(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), "n_name"), "pos", 25, 8))
+query("chunks", "SELECT n_nationkey AS pos, (n_nationkey // 5)::INT AS chunk FROM nation")(lambda spark, sf: batch.chunks(table(spark, sf, "nation").select(F.col("n_nationkey").alias("pos")), "pos", 5, 25))
+query("inverse_order", "SELECT 24 - n_nationkey AS i, n_nationkey AS new FROM nation")(lambda spark, sf: batch.inverse(table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), (24 - F.col("n_nationkey")).alias("new")), "i", "new"))
+query("leading_coverage", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 ELSE (event_id % 4 - 1) / 3 END::DOUBLE AS share FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", similarity.coverage(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i == F.col("event_id") % 4, 0.1).otherwise(0.9)), 0.5).alias("share"))
+)
+query("joint_score", "SELECT event_id, round(0.7 * greatest(event_id % 10, 4) / 10 + 0.3 * CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2.0 / 3 END, 6)::DOUBLE AS score FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", r6(similarity.joint_score(F.col("event_id") % 10 / 10, F.lit(0.4), F.array(F.lit(True), F.lit(False), F.lit(False)), F.array(F.lit(False), F.lit(True), F.col("event_id") % 2 == 0)), "score"))
+)
+query("log_probabilities", "SELECT vec_id, round(embedding[1]::DOUBLE - ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))), 6) AS first FROM embeddings")(lambda spark, sf: table(spark, sf, "embeddings").select("vec_id", F.round(F.get(losses.log_softmax(F.transform("embedding", lambda x: x.cast("double"))), F.lit(0)), 6).alias("first")))
+query("bounded_queue")(
+    lambda spark, sf: replay.bounded_queue(table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, "get").otherwise("put").alias("action"), F.col("event_id").alias("item")), "user_id", "event_id", "action", "item", 3)
+    .groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("size") > 3) | (F.col("size") < 0)).alias("zero"))
+)
+query("stagnant", P + " SELECT id, generation - 2 >= 3 AS stagnant FROM p")(lambda spark, sf: programs(spark, sf).select("id", replay.stagnant(F.col("generation"), F.lit(2), 3).alias("stagnant")))
+query("assistant_mask", "SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS kept, sum(length(text))::BIGINT AS whole FROM conversations GROUP BY 1")(
+    lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    .select("conv_id", readers.action_spans(F.transform("x", lambda x: F.array_repeat(F.lit(1), F.length(x["text"]))), F.transform("x", lambda x: x["role"] == "assistant")).alias("m"))
+    .select("conv_id", F.size(F.filter("m", lambda v: v == 1)).cast("long").alias("kept"), F.size("m").cast("long").alias("whole"))
+)
