@@ -105,7 +105,7 @@ def test_answers(spark):
     assert values(df.select(last.alias("a"), tx.exact_match(last, F.array("gold")).alias("em")), "a", "em") == [("The  Cat!", 1), (None, 0)]
     f1 = spark.createDataFrame([("a red big cat", "red cat"), ("yes", "yes it is")], "p string, g string")
     assert values(f1.select(tx.token_f1(F.col("p"), F.col("g")).alias("f")), "f") == [pytest.approx(0.8), 0.0]
-    seq = spark.createDataFrame([("<think>x</think><search>y</search><information>z</information><think>x</think><answer>a</answer>",), ("<think>x</think> oops <answer>a</answer>",)], "t string")
+    seq = spark.createDataFrame([("<|im_start|>assistant <think>x</think><search>y</search><information>z</information><think>x</think><answer>a</answer>",), ("<|im_start|>assistant <think>x</think> oops <answer>a</answer>",)], "t string")
     assert values(seq.select(tx.valid_sequence(F.col("t")).alias("v")), "v") == [True, False]
     some = spark.createDataFrame([(["who", "is", "x"],)], "w array<string>").select(tx.abstractions(F.col("w"), 2, ("is",)).alias("x"))
     assert values(some, "x") == [["who is x", "[X] is x", "who is [X]", "[X] x", "who [X]"]]
