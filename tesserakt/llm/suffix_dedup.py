@@ -235,39 +235,46 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def stretches(sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of one text of symbols, given by its prefix sums: least hash, hash of all symbols, first start, number of starts, whether the least gram occurs twice, hashes of what stands before and behind it (0: less than half a string)."""
+def stretches(sums: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of texts of symbols that lie one after another, given by prefix sums over all of them and where each begins: text of each stretch, least hash, hash of all symbols, first start in its text, number of starts, whether the least gram occurs twice, hashes of what stands before and behind it (0: less than half a string)."""
     n = len(sums) - 1
-    at = np.arange(n - gram + 1)
-    grams = range_hash(sums, at, at + gram)
-    least = sliding_least(grams, length - gram + 1)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    count = np.diff(np.append(first, len(least)))
-    key = least[first]
-    own = range_hash(sums, first, first + count + length - 1)
-    # how often the key occurs among the grams of its stretch
-    hits = np.flatnonzero(np.isin(grams, key))
+    owner = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    at = np.arange(max(n - gram + 1, 0))
+    grams = range_hash(sums, at, at + gram)  # those across texts are in no start's window
+    start = np.arange(max(n - length + 1, 0))
+    start = start[owner[start] == owner[start + length - 1]]
+    if not len(start):
+        return (np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 2, np.zeros(0, bool), *(np.zeros(0, np.uint64),) * 2)
+    least = sliding_least(grams, length - gram + 1)[start]
+    begin = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1))))
+    first, key, count = start[begin], least[begin], np.diff(np.append(begin, len(start)))
+    ends = first + count + length - 1
+    own = range_hash(sums, first, ends)
+    # where the keys occur: a table of their low bits leaves few places to look at
+    bits = np.zeros(1 << 18, dtype=bool)
+    bits[(key & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    hits = np.flatnonzero(bits[(grams & np.uint64(len(bits) - 1)).astype(np.int64)])
+    hits = hits[np.isin(grams[hits], key)]
     order = np.lexsort((hits, grams[hits]))
     hits, values = hits[order], grams[hits][order]
-    names = np.unique(values)
+    names, base = np.unique(values, return_index=True)
     group = np.searchsorted(names, key)
-    base = np.searchsorted(values, names)
     span = np.int64(len(grams) + 1)
     rank = np.repeat(np.arange(len(base)), np.diff(np.append(base, len(values)))) * span + hits
-    begin = np.searchsorted(rank, group * span + first, "left")
-    inside = np.searchsorted(rank, group * span + first + count + length - gram, "left") - begin
-    where, half = hits[begin], (length - gram) // 2
-    ends = first + count + length - 1
+    one = np.searchsorted(rank, group * span + first, "left")
+    inside = np.searchsorted(rank, group * span + ends - gram + 1, "left") - one
+    where, half = hits[one], (length - gram) // 2
     before = np.where(where - half >= first, range_hash(sums, np.maximum(where - half, 0), where) >> np.uint64(33) << np.uint64(1) | np.uint64(1), np.uint64(0))
     stop = where + gram + half
     behind = np.where(stop <= ends, (range_hash(sums, np.minimum(where + gram, n), np.minimum(stop, n)) >> np.uint64(33) << np.uint64(1)) + np.uint64(2), np.uint64(0))
-    return key, own, first, count, inside > 1, before, behind
+    text = owner[first]
+    return text, key, own, first - offs[text], count, inside > 1, before, behind
 
 
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and prefix sums over the words of a text."""
-    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-    return starts, ends, sums_of(range_hash(prefix_sums(data), starts, ends))
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts, each text's first word, and prefix sums over all words."""
+    starts, ends, first = word_spans(data, offs)
+    return starts, ends, first, sums_of(range_hash(prefix_sums(data), starts, ends))
 
 
 _STRETCH = "t1 long, t2 long, g long, sh long, first long, n long, twice boolean, before long, behind long, words boolean"
@@ -278,24 +285,16 @@ def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             raw, offs = buffers(batch.column(2))
             for i, j in chunks(offs, 1 << 19):
-                rows, parts = [], []
-                for r in range(i, j):
-                    data = raw[offs[r] : offs[r + 1]]
-                    if len(data) >= length:
-                        parts.append((*stretches(prefix_sums(data), length, GRAM), False))
-                        rows.append(r)
-                    _, _, sums = _words(data)
-                    if len(sums) > WORDS:
-                        key, *rest = stretches(sums, WORDS, WORD_GRAM)
-                        parts.append((key ^ np.uint64(WORD_SALT), *rest, True))
-                        rows.append(r)
-                if not parts:
-                    continue
+                data, own_offs = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                parts = [(*stretches(prefix_sums(data), own_offs, length, GRAM), False)]
+                _, _, words, sums = _words(data, own_offs)
+                text, key, *rest = stretches(sums, words, WORDS, WORD_GRAM)
+                parts.append((text, key ^ np.uint64(WORD_SALT), *rest, True))
                 sizes = [len(x[0]) for x in parts]
-                key, own, first, count, twice, before, behind = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:7])
-                at = pa.array(np.repeat(rows, sizes))
+                text, key, own, first, count, twice, before, behind = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:8])
+                at = pa.array(text + i)
                 arrays = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (key, own)), pa.array(first), pa.array(count), pa.array(twice)]
-                arrays += [pa.array(x.view(np.int64)) for x in (before, behind)] + [pa.array(np.repeat([x[7] for x in parts], sizes))]
+                arrays += [pa.array(x.view(np.int64)) for x in (before, behind)] + [pa.array(np.repeat([x[8] for x in parts], sizes))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _STRETCH.split(", ")])
 
     return docs.select("t1", "t2", "text").mapInArrow(run, _STRETCH)
@@ -314,7 +313,7 @@ def _bytes_of(docs: DataFrame, length: int) -> DataFrame:
                 for x in listed.as_py():
                     first, n = x["first"], x["n"]
                     if x["words"]:
-                        spans = _words(text) if spans is None else spans
+                        spans = word_spans(text, np.array([0, len(text)])) if spans is None else spans
                         part = text[spans[0][first] : spans[1][first + n + WORDS - 2]]
                     else:
                         part = text[first : first + n + length - 1]
@@ -328,19 +327,18 @@ def _bytes_of(docs: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(strings: list[bytes], low: list[int], high: list[int], size: int) -> list[np.ndarray]:
     """For each string whether the window of `size` words at each word occurs in rows of different texts; low and high: the least and greatest text that has the string."""
-    owner, hashes = [], []
-    for k, x in enumerate(strings):
-        _, _, sums = _words(np.frombuffer(x, np.uint8))
-        at = np.arange(len(sums) - size)
-        hashes.append(range_hash(sums, at, at + size))
-        owner.append(np.full(len(at), k))
-    values, owner = np.concatenate(hashes), np.concatenate(owner)
-    _, name = np.unique(values, return_inverse=True)
-    least, most = np.full(name.max() + 1, np.iinfo(np.int64).max), np.full(name.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least, name, np.array(low)[owner])
-    np.maximum.at(most, name, np.array(high)[owner])
-    twice = (least != most)[name]
-    return np.split(twice, np.cumsum([len(h) for h in hashes])[:-1])
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in strings])))
+    _, _, first, sums = _words(np.frombuffer(b"".join(strings), np.uint8), offs)
+    owner = np.repeat(np.arange(len(strings)), np.diff(first))
+    at = np.arange(len(owner) - size + 1)
+    at = at[owner[at] == owner[at + size - 1]]
+    values, owner = range_hash(sums, at, at + size), owner[at]
+    order = np.argsort(values, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], values[order][1:] != values[order][:-1])))
+    least, most = np.minimum.reduceat(np.array(low)[owner][order], begin), np.maximum.reduceat(np.array(high)[owner][order], begin)
+    twice = np.empty(len(at), dtype=bool)
+    twice[order] = np.repeat(least != most, np.diff(np.append(begin, len(at))))
+    return np.split(twice, np.cumsum(np.maximum(np.diff(first) - size + 1, 0))[:-1])
 
 
 def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
