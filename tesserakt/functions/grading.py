@@ -6,7 +6,7 @@ import ast
 import operator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserakt.functions import text as tx
@@ -219,3 +219,28 @@ def generic_code_metrics(code: Column) -> Column:
     """Lines, and a complexity from their number: log2 / 10, 1 at most."""
     lines = F.size(F.filter(F.split(code, "\n"), lambda x: F.trim(x) != ""))
     return F.struct(F.size(F.split(code, "\n")).alias("loc"), lines.alias("lloc"), F.round(F.least(F.log2(lines + 1) / 10, F.lit(1.0)), 3).alias("complexity"))
+
+
+def search_score(text: Column, golds: Column, at_least: int = 2, right: float = 1.0, form: float = 0.0, most_tags: int = 10) -> Column:
+    """Exact match of the last answer tag; a quarter where answer tags are piled up; `form` for a wrong answer, 0 for none."""
+    answer = tx.last_answer(text, at_least)
+    many = (tx.count_of(text, "<answer>") > most_tags) | (tx.count_of(text, "</answer>") > most_tags)
+    return F.when(answer.isNull(), 0.0).when(tx.exact_match(answer, golds) == 1, F.when(many, right / 4).otherwise(right)).otherwise(form)
+
+
+def substring_score(text: Column, golds: Column, at_least: int = 2, right: float = 1.0, form: float = 0.0) -> Column:
+    """The same where a gold answer may stand anywhere in the answer."""
+    answer = tx.last_answer(text, at_least)
+    return F.when(answer.isNull(), 0.0).when(tx.contains_match(answer, golds) == 1, right).otherwise(form)
+
+
+def satisfying(formula: str, names: list[str], spark: SparkSession) -> DataFrame:
+    """Number of the 2**k assignments of truth values under which a formula in SQL (and, or, not, =) holds, as a table of one row."""
+    bits = [F.expr(f"(id >> {i}) & 1 = 1").alias(n) for i, n in enumerate(names)]
+    return spark.range(1 << len(names)).select(*bits).filter(F.expr(formula)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def goal_value(value: Column) -> Column:
+    """An evaluated goal as a number from 0 to 1; what has no finite value is 0."""
+    x = value.cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))

@@ -173,3 +173,23 @@ def last_columns(mask: Column, n: Column | int) -> Column:
 def loss_mask(response: Column, own: Column) -> Column:
     """The response mask without what was retrieved and not generated."""
     return F.zip_with(response, own, lambda a, b: a * b)
+
+
+def gathered(prompts: DataFrame, rollouts: DataFrame, uid: str) -> DataFrame:
+    """The columns of each rollout's prompt beside it, however many rollouts a prompt has."""
+    return rollouts.join(prompts, uid)
+
+
+def as_lists(df: DataFrame, pos: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Columns as one array each, in the order of `pos`, of all rows or of each batch."""
+    rows = df.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct(pos, *columns))).alias("_x"))
+    return rows.select(*(by or []), *(F.col("_x")[c].alias(c) for c in columns))
+
+
+def uneven(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose array columns aren't all of one length: none in a consistent batch."""
+    first, *rest = (F.size(c) for c in columns)
+    test = F.lit(False)
+    for n in rest:
+        test = test | (n != first)
+    return df.filter(test)

@@ -12,7 +12,11 @@ def clip(x: Column, low: float | Column, high: float | Column) -> Column:
 
 
 def kl_penalty(logp: Column, ref: Column, kind: str) -> Column:
-    """k1 or kl; abs; k2 or mse; k3 or low_var_kl (differences held within 20, the result within 10)."""
+    """k1 or kl; abs; k2 or mse; k3 or low_var_kl (differences held within 20, the result within 10).
+
+    A + behind a kind only changes its gradient, which a table doesn't have: the value is the same.
+    """
+    kind = kind.removesuffix("+")
     d = logp - ref
     if kind in ("kl", "k1"):
         return d
@@ -100,3 +104,8 @@ def entropy(logits: Column) -> Column:
 def sum_of_squares(logits: Column) -> Column:
     """Sum of squared probabilities."""
     return F.aggregate(log_softmax(logits), F.lit(0.0), lambda a, x: a + F.exp(2 * x))
+
+
+def reward_with_kl(score: Column, logp: Column, ref: Column, mask: Column, beta: float, kind: str = "kl") -> Column:
+    """A token's reward: its score less a fixed share of the masked KL estimate."""
+    return score - beta * kl_penalty(logp, ref, kind) * mask

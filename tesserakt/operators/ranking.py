@@ -182,3 +182,49 @@ def one_right_rest_wrong(df: DataFrame, group: list[str], right: str, score: str
     df = df.withColumn("_rights", F.sum(F.col(right).cast("int")).over(w))
     mixed = F.when(F.col(right), F.col("_r") == 1).otherwise(F.col("_r") <= size - 1)
     return df.filter(F.when((F.col("_n") > size) & (F.col("_rights") > 0), mixed).otherwise(F.col("_k") <= size)).drop("_n", "_k", "_r", "_rights")
+
+
+def exploration_weights(df: DataFrame, children: str, score: str, temperature: float, within: list[str], out: str = "weight") -> DataFrame:
+    """Softmax of 10 times the score, and 1 more for what has no children, over the temperature (0.01 at least); at 0 or less the best alone."""
+    w = Window.partitionBy(*within)
+    x = 10 * F.col(score) + F.when(F.coalesce(F.col(children), F.lit(0)) == 0, 1.0).otherwise(0.0)
+    if temperature <= 0:
+        return df.withColumn(out, F.when(x == F.max(x).over(w), 1.0).otherwise(0.0))
+    df = df.withColumn("_x", x / max(temperature, 0.01))
+    df = df.withColumn("_e", F.exp(F.col("_x") - F.max("_x").over(w)))
+    return df.withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_x", "_e")
+
+
+def annealed(used: Column, budget: float, start: float = 1.5, end: float = 0.3) -> Column:
+    """A temperature that falls in proportion to the budget used."""
+    return start + (end - start) * F.least(F.greatest(used / budget, F.lit(0.0)), F.lit(1.0))
+
+
+def drawn(df: DataFrame, group: list[str], key: str, weight: str, u: Column) -> DataFrame:
+    """One row a group: that in whose stretch of the cumulative weights u (0 to 1) times their sum falls."""
+    w = Window.partitionBy(*group).orderBy(key)
+    rows = df.withColumn("_c", F.sum(weight).over(w)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*group)))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.when(F.col("_c") > u * F.col("_t"), 0).otherwise(1), "_c", key)))
+    return rows.filter("_r = 1").drop("_c", "_t", "_r")
+
+
+def nucleus(df: DataFrame, row: list[str], token: str, logit: str, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None) -> DataFrame:
+    """Tokens that sampling may take: the top_k greatest logits, and of their probabilities the first that come to top_p. Adds prob, over all tokens."""
+    w = Window.partitionBy(*row)
+    order = w.orderBy(F.desc(logit), token)
+    x = F.col(logit) / temperature
+    rows = df.withColumn("_e", F.exp(x - F.max(x).over(w)))
+    rows = rows.withColumn("prob", F.col("_e") / F.sum("_e").over(w)).withColumn("_r", F.row_number().over(order))
+    rows = rows.withColumn("_c", F.sum("prob").over(order) - F.col("prob"))
+    keep = F.lit(True)
+    if top_k:
+        keep &= F.col("_r") <= top_k
+    if top_p is not None and top_p < 1:
+        keep &= F.col("_c") < top_p
+    return rows.filter(keep).drop("_e", "_r", "_c")
+
+
+def new_only(nodes: DataFrame, known: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Nodes whose trajectory no known node has; of equal ones among themselves, the least key."""
+    w = Window.partitionBy(*columns).orderBy(key)
+    return nodes.join(known.select(*columns).distinct(), columns, "left_anti").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

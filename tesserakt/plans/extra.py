@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserakt.functions import grading
 from tesserakt.functions import text as tx
 from tesserakt.operators import advantage as ad
-from tesserakt.operators import balance, batch, correction, grouped, losses, policy, similarity, store, trees
+from tesserakt.operators import balance, batch, correction, embedding, grouped, losses, policy, ranking, similarity, store, trees
 from tesserakt.plans.registry import P, T, programs, query, r6, table, tokens
 from tesserakt.sources import readers
 from tesserakt.streaming import replay
@@ -354,3 +354,52 @@ query("assistant_mask", "SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN l
     .select("conv_id", readers.action_spans(F.transform("x", lambda x: F.array_repeat(F.lit(1), F.length(x["text"]))), F.transform("x", lambda x: x["role"] == "assistant")).alias("m"))
     .select("conv_id", F.size(F.filter("m", lambda v: v == 1)).cast("long").alias("kept"), F.size("m").cast("long").alias("whole"))
 )
+
+
+query("preference_rows", "SELECT 'q' || n_nationkey AS prompt, kind, 'q' || n_nationkey || ' ' || CASE kind WHEN 'chosen' THEN n_name ELSE 'no' END AS text FROM nation, (VALUES ('chosen'), ('rejected')) t(kind)")(
+    lambda spark, sf: readers.preference_rows(table(spark, sf, "nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("q"), "n_name", F.lit("no").alias("bad")), "q", "n_name", "bad")
+)
+query("preference_variants", "SELECT n_name AS prompt, n_nationkey AS index FROM nation")(
+    lambda spark, sf: readers.preference_variants(table(spark, sf, "nation"), "n_name", "n_name", "n_name", "hh", "train", "n_nationkey")["rl"].select(F.col("prompt")[0]["content"].alias("prompt"), F.col("extra_info.index").alias("index"))
+)
+query("by_ordinal", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")(lambda spark, sf: readers.by_ordinal(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name"), "k").select("s_suppkey", "n_name"))
+query("metric_rows", "SELECT o_orderkey AS step, 'total_at_1' AS key, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'odd_key', o_custkey::DOUBLE FROM orders WHERE o_custkey % 2 = 1")(
+    lambda spark, sf: readers.metric_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("total@1"), F.when(F.col("o_custkey") % 2 == 1, F.col("o_custkey")).alias("odd:key")), "step", ["total@1", "odd:key"])
+)
+query("message_parts", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'text:look;image:;text: here' ELSE 'video:;image:;text:x' END AS parts FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", F.array_join(F.transform(readers.message_parts(_among(["look<image> here", "<video><image>x"])), lambda x: F.concat(x["type"], F.lit(":"), x["text"])), ";").alias("parts"))
+)
+query("gathered", "SELECT event_id, c_custkey, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")(
+    lambda spark, sf: batch.gathered(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), table(spark, sf, "events").select("event_id", F.col("user_id").alias("c_custkey")), "c_custkey")
+)
+query("as_lists", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")(lambda spark, sf: batch.as_lists(table(spark, sf, "nation"), "n_nationkey", ["n_name"], ["n_regionkey"]).select("n_regionkey", F.array_join("n_name", ",").alias("names")))
+query("uneven_rows", "SELECT event_id FROM events WHERE event_id % 5 = 3")(lambda spark, sf: batch.uneven(table(spark, sf, "events").select("event_id", F.array_repeat(F.lit(1), 3).alias("a"), F.array_repeat(F.lit(1), (3 + (F.col("event_id") % 5 == 3).cast("int"))).alias("b")), ["a", "b"]).select("event_id"))
+query("fixed_kl_reward", f"{T} SELECT seq, pos::INT AS pos, round(r - 0.05 * (exp(least(greatest(old - new, -20), 20)) - least(greatest(old - new, -20), 20) - 1) * m, 6) AS reward FROM t")(
+    lambda spark, sf: tokens(spark, sf).select("seq", "pos", r6(losses.reward_with_kl(F.col("r"), F.col("new"), F.col("old"), F.col("m"), 0.05, "k3+"), "reward"))
+)
+query("exploration_weights", PS + ", c AS (SELECT parent AS id, count(*) AS n FROM q WHERE parent IS NOT NULL GROUP BY 1), x AS (SELECT q.id, island, exp((10 * w + CASE WHEN n IS NULL THEN 1 ELSE 0 END) / 0.5 - max((10 * w + CASE WHEN n IS NULL THEN 1 ELSE 0 END) / 0.5) OVER (PARTITION BY island)) AS e FROM q LEFT JOIN c USING (id)) SELECT id, round(e / sum(e) OVER (PARTITION BY island), 9) AS weight FROM x")(
+    lambda spark, sf: ranking.exploration_weights(programs(spark, sf).join(programs(spark, sf).filter("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left"), "n", "w", 0.5, ["island"]).select("id", F.round("weight", 9).alias("weight"))
+)
+query("annealed", "SELECT event_id, round(1.5 - 1.2 * least(event_id % 130 / 100, 1), 6)::DOUBLE AS temperature FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", r6(ranking.annealed(F.col("event_id") % 130, 100.0), "temperature")))
+query("drawn", PS + ", c AS (SELECT *, sum(w + 0.1) OVER (PARTITION BY island ORDER BY id) AS c, sum(w + 0.1) OVER (PARTITION BY island) AS t FROM q) SELECT island, min(id) AS id FROM c WHERE c > 0.371 * t GROUP BY island")(
+    lambda spark, sf: ranking.drawn(programs(spark, sf).withColumn("w", F.expr("w + 0.1")), ["island"], "id", "w", F.lit(0.371)).select("island", "id")
+)
+query("nucleus", "WITH e AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE / 0.7 AS x FROM embeddings, range(64) t(i)), p AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM e), c AS (SELECT *, row_number() OVER o AS r, sum(p) OVER o - p AS c FROM p WINDOW o AS (PARTITION BY vec_id ORDER BY x DESC, i)) SELECT vec_id, count(*) AS n, min(i)::INT AS least, round(sum(p), 6) AS mass FROM c WHERE r <= 20 AND round(c, 9) < 0.25 GROUP BY 1")(
+    lambda spark, sf: ranking.nucleus(table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double")), ["vec_id"], "i", "x", 0.7, 20, 0.25).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("least"), r6(F.sum("prob"), "mass"))
+)
+query("new_only", "SELECT min(event_id) AS event_id FROM events WHERE event_type <> 'click' GROUP BY event_type, user_id")(
+    lambda spark, sf: ranking.new_only(table(spark, sf, "events").select("event_id", "event_type", "user_id"), table(spark, sf, "events").filter("event_type = 'click'").select("event_type", "user_id"), ["event_type", "user_id"], "event_id").select("event_id")
+)
+query("common_rows", "SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")(lambda spark, sf: table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey")))
+query("distinct_messages", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY 1")(lambda spark, sf: table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("types")))
+query("initialised_islands", PS + " SELECT DISTINCT island FROM q WHERE correct")(lambda spark, sf: _programs(spark, sf).filter("correct").select("island").distinct())
+query("search_score", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.1 ELSE 0.0 END::DOUBLE AS score FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", grading.search_score(_among(["<answer>p</answer><answer>The Cat</answer>", "<answer>cat</answer>" * 11, "<answer>p</answer><answer>dog</answer>", "<answer>cat</answer>"]), F.array(F.lit("cat")), form=0.1).alias("score"))
+)
+query("substring_score", "SELECT event_id, (event_id % 2 = 0)::INT::DOUBLE AS score FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", grading.substring_score(_among(["<answer>a</answer><answer>black cat here</answer>", "<answer>a</answer><answer>dog</answer>"]), F.array(F.lit("cat"))).alias("score")))
+query("satisfying", "SELECT count(*) AS n FROM range(16) t(i) WHERE ((i & 1) = 1 OR (i & 2) = 2) AND NOT ((i & 4) = 4) AND ((i & 8) = 8) = ((i & 1) = 1)")(lambda spark, sf: grading.satisfying("(a OR b) AND NOT c AND d = a", ["a", "b", "c", "d"], spark))
+query("goal_values", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE least(greatest(value / 50 - 0.5, 0), 1) END::DOUBLE AS v FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", grading.goal_value(F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value") / 50 - 0.5)).alias("v"))
+)
+query("principal_components")(lambda spark, sf: embedding.principal(table(spark, sf, "embeddings"), "embedding", 2).select("vec_id", F.round(F.abs(F.col("reduced")[0]), 4).alias("x"), F.round(F.abs(F.col("reduced")[1]), 4).alias("y")))
+query("embedding_clusters")(lambda spark, sf: embedding.clusters(table(spark, sf, "embeddings"), "embedding", 4, components=2).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))

@@ -92,3 +92,40 @@ def flatten(df: DataFrame, separator: str = "/") -> DataFrame:
 def action_spans(ids: Column, assistant: Column) -> Column:
     """Loss mask of a conversation: 1 on tokens of the assistant's turns."""
     return F.flatten(F.zip_with(ids, assistant, lambda x, a: F.transform(x, lambda _t: F.when(a, 1).otherwise(0))))
+
+
+def preference_rows(df: DataFrame, prompt: str, chosen: str, rejected: str) -> DataFrame:
+    """Two rows for each preference: the prompt with the chosen and with the rejected answer, told apart by `kind`."""
+    pair = F.array(F.struct(F.lit("chosen").alias("kind"), F.col(chosen).alias("answer")), F.struct(F.lit("rejected").alias("kind"), F.col(rejected).alias("answer")))
+    return df.select(F.col(prompt).alias("prompt"), F.explode(pair).alias("_x")).select("prompt", "_x.kind", F.concat("prompt", F.lit(" "), F.col("_x.answer")).alias("text"))
+
+
+def preference_variants(df: DataFrame, prompt: str, chosen: str, rejected: str, source: str, split: str, index: str) -> dict[str, DataFrame]:
+    """The same preferences as rows of three trainings: rm (prompt, chosen, rejected), sft (prompt, answer) and rl (training rows)."""
+    return {
+        "rm": df.select(F.col(prompt).alias("prompt"), F.col(chosen).alias("chosen"), F.col(rejected).alias("rejected")),
+        "sft": df.select(F.col(prompt).alias("prompt"), F.col(chosen).alias("response")),
+        "rl": df.select(*training_row(F.lit(source), F.col(prompt), F.col(chosen), split, F.col(index), "alignment")),
+    }
+
+
+def by_ordinal(hits: DataFrame, corpus: DataFrame, ordinal: str) -> DataFrame:
+    """The corpus rows that hits name by their number, as often as they name them."""
+    return hits.join(corpus, ordinal)
+
+
+def metric_rows(df: DataFrame, step: str, names: list[str]) -> DataFrame:
+    """Wide metrics as rows of step, key and value, the keys as metric stores take them; nulls are left out."""
+    from tesserakt.functions.text import metric_key
+
+    pairs = F.array(*(F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").cast("double").alias("value")) for n in names))
+    return df.select(step, F.explode(pairs).alias("_x")).select(step, metric_key(F.col("_x.key")).alias("key"), "_x.value").filter("value IS NOT NULL")
+
+
+def message_parts(text: Column) -> Column:
+    """Parts of a message in order: text, or the image or video that a placeholder stands for."""
+    marks = F.regexp_extract_all(text, F.lit("<(image|video)>"), F.lit(1))
+    texts = F.split(text, "<(?:image|video)>")
+    of = lambda kind, body: F.struct(kind.alias("type"), body.alias("text"))
+    both = F.transform(texts, lambda t, i: F.array(of(F.lit("text"), t), of(F.coalesce(F.get(marks, i), F.lit("none")), F.lit(""))))
+    return F.filter(F.flatten(both), lambda x: (x["type"] != "none") & ((x["type"] != "text") | (x["text"] != "")))
