@@ -182,7 +182,7 @@ def within_relative(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
     return F.abs(a - b) <= tolerance * F.abs(b)
 
 
-#: Scorers by what a source's name begins with; each takes the solution and the gold answer.
+# The names of sources. Scorers by what a name begins with; each takes the solution and the gold answer.
 ROUTES = {
     "openai/gsm8k": lambda s, g: F.when(F.coalesce(tx.final_number(s) == g, F.lit(False)), 1.0).otherwise(0.0),
     "lighteval/MATH": math_score,
