@@ -44,10 +44,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and reread it: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    """Write a stage to the shared folder and reread it: cuts lineage, survives lost executors.
+
+    Spark removes a finished stage's shuffle files once the driver collects its garbage, which an idle driver seldom does by
+    itself; so it is asked to.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
