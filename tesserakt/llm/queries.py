@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, decontam, html_content, langid, minhash, pii, pivot_topk, suffix_dedup, toxicity, warc
+from tesserakt.llm import bpe, decontam, html_content, langid, minhash, mixture, pii, pivot_topk, suffix_dedup, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
 #: Vocabulary of op7 and of the pipeline.
@@ -70,6 +70,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), last AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
 u AS (SELECT *, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM p),
@@ -112,6 +116,28 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d JOIN component c USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 
+#: Sources in the order in which they fill up: the first that isn't full at the level of those from it on gives the level.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::HUGEINT AS total, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, sum(total) OVER () AS words, row_number() OVER u AS i, coalesce(sum(2 * total) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(w) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s WINDOW u AS (ORDER BY total / w, total, source NULLS LAST)
+), level AS (
+  SELECT arg_min((3 * words - 2 * used)::HUGEINT, i) AS a, arg_min((2 * free)::HUGEINT, i) AS b FROM o WHERE w * (3 * words - 2 * used) <= 2 * total * 2 * free
+), t AS (
+  SELECT source, total, CASE WHEN b IS NULL OR w * a > 2 * total * b THEN 2 * total::DOUBLE ELSE (w * a)::DOUBLE / b::DOUBLE END AS target FROM o, level
+), r AS (
+  SELECT *, CASE WHEN total > 0 THEN floor(target / total::DOUBLE) ELSE 0 END::BIGINT AS whole FROM t
+), x AS (
+  SELECT doc_id, size, total, target, whole, floor(target + 0.5)::BIGINT - whole * total AS extra, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, total::BIGINT AS source_size, target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -123,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix": op8_suffix,
     "op9_minhash": op9_minhash,
     "op10_html": op10_html,
+    "op11_mix": op11_mix,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL, "op11_mix": OP11_SQL}
