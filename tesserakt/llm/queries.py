@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, decontam, html_content, langid, minhash, mixture, pii, pivot_topk, suffix_dedup, toxicity, warc
+from tesserakt.llm import bpe, decontam, divergence, html_content, langid, minhash, mixture, pii, pivot_topk, suffix_dedup, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
 #: Vocabulary of op7 and of the pipeline.
@@ -74,6 +74,10 @@ def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"), least=30, top=50)
+
+
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), last AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
 u AS (SELECT *, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM p),
@@ -138,6 +142,29 @@ WITH d AS (
 SELECT doc_id, size, total::BIGINT AS source_size, target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM x
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, k.n AS n_lang FROM g JOIN kept k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + 1000000000::HUGEINT * (c.n + 5) // (totals.total + 5 * l.v) AS p, 1 + 1000000000::HUGEINT * (c.n_lang + 5) // (l.total + 5 * l.v) AS q
+  FROM c JOIN totals ON totals.lang = c.lang AND totals.source = c.source JOIN l ON l.lang = c.lang
+), s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pair UNION ALL FROM term)
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -150,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_html": op10_html,
     "op11_mix": op11_mix,
+    "op12_divergence": op12_divergence,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL, "op11_mix": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL, "op11_mix": OP11_SQL, "op12_divergence": OP12_SQL}
