@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, decontam, divergence, html_content, langid, minhash, mixture, pii, pivot_topk, suffix_dedup, toxicity, warc
+from tesserakt.llm import bpe, decontam, divergence, html_content, langid, minhash, mixture, pii, pivot_topk, spelling, suffix_dedup, toxicity, warc
 from tesserakt.llm.common import fold, read_table
 
 #: Vocabulary of op7 and of the pipeline.
@@ -78,6 +78,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"), least=30, top=50)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), last AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
 u AS (SELECT *, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM p),
@@ -165,6 +169,33 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DES
 QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
 """
 
+#: Checksums bit by bit through the table of 256 remainders; near words share a word without one code point, or one is the other's.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (SELECT v, v AS r, 0 AS i FROM (SELECT unnest(range(0, 256)) AS v) UNION ALL SELECT v, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i + 1 FROM bits WHERE i < 8),
+remainders AS (SELECT list(r ORDER BY v) AS t FROM bits WHERE i = 8),
+runs AS (
+  SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents
+  ) WHERE length(w) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT w, n, list_concat([4294967295], flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))) AS b FROM runs
+), sums AS (SELECT w, n, xor(list_reduce(b, lambda h, x: xor(t[(xor(h, x) & 255) + 1], h >> 8)), 4294967295) AS h FROM bytes, remainders),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM sums),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+without AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.d = b.word
+), best AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.other_n = b.best_n) END AS form,
+    CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN best b USING (word)
+), chain AS (SELECT word, word AS root, 0 AS depth FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -178,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
     "op11_mix": op11_mix,
     "op12_divergence": op12_divergence,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL, "op11_mix": OP11_SQL, "op12_divergence": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_minhash": OP9_SQL, "op11_mix": OP11_SQL, "op12_divergence": OP12_SQL, "op13_spelling": OP13_SQL}
