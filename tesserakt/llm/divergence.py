@@ -59,12 +59,12 @@ def partial_counts(docs: DataFrame) -> DataFrame:
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = 0
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, source, term, in_docs[term], n) for (lang, source), (in_docs, terms) in groups.items() for term, n in terms.items()]
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (in_docs, terms) in groups.items():
+                names = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
+                counts = [pa.array(x, pa.int64()) for x in (map(in_docs.__getitem__, terms), terms.values())]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(terms.keys(), pa.binary()), *counts], names=["lang", "source", "term", "n_docs", "n"])
             groups.clear()
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n_docs", "n"])
 
         for batch in batches:
             raw, offs = buffers(batch.column(2))
@@ -77,9 +77,9 @@ def partial_counts(docs: DataFrame) -> DataFrame:
                 in_docs.update(seen)
                 held += len(terms) - before
                 if held > HELD:
-                    yield out()
+                    yield from out()
                     held = 0
-        yield out()
+        yield from out()
 
     return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
 
