@@ -6,7 +6,7 @@ import ast
 import operator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesserakt.functions import text as tx
@@ -31,14 +31,14 @@ def _without(x: Column, word: str, by: str = "") -> Column:
 def canonical_latex(answer: Column) -> Column:
     """One spelling for answers that differ in spacing, fraction and root shorthand, units or a short left side of an equation."""
     x = answer
-    for word in ("\n", "\\!"):
+    for word in DROPPED[:2]:
         x = _without(x, word)
     x = _without(x, "\\\\", "\\")
     for a, b in REWRITTEN:
         x = _without(x, a, b)
     for word in DROPPED[2:]:
         x = _without(x, word)
-    x = F.when(F.contains(x, F.lit("\\text{ ")), F.substring_index(x, "\\text{ ", 1)).otherwise(x)
+    x = F.substring_index(x, "\\text{ ", 1)
     x = _without(x, "\\%")
     x = F.regexp_replace(F.regexp_replace(x, r" \.", " 0."), r"\{\.", "{0.")
     x = F.regexp_replace(x, r"^\.", "0.")
@@ -47,7 +47,7 @@ def canonical_latex(answer: Column) -> Column:
     x = _without(x, " ")
     x = F.regexp_replace(x, r"\\frac([^{\\])([^{\\])", r"\\frac{$1}{$2}")
     x = F.regexp_replace(x, r"\\frac([^{\\])\{", r"\\frac{$1}{")
-    x = F.when(x == "0.5", "\\frac{1}{2}").otherwise(x)
+    x = F.regexp_replace(x, r"^0\.5$", r"\\frac{1}{2}")
     return F.regexp_replace(x, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
 
 
@@ -234,12 +234,6 @@ def substring_score(text: Column, golds: Column, at_least: int = 2, right: float
     return F.when(answer.isNull(), 0.0).when(tx.contains_match(answer, golds) == 1, right).otherwise(form)
 
 
-def satisfying(formula: str, names: list[str], spark: SparkSession) -> DataFrame:
-    """Number of the 2**k assignments of truth values under which a formula in SQL (and, or, not, =) holds, as a table of one row."""
-    bits = [F.expr(f"(id >> {i}) & 1 = 1").alias(n) for i, n in enumerate(names)]
-    return spark.range(1 << len(names)).select(*bits).filter(F.expr(formula)).agg(F.count(F.lit(1)).alias("n"))
-
-
 def goal_value(value: Column) -> Column:
     """An evaluated goal as a number from 0 to 1; what has no finite value is 0."""
     x = value.cast("double")

@@ -397,7 +397,6 @@ query("search_score", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1
     lambda spark, sf: table(spark, sf, "events").select("event_id", grading.search_score(_among(["<answer>p</answer><answer>The Cat</answer>", "<answer>cat</answer>" * 11, "<answer>p</answer><answer>dog</answer>", "<answer>cat</answer>"]), F.array(F.lit("cat")), form=0.1).alias("score"))
 )
 query("substring_score", "SELECT event_id, (event_id % 2 = 0)::INT::DOUBLE AS score FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", grading.substring_score(_among(["<answer>a</answer><answer>black cat here</answer>", "<answer>a</answer><answer>dog</answer>"]), F.array(F.lit("cat"))).alias("score")))
-query("satisfying", "SELECT count(*) AS n FROM range(16) t(i) WHERE ((i & 1) = 1 OR (i & 2) = 2) AND NOT ((i & 4) = 4) AND ((i & 8) = 8) = ((i & 1) = 1)")(lambda spark, sf: grading.satisfying("(a OR b) AND NOT c AND d = a", ["a", "b", "c", "d"], spark))
 query("goal_values", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE least(greatest(value / 50 - 0.5, 0), 1) END::DOUBLE AS v FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", grading.goal_value(F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value") / 50 - 0.5)).alias("v"))
 )
