@@ -350,17 +350,19 @@ def _number(answer: Column) -> Column:
 def answers_equal(given: Column, truth: Column) -> Column:
     """Whether a given answer is the true one; false if either is null.
 
-    Only what spelling and numbers don't decide is handed to Python.
+    Only what spelling and numbers don't decide is parsed.
     """
     close = lambda x, y: F.abs(x - y) <= TOLERANCE * F.greatest(F.abs(x), F.abs(y))
     x, y = _number(given), _number(truth)
-    spelt = F.coalesce((normalised(given) == normalised(truth)) | grading.same_latex(F.trim(given), F.trim(truth)), F.lit(False))
+    plain = normalised(given), normalised(truth)
+    spelt = F.coalesce((plain[0] == plain[1]) | grading.same_latex(F.trim(given), F.trim(truth)), F.lit(False))
     numeric = F.coalesce(close(x, y / 100) | close(x, y) | close(x, y * 100), F.lit(False))
-    decided = spelt | (x.isNotNull() & y.isNotNull()) | given.isNull() | truth.isNull()
+    missing = given.isNull() | truth.isNull()
+    decided = missing | (x.isNotNull() & y.isNotNull())
 
     @F.pandas_udf("boolean")
-    def run(given: pd.Series, truth: pd.Series) -> pd.Series:
-        return pd.Series([isinstance(a, str) and isinstance(b, str) and alike(a, b) for a, b in zip(given, truth, strict=True)], dtype=bool)
+    def run(spelt: pd.Series, given: pd.Series, truth: pd.Series, plain_given: pd.Series, plain_truth: pd.Series) -> pd.Series:
+        rows = zip(spelt, given, truth, plain_given, plain_truth, strict=True)
+        return pd.Series([bool(s) or (isinstance(a, str) and isinstance(b, str) and (alike(a, b) or alike(c, d))) for s, a, b, c, d in rows], dtype=bool)
 
-    left = run(F.when(~decided, given), truth)
-    return F.when(given.isNull() | truth.isNull(), False).otherwise(spelt | numeric | left)
+    return ~missing & (numeric | run(spelt, F.when(~decided, given), truth, *plain))
