@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserakt.functions import propositions, symbolic
-from tesserakt.operators import inspiration, pairs, patches, trees
+from tesserakt.functions import code_metrics, propositions, symbolic, tool_calls
+from tesserakt.operators import bandits, inspiration, pairs, patches, trees
 from tesserakt.plans.extra import PS, _archive, _programs
 from tesserakt.plans.registry import query, table
 
@@ -220,3 +220,69 @@ query(
     every AS (SELECT request, program, place AS came FROM taken UNION ALL SELECT request, program, turn + 1000000 FROM best WHERE turn <= 3)
     SELECT request, (row_number() OVER (PARTITION BY request ORDER BY score, came) - 1)::INT AS place, program FROM every JOIN q ON id = program""",
 )(_context)
+
+# Tool calls: turns of conversations as calls of two grammars, every fifth broken
+
+
+def _called(spark, sf):
+    t = table(spark, sf, "conversations")
+    body = F.to_json(F.struct(F.concat(F.lit("say"), F.col("turn").cast("string")).alias("name"), F.struct("text", "turn").alias("arguments")))
+    mark = lambda x: F.concat(F.lit("<tool_call>"), x, F.lit("</tool_call>"))
+    broken = F.when(F.col("conv_id") % 5 == 1, F.lit('{"name": "x"}')).otherwise(F.lit("{"))
+    hermes = F.concat(F.col("role"), mark(body), F.when(F.col("conv_id") % 5 < 3, mark(broken)).otherwise(""))
+    xml = F.concat("role", F.lit("<tool_call>\n<function=say>\n<parameter=text>\n"), F.replace("text", F.lit("<"), F.lit("(")), F.lit("\n</parameter>\n<parameter=turn>"), F.col("turn").cast("string"), F.lit("</parameter>\n</function>"))
+    even = F.col("turn") % 2 == 0
+    said = t.select("conv_id", "turn", F.when(even, hermes).otherwise(xml).alias("text"), F.when(even, "hermes").otherwise("qwen3_coder").alias("grammar"))
+    types = F.lit('{"say": {"text": "string", "turn": "integer"}}')
+    calls = said.lateralJoin(tool_calls.tool_calls(F.col("text").outer(), F.col("grammar").outer(), types))
+    return calls.select("conv_id", "turn", "place", "name", F.md5(F.get_json_object("arguments", "$.text")).alias("text"), F.get_json_object("arguments", "$.turn").cast("long").alias("argument"), "reason", F.col("content"))
+
+
+query(
+    "called_tools",
+    """WITH t AS (SELECT *, turn % 2 = 0 AS even FROM conversations)
+    SELECT conv_id, turn, 0 AS place, CASE WHEN even THEN 'say' || turn ELSE 'say' END AS name, md5(CASE WHEN even THEN text ELSE replace(text, '<', '(') END) AS text, turn::BIGINT AS argument, NULL AS reason, role AS content FROM t
+    UNION ALL SELECT conv_id, turn, 1, NULL, NULL, NULL, CASE WHEN conv_id % 5 = 1 THEN 'no name or no arguments' ELSE 'not JSON' END, role FROM t WHERE even AND conv_id % 5 < 3""",
+)(_called)
+
+# Code: documents as programs of a language each
+
+
+def _measured(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("language", F.when(F.col("doc_id") % 2 == 0, "cpp").otherwise("text"))
+    code = F.replace(F.replace("text", F.lit(". "), F.lit("{\nif x else ")), F.lit(","), F.lit("}\n//"))
+    got = code_metrics.code_metrics(docs.withColumn("code", code), "code", "language")
+    rounded = [F.round(f"metrics.{n}", 6).alias(n) if k == "double" else F.col(f"metrics.{n}").alias(n) for n, k in zip(code_metrics.NAMES, code_metrics.KINDS, strict=True)]
+    return got.select("doc_id", *rounded)
+
+
+query(
+    "code_metrics",
+    r"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS c, replace(replace(text, '. ', '{' || chr(10) || 'if x else '), ',', '}' || chr(10) || '//') AS t FROM documents),
+    l AS (SELECT *, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM d),
+    m AS (SELECT *, 1 + len(regexp_extract_all(t, '(?i)\bif\b')) + len(regexp_extract_all(t, '(?i)\belse\b')) + len(regexp_extract_all(t, '(?i)\bwhile\b')) + len(regexp_extract_all(t, '(?i)\bfor\b')) + len(regexp_extract_all(t, '(?i)\bswitch\b'))
+      + len(regexp_extract_all(t, '(?i)\bcase\b')) + len(regexp_extract_all(t, '(?i)\bcatch\b')) + len(regexp_extract_all(t, '\b\?\b')) AS cc, len(l) AS loc,
+      len(list_filter(l, lambda x: x <> '')) AS filled, len(list_filter(l, lambda x: x LIKE '//%' OR x LIKE '/*%' OR x LIKE '%*/')) AS comments,
+      list_reduce(list_concat([0::BIGINT], list_transform(regexp_extract_all(t, '[{}]'), lambda b: CASE WHEN b = '{' THEN 1 ELSE -1 END::BIGINT)), lambda s, b: greatest(s // 1000000, greatest(0, s % 1000000 + b)) * 1000000 + greatest(0, s % 1000000 + b)) // 1000000 AS depth FROM l),
+    v AS (SELECT *, filled - comments AS lloc, greatest(1.0, (filled - comments) * log2(greatest(1.0, cc::DOUBLE))) AS v, greatest(filled, 1) AS g FROM m)
+    SELECT doc_id, CASE WHEN c THEN cc ELSE 1 END::INT AS cyclomatic_complexity, CASE WHEN c THEN cc ELSE 1 END::DOUBLE AS average_cyclomatic_complexity, round(CASE WHEN c THEN v ELSE g END, 6) AS halstead_volume, 1.0::DOUBLE AS halstead_difficulty,
+      round(CASE WHEN c THEN v ELSE g END, 6) AS halstead_effort, CASE WHEN c THEN loc ELSE filled END::INT AS lines_of_code, CASE WHEN c THEN lloc ELSE filled END::INT AS logical_lines_of_code, CASE WHEN c THEN comments ELSE 0 END::INT AS comments,
+      round(CASE WHEN c THEN greatest(0, 171 - 5.2 * log2(v) - 0.23 * cc - 16.2 * log2(greatest(loc, 1))) ELSE 100 END, 6)::DOUBLE AS maintainability_index, CASE WHEN c THEN depth ELSE 1 END::INT AS max_nesting_depth,
+      CASE WHEN c THEN round(least(0.4 * least(cc / 10, 1) + 0.4 * least(log2(v + 1) / 10, 1) + 0.1 * least(log2(loc + 1) / 10, 1) + 0.1 * least(depth / 5, 1), 1), 3) ELSE round(least(log2(g) / 10, 1), 3) END::DOUBLE AS complexity_score FROM v""",
+)(_measured)
+
+# Bandits: kinds of events are arms, every seventh reward is missing
+
+
+def _pulls(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", "event_type", F.when(F.col("event_id") % 7 > 0, F.col("value") / 100).alias("reward"), ((F.col("user_id") % 3) / 10).alias("baseline"))
+
+
+def _bandit(spark, sf):
+    return bandits.states(_pulls(spark, sf), "event_id", "event_type", "reward", "baseline")
+
+
+query("bandit_states")(lambda spark, sf: _bandit(spark, sf))
+query("bandit_betas")(lambda spark, sf: bandits.betas(_bandit(spark, sf)))
+query("bandit_bounds")(lambda spark, sf: bandits.bounds(_bandit(spark, sf)))
