@@ -288,11 +288,12 @@ def prefix_tree(df: DataFrame, group: list[str], row: str, pos: str, token: str,
     A node is a beginning that some rollouts of the group share; its value is their
     entropic risk, (1 / beta) log mean exp(beta s). A token's advantage is its node's
     value, standardised over all nodes of the group, the root included (population
-    deviation). Groups of one and groups of one score get 0. A beginning is named by a
-    hash that each token carries on, so no prefix is held.
+    deviation). Groups of one and groups of one score get 0. A beginning is named by 128
+    bits: hashes of its tokens and their places, combined token by token, so no prefix is held.
     """
     w = Window.partitionBy(*group, row).orderBy(pos)
-    rows = df.withColumn("_h", F.md5(F.concat_ws(",", F.collect_list(F.col(token).cast("string")).over(w))))
+    named = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), pos, token)).over(w)
+    rows = df.withColumn("_h", F.struct(named(0), named(1)))
     node = [*group, pos, "_h"]
     top = F.max(beta * F.col(score)).over(Window.partitionBy(*group))
     rows = rows.withColumn("_t", top)

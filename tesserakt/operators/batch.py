@@ -104,9 +104,10 @@ def response_mask(ids: Column, end: int) -> Column:
 
 
 def position_ids(mask: Column) -> Column:
-    """Running number of kept tokens from 0, 0 where masked."""
-    total = F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x))
-    return F.zip_with(total, mask, lambda t, m: (t - 1) * m)
+    """Running number of kept tokens from 0, 0 where masked: kept tokens are sorted before masked ones, numbered, and sorted back."""
+    kept_first = F.sort_array(F.transform(mask, lambda m, i: F.struct((1 - m).alias("masked"), i.alias("at"))))
+    ranked = F.transform(kept_first, lambda x, i: F.struct(x["at"].alias("at"), F.when(x["masked"] == 0, i).otherwise(0).alias("n")))
+    return F.transform(F.sort_array(ranked), lambda x: x["n"])
 
 
 def without_pads(ids: Column, mask: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserakt.operators.stages import numbered
+
 
 def group_mean_std(df: DataFrame, value: str, group: list[str], epsilon: float = 1e-6) -> DataFrame:
     """Count, mean and sample deviation of each group, the variance held at epsilon at least; groups of one: 0 and 1."""
@@ -16,10 +18,8 @@ def group_mean_std(df: DataFrame, value: str, group: list[str], epsilon: float =
 
 
 def dense_index(df: DataFrame, label: str, out: str = "gidx") -> DataFrame:
-    """Consecutive numbers from 0 for the distinct labels in their order. The labels are numbered once, then joined."""
-    labels = df.select(label).distinct()
-    w = Window.orderBy(label)  # over distinct labels only
-    return df.join(labels.withColumn(out, (F.row_number().over(w) - 1).cast("long")), label)
+    """Consecutive numbers from 0 for the distinct labels in their order. The labels are numbered once, range by range, then joined."""
+    return df.join(numbered(df.select(label).distinct(), [F.col(label).asc()], out), label)
 
 
 def masked(df: DataFrame, value: str, mask: str, group: list[str], variant: str = "epsilon") -> DataFrame:

@@ -1,18 +1,32 @@
-"""Stages that cut a plan's lineage."""
+"""Stages that cut a plan's lineage, and numbers along an order."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder and reread; a single machine that names none gets one in its temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
+    """Written as Parquet to the checkpoint folder and reread; a single machine that names none gets one in its temporary folder."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tesserakt-"))
-    return df.checkpoint()
+        path = "file://" + tempfile.mkdtemp(prefix="tesserakt-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    path = f"{path.rstrip('/')}/tesserakt/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows with their number from 0 in the whole order; each range of the order is numbered by itself, and only the ranges' sizes meet."""
+    parts = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(sizes.select("_part", before.alias("_before")), "_part").select(*df.columns, (F.col("_before") + within).alias(out))

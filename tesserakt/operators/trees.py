@@ -18,7 +18,7 @@ def ancestry(df: DataFrame, node: str, parent: str, most: int = 10) -> DataFrame
         out = out.union(longer.filter(F.col("depth") <= most))
         step = step.join(far, step["ancestor"] == far["_n"]).select("node", F.col("_a").alias("ancestor"))
         reach *= 2
-        if 2 <= reach < most:
+        if 8 <= reach < most:
             out, step = staged(out), staged(step)
     return out.join(df.select(F.col(node).alias("ancestor")), "ancestor", "left_semi").select("node", "ancestor", "depth")
 
@@ -29,19 +29,20 @@ def lineage(df: DataFrame, node: str, parent: str, most: int = 10) -> DataFrame:
     return path.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("depth"), "ancestor"))), lambda x: x["ancestor"]).alias("path"))
 
 
-def subtree(df: DataFrame, node: str, parent: str, root: Column, largest: int, depth: int = 20) -> DataFrame:
-    """The nodes below a root in breadth-first order (ties by id), `largest` at most, the root among them."""
+def subtree(df: DataFrame, node: str, parent: str, root: Column, largest: int) -> DataFrame:
+    """The nodes below a root in breadth-first order (ties by id), `largest` at most, the root among them, however deep they lie."""
     links = df.select(F.col(node).alias("_c"), F.col(parent).alias("_p"))
-    level = df.filter(root).select(F.col(node).alias("node"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(links, level["node"] == links["_p"]).select(F.col("_c").alias("node"), F.lit(d).alias("depth")).orderBy("node").limit(largest)  # no more of a level can be among the first
-        if d % 4 == 0:  # a plan of a few joins at a time
-            level = staged(level)
-            if level.isEmpty():
-                break
-        out = out.union(level)
-    return out.orderBy("depth", "node").limit(largest)
+    level = staged(df.filter(root).select(F.col(node).alias("node"), F.lit(0).alias("depth")).orderBy("node").limit(largest))
+    out, have, depth = level, level.count(), 0
+    while 0 < have < largest:
+        depth += 1
+        below = level.join(links, level["node"] == links["_p"]).select(F.col("_c").alias("node")).distinct().join(out.select("node"), "node", "left_anti")
+        level = staged(below.orderBy("node").limit(largest - have).select("node", F.lit(depth).alias("depth")))
+        n = level.count()
+        if not n:
+            break
+        out, have = out.union(level), have + n
+    return out.orderBy("depth", "node")
 
 
 def child_counts(df: DataFrame, node: str, parent: str) -> DataFrame:
@@ -109,10 +110,16 @@ def open_leaf(df: DataFrame, goal: str, parent: str, level: str, satisfied: str,
     return leaves.filter((F.coalesce(satisfied, F.lit(0)) == 0) & (F.col(level) < deepest)).orderBy(level, goal).limit(1).select(goal, level)
 
 
-def with_ancestors(nodes: DataFrame, node: str, path: str, leaves: DataFrame, leaf: str) -> DataFrame:
-    """Chosen leaves and all their ancestors; `path` holds each node's ancestors."""
-    kept = nodes.join(leaves.select(F.col(leaf).alias(node)), node, "left_semi").select(F.explode(F.array_append(F.col(path), F.col(node))).alias(node)).distinct()
-    return nodes.join(kept, node, "left_semi")
+def with_ancestors(nodes: DataFrame, node: str, parent: str, leaves: DataFrame, leaf: str) -> DataFrame:
+    """Chosen leaves and all their ancestors, however many: one step up at a time, from what the last step added, until nothing is new."""
+    links = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
+    new = staged(leaves.select(F.col(leaf).alias("_n")).distinct().join(links, "_n", "left_semi"))
+    kept = new
+    while not new.isEmpty():
+        up = new.join(links, "_n").select(F.col("_p").alias("_n")).distinct().join(links, "_n", "left_semi")
+        new = staged(up.join(kept, "_n", "left_anti"))
+        kept = kept.union(new)
+    return nodes.join(kept.select(F.col("_n").alias(node)), node, "left_semi")
 
 
 def span_scores(tokens: DataFrame, row: str, pos: str, spans: DataFrame, start: str, end: str, score: str) -> DataFrame:

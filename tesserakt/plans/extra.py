@@ -222,18 +222,20 @@ query("majority_at")(lambda spark, sf: grouped.majority_at(table(spark, sf, "eve
 
 # Trees
 
-query("prefix_tree")(
+query(
+    "prefix_tree",
+    f"""{T}, x AS (SELECT seq, pos, seq // 4 AS g, seq % 5 AS s, string_agg((m + floor(v))::VARCHAR, ',') OVER (PARTITION BY seq ORDER BY pos) AS h FROM t), n AS (SELECT g, pos, h, ln(avg(exp(0.5 * s))) / 0.5 AS v FROM x GROUP BY ALL),
+    root AS (SELECT g, ln(avg(exp(0.5 * s))) / 0.5 AS v, stddev_samp(s) AS d FROM (SELECT DISTINCT seq, g, s FROM x) GROUP BY g), st AS (SELECT g, avg(v) AS mean, stddev_pop(v) AS dev FROM (SELECT g, v FROM n UNION ALL SELECT g, v FROM root) GROUP BY g)
+    SELECT seq, pos::INT AS pos, round(CASE WHEN coalesce(d, 0) < 1e-12 THEN 0 ELSE (n.v - mean) / (dev + 1e-6) END, 6) AS adv FROM x JOIN n USING (g, pos, h) JOIN root USING (g) JOIN st USING (g)""",
+)(
     lambda spark, sf: ad.prefix_tree(tokens(spark, sf).withColumn("g", F.floor(F.col("seq") / 4)).withColumn("s", F.col("seq") % 5).withColumn("tok", F.col("m") + F.floor(F.col("v"))), ["g"], "seq", "pos", "tok", "s", 0.5).select("seq", "pos", r6("adv"))
 )
 query("multi_turn_baseline", f"{T}, k AS (SELECT *, sum(m) OVER (PARTITION BY seq ORDER BY pos) AS kp FROM t), b AS (SELECT *, sum(r * v) OVER w / (sum(v) OVER w + 1e-8) AS b FROM k WHERE m = 1 WINDOW w AS (PARTITION BY seq % 50, kp)) SELECT seq, pos::INT AS pos, round(r - b, 6) AS adv FROM b UNION ALL SELECT seq, pos::INT, 0 FROM k WHERE m = 0")(
     lambda spark, sf: ad.multi_turn_token_baseline(tokens(spark, sf).withColumn("g", F.col("seq") % 50), ["g"], "seq", "pos", "r", "v", "m").select("seq", "pos", r6("adv"))
 )
 query("with_ancestors", PS + ", u AS (SELECT id AS node, id AS a FROM q WHERE id % 7 = 3 UNION ALL SELECT node, a // 2 FROM u WHERE a > 0) SELECT DISTINCT a AS id FROM u")(
-    lambda spark, sf: trees.with_ancestors(
-        programs(spark, sf).select("id").join(trees.ancestry(programs(spark, sf), "id", "parent", 24).groupBy(F.col("node").alias("id")).agg(F.collect_list("ancestor").alias("path")), "id", "left").withColumn("path", F.coalesce("path", F.array().cast("array<long>"))),
-        "id", "path", programs(spark, sf).filter("id % 7 = 3").select(F.col("id").alias("leaf")), "leaf",
-    ).select("id")
-)
+    lambda spark, sf: trees.with_ancestors(programs(spark, sf).select("id", "parent"), "id", "parent", programs(spark, sf).filter("id % 7 = 3").select(F.col("id").alias("leaf")), "leaf").select("id")
+)
 query("span_scores", f"{T} SELECT seq, pos::INT AS pos, CASE WHEN pos IN (1, 2) THEN seq % 10 WHEN pos = 4 THEN 5 ELSE 0 END::DOUBLE AS score FROM t")(
     lambda spark, sf: trees.span_scores(tokens(spark, sf).select("seq", "pos"), "seq", "pos", tokens(spark, sf).select("seq").distinct().select("seq", F.explode(F.array(F.struct(F.lit(1).alias("a"), F.lit(3).alias("b"), (F.col("seq") % 10).cast("double").alias("s")), F.struct(F.lit(4).alias("a"), F.lit(5).alias("b"), F.lit(5.0).alias("s")))).alias("x")).select("seq", "x.*"), "a", "b", "s").select("seq", "pos", "score")
 )

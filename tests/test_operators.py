@@ -176,3 +176,28 @@ def test_leaf_means_in_a_circle(spark):
     df = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (3, 1, 1.0)], "id int, up int, s double")
     with pytest.raises(ValueError):
         trees.leaf_means(df, "id", "up", "s")
+
+
+def test_no_depth_is_too_great(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id long, up long")
+    got = trees.subtree(chain, "id", "up", F.col("id") == 0, 100).collect()
+    assert [(r["node"], r["depth"]) for r in got] == [(i, i) for i in range(40)]
+    assert trees.subtree(chain, "id", "up", F.col("id") == 0, 7).count() == 7 and trees.subtree(chain, "id", "up", F.col("id") == -1, 7).count() == 0
+    circle = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "id long, up long")
+    assert trees.subtree(circle, "id", "up", F.col("id") == 0, 100).count() == 3
+    kept = trees.with_ancestors(chain, "id", "up", spark.createDataFrame([(35,), (12,), (99,)], "leaf long"), "leaf")
+    assert sorted(r["id"] for r in kept.collect()) == list(range(36))
+
+
+def test_plans_without_growing_lists_or_single_tasks(spark):
+    tokens = spark.createDataFrame([(0, r, t, (r * t) % 3, float(r)) for r in range(6) for t in range(20)], "g int, r int, t int, tok int, s double")
+    plan = ad.prefix_tree(tokens, ["g"], "r", "t", "tok", "s", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    labels = spark.createDataFrame([(x,) for x in "dbca" * 5], "label string")
+    out = grouped.dense_index(labels, "label")
+    assert sorted({(r["label"], r["gidx"]) for r in out.collect()}) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
+def test_position_ids(spark):
+    rows = spark.createDataFrame([([1, 1, 0, 1],), ([0, 0],), ([],), ([0, 1, 1],)], "m array<int>")
+    assert [list(r[0]) for r in rows.select(batch.position_ids(F.col("m"))).collect()] == [[0, 1, 0, 2], [0, 0], [], [0, 0, 1]]
