@@ -277,7 +277,9 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, first, sums_of(range_hash(prefix_sums(data), starts, ends))
 
 
-_STRETCH = "t1 long, t2 long, g long, sh long, first long, n long, twice boolean, before long, behind long, words boolean"
+_STRETCH = "t1 long, t2 long, g long, sh long, first int, n int, twice boolean, before long, behind long, words boolean"
+#: What the texts at hand tell of a stretch's least gram: only here, here and elsewhere; or that it's a row that stands for the latter.
+ALONE, SHARED, SIGN = 0, 1, 2
 
 
 def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -292,12 +294,54 @@ def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
                 parts.append((text, key ^ np.uint64(WORD_SALT), *rest, True))
                 sizes = [len(x[0]) for x in parts]
                 text, key, own, first, count, twice, before, behind = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:8])
-                at = pa.array(text + i)
-                arrays = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (key, own)), pa.array(first), pa.array(count), pa.array(twice)]
-                arrays += [pa.array(x.view(np.int64)) for x in (before, behind)] + [pa.array(np.repeat([x[8] for x in parts], sizes))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _STRETCH.split(", ")])
+                words = np.repeat([x[8] for x in parts], sizes)
+                _, one, where, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                signs = one[many > 1]
+                rows = np.concatenate((np.arange(len(key)), signs))
+                state = np.concatenate((np.where(many[where] > 1, SHARED, ALONE), np.full(len(signs), SIGN)))
+                at = pa.array(text[rows] + i)
+                longs = [pa.array(x[rows].astype(np.uint64).view(np.int64)) for x in (key, own, before, behind)]
+                arrays = [batch.column(0).take(at), batch.column(1).take(at), *longs[:2], pa.array(first[rows], pa.int32()), pa.array(count[rows], pa.int32()), pa.array(twice[rows]), *longs[2:], pa.array(words[rows]), pa.array(state, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*(x.split()[0] for x in _STRETCH.split(", ")), "state"])
 
-    return docs.select("t1", "t2", "text").mapInArrow(run, _STRETCH)
+    return docs.select("t1", "t2", "text").mapInArrow(run, _STRETCH + ", state int")
+
+
+def _meeting(found: DataFrame) -> DataFrame:
+    """The stretches whose least gram occurs elsewhere too, or twice in itself.
+
+    One shuffle by gram, in which each portion of texts has a single row of a gram, the stretch itself or a sign for several. Stretches that a
+    portion already knows to be shared go anywhere. Rows stream past in order of their gram, so that no gram is held together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, None  # the last gram's only row so far; the last gram if it has several
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            g, state, twice = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 10, 6))
+            loose = np.flatnonzero(state != SHARED)
+            keep, held = state == SHARED, None
+            if len(loose):
+                own = g[loose]
+                again = np.zeros(len(own), dtype=bool)
+                same = own[1:] == own[:-1]
+                again[1:] |= same
+                again[:-1] |= same
+                if known is not None:
+                    again |= own == known
+                keep[loose] = (again | twice[loose]) & (state[loose] == ALONE)
+                known = own[-1] if again[-1] else None
+                if known is None:
+                    held = batch.slice(int(loose[-1]), 1)
+                    keep[loose[-1]] = False
+            yield batch.filter(pa.array(keep)).select(range(10))
+        if held is not None and held.column(6)[0].as_py() and held.column(10)[0].as_py() == ALONE:
+            yield held.select(range(10))
+
+    route = F.when(F.col("state") == SHARED, F.xxhash64("t1", "first")).otherwise(F.col("g"))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.withColumn("route", route).repartition(parts, "route").drop("route").sortWithinPartitions("g").mapInArrow(run, _STRETCH)
 
 
 def _bytes_of(docs: DataFrame, length: int) -> DataFrame:
@@ -372,12 +416,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     name = F.md5(F.encode(text, "utf-8"))
     part = lambda at: F.conv(F.substring(name, at, 15), 16, 10).cast("long")
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), part(1).alias("t1"), part(16).alias("t2"))
-    found = materialise(_stretch_rows(texts, length), "stretches")
-    # only stretches whose least gram occurs elsewhere go on; how many do grows with the texts, so none are broadcast
-    shared = found.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("sh").alias("lo"), F.max("sh").alias("hi"), F.max("twice").alias("any")).filter("k > 1 OR any")
-    some = materialise(found.join(shared.select("g", (F.col("lo") != F.col("hi")).alias("several"), "any").hint("merge"), "g"), "shared")
-    kinds = some.groupBy("g", "sh", "words").agg(F.count(F.lit(1)).alias("c"), F.max("several").alias("several"), F.max("any").alias("any"), F.max("before").alias("before"), F.max("behind").alias("behind"), F.min("t1").alias("low"), F.max("t1").alias("high"))
-    kinds = materialise(kinds, "kinds")
+    some = materialise(_meeting(_stretch_rows(texts, length)), "shared")
+    equal = [F.count(F.lit(1)).alias("c"), F.max("twice").alias("any"), F.max("before").alias("before"), F.max("behind").alias("behind"), F.min("t1").alias("low"), F.max("t1").alias("high")]
+    kinds = materialise(some.groupBy("g", "sh", "words").agg(*equal), "kinds")
+    of_gram = kinds.groupBy("g").agg((F.count(F.lit(1)) > 1).alias("several"), F.max("any").alias("any"))
+    kinds = materialise(kinds.drop("any").join(of_gram, "g"), "kinds")
     meeting = kinds.filter("several OR any")
     sides = meeting.filter("NOT any").select("g", "sh", F.explode(F.array("before", "behind")).alias("side")).filter("side <> 0")
     equal = sides.groupBy("g", "side").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "side")
