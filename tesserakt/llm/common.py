@@ -56,6 +56,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the user has called theirs."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str, k: int):
     """crc32 of the id as text, modulo k."""
     return F.crc32(F.col(column).cast("string")) % k

@@ -11,15 +11,17 @@ shares none of BANDS bands with a probability of 5e-6: the one thing that can
 lose a link. Buckets of the same members count once. All members of a bucket are
 compared with its first one, and where that leaves more than a few pairs of
 different components, with its last one, then with further ones. What still lies in
-different components meets in blocks of CELL members by CELL members, so that a
-crowded bucket is dealt over many tasks, each pair in the least of its buckets
-only; pairs that are no link by their sizes or their sketches (two bits a place; a
-link is ruled out with a probability of 1e-9) leave the join at once. Nothing is
-capped. Links are confirmed on the full sets.
+different components is compared within buckets of up to CELL members, each pair in the
+least of its buckets only. The members of larger buckets are alike by and large, and
+comparing them all would grow with the square of their number: they meet through
+shingles instead, the rarest of each (see ``rarest``), so that texts of one template, each with
+words of its own, make no pairs. A shingle that many have all the same among their rarest is
+dealt in blocks of CELL by CELL members over many tasks. Pairs that are no link by their sizes or their sketches (two bits a place; a link is ruled out with a
+probability of 1e-9) leave the join at once. Nothing is capped. Links are confirmed on the full sets.
 
 Rows that share an id count as one node each time they occur; a row without an
 id keeps its shingle count and has neither component nor kept. Extra columns
-are are ignored; an empty table gives no rows. A text of any length is read whole; its
+are ignored; an empty table gives no rows. A text of any length is read whole; its
 signature is made SLICE shingles at a time.
 """
 
@@ -29,18 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, word_hashes
+from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, unused, word_hashes
 from tesserakt.llm.components import components
 
 BANDS, ROWS, PLACES = 40, 6, 320
 _EMPTY = np.uint64(2**64 - 1)
 #: Elements whose permutations are held at once.
 SLICE = 40_000
-#: Members of a bucket that one task compares with as many; star rounds at most; pairs left for each member that call for another one.
-CELL, STARS, LEFT = 512, 6, 8
+#: Members that one task compares with as many; star rounds at most; pairs left for each member that call for another one.
+CELL, STARS, LEFT = 256, 6, 8
 #: Sets of so many shingles or fewer go with the members of crowded buckets; larger ones are told apart by their sketches first.
 SMALL = 512
 
@@ -228,26 +230,61 @@ def _divided(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(several.select("bucket", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "bucket")
 
 
-def _blocks(members: DataFrame, sketch: DataFrame, sets: DataFrame, places: int, percent: int) -> DataFrame:
-    """Pairs of members of a bucket and of different components that may be links, each pair in one bucket and one block."""
+def rarest(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, id, n, component, leads, c, k: of texts (id, component) the rarest shingles, each a bucket of c texts of which k lead.
+
+    Shingles are put in order by frequency, then by value. Two similar sets of a and b shingles, a <= b, have percent * (a + b) / (100 + percent) of them in
+    common or more, so the first that they share stands among the first b - percent * b / 100 + 1 of the larger set, and among the fewer first
+    a - 2 * percent * a / (100 + percent) + 1 of the smaller one, where it leads. A pair meets where the smaller set leads; shingles that no text leads make no pairs.
+    """
+    own = sets.join(texts, "id").select("id", "component", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("bucket"))
+    own = materialise(own.distinct(), "shingles")
+    counts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    of_set = Window.partitionBy("id", "set")
+    alone = F.col("n") - F.count(F.lit(1)).over(of_set)  # shingles that no other text has come first
+    behind = (F.col("n") - alone - F.row_number().over(of_set.orderBy("f", "bucket")) + 1).alias("behind")
+    first = own.join(counts, "bucket").select("bucket", "id", "n", "component", behind).filter(100 * F.col("behind") >= percent * F.col("n"))
+    first = materialise(first.withColumn("leads", (100 + percent) * F.col("behind") >= 2 * percent * F.col("n")).drop("behind"), "rarest")
+    met = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.count_if("leads").alias("k")).filter("c > 1 AND k > 0")
+    return first.join(met, "bucket")
+
+
+def _met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
+    """Pairs of rows of a bucket and of different components for which `near` holds; k and c: how many rows the bucket has left and right, dealt in blocks of CELL by CELL."""
+    one = lambda rows, n, name: rows.withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / CELL)))
+    every = lambda rows, n, name: rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CELL) - 1)))
+    a, b = every(one(left, "k", "x"), "c", "y").drop("c", "k").alias("a"), every(one(right, "c", "y"), "k", "x").drop("c", "k").alias("b")
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    pairs = a.join(b, on & (F.col("a.id") != F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & near)
+    return pairs.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
+
+
+def _near(places: int, percent: int) -> Column:
+    return _alike("a.n", "b.n", percent) & (_different(F.col("a.sketch"), F.col("b.sketch"), -(-places // 32)) <= most_different(places, percent))
+
+
+def _few(members: DataFrame, sketch: DataFrame, sets: DataFrame, places: int, percent: int) -> DataFrame:
+    """Pairs of members of a bucket that may be links, each in one bucket."""
     # 32 bits of each shingle: with them two sets share as many as without them or more, but for those that fall together within a set
     cuts = F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")))
     small = sets.filter(F.size("shingles") <= SMALL).select("id", F.size("shingles").cast("long").alias("n"), cuts.alias("cuts")).distinct()
-    sketch = sketch.join(small, ["id", "n"], "left")
     held = members.groupBy("id", "n").agg(F.collect_set("bucket").alias("held"))  # BANDS for each text at most
-    cells = F.ceil(F.col("c") / CELL)
-    rows = members.join(held, ["id", "n"]).join(sketch, ["id", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), cells))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "component", "sketch", "held", "cuts")
-    a, b = rows.alias("a"), rows.alias("b")
-    once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.own") != F.col("b.own"))
-    near = _alike("a.n", "b.n", percent) & (_different(F.col("a.sketch"), F.col("b.sketch"), -(-places // 32)) <= most_different(places, percent))
+    rows = members.join(held, ["id", "n"]).join(sketch.join(small, ["id", "n"], "left"), ["id", "n"])
     first = F.array_min(F.array_intersect("a.held", "b.held")) == F.col("a.bucket")
     both = F.size(F.array_intersect("a.cuts", "b.cuts")) + F.col("a.n") - F.size("a.cuts")
     enough = F.coalesce(100 * both >= percent * (F.col("a.n") + F.col("b.n") - both), F.lit(True))
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
-    pairs = a.join(b, on & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & once & near & first & enough)
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    rows = rows.withColumn("k", F.col("c"))
+    return _met(rows, rows, (F.col("a.id") > F.col("b.id")) & _near(places, percent) & first & enough)
+
+
+def _left_over(pending: DataFrame, sketch: DataFrame, sets: DataFrame, places: int, percent: int) -> DataFrame:
+    """Pairs of texts of different components that may be links, of all that share a bucket."""
+    many = pending.filter(F.col("c") > CELL).select("id", "component").distinct()
+    found = _few(pending.filter(F.col("c") <= CELL), sketch, sets, places, percent)
+    if many.isEmpty():
+        return found
+    met = rarest(materialise(many, "many"), sets, percent).join(sketch, ["id", "n"])
+    return found.union(_met(met.filter("leads"), met, (F.col("a.n") <= F.col("b.n")) & _near(places, percent))).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, places: int = PLACES) -> DataFrame:
@@ -280,7 +317,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         before = left["pairs"]
     if left["pairs"]:
         sketch = whole.select("id", "n", "sketch").distinct()  # an id with several texts has several
-        found = _linked(_blocks(pending, sketch, sets, places, percent), sets, percent)
+        found = _linked(_left_over(pending, sketch, sets, places, percent), sets, percent)
         labels = components(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     out = signed.select("id", "n").join(labels, signed["id"] == labels["node"], "left")
     component = F.coalesce("component", "id")
@@ -293,10 +330,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     Of rows that share a kept id, one of each text stays.
     """
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    gone = found.filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
-    again = materialise(found.filter("kept").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_again"), "repeated-ids")
-    if again.isEmpty():
+    gone, again, rows = (unused(docs, name) for name in ("_gone", "_again", "_rows"))
+    out = found.filter("NOT kept").select(F.col(id_col).alias(gone)).distinct()
+    left = docs.join(out.hint("shuffle_hash"), F.col(id_col) == F.col(gone), "left_anti")
+    twice = found.filter("kept").groupBy(F.col(id_col).alias(again)).agg(F.count(F.lit(1)).alias(rows)).filter(F.col(rows) > 1).select(again)
+    twice = materialise(twice, "repeated-ids")
+    if twice.isEmpty():
         return left
-    here = F.col(id_col) == F.col("_again")
-    return left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates([id_col, text_col]))
+    here = F.col(id_col) == F.col(again)
+    return left.join(twice, here, "left_anti").unionByName(left.join(twice, here, "left_semi").dropDuplicates([id_col, text_col]))

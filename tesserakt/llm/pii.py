@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import materialise
+from tesserakt.llm.common import materialise, unused
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 PLAIN = {
@@ -277,8 +277,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows with every span replaced by its kind in brackets; of overlapping spans the first names them all."""
-    found = materialise(docs.withColumn("_cands", candidates(F.col(text_col))), "candidates")
-    spans = kept(F.col("_cands"), fit(found, "_cands"))
+    cands = unused(docs, "_cands")
+    found = materialise(docs.withColumn(cands, candidates(F.col(text_col))), "candidates")
+    spans = kept(F.col(cands), fit(found, cands))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def replaced(text: Column, found: Column) -> Column:
@@ -292,4 +293,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     text = F.col(text_col)
     out = let(spans, lambda found: F.when(F.size(found) > 0, replaced(text, found)).otherwise(text))
-    return found.withColumn(text_col, out).drop("_cands")
+    return found.withColumn(text_col, out).drop(cands)

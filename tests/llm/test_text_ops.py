@@ -142,6 +142,23 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
         assert got == want and len(set(want.values())) > 3
 
 
+def test_crowded_buckets_without_links_make_no_pairs(spark):
+    """Texts of one template at a similarity of 0.76: what is compared doesn't grow with the square of their number."""
+    pairs = {}
+    for many in (500, 1000, 2000):
+        shared = [f"t{i}" for i in range(190)]
+        texts = [(i, " ".join(shared + [f"o{i}x{j}" for j in range(30)])) for i in range(many)]
+        docs = spark.createDataFrame(texts, "id long, text string")
+        sets = minhash.shingle_sets(docs, 1)
+        found = minhash.rarest(docs.select("id", F.col("id").alias("component")), sets, 80)
+        pairs[many] = found.select("bucket", "c", "k").distinct().agg(F.coalesce(F.sum(F.col("c") * F.col("k")), F.lit(0))).first()[0]
+    assert max(pairs.values()) == 0
+    # with a tenth of them each other's near copies, these meet, and only they
+    texts += [(i + 10_000, t.rsplit(" ", 1)[0]) for i, t in texts[:200]]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts), k=1).collect()}
+    assert all(got[i] == (i - 10_000 if i >= 10_000 else i) for i in got)
+
+
 def test_similarity_limit(spark):
     """Pairs of sets with exactly 79, 80 and 81 % in common: linked from 80 on."""
     rows, want = [], {}
@@ -570,3 +587,14 @@ def test_label_model_separates_and_discounts_copies():
     votes = np.column_stack([one, one, one, fire(0.7, 0.05), fire(0.6, 0.1)])
     posterior = toxicity.label_model(votes, y.astype(int), np.ones(2000))
     assert ((posterior > 0.5) == y).mean() > 0.95
+
+
+def test_columns_of_the_users_keep_their_names(spark):
+    rows = [(1, "one two three four five six mail a@b.org"), (2, "one two three four five six mail a@b.org"), (3, None), (3, "x y"), (3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_gone", "_again", "_rows", "_cands", "_CANDS_"):
+        docs = docs.withColumn(name, F.lit(7))
+    left = minhash.keep_one(docs, k=2)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3, 3]
+    done = pii.redact(docs)
+    assert done.columns == docs.columns and {r["_cands"] for r in done.collect()} == {7} and done.filter("text LIKE '%EMAIL%'").count() == 2
