@@ -21,8 +21,9 @@ match nothing. Repeated rows are searched each for itself; repeated items are
 found each; extra columns pass through or are ignored; an empty table on either
 side gives no match.
 
-The items are broadcast in slices of at most SLICE_BYTES of text, one pass over
-the documents for each slice, so what is broadcast doesn't grow with them.
+One pass over the documents, whatever the benchmark's size: a Bloom filter of the items' windows (6 MB at most) leaves
+windows out of the shuffle, the rest meet the items' in a hash join, and matches are grouped by text and item. Equal texts are one
+text, by a hash of 120 bits.
 """
 
 from __future__ import annotations
@@ -33,17 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import LOWER, buffers, chunks, mix, prefix_sums, range_hash, word_spans
+from tesserakt.llm.common import LOWER, buffers, chunks, materialise, mix, prefix_sums, range_hash, unused, word_spans
+from tesserakt.llm.sketches import has, sketch
 
 WINDOW = 8
 MIN_WORDS = 5
 NEED = 6
-SLICE_BYTES = 16 << 20
-_BITS = 1 << 20
+#: Bits of the least and greatest width of the filter of the items' windows.
+LEAST_BITS, MOST_BITS = 16, 24
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half quarter".split()
 UNITS = "mm cm km m mg kg g lb lbs oz ml l s ms min h hr hrs kb mb gb tb w kw v kwh hz mph kmh ft inch inches feet foot yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms pound pounds ounce ounces ton tons litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split()
@@ -143,182 +144,176 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-class Items:
-    """The windows of a slice of the benchmark in one view, sorted by hash."""
-
-    def __init__(self, ids: list, texts: list[str | None], view: str = "plain"):
-        self.view = view
-        raw, offs = buffers(pa.array(texts, pa.string()))
-        raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
-        words, self.filler, first = template(raw, offs, view)
-        hashes, items, places = [], [], []
-        self.first, self.ids, self.need, self.total, self.sizes = first, ids, [], [], []
-        full = windows(words, WINDOW)
-        for i in range(len(ids)):
-            n = int(first[i + 1] - first[i])
-            size = min(n, WINDOW)
-            count = n - size + 1 if (0 < n < MIN_WORDS if view == "exact" else n >= MIN_WORDS) else 0
-            need = min(NEED, max(1, math.ceil(0.8 * count)))
-            own = first[i] + np.arange(count)
-            if view in VIEWS[1:3] and count:  # windows of too few plain words say nothing
-                plain = np.concatenate(([0], np.cumsum(self.filler == 0)))
-                own = own[2 * (plain[own + size] - plain[own]) >= size]
-                count = count if len(own) >= need else 0
-            self.sizes.append(size)
-            self.total.append(count)
-            self.need.append(need)
-            if count:
-                place = own - first[i]
-                hashes.append(full[own] if size == WINDOW else windows(words[first[i] : first[i + 1]], size)[place])
-                items.append(np.full(len(place), i))
-                places.append(place)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash = self.hash[order]
-        self.item = np.concatenate(items)[order] if items else np.zeros(0, np.int64)
-        self.place = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
-        self.lengths = sorted({s for s, c in zip(self.sizes, self.total, strict=True) if c})
-        self.bits = np.zeros(_BITS, dtype=bool)
-        self.bits[(self.hash & np.uint64(_BITS - 1)).astype(np.int64)] = True
-
-    def find(self, data: np.ndarray, doc_offs: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
-        """(text, item, windows found, whether only with other fillers) of every item found in each text."""
-        if not self.lengths:
-            return
-        words, filler, first = template(data, doc_offs, self.view)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for size in self.lengths:
-            h = windows(words, size)
-            at = np.flatnonzero(self.bits[(h & np.uint64(_BITS - 1)).astype(np.int64)])
-            low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            some = high > low
-            for p, a, b in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
-                doc = int(np.searchsorted(first, p, side="right")) - 1
-                if p + size > first[doc + 1]:
-                    continue
-                for k in range(a, b):
-                    found.setdefault((doc, int(self.item[k])), []).append((int(self.place[k]), p))
-        for (doc, item), pairs in sorted(found.items()):
-            if len({b for b, _ in pairs}) < self.need[item]:
-                continue
-            best = None
-            for group in self.occurrences(item, pairs):
-                if len({b for b, _ in group}) < self.need[item]:
-                    continue
-                kept, same = self.consistent(item, group, filler)
-                if len(kept) >= self.need[item]:
-                    best = max(best or (False, 0), (same, len(kept)))
-            if best:
-                yield doc, item, best[1], not best[0]
-
-    def occurrences(self, item: int, pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-        """All matches together, then by alignment (text position less item place): each by itself, and close ones joined, as words may be put in or left out."""
-        alone = len({p - b for b, p in pairs}) == 1
-        if alone or self.view == "plain":
-            yield pairs
-        if alone:
-            return
-        near = max(1, (self.total[item] + self.sizes[item] - 1) // 4)
-        for width, shift in ((1, 0), (2 * near, 0), (2 * near, near)):  # alignments up to `near` apart share a block of one of the shifts
-            groups: dict[int, list[tuple[int, int]]] = {}
-            for b, p in pairs:
-                groups.setdefault((p - b + shift) // width, []).append((b, p))
-            yield from groups.values()
-
-    def consistent(self, item: int, pairs: list[tuple[int, int]], filler: np.ndarray) -> tuple[set[int], bool]:
-        """Places of the item whose windows agree on the fillers, and whether these are the item's own."""
-        size, base = self.sizes[item], int(self.first[item])
-        votes: Counter = Counter()
-        filled = []
-        for b, p in pairs:
-            slots = [(int(x), int(y)) for x, y in zip(self.filler[base + b : base + b + size], filler[p : p + size], strict=True) if x]
-            filled.append((b, slots))
-            votes.update(slots)
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        for (x, y), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0])):
-            if x not in there and y not in back:
-                there[x], back[y] = y, x
-        kept = [(b, slots) for b, slots in filled if all(there.get(x) == y for x, y in slots)]
-        return {b for b, _ in kept}, all(x == y for _, slots in kept for x, y in slots)
-
-
-class Views:
-    """A slice of the benchmark in all views."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids, self.views = ids, [Items(ids, texts, v) for v in VIEWS]
-
-    def find(self, data: np.ndarray, doc_offs: np.ndarray) -> Iterator[tuple[int, int, int, bool, int]]:
-        """What the first view that finds an item in a text says of it, and the windows of the item there."""
-        found: dict[tuple[int, int], tuple[int, int, int, bool, int]] = {}
-        for items in self.views:
-            for doc, item, n, other in items.find(data, doc_offs):
-                found.setdefault((doc, item), (doc, item, n, other, items.total[item]))
-        yield from (found[k] for k in sorted(found))
-
-
-def slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Views]:
-    """The benchmark in slices of bounded size; usually one."""
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = -(-int(total) // SLICE_BYTES) or 1
-    for k in range(parts):
-        rows = benchmark.select(id_col, text_col)
-        if parts > 1:
-            rows = rows.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)) == k)
-        rows = sorted(((r[0], r[1]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-        yield Views([r[0] for r in rows], [r[1] for r in rows])
-
-
-def _share(docs: DataFrame, items: Views) -> Broadcast:
-    return docs.sparkSession.sparkContext.broadcast(items)
+def chosen(words: np.ndarray, filler: np.ndarray, view: str) -> tuple[np.ndarray, int]:
+    """Places of an item at which its windows begin, and how many words a window has."""
+    n = len(words)
+    size = min(n, WINDOW)
+    count = n - size + 1 if (0 < n < MIN_WORDS if view == "exact" else n >= MIN_WORDS) else 0
+    place = np.arange(count)
+    if view in VIEWS[1:3] and count:  # windows of too few plain words say nothing
+        plain = np.concatenate(([0], np.cumsum(filler == 0)))
+        place = place[2 * (plain[place + size] - plain[place]) >= size]
+        if len(place) < needed(count):
+            place = place[:0]
+    return place, size
+
+
+def needed(count: int) -> int:
+    """Windows of an item that must be found."""
+    return min(NEED, max(1, math.ceil(0.8 * count)))
+
+
+def _keys(hashes: np.ndarray, view: int) -> np.ndarray:
+    return mix(hashes + np.uint64(view + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _around(filler: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
+    """The fillers of the windows that begin at some places."""
+    flat = filler[at[:, None] + np.arange(size)[None, :]].reshape(-1) if len(at) else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(flat.view(np.int64)))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """Of items (no, text): h, no, view, place, size, need, total (of the item's words in the view, in windows), own (the fillers); a row for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "no", "view", "place", "size", "need", "total", "own"]
+        for batch in batches:
+            raw, offs = buffers(batch.column(1))
+            for v, view in enumerate(VIEWS):
+                words, filler, first = template(raw[offs[0] : offs[-1]], offs - offs[0], view)
+                for r, no in enumerate(batch.column(0).to_pylist()):
+                    own, fill = words[first[r] : first[r + 1]], filler[first[r] : first[r + 1]]
+                    place, size = chosen(own, fill, view)
+                    count, many = len(own) - size + 1, len(place)
+                    if many:
+                        whole = [pa.array(np.full(many, x, np.int32)) for x in (size, needed(count), count)]
+                        yield pa.RecordBatch.from_arrays([pa.array(_keys(windows(own, size)[place], v)), pa.array(np.full(many, no)), pa.array(np.full(many, v, np.int32)), pa.array(place.astype(np.int32)), *whole, _around(fill, place, size)], names=names)
+
+    return items.select("no", "text").mapInArrow(run, "h long, no long, view int, place int, size int, need int, total int, own array<long>")
+
+
+def hits(texts: DataFrame, flags: np.ndarray, bits: int, sizes: list[tuple[int, int]]) -> DataFrame:
+    """Of texts (t1, t2, text): t1, t2, h, at (the word), there (the fillers): their windows of the sizes (by view) whose hash may be an item's."""
+    shared = texts.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = buffers(batch.column(2))
+            for i, j in chunks(offs):
+                data, own = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                read = {}
+                for v, size in sizes:
+                    if v not in read:
+                        read = {v: template(data, own, VIEWS[v])}
+                    words, filler, first = read[v]
+                    h = _keys(windows(words, size), v)
+                    at = np.flatnonzero(has(shared.value, h, bits))
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    inside = at + size <= first[doc + 1]
+                    at, doc = at[inside], doc[inside]
+                    if len(at):
+                        row = pa.array(doc + i)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[at]), pa.array((at - first[doc]).astype(np.int32)), _around(filler, at, size)], names=["t1", "t2", "h", "at", "there"])
+
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, h long, at int, there array<long>")
+
+
+def occurrences(pairs: list[tuple[int, int]], view: str, total: int, size: int) -> Iterator[list[int]]:
+    """Numbers of matches (place in the item, place in the text): all together, then by alignment (text less item): each by itself, and close ones joined, as words may be put in or left out."""
+    alone = len({p - b for b, p in pairs}) == 1
+    if alone or view == "plain":
+        yield list(range(len(pairs)))
+    if alone:
+        return
+    near = max(1, (total + size - 1) // 4)
+    for width, shift in ((1, 0), (2 * near, 0), (2 * near, near)):  # alignments up to `near` apart share a block of one of the shifts
+        groups: dict[int, list[int]] = {}
+        for k, (b, p) in enumerate(pairs):
+            groups.setdefault((p - b + shift) // width, []).append(k)
+        yield from groups.values()
+
+
+def consistent(matches: list[tuple[int, list[tuple[int, int]]]]) -> tuple[set[int], bool]:
+    """Of matches (place, fillers of item and text): the places whose windows agree on the fillers, and whether these are the item's own."""
+    votes = Counter(slot for _, slots in matches for slot in slots)
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    for (x, y), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0])):
+        if x not in there and y not in back:
+            there[x], back[y] = y, x
+    kept = [(b, slots) for b, slots in matches if all(there.get(x) == y for x, y in slots)]
+    return {b for b, _ in kept}, all(x == y for _, slots in kept for x, y in slots)
+
+
+def found_in(view: int, need: int, total: int, size: int, matches: list[dict]) -> tuple[int, bool] | None:
+    """Windows found of an item in a text and whether with its own fillers, if one occurrence has enough of them."""
+    matches = sorted(matches, key=lambda m: (m["at"], m["place"]))
+    pairs = [(m["place"], m["at"]) for m in matches]
+    slots = [[(x & (2**64 - 1), y & (2**64 - 1)) for x, y in zip(m["own"], m["there"], strict=True) if x] for m in matches]
+    best = None
+    for group in occurrences(pairs, VIEWS[view], total, size):
+        if len({pairs[k][0] for k in group}) >= need:
+            kept, same = consistent([(pairs[k][0], slots[k]) for k in group])
+            if len(kept) >= need:
+                best = max(best or (False, 0), (same, len(kept)))
+    return None if best is None else (best[1], best[0])
+
+
+def matched(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Of texts (t1, t2, text) and items (no, text): t1, t2, no, n_found, n_windows, same; what the first view that finds an item in a text says."""
+    own = materialise(item_windows(items), "item-windows")
+    sizes = sorted((r["view"], r["size"]) for r in own.select("view", "size").distinct().collect())  # views times WINDOW at most
+    rows = own.count()
+    bits = min(max(int(16 * rows).bit_length(), LEAST_BITS), MOST_BITS)
+    flags = sketch(own.select("h", F.lit(1).cast("long").alias("n")), 1, bits)
+    seen = hits(texts, flags, bits, sizes)
+    met = seen.join(own, "h")
+    keys = ["t1", "t2", "no", "view", "need", "total", "size"]
+    groups = met.groupBy(*keys).agg(F.collect_list(F.struct("place", "at", "own", "there")).alias("matches"))  # of one text and item
+    groups = groups.filter(F.size(F.array_distinct(F.col("matches.place"))) >= F.col("need"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                got = found_in(row["view"], row["need"], row["total"], row["size"], row["matches"])
+                if got:
+                    out.append({k: row[k] for k in ("t1", "t2", "no", "view")} | {"n_found": got[0], "n_windows": row["total"], "same": got[1]})
+            yield from pa.Table.from_pylist(out, schema=pa.schema([(k, pa.int64()) for k in ("t1", "t2", "no")] + [("view", pa.int32()), ("n_found", pa.int64()), ("n_windows", pa.int64()), ("same", pa.bool_())])).to_batches()
+
+    checked = groups.mapInArrow(run, "t1 long, t2 long, no long, view int, n_found long, n_windows long, same boolean")
+    return checked.groupBy("t1", "t2", "no").agg(F.min(F.struct("view", "n_found", "n_windows", "same")).alias("x")).select("t1", "t2", "no", "x.n_found", "x.n_windows", "x.same")
+
+
+def _named(text: Column) -> list[Column]:
+    """Two numbers that name a text."""
+    name = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return [F.conv(F.substring(name, at, 15), 16, 10).cast("long") for at in (1, 16)]
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """What matched() finds, and the items (no, item)."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("no"), F.col(item_col).alias("item"), F.col(item_text).alias("text"))
+    items = materialise(items, "items")
+    t1, t2 = _named(F.col(text_col))
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
+    return materialise(matched(texts, items), "matches"), items.select("no", "item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc id, item id, windows found, windows of the item, kind (verbatim or reparameterised)."""
-    doc_kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    schema = f"{id_col} {doc_kind}, {item_col} {item_kind}, n_found long, n_windows long, kind string"
-    out = None
-    for items in slices(benchmark, item_col, item_text):
-        shared = _share(docs, items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            item_type = pa.array(items.ids).type if items.ids else pa.int64()
-            for batch in batches:
-                raw, offs = buffers(batch.column(1))
-                for i, j in chunks(offs):
-                    rows = list(items.find(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array([i + r[0] for r in rows], pa.int64())),
-                            pa.array([items.ids[r[1]] for r in rows], item_type),
-                            pa.array([r[2] for r in rows], pa.int64()),
-                            pa.array([r[4] for r in rows], pa.int64()),
-                            pa.array(["reparameterised" if r[3] else "verbatim" for r in rows], pa.string()),
-                        ],
-                        names=[id_col, item_col, "n_found", "n_windows", "kind"],
-                    )
-
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out
+    found, items = _matches(docs, benchmark, text_col, item_col, item_text)
+    t1, t2 = _named(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc"), t1.alias("t1"), t2.alias("t2")).join(found, ["t1", "t2"]).join(items, "no")
+    kind = F.when(F.col("same"), "verbatim").otherwise("reparameterised")
+    return rows.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_found", "n_windows", kind.alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no item is found, all their columns as they were."""
-    at = docs.columns.index(text_col)
-    for items in slices(benchmark, item_col, item_text):
-        shared = _share(docs, items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, offs = buffers(batch.column(at))
-                clean = np.ones(len(batch), dtype=bool)
-                for i, j in chunks(offs):
-                    for doc, *_ in shared.value.find(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                        clean[i + doc] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found, _ = _matches(docs, benchmark, text_col, item_col, item_text)
+    one, two = unused(docs, "_t1"), unused(docs, "_t2")
+    t1, t2 = _named(F.col(text_col))
+    gone = found.select(F.col("t1").alias(one), F.col("t2").alias(two)).distinct()
+    return docs.withColumns({one: t1, two: t2}).join(gone, [one, two], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

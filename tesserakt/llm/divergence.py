@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserakt.llm.common import buffers, materialise
+from tesserakt.llm.sketches import has, sketch
 
 #: Runs of ASCII letters and code points from 128 on, in the bytes of a text in lower case.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -31,10 +32,8 @@ NOT_TERM = re.compile(rb"[^a-z\x80-\xff]")
 HELD = 400_000
 #: Bytes of a text taken at once.
 PIECE = 1 << 22
-#: Rows of the sketch, and bits of a row's least and greatest width: what is broadcast takes 6 MB at most (3 * 2**24 bits).
-DEPTH, LEAST_BITS, MOST_BITS = 3, 16, 24
-_CHUNK = 1 << 16
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Bits of the least and greatest width of the sketch: what is broadcast takes 6 MB at most (3 * 2**24 bits).
+LEAST_BITS, MOST_BITS = 16, 24
 #: Sources of a language that meet others at once.
 BLOCK = 512
 #: One in so many of the probability.
@@ -84,57 +83,13 @@ def partial_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
 
 
-def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((hashes.view(np.uint64) * _ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def sketch(partial: DataFrame, least: int, bits: int) -> np.ndarray:
-    """DEPTH x 2**bits flags: whether the documents counted in a cell are `least` or more; partial has h (hash of the term) and n_docs."""
-    per_row = max(1, (1 << bits) // _CHUNK)
-    size = min(1 << bits, _CHUNK)
-    limit = min(least, 255)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((DEPTH, 1 << bits), dtype=np.uint8)
-        for batch in batches:
-            h, n = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), limit)
-            for row in range(DEPTH):
-                at, where = np.unique(cells_of(h, row, bits), return_inverse=True)
-                table[row, at] = np.minimum(table[row, at] + np.bincount(where, n), limit)
-        parts = table.reshape(DEPTH * per_row, size)
-        at = np.flatnonzero(parts.any(axis=1))
-        for i in at:
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["part", "cells"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(cells.as_buffer(), np.uint8)
-                sums[i] = np.minimum(sums[i] + got.astype(np.int16), limit) if i in sums else got.astype(np.int16)
-        parts = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.packbits(sums[i] >= limit).tobytes() for i in parts], pa.binary())], names=["part", "bits"])
-
-    rows = partial.select("h", "n_docs").mapInArrow(counted, "part int, cells binary")
-    flags = rows.repartition(DEPTH * min(per_row, 64), "part").mapInArrow(merged, "part int, bits binary")
-    out = np.zeros((DEPTH * per_row, size // 8), dtype=np.uint8)
-    for r in flags.collect():  # DEPTH * 2**MOST_BITS bits at most
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(DEPTH, -1)
-
-
 def possible(partial: DataFrame, flags: np.ndarray, bits: int) -> DataFrame:
     """The rows whose term the sketch doesn't rule out."""
     shared = partial.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            h = batch.column(5).to_numpy()
-            keep = np.ones(len(h), dtype=bool)
-            for row in range(DEPTH):
-                at = cells_of(h, row, bits)
-                keep &= (table[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            keep = has(shared.value, batch.column(5).to_numpy(), bits)
             yield batch.filter(pa.array(keep)).select(range(5))
 
     return partial.select("lang", "source", "term", "n_docs", "n", "h").mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
@@ -215,7 +170,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, text_col: str = "text
     occurring = materialise(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")), "groups")
     rows = occurring.agg(F.sum("rows")).first()[0] or 0
     bits = min(max(int(16 * rows).bit_length(), LEAST_BITS), MOST_BITS)
-    left = possible(partial, sketch(partial, least, bits), bits)
+    left = possible(partial, sketch(partial.select("h", F.col("n_docs").alias("n")), least, bits), bits)
     exact = materialise(left.groupBy("lang", "term", "source").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), "counts")
     kept = exact.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("all")).filter(F.col("n_docs") >= least).drop("n_docs")
     cells = materialise(exact.drop("n_docs").join(kept, ["lang", "term"]), "kept")

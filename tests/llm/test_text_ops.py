@@ -358,7 +358,8 @@ def test_reparameterised_question(spark, monkeypatch):
     rows = [(1, item.replace("Alice", "Mary").replace("Bob", "Tom").replace("12", "5").replace("7", "9").replace("3", "4")), (2, "If Paul has many apples and Anna sells them all again then the market is closed for some time"), (3, item)]
     want = {1: "reparameterised", 3: "verbatim"}
     assert {r["doc_id"]: r["kind"] for r in decontam.contaminated(frame(spark, rows), items).collect()} == want
-    monkeypatch.setattr(decontam, "SLICE_BYTES", 40)  # several passes
+    monkeypatch.setattr(decontam, "MOST_BITS", 3)  # a filter that lets everything through
+    monkeypatch.setattr(decontam, "LEAST_BITS", 3)
     assert {r["doc_id"]: r["kind"] for r in decontam.contaminated(frame(spark, rows), items).collect()} == want
 
 
