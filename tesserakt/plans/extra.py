@@ -62,70 +62,8 @@ query("distillation_kl", "SELECT vec_id, round(greatest(list_sum(list_transform(
     lambda spark, sf: table(spark, sf, "embeddings").select("vec_id", r6(policy.forward_kl_top_k(F.transform(F.slice("embedding", 1, 8), lambda x: -F.abs(x.cast("double"))), F.transform(F.slice("embedding", 9, 8), lambda x: -F.abs(x.cast("double")))), "kl"))
 )
 
-# Grading: answers made of a key's number
+# Lines of code
 
-_ANSWERS = ["\\frac12", "\\dfrac{1}{2}", "0.5", "x = 3/4", "\\sqrt3 + 1", "10\\%", "5\\text{ cm}", "\\left(1, 2\\right)", "45^\\circ", ".25", "\\frac{a}3", "7 \\!8"]
-_CANONICAL = ["\\frac{1}{2}", "\\frac{1}{2}", "\\frac{1}{2}", "x=3/4", "\\sqrt{3}+1", "10", "5", "(1,2)", "45", "0.25", "\\frac{a}3", "78"]
-_CANONICAL[3] = "\\frac{3}{4}"
-
-
-def _pick(values: list[str], n: str) -> str:
-    return "CASE " + f"{n} % {len(values)}" + " ".join(["", *(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))]) + " END"
-
-
-def _answers(spark, sf, values):
-    e = table(spark, sf, "events")
-    return e.select("event_id", F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int")).alias("a"))
-
-
-query("canonical_latex", f"SELECT event_id, {_pick(_CANONICAL, 'event_id')} AS canonical FROM events")(lambda spark, sf: _answers(spark, sf, _ANSWERS).select("event_id", grading.canonical_latex(F.col("a")).alias("canonical")))
-query("math_score", "SELECT event_id, CASE WHEN event_id % 12 IN (0, 1, 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: _answers(spark, sf, _ANSWERS).select("event_id", grading.math_score(F.concat(F.lit("so it is \\boxed{"), "a", F.lit("}.")), F.lit("1/2")).alias("score"))
-)
-_LINES = ["Answer: $1,000$ dollars", "answer : x = 12 cm", "no line", "Answer: a\nAnswer: \\frac12", "Answer: \\boxed{7} units", "ANSWER: 3\\text{ apples}"]
-_FINAL = ["1000", "12", "[INVALID]", "\\frac{1}{2}", "7", "3apples"]
-query("final_answer", f"SELECT event_id, {_pick(_FINAL, 'event_id')} AS answer FROM events")(lambda spark, sf: _answers(spark, sf, _LINES).select("event_id", grading.final_answer(grading.answer_line(F.col("a"))).alias("answer")))
-query("announced_score", "SELECT event_id, CASE WHEN event_id % 6 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM events")(lambda spark, sf: _answers(spark, sf, _LINES).select("event_id", grading.announced_score(F.concat(F.repeat(F.lit("x "), 200), F.lit("\n"), "a"), F.lit("12")).alias("score")))
-query("strictly_boxed_score", "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", grading.strictly_boxed_score(F.concat(F.lit("\\boxed{1} then \\boxed{"), (F.col("event_id") % 3).cast("string"), F.lit("}")), F.lit("1")).alias("score"))
-)
-query("geometry_score", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 ELSE 0.9 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", F.round(grading.geometry_score(F.concat(F.when(F.col("event_id") % 3 < 2, "<think>x</think> ").otherwise(""), F.lit("\\boxed{"), F.when(F.col("event_id") % 3 == 1, "2").otherwise("1"), F.lit("}")), F.lit("1")), 6).alias("score"))
-)
-query("tagged_integer_score", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 ELSE 0.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select(
-        "event_id",
-        grading.tagged_integer_score(F.concat(F.when(F.col("event_id") % 4 < 3, "User: <answer>9</answer> Assistant: ").otherwise(""), F.lit("<answer>3</answer><answer> "), F.when(F.col("event_id") % 4 == 2, "none").otherwise((F.col("event_id") % 4 + 7).cast("string")), F.lit(" </answer>")), F.lit(7)).alias("score"),
-    )
-)
-query("countdown_score", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 0.0 WHEN event_id % 5 IN (1, 3) THEN 0.1 ELSE 1.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select(
-        "event_id",
-        grading.countdown_score(F.get(F.array(*map(F.lit, ["(3 + 4) * 5", "3 + 4 * 5", "5 * (4 + 3)", "35"])), (F.col("event_id") % 5).cast("int")), F.array(F.lit(5), F.lit(3), F.lit(4)), F.lit(35.0)).alias("score"),
-    )
-)
-query("tool_overlap", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1.0 WHEN vec_id % 3 = 1 THEN 0.5 ELSE 0.25 END::DOUBLE AS overlap FROM embeddings")(
-    lambda spark, sf: table(spark, sf, "embeddings").select(
-        "vec_id",
-        grading.multiset_overlap(F.array(*map(F.lit, ["a", "a", "b"])), F.when(F.col("vec_id") % 3 == 0, F.array(*map(F.lit, ["a", "a", "b"]))).when(F.col("vec_id") % 3 == 1, F.array(*map(F.lit, ["a", "b", "c"]))).otherwise(F.array(*map(F.lit, ["a", "c"])))).alias("overlap"),
-    )
-)
-query("call_form", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", grading.call_form(F.concat(F.lit("<think>x</think>\n<tool_call>\n{}\n</tool_call>"), F.when(F.col("event_id") % 2 == 1, "\n<tool_call>").otherwise("")), F.lit("<tool_call>{}</tool_call>")).alias("score"))
-)
-query("routed_score", "SELECT event_id, CASE WHEN event_id % 3 = 2 AND event_id % 2 = 1 THEN -1.0 ELSE (event_id % 2 = 0)::INT END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select(
-        "event_id",
-        F.element_at(F.array(F.lit("openai/gsm8k"), F.lit("lighteval/MATH"), F.lit("math_dapo")), (F.col("event_id") % 3 + 1).cast("int")).alias("source"),
-        F.concat(F.lit("#### "), F.expr("CAST(4 + event_id % 2 AS STRING)"), F.lit(" \\boxed{"), F.expr("CAST(4 + event_id % 2 AS STRING)"), F.lit("}\nAnswer: "), F.expr("CAST(4 + event_id % 2 AS STRING)")).alias("solution"),
-    ).select("event_id", grading.routed_score(F.col("source"), F.col("solution"), F.lit("4")).alias("score"))
-)
-query("retrieved_right", "SELECT item_id, item_id % 2 = 0 AS found FROM benchmark")(
-    lambda spark, sf: table(spark, sf, "benchmark").select("item_id", grading.retrieved_right(F.concat(F.lit("<information>The Answer, "), F.when(F.col("item_id") % 2 == 0, "forty-two!").otherwise("none"), F.lit("</information>")), F.array(F.lit("x"), F.lit("Forty two".replace(" ", "-")))).alias("found"))
-)
-query("json_array", "SELECT event_id, event_id % 4 + 1 AS n FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", F.size(grading.first_json_array(F.concat(F.lit("here: "), F.to_json(F.sequence(F.lit(0), F.col("event_id") % 4)), F.lit(" done")))).cast("long").alias("n"))
-)
 query("code_lines", r"SELECT doc_id, len(string_split(text, chr(10)))::INT AS loc, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS lloc, round(least(log2(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) + 1) / 10, 1), 3) AS complexity FROM documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", grading.generic_code_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
 )
@@ -268,13 +206,6 @@ query("merged_results", "SELECT o_orderkey AS k, o_custkey AS a, NULL::BIGINT AS
 
 # Functions that had no query
 
-query("token_f1", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.0 END::DOUBLE AS f1 FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", F.round(tx.token_f1(F.element_at(F.array(F.lit("The red Fox!"), F.lit("red fox jumps"), F.lit("yes")), (F.col("event_id") % 3 + 1).cast("int")), F.lit("a red fox")), 6).alias("f1"))
-)
-query("contains_match", "SELECT event_id, (event_id % 2 = 0)::INT AS found FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", tx.contains_match(F.concat(F.lit("It is the "), F.when(F.col("event_id") % 2 == 0, "Red, fox").otherwise("cat")), F.array(F.lit("red fox"), F.lit("dog"))).alias("found")))
-query("number_score", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 ELSE 0.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.number_score(F.element_at(F.array(F.lit("so #### 1,200"), F.lit("#### 7"), F.lit("none")), (F.col("event_id") % 3 + 1).cast("int")), F.lit("1200"), format_score=0.1).alias("score"))
-)
 query("event_windows", "SELECT floor(epoch(ts) / 3600)::BIGINT AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda spark, sf: replay.event_windows(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], "value").select(F.floor(F.unix_timestamp("start") / 3600).alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 )
@@ -291,15 +222,6 @@ def _among(values: list[str], by: str = "event_id"):
     return F.get(F.array(*map(F.lit, values)), (F.col(by) % len(values)).cast("int"))
 
 
-_THOUGHT = "<think>a < b</think>"
-_TURNS = [f"<|im_start|>assistant\n{_THOUGHT} <search>q</search>\n<information>i</information>{_THOUGHT}<answer>x</answer>", f"{_THOUGHT}<answer>x</answer>", f"<|im_start|>assistant {_THOUGHT}<answer>x</answer> more", f"<|im_start|>assistant{_THOUGHT}<search>q</search><answer>x</answer>", f"<|im_start|>assistant{_THOUGHT}<answer>x</answer>\n"]
-query("valid_sequence", "SELECT event_id, event_id % 5 IN (0, 4) AS valid FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", tx.valid_sequence(_among(_TURNS)).alias("valid")))
-query("first_action", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'answer' END AS kind, CASE event_id % 3 WHEN 0 THEN 'who' WHEN 1 THEN '7' END AS content FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.first_action(_among(["x <search> who </search> <answer>1</answer>", "<answer>7</answer><search>z</search>", "none <search>"])).alias("a")).select("event_id", "a.*")
-)
-query("actions", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'think=t;search=q' ELSE 'answer=9' END AS parts FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", F.array_join(F.transform(tx.actions(_among(["<Think> t </Think><search>q</search>", "<answer>9</answer>"])), lambda x: F.concat_ws("=", x["kind"], x["content"])), ";").alias("parts"))
-)
 _TIERS = "CASE WHEN f >= 1 THEN CASE WHEN v THEN 1.0 ELSE 0.8 END WHEN v THEN CASE WHEN r THEN 0.3 ELSE 0.2 END ELSE 0.1 END"
 _SOFT = "CASE WHEN f > 0 THEN CASE WHEN v THEN f ELSE f - 0.2 END WHEN v THEN CASE WHEN r THEN 0.3 ELSE 0.2 END ELSE 0.0 END"
 query("score_tiers", f"WITH t AS (SELECT event_id, (event_id % 3) / 2 AS f, event_id % 5 < 2 AS v, event_id % 7 < 3 AS r FROM events) SELECT event_id, round({_TIERS}, 6)::DOUBLE AS em, round({_SOFT}, 6)::DOUBLE AS f1 FROM t")(
@@ -313,10 +235,6 @@ query("question_reference", "SELECT event_id, 'who is [X] of [X] at # x' AS ques
 query("clock_seconds", "SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59 AS seconds FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", tx.clock_seconds(F.format_string("%02d:%02d:%02d", F.col("event_id") % 24, F.col("event_id") % 60, F.col("event_id") % 59)).alias("seconds"))
 )
-query("between_marks", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'in ' || event_id END AS inside FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", tx.between(F.concat(F.lit("a [[in "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "]] b ]]").otherwise("")), "[[", "]]").alias("inside"))
-)
-query("tag_counts", "SELECT event_id, (event_id % 4)::INT AS n FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", tx.count_of(F.repeat(F.lit("<answer>x</answer>"), (F.col("event_id") % 4).cast("int")), "</answer>").alias("n")))
 query("pattern_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\n'))::INT AS lines, len(regexp_extract_all(text, '[0-9]+'))::INT AS numbers FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", *tx.pattern_counts(F.col("text"), {"lines": r"\n", "numbers": "[0-9]+"})))
 query("hops", "SELECT event_id, (event_id % 5)::INT AS hops FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", readers.hops(F.when(F.col("event_id") % 5 > 0, F.struct(F.array_repeat(F.lit("q"), (F.col("event_id") % 5).cast("int")).alias("question_decomposition")))).alias("hops"))
@@ -395,10 +313,6 @@ query("new_only", "SELECT min(event_id) AS event_id FROM events WHERE event_type
 query("common_rows", "SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")(lambda spark, sf: table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey")))
 query("distinct_messages", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY 1")(lambda spark, sf: table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("types")))
 query("initialised_islands", PS + " SELECT DISTINCT island FROM q WHERE correct")(lambda spark, sf: _programs(spark, sf).filter("correct").select("island").distinct())
-query("search_score", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.1 ELSE 0.0 END::DOUBLE AS score FROM events")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", grading.search_score(_among(["<answer>p</answer><answer>The Cat</answer>", "<answer>cat</answer>" * 11, "<answer>p</answer><answer>dog</answer>", "<answer>cat</answer>"]), F.array(F.lit("cat")), form=0.1).alias("score"))
-)
-query("substring_score", "SELECT event_id, (event_id % 2 = 0)::INT::DOUBLE AS score FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", grading.substring_score(_among(["<answer>a</answer><answer>black cat here</answer>", "<answer>a</answer><answer>dog</answer>"]), F.array(F.lit("cat"))).alias("score")))
 query("goal_values", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE least(greatest(value / 50 - 0.5, 0), 1) END::DOUBLE AS v FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", grading.goal_value(F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value") / 50 - 0.5)).alias("v"))
 )

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tesserakt.plans import extra, more, programs, registry  # noqa: F401
+from tesserakt.plans import extra, graded, more, programs, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
