@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserakt.operators.stages import staged
 
-#: Rows of the query side of one pass, so that what is broadcast stays bounded.
-QUERY_ROWS = 2_000
+#: Queries and rows of a block, and rows that a matrix product takes.
+QUERY_ROWS, BLOCK_ROWS, SLICE = 4_000, 50_000, 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,51 +24,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fits & (na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(0.0)
 
 
-def _best(batches: Iterator[pa.RecordBatch], queries: tuple[np.ndarray, np.ndarray], k: int, by: str, exclude_self: bool) -> Iterator[pa.RecordBatch]:
-    """Of a partition's rows (id, vector), the k best for each query: one matrix product a batch, k rows a query held."""
-    names, wanted = queries
-    size = np.sqrt((wanted * wanted).sum(axis=1))
-    unit = np.divide(wanted, size[:, None], out=np.zeros_like(wanted), where=size[:, None] > 0) if by == "cosine" else wanted
-    ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
-    for batch in batches:
-        own = batch.column(0).to_numpy(zero_copy_only=False)
-        vectors = [v if v is not None and len(v) == wanted.shape[1] and None not in v else None for v in batch.column(1).to_pylist()]
-        matrix = np.array([v or [0.0] * wanted.shape[1] for v in vectors], float).reshape(len(own), wanted.shape[1])
-        if by == "cosine":
-            length = np.sqrt((matrix * matrix).sum(axis=1))
-            matrix = np.divide(matrix, length[:, None], out=np.zeros_like(matrix), where=length[:, None] > 0)
-        score = np.round(unit @ matrix.T, 12)  # equal vectors, equal scores
+def _matrix(vectors: pa.ChunkedArray, length: int, by: str) -> np.ndarray:
+    """Vectors as rows, of length 1 for cosines; what is null, holds nulls or has another length is zero."""
+    fits = [v if v is not None and len(v) == length and None not in v else None for v in vectors.to_pylist()]
+    out = np.array([v or [0.0] * length for v in fits], float).reshape(len(fits), length)
+    if by == "cosine":
+        size = np.sqrt((out * out).sum(axis=1))
+        out = np.divide(out, size[:, None], out=np.zeros_like(out), where=size[:, None] > 0)
+    return out
+
+
+def _best(queries: pa.Table, rows: pa.Table, length: int, k: int, by: str, exclude_self: bool) -> pa.Table:
+    """The k best rows of a block for each query of a block: matrix products, SLICE rows at a time."""
+    names, ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+    wanted = _matrix(queries.column("vector"), length, by)
+    kept_id, kept = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
+    for at in range(0, len(ids), SLICE):
+        own = ids[at : at + SLICE]
+        score = np.round(wanted @ _matrix(rows.column("vector").slice(at, SLICE), length, by).T, 12)  # equal vectors, equal scores
         if exclude_self:
             score[names[:, None] == own[None, :]] = -np.inf
-        ids = np.concatenate((ids, np.broadcast_to(own, score.shape)), axis=1)
-        best = np.concatenate((best, score), axis=1)
-        keep = np.lexsort((ids, -best), axis=1)[:, :k]
-        ids, best = np.take_along_axis(ids, keep, 1), np.take_along_axis(best, keep, 1)
-    there = best > -np.inf
-    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], ids.shape)[there]), pa.array(ids[there]), pa.array(best[there])], names=["query", "id", "score"])
+        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(names), -np.inf)
+        for q in range(len(names)):
+            near = np.flatnonzero((score[q] >= least[q]) & (score[q] > -np.inf))
+            every, value = np.concatenate((kept_id[q], own[near])), np.concatenate((kept[q], score[q, near]))
+            order = np.lexsort((every, -value))[:k]
+            kept_id[q], kept[q] = every[order], value[order]
+    return pa.table({"query": np.repeat(names, [len(x) for x in kept]), "id": np.concatenate(kept_id) if kept else np.zeros(0, np.int64), "score": np.concatenate(kept) if kept else np.zeros(0)})
 
 
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, by: str = "cosine", exclude_self: bool = True) -> DataFrame:
     """query, rank, id and score of the k most similar rows of each query; ties to the smaller id.
 
-    Queries go in passes of QUERY_ROWS by a hash of their id, and each pass is shared
-    with all tasks, which keep their k best rows for each query: no pair leaves a task.
-    Vectors that are null, hold nulls or have another length score 0. Queries of different lengths go in passes of their own.
+    Blocks of QUERY_ROWS queries of one length meet blocks of BLOCK_ROWS rows, each pair of blocks in a task of its own, which keeps its k best rows
+    for each query: neither pairs nor vectors go through the driver. Vectors that are null, hold nulls or have another length score 0.
     """
-    session = rows.sparkSession
-    found = None
-    for length, total in sorted((r[0] or 0, r[1]) for r in queries.groupBy(F.coalesce(F.size(vector), F.lit(0))).count().collect()):
-        part = queries.filter(F.coalesce(F.size(vector), F.lit(0)) == length)
-        passes = max(1, -(-total // QUERY_ROWS))
-        for i in range(passes):
-            block = part if passes == 1 else part.filter(F.pmod(F.xxhash64(key), F.lit(passes)) == i)
-            held = block.select(F.col(key).cast("long"), F.transform(vector, lambda x: x.cast("double"))).collect()  # about QUERY_ROWS rows
-            wanted = np.array([[x or 0.0 for x in r[1] or []] for r in held], float).reshape(len(held), max(length, 0))
-            shared = session.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), wanted))
-            near = rows.select(F.col(key).cast("long"), F.transform(vector, lambda x: x.cast("double"))).mapInArrow(lambda batches, shared=shared: _best(batches, shared.value, k, by, exclude_self), "query long, id long, score double")
-            found = near if found is None else found.union(near)
-    if found is None:
-        found = session.createDataFrame([], "query long, id long, score double")
+    read = lambda df: df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    asked = read(queries).withColumn("length", F.coalesce(F.size("vector"), F.lit(0)))
+    sizes = asked.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("blocks"))  # a row for each length that queries have
+    many = max(1, -(-rows.count() // BLOCK_ROWS))
+    asked = asked.join(sizes, "length").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    asked = asked.select("id", "vector", "length", "part", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("block"))
+    parts = sizes.select(F.col("length").alias("own_length"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own_part"))
+    dealt = read(rows).withColumn("own_block", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).join(F.broadcast(parts))  # a row for each block of queries
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best(left, right, key[0].as_py(), k, by, exclude_self)
+
+    found = asked.groupBy("length", "part", "block").cogroup(dealt.groupBy("own_length", "own_part", "own_block")).applyInArrow(run, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 

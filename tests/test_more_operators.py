@@ -148,3 +148,30 @@ def test_event_windows_on_a_stream(spark, tmp_path):
     assert last["2024-01-01T01:00:00"] == (1, 4.0) and last["2024-01-01T00:00:00"] in ((2, 3.0), (3, 11.0))
     batches = spark.read.schema("t timestamp, v double, k string").json(source)
     assert sorted(r["n"] for r in replay.sessions(batches, "t", "30 seconds", ["k"]).collect()) == [1, 3]
+
+
+def test_similar_rows_in_blocks(spark, monkeypatch):
+    """Blocks of few queries and rows, ties, nulls and other lengths: as by comparing all."""
+    import numpy as np
+
+    from tesserakt.operators import similarity
+
+    for name, value in (("QUERY_ROWS", 3), ("BLOCK_ROWS", 7), ("SLICE", 4)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(40)] + [(40, None), (41, [1.0, None, 2.0]), (42, [1.0, 2.0]), (43, []), (44, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / size), 12) if size else 0.0
+
+    got = {}
+    for r in similarity.top_k(df.filter("id % 4 = 0 OR id > 40"), df, "id", "v", 4).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"], round(r["score"], 9)))
+    for q, v in rows:
+        if q % 4 == 0 or q > 40:
+            best = sorted(((-cosine(v, w), i) for i, w in rows if i != q))[:4]
+            assert sorted(got[q]) == [(k, i, round(-s, 9)) for k, (s, i) in enumerate(best, 1)]
