@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserakt.functions import code_metrics, propositions, symbolic, tool_calls
-from tesserakt.operators import bandits, inspiration, pairs, patches, trees
+from tesserakt.operators import bandits, inspiration, pairs, patches, rollouts, trees
 from tesserakt.plans.extra import PS, _archive, _programs
 from tesserakt.plans.registry import query, table
 
@@ -286,3 +286,86 @@ def _bandit(spark, sf):
 query("bandit_states")(lambda spark, sf: _bandit(spark, sf))
 query("bandit_betas")(lambda spark, sf: bandits.betas(_bandit(spark, sf)))
 query("bandit_bounds")(lambda spark, sf: bandits.bounds(_bandit(spark, sf)))
+
+# Batches of rollouts
+
+_Z = "WITH c AS (SELECT c_nationkey AS g, c_custkey AS pos, c_custkey % 7 AS micro, abs(c_acctbal) AS load, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal), c_custkey) - 1 AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)"
+
+
+def _loads(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("pos"), (F.col("c_custkey") % 7).alias("micro"), F.abs("c_acctbal").alias("load"))
+
+
+query("ends_light", f"{_Z} SELECT pos, CASE WHEN r % 2 = 0 THEN r // 2 ELSE n - 1 - r // 2 END::BIGINT AS place FROM c")(lambda spark, sf: rollouts.ends_light(_loads(spark, sf), ["g"], "load", "pos").select("pos", "place"))
+query(
+    "balanced_batch",
+    f"{_Z}, b AS (SELECT g, sum(count(*)) OVER (ORDER BY g) - count(*) AS before FROM c GROUP BY g) SELECT pos, (before + CASE WHEN r % 2 = 0 THEN r // 2 ELSE n - 1 - r // 2 END)::BIGINT AS index FROM c JOIN b USING (g)",
+)(lambda spark, sf: rollouts.balanced_batch(_loads(spark, sf), "g", "load", "pos").select("pos", "index"))
+query(
+    "micro_batch_order",
+    f"{_Z}, m AS (SELECT g, micro, sum(load) AS l, min(pos) AS p FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(l, 4) DESC, p DESC) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM m) SELECT g, micro, (CASE WHEN r % 2 = 0 THEN (n + 1) // 2 - 1 - r // 2 ELSE (n + 1) // 2 + r // 2 END)::BIGINT AS place FROM k",
+)(lambda spark, sf: rollouts.micro_batch_order(_loads(spark, sf), ["g"], "micro", "load", "pos"))
+query(
+    "restored_batch",
+    "SELECT c_custkey AS pos, abs(c_acctbal) AS back FROM customer",
+)(lambda spark, sf: (lambda b: rollouts.restored(b, "index", "pos", b.select("index", F.col("load").alias("back")), "back"))(rollouts.balanced_batch(_loads(spark, sf), "g", "load", "pos")))
+
+
+def _spans(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"), F.col("l_quantity").cast("long").alias("q")))).alias("x"))
+    part = lambda c, k: F.transform("x", lambda x: F.when(x["l_linenumber"] % k == 0, F.lit(0).cast("long")).otherwise(x[c]))
+    return rows.select("l_orderkey", part("p", 2).alias("prompt"), part("s", 3).alias("response"), F.when(F.col("l_orderkey") % 4 > 0, part("q", 9)).alias("info"))
+
+
+def _concatenated(spark, sf):
+    rows = _spans(spark, sf)
+    whole, shown = rollouts.masked_concat(F.col("prompt"), F.transform("prompt", lambda x: x), F.col("response"), F.col("info"), 0)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select("l_orderkey", text(whole).alias("whole"), text(shown).alias("shown"))
+
+
+query(
+    "masked_concat",
+    """WITH x AS (SELECT l_orderkey, list({'n': l_linenumber, 'p': l_partkey::BIGINT, 's': l_suppkey::BIGINT, 'q': floor(l_quantity)::BIGINT} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS x FROM lineitem GROUP BY 1),
+    p AS (SELECT l_orderkey, list_transform(x, lambda e: CASE WHEN e.n % 2 = 0 THEN 0 ELSE e.p END) AS p, list_transform(x, lambda e: CASE WHEN e.n % 3 = 0 THEN 0 ELSE e.s END) AS r,
+      CASE WHEN l_orderkey % 4 > 0 THEN list_transform(x, lambda e: CASE WHEN e.n % 9 = 0 THEN 0 ELSE e.q END) ELSE [] END AS i FROM x),
+    b AS (SELECT l_orderkey, list_concat(p, list_concat(r, i)) AS w, list_concat(p, list_concat(r, list_transform(i, lambda e: 0::BIGINT))) AS s FROM p),
+    z AS (SELECT l_orderkey, w, list_transform(range(1, len(w) + 1), lambda k: {'w': w[k], 's': s[k]}) AS z FROM b)
+    SELECT l_orderkey, array_to_string(list_concat(list_filter(w, lambda e: e = 0), list_filter(w, lambda e: e <> 0)), ',') AS whole,
+      array_to_string(list_concat(list_transform(list_filter(z, lambda e: e.w = 0), lambda e: e.s), list_transform(list_filter(z, lambda e: e.w <> 0), lambda e: e.s)), ',') AS shown FROM z""",
+)(_concatenated)
+query(
+    "collated",
+    """WITH s AS (SELECT l_orderkey, list(l_partkey::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS x FROM lineitem GROUP BY 1), n AS (SELECT *, (ceil(max(len(x)) OVER (PARTITION BY l_orderkey // 64) / 4) * 4)::INT AS n FROM s)
+    SELECT l_orderkey, array_to_string(list_concat(x, list_transform(range(0, n - len(x)), lambda i: -1)), ',') AS ids, len(x)::INT AS kept, n AS width FROM n""",
+)(
+    lambda spark, sf: rollouts.collated(_spans(spark, sf).join(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("long").alias("p"), "l_suppkey", "l_quantity"))), lambda x: x["p"]).alias("ids")), "l_orderkey").select("l_orderkey", "ids", F.floor(F.col("l_orderkey") / 64).alias("batch")), ["batch"], {"ids": -1}, 4)
+    .select("l_orderkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("kept"), F.size("attention").alias("width"))
+)
+
+
+def _rounds(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey")
+    prompts = p.count() // 5
+    first = p.filter(F.col("p_partkey") < 2 * prompts).withColumn("pos", F.col("p_partkey"))
+    second = p.filter(F.col("p_partkey") >= 2 * prompts).withColumn("pos", F.col("p_partkey") - 2 * prompts)
+    return rollouts.interleaved([first, second], "pos", [2, 3]).select("p_partkey", "index")
+
+
+query("interleaved", "WITH n AS (SELECT count(*) // 5 AS n FROM part) SELECT p_partkey, CASE WHEN p_partkey < 2 * n THEN p_partkey // 2 * 5 + p_partkey % 2 ELSE (p_partkey - 2 * n) // 3 * 5 + 2 + (p_partkey - 2 * n) % 3 END::BIGINT AS index FROM part, n")(_rounds)
+query(
+    "action_metrics",
+    """WITH t AS (SELECT event_id % 5 AS turns, event_id % 3 = 0 AS active, event_id % 2 AS valid, length(props) AS searches FROM events),
+    a AS (SELECT avg(turns) AS m, max(turns) AS x, min(turns) AS n, 1 - avg(active::INT) AS f, avg(valid) AS v, avg(CASE WHEN turns > 0 THEN valid / turns END) AS r, avg(searches) AS s FROM t)
+    SELECT unnest(['env/number_of_actions/mean', 'env/number_of_actions/max', 'env/number_of_actions/min', 'env/finish_ratio', 'env/number_of_valid_action', 'env/ratio_of_valid_action', 'env/number_of_valid_search']) AS name,
+      round(unnest([m, x, n, f, v, r, s]), 6)::DOUBLE AS value FROM a""",
+)(lambda spark, sf: rollouts.action_metrics(table(spark, sf, "events").select((F.col("event_id") % 5).alias("t"), (F.col("event_id") % 3 == 0).alias("a"), (F.col("event_id") % 2).alias("v"), F.length("props").alias("s")), "t", "a", "v", "s").select("name", F.round("value", 6).alias("value")))
+query(
+    "slowest_report",
+    """WITH t AS (SELECT event_id, value AS g, event_id % 11 AS c, event_id % 4 AS p, user_id AS l, length(props) AS r FROM events), s AS (SELECT * FROM t ORDER BY g + c DESC, event_id LIMIT 1),
+    a AS (SELECT min(p) AS p0, max(p) AS p1, avg(p) AS p2, min(g) AS g0, max(g) AS g1, avg(g) AS g2, min(c) AS c0, max(c) AS c1, avg(c) AS c2 FROM t)
+    SELECT unnest(['agent_loop/num_preempted/min', 'agent_loop/num_preempted/max', 'agent_loop/num_preempted/mean', 'agent_loop/generate_sequences/min', 'agent_loop/generate_sequences/max', 'agent_loop/generate_sequences/mean', 'agent_loop/tool_calls/min', 'agent_loop/tool_calls/max', 'agent_loop/tool_calls/mean',
+      'agent_loop/slowest/generate_sequences', 'agent_loop/slowest/tool_calls', 'agent_loop/slowest/num_preempted', 'agent_loop/slowest/prompt_length', 'agent_loop/slowest/response_length']) AS name, round(unnest([p0, p1, p2, g0, g1, g2, c0, c1, c2, g, c, p, l, r]::DOUBLE[]), 6) AS value FROM a, s""",
+)(
+    lambda spark, sf: rollouts.slowest_report(table(spark, sf, "events").select("event_id", F.col("value").alias("g"), (F.col("event_id") % 11).alias("c"), (F.col("event_id") % 4).alias("p"), "user_id", F.length("props").alias("r")), "g", "c", "p", "user_id", "r", "event_id").select("name", F.round("value", 6).alias("value"))
+)
