@@ -231,11 +231,12 @@ def _divided(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rarest(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, id, n, component, leads, c, k: of texts (id, component) the rarest shingles, each a bucket of c texts of which k lead.
+    """bucket, id, n, component, behind, leads, c, k: of texts (id, component) the rarest shingles, each a bucket of c texts of which k lead; behind: shingles of the set from this one on.
 
     Shingles are put in order by frequency, then by value. Two similar sets of a and b shingles, a <= b, have percent * (a + b) / (100 + percent) of them in
     common or more, so the first that they share stands among the first b - percent * b / 100 + 1 of the larger set, and among the fewer first
-    a - 2 * percent * a / (100 + percent) + 1 of the smaller one, where it leads. A pair meets where the smaller set leads; shingles that no text leads make no pairs.
+    a - 2 * percent * a / (100 + percent) + 1 of the smaller one, where it leads. From it on both sets have as many shingles as they share or more (``_enough_left``).
+    A pair meets where the smaller set leads; shingles that no text leads make no pairs.
     """
     own = sets.join(texts, "id").select("id", "component", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("bucket"))
     own = materialise(own.distinct(), "shingles")
@@ -244,7 +245,7 @@ def rarest(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.count(F.lit(1)).over(of_set)  # shingles that no other text has come first
     behind = (F.col("n") - alone - F.row_number().over(of_set.orderBy("f", "bucket")) + 1).alias("behind")
     first = own.join(counts, "bucket").select("bucket", "id", "n", "component", behind).filter(100 * F.col("behind") >= percent * F.col("n"))
-    first = materialise(first.withColumn("leads", (100 + percent) * F.col("behind") >= 2 * percent * F.col("n")).drop("behind"), "rarest")
+    first = materialise(first.withColumn("leads", (100 + percent) * F.col("behind") >= 2 * percent * F.col("n")), "rarest")
     met = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.count_if("leads").alias("k")).filter("c > 1 AND k > 0")
     return first.join(met, "bucket")
 
@@ -259,6 +260,11 @@ def _met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
     return pairs.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
 
 
+def _enough_left(percent: int) -> Column:
+    """Whether two sets that meet at a shingle can have enough in common from it on."""
+    return (100 + percent) * F.least("a.behind", "b.behind") >= percent * (F.col("a.n") + F.col("b.n"))
+
+
 def _near(places: int, percent: int) -> Column:
     return _alike("a.n", "b.n", percent) & (_different(F.col("a.sketch"), F.col("b.sketch"), -(-places // 32)) <= most_different(places, percent))
 
@@ -284,7 +290,7 @@ def _left_over(pending: DataFrame, sketch: DataFrame, sets: DataFrame, places: i
     if many.isEmpty():
         return found
     met = rarest(materialise(many, "many"), sets, percent).join(sketch, ["id", "n"])
-    return found.union(_met(met.filter("leads"), met, (F.col("a.n") <= F.col("b.n")) & _near(places, percent))).distinct()
+    return found.union(_met(met.filter("leads"), met, (F.col("a.n") <= F.col("b.n")) & _enough_left(percent) & _near(places, percent))).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, places: int = PLACES) -> DataFrame:
