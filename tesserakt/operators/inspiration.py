@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserakt.operators.pairs import hashed, unit
 from tesserakt.operators.ranking import parent_weights
-from tesserakt.operators.stages import staged
+from tesserakt.operators.stages import numbered, staged
 
 
 def exponential(weight: Column, *keys: Column | int) -> Column:
@@ -56,23 +56,31 @@ def repairs(requests: DataFrame, programs: DataFrame, seed: int = 3) -> DataFram
     return drawn.join(programs.select("program", "island"), "program").select("request", "island", F.col("program").alias("parent"))
 
 
+def around(requests: DataFrame, rows: DataFrame, many: int, seed: int) -> DataFrame:
+    """The requests with `many` random programs each, and how far `after` a request's start they come: all programs lie on a ring in a seeded order, a request starts somewhere on it."""
+    ring = numbered(rows.select("program", hashed(seed, 1, F.col("program")).alias("h")), [F.col("h"), F.col("program")], "position").drop("h")
+    total = ring.count()
+    start = F.conv(F.substring(hashed(seed, 2, F.col("request")), 1, 13), 16, 10).cast("long") % max(total, 1)
+    asked = requests.withColumn("after", F.explode(F.sequence(F.lit(0), F.lit(min(many, max(total, 1)) - 1))))
+    return asked.withColumn("position", (start + F.col("after")) % max(total, 1)).join(ring, "position").drop("position")
+
+
 def archive_inspirations(chosen: DataFrame, programs: DataFrame, archive: DataFrame, n: int, elite_share: float, apart: bool = False, seed: int = 2) -> DataFrame:
     """request, place, program, step: up to n archived programs for each request (request, island, parent), none twice and none the parent.
 
     In turn: the best correct program of all (where islands are kept apart, only for requests of its island), the island's programs by score if
-    the share of elites gives one place at least, random ones of the island, and random ones of all islands unless they are kept apart.
+    the share of elites gives one place at least, random ones of the island, and random ones of all islands (``around``) unless they are kept apart.
     """
     able = programs.filter("correct").join(archive.select("program"), "program", "left_semi").select("island", "program", "score")
     top = programs.filter("correct AND score IS NOT NULL").agg(F.min(F.struct((-F.col("score")).alias("s"), "program", "island")).alias("t")).select("t.program", F.col("t.island").alias("home"))
     first = chosen.join(top).filter(~F.col("program").eqNullSafe(F.col("parent"))).filter(F.col("home") == F.col("island") if apart else F.lit(n > 0))
     taken = first.select("request", F.lit(0).alias("place"), "program", F.lit("best").alias("step"))
-    random = lambda salt: hashed(seed, salt, F.col("request"), F.col("program"))
-    steps = [("elite", True, F.desc_nulls_last("score"))] if int(n * elite_share) > 0 else []
-    steps += [("island", True, random(0))] + ([] if apart else [("any", False, random(1))])
-    for step, own, order in steps:
+    steps = [("elite", F.desc_nulls_last("score"))] if int(n * elite_share) > 0 else []
+    steps.append(("island", hashed(seed, 0, F.col("request"), F.col("program"))))
+    for step, order in [*steps, *([] if apart else [("any", F.col("after"))])]:
         have = taken.groupBy("request").agg(F.count(F.lit(1)).alias("have"))
         left = chosen.join(have, "request", "left").fillna(0, ["have"]).filter(F.col("have") < n)
-        met = left.join(able, "island") if own else left.join(able.drop("island"))  # the requests asked, against the archive
+        met = left.join(able, "island") if step != "any" else around(left, able, 2 * n + 1, seed)
         free = met.filter(~F.col("program").eqNullSafe(F.col("parent"))).join(taken.select("request", "program"), ["request", "program"], "left_anti")
         more = least_k(free, ["request"], [order, F.col("program")], n).withColumn("place", (F.col("have") + F.col("turn")).cast("int"))
         taken = staged(taken.union(more.filter(F.col("place") < n).select("request", "place", "program", F.lit(step))))

@@ -198,8 +198,10 @@ query("sampled_parents", PS + _W + " SELECT request, island, parent FROM chosen"
 _I = """, top AS (SELECT id, island AS home FROM q WHERE correct ORDER BY score DESC, id LIMIT 1), one AS (SELECT request, 0 AS place, id AS program, 'best' AS step FROM chosen, top WHERE id IS DISTINCT FROM chosen.parent),
   elite AS (SELECT request, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) - 1 + (SELECT count(*) FROM one WHERE one.request = chosen.request) AS place, id AS program, 'elite' AS step FROM chosen JOIN able USING (island)
     WHERE id IS DISTINCT FROM chosen.parent AND (request, id) NOT IN (SELECT (request, program) FROM one)), two AS (FROM one UNION ALL FROM elite WHERE place < 4),
-  loose AS (SELECT request, row_number() OVER (PARTITION BY request ORDER BY md5(concat_ws(':', 2, 1, request, id)), id) - 1 + (SELECT count(*) FROM two WHERE two.request = chosen.request) AS place, id AS program, 'any' AS step FROM chosen, able
-    WHERE id IS DISTINCT FROM chosen.parent AND (request, id) NOT IN (SELECT (request, program) FROM two)), taken AS (FROM two UNION ALL FROM loose WHERE place < 4)"""
+  ring AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', 2, 1, id)), id) - 1 AS position FROM able), whole AS (SELECT count(*) AS n FROM ring),
+  near AS (SELECT chosen.*, i, ring.id FROM chosen, whole, range(9) r(i), ring WHERE i < n AND ring.position = (('0x' || substr(md5(concat_ws(':', 2, 2, request)), 1, 13))::BIGINT + i) % n),
+  loose AS (SELECT request, row_number() OVER (PARTITION BY request ORDER BY i, id) - 1 + (SELECT count(*) FROM two WHERE two.request = near.request) AS place, id AS program, 'any' AS step FROM near
+    WHERE id IS DISTINCT FROM near.parent AND (request, id) NOT IN (SELECT (request, program) FROM two)), taken AS (FROM two UNION ALL FROM loose WHERE place < 4)"""
 query("archive_inspirations", PS + _W + _I + " SELECT request, place::INT AS place, program, step FROM taken")(lambda spark, sf: _inspired(spark, sf)[-1])
 
 
