@@ -168,6 +168,7 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def call_form(response: Column, gold: Column, right: float = 1.0, wrong: float = 0.0) -> Column:
     """Whether the response has the parts that the gold one has, in order and once: a thought, tool calls, an answer."""
+    # The tags of the parts and how they are laid out.
     once = lambda tag: (F.size(F.split(response, f"<{tag}>")) == 2) & (F.size(F.split(response, f"</{tag}>")) == 2)
     asks, calls = F.contains(gold, F.lit("<response>")), F.contains(gold, F.lit("<tool_call>"))
     both = response.rlike(r"(?s)^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n<response>.*?</response>$") & once("tool_call") & once("response")
@@ -196,7 +197,7 @@ ROUTES = {
 
 
 def routed_score(source: Column, solution: Column, gold: Column) -> Column:
-    """The score by the scorer of the row's source; a source that nobody scores is an error."""
+    """The score by the scorer of the row's source; a source that nobody scores is an error of the whole query, so filter such rows before."""
     out = None
     for name, scorer in ROUTES.items():
         test = F.startswith(source, F.lit(name))

@@ -41,6 +41,7 @@ def reduce_metrics(df: DataFrame, key: str = "key", value: str = "value", varian
     return df.groupBy(key).agg(agg.cast("double").alias(value))
 
 
+# Parts of metrics' names and how these are aggregated.
 AGGREGATION_RULES = (("timing_s/", "sum"), ("mean", "avg"), ("avg", "avg"), ("max", "max"), ("min", "min"), ("sum", "sum"), ("total", "sum"))
 
 
@@ -238,12 +239,3 @@ def majority_at(df: DataFrame, source: str, uid: str, answer: str, score: str, r
         part = each.groupBy(source, uid).agg(F.avg("_s").alias("_m"), F.stddev_pop("_s").alias("_d")).groupBy(source).agg(F.lit(n).alias("n"), F.avg("_m").alias("mean"), F.avg("_d").alias("std"))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def largest_samples(n: int) -> list[int]:
-    """2, 4, 8, ... below n, and n."""
-    out, k = [], 2
-    while k < n:
-        out.append(k)
-        k *= 2
-    return [*out, n] if n > 1 else out

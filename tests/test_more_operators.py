@@ -83,7 +83,7 @@ def test_majority(spark):
     df = spark.createDataFrame(rows, "s string, u string, i long, a string, v double")
     (r,) = grouped.majority_at(df, "s", "u", "a", "v", "i", [3], rounds=400).collect()
     exact = 0.75**3 + 3 * 0.75**2 * 0.25
-    assert abs(r["mean"] - exact) < 0.06 and grouped.largest_samples(10) == [2, 4, 8, 10] and grouped.largest_samples(1) == []
+    assert abs(r["mean"] - exact) < 0.06 and grouped.sizes_up_to(10) == [2, 4, 8, 10] and grouped.sizes_up_to(1) == []
 
 
 def brute_differencing(lengths, parts):
