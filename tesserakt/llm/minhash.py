@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, unused, word_hashes
 from tesserakt.llm.components import components
+from tesserakt.llm.sketches import at_most, frequencies
 
 BANDS, ROWS, PLACES = 40, 6, 320
 _EMPTY = np.uint64(2**64 - 1)
@@ -45,6 +46,8 @@ SLICE = 40_000
 CELL, STARS, LEFT = 256, 6, 8
 #: Sets of so many shingles or fewer go with the members of crowded buckets; larger ones are told apart by their sketches first.
 SMALL = 512
+#: Bits of the greatest width of the sketch of shingles: 12 MB are broadcast at most.
+MOST_BITS = 22
 
 
 def document_sets(data: np.ndarray, doc_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,19 +236,29 @@ def _divided(members: DataFrame, labels: DataFrame) -> DataFrame:
 def rarest(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """bucket, id, n, component, behind, leads, c, k: of texts (id, component) the rarest shingles, each a bucket of c texts of which k lead; behind: shingles of the set from this one on.
 
-    Shingles are put in order by frequency, then by value. Two similar sets of a and b shingles, a <= b, have percent * (a + b) / (100 + percent) of them in
+    Shingles are put in order by frequency, as a sketch of bounded size tells it (any order that is the same for all texts is right), then by value. Two similar sets of a and b shingles, a <= b, have percent * (a + b) / (100 + percent) of them in
     common or more, so the first that they share stands among the first b - percent * b / 100 + 1 of the larger set, and among the fewer first
     a - 2 * percent * a / (100 + percent) + 1 of the smaller one, where it leads. From it on both sets have as many shingles as they share or more (``_enough_left``).
     A pair meets where the smaller set leads; shingles that no text leads make no pairs.
     """
-    own = sets.join(texts, "id").select("id", "component", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("bucket"))
-    own = materialise(own.distinct(), "shingles")
-    counts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    of_set = Window.partitionBy("id", "set")
-    alone = F.col("n") - F.count(F.lit(1)).over(of_set)  # shingles that no other text has come first
-    behind = (F.col("n") - alone - F.row_number().over(of_set.orderBy("f", "bucket")) + 1).alias("behind")
-    first = own.join(counts, "bucket").select("bucket", "id", "n", "component", behind).filter(100 * F.col("behind") >= percent * F.col("n"))
-    first = materialise(first.withColumn("leads", (100 + percent) * F.col("behind") >= 2 * percent * F.col("n")), "rarest")
+    own = materialise(sets.join(texts, "id").select("id", "component", F.col("shingles").alias("h")), "crowd")
+    total = own.agg(F.sum(F.size("h"))).first()[0] or 0
+    bits = min(max(int(4 * total).bit_length(), 16), MOST_BITS)
+    shared = own.sparkSession.sparkContext.broadcast(frequencies(own, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, (i, component) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                h = batch.column(2)[r].values.to_numpy()
+                n = len(h)
+                often = at_most(shared.value, h, bits)
+                order = np.lexsort((h, often))
+                behind = n - np.arange(n)
+                at = np.flatnonzero((100 * behind >= percent * n) & (often[order] > 1))  # what only one text has makes no pairs
+                columns = [pa.array(h[order][at]), pa.array(np.full(len(at), i)), pa.array(np.full(len(at), n)), pa.array(np.full(len(at), component)), pa.array(behind[at]), pa.array((100 + percent) * behind[at] >= 2 * percent * n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "n", "component", "behind", "leads"])
+
+    first = materialise(own.mapInArrow(run, "bucket long, id long, n long, component long, behind long, leads boolean"), "rarest")
     met = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.count_if("leads").alias("k")).filter("c > 1 AND k > 0")
     return first.join(met, "bucket")
 

@@ -31,8 +31,22 @@ def has(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return keep
 
 
+def at_most(counts: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """How often keys occur at most, but for what a cell can hold, from the counts of ``frequencies``."""
+    return np.minimum.reduce([counts[row][cells_of(hashes, row, bits)] for row in range(DEPTH)])
+
+
+def frequencies(lists: DataFrame, bits: int) -> np.ndarray:
+    """DEPTH x 2**bits counts, 255 at most, of the keys in lists (h array of long)."""
+    return _merged(lists.select("h"), 255, bits, False)
+
+
 def sketch(keys: DataFrame, least: int, bits: int) -> np.ndarray:
     """DEPTH x 2**bits flags, packed: whether what the keys (h long, n long) of a cell count is `least` or more, or 255 if that's less."""
+    return _merged(keys.select("h", "n"), least, bits, True)
+
+
+def _merged(keys: DataFrame, least: int, bits: int, packed: bool) -> np.ndarray:
     per_row = max(1, (1 << bits) // _CHUNK)
     size = min(1 << bits, _CHUNK)
     limit = min(least, 255)
@@ -40,7 +54,10 @@ def sketch(keys: DataFrame, least: int, bits: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((DEPTH, 1 << bits), dtype=np.uint8)
         for batch in batches:
-            h, n = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), limit)
+            if packed:
+                h, n = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), limit)
+            else:
+                h, n = batch.column(0).flatten().to_numpy(), None
             for row in range(DEPTH):
                 at, where = np.unique(cells_of(h, row, bits), return_inverse=True)
                 table[row, at] = np.minimum(table[row, at] + np.bincount(where, n), limit)
@@ -54,12 +71,12 @@ def sketch(keys: DataFrame, least: int, bits: int) -> np.ndarray:
             for i, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = np.frombuffer(cells.as_buffer(), np.uint8).astype(np.int16)
                 sums[i] = np.minimum(sums[i] + got, limit) if i in sums else got
-        packed = [np.packbits(x >= limit).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["part", "bits"])
+        done = [np.packbits(x >= limit).tobytes() if packed else x.astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(done, pa.binary())], names=["part", "bits"])
 
-    rows = keys.select("h", "n").mapInArrow(counted, "part int, cells binary")
+    rows = keys.mapInArrow(counted, "part int, cells binary")
     flags = rows.repartition(DEPTH * min(per_row, 64), "part").mapInArrow(merged, "part int, bits binary")
-    out = np.zeros((DEPTH * per_row, size // 8), dtype=np.uint8)
-    for r in flags.collect():  # DEPTH * 2**bits bits at most
+    out = np.zeros((DEPTH * per_row, size // 8 if packed else size), dtype=np.uint8)
+    for r in flags.collect():  # DEPTH * 2**bits bits or bytes at most
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(DEPTH, -1)
