@@ -81,7 +81,9 @@ def most_similar(queries: DataFrame, rows: DataFrame, key: str, vector: str) ->
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The k best documents of each query by BM25 (idf ln(1 + (N - df + 0.5) / (df + 0.5))); no shared word: no row.
+    """The k best documents of each query by BM25 (idf ln(1 + (N - df + 0.5) / (df + 0.5))); ties to the smaller key; no shared word: no row.
+
+    Scores are ranked to 9 places, as sums depend on their order beyond that: documents with the same counts tie.
 
     Only words of queries are counted in documents: an equi-join on the word, partial counts before the shuffle.
     """
@@ -95,13 +97,14 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text
     named = asked.select(F.col("w").alias("_any"), F.col("w")).distinct()
     # the documents are read once: words that nobody asks for are counted together, under no name
     counts = staged(split.join(named, "_any", "left").groupBy("id", "len", "w").agg(F.count(F.lit(1)).alias("tf")))
-    whole = counts.select("id", "len").distinct().agg(F.count(F.lit(1)).alias("_docs"), F.avg("len").alias("_avg"))
+    texts = counts.groupBy("id", "len").agg(F.sum("tf").alias("n")).withColumn("n", F.when(F.col("len") > 0, F.col("n") / F.col("len")).otherwise(F.col("n")))  # several, where rows share a key
+    whole = texts.agg(F.sum("n").alias("_docs"), (F.sum(F.col("n") * F.col("len")) / F.sum(F.when(F.col("len").isNotNull(), F.col("n")))).alias("_avg"))
     counts = counts.filter("w IS NOT NULL")
     spread = counts.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qn") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
     scored = counts.join(spread, "w").join(asked, "w").join(F.broadcast(whole)).groupBy("query", "id").agg(F.sum(part).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 

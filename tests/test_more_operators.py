@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserakt.functions import grading
 from tesserakt.operators import advantage as ad
-from tesserakt.operators import balance, batch, grouped, policy, store
+from tesserakt.operators import balance, batch, grouped, policy, similarity, store
 from tesserakt.streaming import replay
 
 
@@ -175,3 +175,11 @@ def test_similar_rows_in_blocks(spark, monkeypatch):
         if q % 4 == 0 or q > 40:
             best = sorted(((-cosine(v, w), i) for i, w in rows if i != q))[:4]
             assert sorted(got[q]) == [(k, i, round(-s, 9)) for k, (s, i) in enumerate(best, 1)]
+
+
+def test_bm25_ranks_scores_that_differ_by_rounding_only_by_key(spark):
+    docs = spark.createDataFrame([(1, "fox of the woods and of the hills"), (2, "fox"), (3, "hen"), (3, "hen")], "d long, t string")
+    asked = spark.createDataFrame([(7, "fox")], "q long, t string")
+    rows = similarity.bm25(asked, docs, "q", "d", "t", 2, k1=1e-12).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == [1, 2]
+    assert rows[0]["score"] == pytest.approx(math.log(1 + (4 - 2 + 0.5) / 2.5))  # four documents, though two of them share a key and a length
