@@ -237,6 +237,8 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector_co
         annuli.setdefault(r["dim"], []).append((r["cell"], r["ring"], r["lo"], r["hi"], r["n"]))
     annuli = {dim: tuple(np.array(x) for x in zip(*rows, strict=True)) for dim, rows in annuli.items()}
     asked = vectors.filter(queries)
+    # both sides grow with the table, and blocks of vectors pack so well on disk that Spark would take them for small ones: never broadcast
+    index = index.hint("merge")
     first = _score(_route(asked, pivots, annuli, k).join(index, ["dim", "cell", "ring"]), pivots, k)
     least = _best(first, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("least"))
     asked = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "dim", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))

@@ -229,3 +229,9 @@ def test_every_operator_has_a_query():
     for n in range(1, 11):
         assert any(name.startswith(f"op{n}_") for name in queries.QUERIES)
     assert fold("doc_id", 4) is not None
+
+
+def test_topk_never_broadcasts_blocks_of_vectors(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id long, v array<double>")
+    plan = pivot_topk.top_k(df, F.col("id") % 20 == 0, k=3, id_col="id", vector_col="v")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
