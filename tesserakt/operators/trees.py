@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tesserakt.operators.stages import staged
 
+#: Nodes of a step up a tree that are broadcast at most.
+FEW = 10_000
+
 
 def ancestry(df: DataFrame, node: str, parent: str, most: int = 10) -> DataFrame:
     """node, ancestor, depth (1: the parent) for up to `most` steps; from the links alone, in joins that double the reach."""
@@ -55,28 +58,29 @@ def leaf_means(df: DataFrame, node: str, parent: str, score: str) -> DataFrame:
 
     Sums and counts go up one link at a time, added up by node, until no parent is left; leaves under a circle of links raise an error.
     """
-    ids = df.select(F.col(node).alias("_p")).distinct()
-    links = df.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).join(ids, "_p", "left_semi")
-    inner = df.select(F.col(parent).alias("_k")).distinct()
+    ids = df.select(F.col(node).alias("_p")).distinct().hint("merge")  # ids and links grow with the table: none are broadcast, and they are joined once
+    links = staged(df.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).join(ids, "_p", "left_semi"))
+    inner = df.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("_k")).distinct().hint("merge")
     leaves = df.join(inner, F.col(node) == F.col("_k"), "left_anti").select(F.col(node).alias("node"), F.col(score).alias("_s"))
     step = staged(leaves.groupBy("node").agg(F.sum("_s").alias("_t"), F.count("_s").alias("_c")))
-    out, steps, most = step, 0, df.count()
-    while not step.isEmpty():
+    out, steps, most, n = step, 0, df.count(), step.count()
+    while n:
         if steps > most:
             raise ValueError("parent links run in a circle")
+        step = F.broadcast(step) if n <= FEW else step.hint("merge")
         up = step.join(links, F.col("node") == F.col("_n")).groupBy(F.col("_p").alias("node")).agg(F.sum("_t").alias("_t"), F.sum("_c").alias("_c"))
         step, steps = staged(up), steps + 1
-        out = out.union(step)
+        out, n = out.union(step), step.count()
     return out.groupBy("node").agg(F.sum("_c").alias("leaves"), F.try_divide(F.sum("_t"), F.sum("_c")).alias("mean"))
 
 
 def node_scores(df: DataFrame, node: str, parent: str, score: str, margin: float = 0.0) -> DataFrame:
     """(mean of a node's leaves + what it is above its parent's mean, the margin taken off) / root of its leaves."""
-    m = leaf_means(df, node, parent, score)
+    m = staged(leaf_means(df, node, parent, score))
     links = df.select(F.col(node).alias("node"), F.col(parent).alias("_p"))
     up = m.select(F.col("node").alias("_p"), F.col("mean").alias("_pm"))
     local = F.greatest(F.col("mean") - F.coalesce("_pm", "mean") - margin, F.lit(0.0))
-    return m.join(links, "node").join(up, "_p", "left").select("node", "leaves", "mean", ((F.col("mean") + local) / F.sqrt("leaves")).alias("score"))
+    return m.join(links.hint("merge"), "node").join(up.hint("merge"), "_p", "left").select("node", "leaves", "mean", ((F.col("mean") + local) / F.sqrt("leaves")).alias("score"))
 
 
 #: Weights of a goal's own score and of its children's mean. Three forms exist; each is named.

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserakt.functions import code_metrics, tool_calls
+from tesserakt.operators import trees
 from tesserakt.plans import registry
 from tesserakt.sources.results import ResultFolders
 
@@ -155,3 +156,19 @@ def test_bandit_query_equals_a_plain_loop(spark, sf):
     assert {r["arm"]: r["score"] for r in registry.QUERIES["bandit_bounds"](spark, sf).collect()} == pytest.approx(scores, rel=1e-6)
     betas = {r["step"]: (r["alpha"], r["beta"]) for r in registry.QUERIES["bandit_betas"](spark, sf).collect()}
     assert all(betas[w[0]] == pytest.approx(w[7:], rel=1e-6) for w in want)
+
+
+def test_steps_up_a_tree_broadcast_no_table(spark, monkeypatch):
+    plans, staged = [], trees.staged
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    monkeypatch.setattr(trees, "staged", seen)
+    monkeypatch.setattr(trees, "FEW", 0, raising=False)
+    df = spark.createDataFrame([(0, None, 9.0), (1, 0, 1.0), (2, 0, 9.0), (3, 2, 3.0), (4, 2, 5.0)], "id long, up long, s double")
+    out = trees.node_scores(df, "id", "up", "s")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {r["node"]: (r["leaves"], r["mean"]) for r in out.collect()} == {0: (3, 3.0), 1: (1, 1.0), 2: (2, 4.0), 3: (1, 3.0), 4: (1, 5.0)}
