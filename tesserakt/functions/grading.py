@@ -161,8 +161,7 @@ def countdown_score(equation: Column, numbers: Column, target: Column, form: flo
 
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Common elements over all elements, as often as they occur; 1 for equal lists, 0 if one is empty."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    both = tx.overlap(a, b)
     return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
