@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserakt.operators.stages import staged
 
-#: Queries and rows of a block, and rows that a matrix product takes.
-QUERY_ROWS, BLOCK_ROWS, SLICE = 4_000, 50_000, 2_000
+#: Queries and rows of a block, and queries and rows that a matrix product takes: a task holds the two blocks and one product.
+QUERY_ROWS, BLOCK_ROWS, TILE, SLICE = 4_000, 50_000, 500, 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,8 +26,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _matrix(vectors: pa.ChunkedArray, length: int, by: str) -> np.ndarray:
     """Vectors as rows, of length 1 for cosines; what is null, holds nulls or has another length is zero."""
-    fits = [v if v is not None and len(v) == length and None not in v else None for v in vectors.to_pylist()]
-    out = np.array([v or [0.0] * length for v in fits], float).reshape(len(fits), length)
+    out, at = np.zeros((len(vectors), length)), 0
+    for chunk in vectors.chunks:
+        begins, sizes = chunk.offsets.to_numpy()[:-1], np.diff(chunk.offsets.to_numpy())
+        fits = (sizes == length) & chunk.is_valid().to_numpy(zero_copy_only=False)
+        values = chunk.values
+        if values.null_count:  # sums of nulls up to each place tell which vectors hold any
+            gone = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))
+            fits &= gone[begins + sizes] == gone[begins]
+            values = values.fill_null(0.0)
+        rows = np.flatnonzero(fits)
+        if length:
+            out[at + rows] = values.to_numpy(zero_copy_only=False)[begins[rows][:, None] + np.arange(length)]
+        at += len(chunk)
     if by == "cosine":
         size = np.sqrt((out * out).sum(axis=1))
         out = np.divide(out, size[:, None], out=np.zeros_like(out), where=size[:, None] > 0)
@@ -35,21 +46,22 @@ def _matrix(vectors: pa.ChunkedArray, length: int, by: str) -> np.ndarray:
 
 
 def _best(queries: pa.Table, rows: pa.Table, length: int, k: int, by: str, exclude_self: bool) -> pa.Table:
-    """The k best rows of a block for each query of a block: matrix products, SLICE rows at a time."""
+    """The k best rows of a block for each query of a block: matrix products, TILE queries by SLICE rows at a time."""
     names, ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
     wanted = _matrix(queries.column("vector"), length, by)
     kept_id, kept = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
     for at in range(0, len(ids), SLICE):
-        own = ids[at : at + SLICE]
-        score = np.round(wanted @ _matrix(rows.column("vector").slice(at, SLICE), length, by).T, 12)  # equal vectors, equal scores
-        if exclude_self:
-            score[names[:, None] == own[None, :]] = -np.inf
-        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(names), -np.inf)
-        for q in range(len(names)):
-            near = np.flatnonzero((score[q] >= least[q]) & (score[q] > -np.inf))
-            every, value = np.concatenate((kept_id[q], own[near])), np.concatenate((kept[q], score[q, near]))
-            order = np.lexsort((every, -value))[:k]
-            kept_id[q], kept[q] = every[order], value[order]
+        own, matrix = ids[at : at + SLICE], _matrix(rows.column("vector").slice(at, SLICE), length, by).T
+        for first in range(0, len(names), TILE):
+            score = np.round(wanted[first : first + TILE] @ matrix, 12)  # equal vectors, equal scores
+            if exclude_self:
+                score[names[first : first + TILE, None] == own[None, :]] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+            for i, q in enumerate(range(first, first + len(score))):
+                near = np.flatnonzero((score[i] >= least[i]) & (score[i] > -np.inf))
+                every, value = np.concatenate((kept_id[q], own[near])), np.concatenate((kept[q], score[i, near]))
+                order = np.lexsort((every, -value))[:k]
+                kept_id[q], kept[q] = every[order], value[order]
     return pa.table({"query": np.repeat(names, [len(x) for x in kept]), "id": np.concatenate(kept_id) if kept else np.zeros(0, np.int64), "score": np.concatenate(kept) if kept else np.zeros(0)})
 
 
