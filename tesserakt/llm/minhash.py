@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, unused, word_hashes
 from tesserakt.llm.components import components
-from tesserakt.llm.sketches import at_most, frequencies
+from tesserakt.llm.sketches import at_most, frequencies, has
+from tesserakt.llm.sketches import sketch as key_flags
 
 BANDS, ROWS, PLACES = 40, 6, 320
 _EMPTY = np.uint64(2**64 - 1)
@@ -48,6 +49,8 @@ CELL, STARS, LEFT = 256, 6, 8
 SMALL = 512
 #: Bits of the greatest width of the sketch of shingles: 12 MB are broadcast at most.
 MOST_BITS = 22
+#: The same of the filter of ids that share a bucket: 6 MB are broadcast at most, enough for some 5 million ids.
+MOST_ID_BITS = 24
 
 
 def document_sets(data: np.ndarray, doc_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +191,21 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, places: int) -> D
     return docs.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and its sorted distinct shingle hashes."""
+def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """id and its sorted distinct shingle hashes, for all texts or for the ids of `wanted` and a few others.
+
+    These texts are chosen by a Bloom filter of bounded size while they are read, so that none is shuffled; with more ids than it is made for more sets are made than needed.
+    """
+    chosen, shared, bits = wanted is not None, None, 0
+    if chosen:
+        bits = min(max((8 * wanted.count()).bit_length(), 16), MOST_ID_BITS)
+        shared = docs.sparkSession.sparkContext.broadcast(key_flags(wanted.select(F.xxhash64("id").alias("h"), F.lit(1).alias("n")), 1, bits))
+        docs = docs.filter("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if chosen:
+                batch = batch.filter(pa.array(has(shared.value, batch.column(2).to_numpy(), bits)))
             raw, offs = buffers(batch.column(1))
             for i, j in chunks(offs):
                 elements, starts = document_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
@@ -317,8 +330,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     reps = members.filter("rep IS NULL OR rep = id").select("id", "n", F.explode("bands").alias("bucket"))
     buckets = materialise(_buckets(reps), "buckets")
-    candidates = buckets.select("id").distinct().hint("shuffle_hash")  # they grow with the documents: not broadcast; and no text is sorted
-    sets = materialise(shingle_sets(texts.join(candidates, "id", "left_semi"), k), "sets")
+    sets = materialise(shingle_sets(texts, k, buckets), "sets")
     pending, labels = buckets.withColumn("component", F.col("id")), None
     before = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
     for turn in range(STARS):

@@ -599,3 +599,18 @@ def test_columns_of_the_users_keep_their_names(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3, 3]
     done = pii.redact(docs)
     assert done.columns == docs.columns and {r["_cands"] for r in done.collect()} == {7} and done.filter("text LIKE '%EMAIL%'").count() == 2
+
+
+def test_near_duplicates_shuffle_no_texts(spark, monkeypatch):
+    plans, materialise = {}, minhash.materialise
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialise(df, name)
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    docs = spark.createDataFrame([(i, texts[i % 20]) for i in range(30)] + [(50, texts[3] + " more"), (None, texts[3])], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
+    assert found == {i: i % 20 for i in range(30)} | {50: 3}
+    assert "Exchange" not in plans["sets"]
