@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserakt.functions import code_metrics, propositions, symbolic, tool_calls
 from tesserakt.operators import bandits, inspiration, pairs, patches, rollouts, trees
+from tesserakt.operators.stages import staged
 from tesserakt.plans.extra import PS, _archive, _programs
 from tesserakt.plans.registry import query, table
 
@@ -114,7 +115,7 @@ query(
 def _goals_met(spark, sf):
     solved = _reasoned(spark, sf).withColumn("puzzle_id", F.col("c_custkey") % 8)
     tree = propositions.goals(spark.range(8).select(F.col("id").alias("puzzle_id"), F.array(*map(F.lit, _PEOPLE)).alias("names"), F.transform(F.array(F.lit(4), F.lit(2), F.lit(1)), lambda b: F.col("id").bitwiseAND(b) > 0).alias("solution")))
-    met = propositions.met(solved.withColumn("solved", F.lit(False)), tree)
+    met = staged(propositions.met(solved.withColumn("solved", F.lit(False)), tree))  # read by the scores of each level and by the counts
     key = lambda c: F.concat(F.col("text_id").cast("string"), F.lit("/"), F.col(c))
     scores = trees.goal_scores(met.select(key("goal").alias("goal"), key("parent").alias("parent"), (F.col("level") - 1).alias("level"), F.col("satisfied").cast("double").alias("score")), "goal", "parent", "level", "score", 2, "children")
     root = scores.filter("level = 0").select(F.substring_index("goal", "/", 1).cast("long").alias("text_id"), F.round("score", 6).alias("score"))
