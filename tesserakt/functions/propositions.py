@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,9 @@ FINAL = "### Final Answer"
 # What confirms a goal.
 CONFIRMED = r"(?:No contradiction|No issues|consistent|holds without)"
 
+#: Puzzles with assumptions that a worker remembers.
+REMEMBERED = 20_000
+
 Known = dict[int, bool]
 
 
@@ -89,7 +93,13 @@ def solutions(statements: Column) -> Column:
 def _consistent(text: str | None, roles: list | None) -> bool | None:
     if text is None or roles is None:
         return None
-    said, known = _statements(text), {i: bool(r) for i, r in enumerate(roles) if r is not None}
+    return _can_all(text, tuple(None if r is None else bool(r) for r in roles))
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _can_all(text: str, roles: tuple[bool | None, ...]) -> bool:
+    """Many texts reason about the same puzzle: what a worker has solved it remembers."""
+    said, known = _statements(text), {i: r for i, r in enumerate(roles) if r is not None}
     demands = [said[i] if truth else ["not", said[i]] for i, truth in known.items() if i < len(said)]
     return all(next(models([d], sorted(named(d) - known.keys()), known), None) is not None for d in demands)
 

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tesserakt.functions import code_metrics, tool_calls
+from tesserakt.functions import code_metrics, propositions, symbolic, tool_calls
 from tesserakt.operators import trees
 from tesserakt.plans import registry
 from tesserakt.sources.results import ResultFolders
@@ -172,3 +172,11 @@ def test_steps_up_a_tree_broadcast_no_table(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert not [p for p in plans if "Broadcast" in p]
     assert {r["node"]: (r["leaves"], r["mean"]) for r in out.collect()} == {0: (3, 3.0), 1: (1, 1.0), 2: (2, 4.0), 3: (1, 3.0), 4: (1, 5.0)}
+
+
+def test_workers_remember_answers_and_puzzles():
+    symbolic.alike.cache_clear()
+    assert [symbolic.alike("2x + x", "3x") for _ in range(5)] == [True] * 5
+    assert symbolic.alike.cache_info().hits >= 4
+    said = '[["lying", 1], ["telling-truth", 0]]'
+    assert [propositions._consistent(said, [True, None]) for _ in range(3)] == [True] * 3 and propositions._can_all.cache_info().hits >= 2
