@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, unused, word_hashes
 from tesserakt.llm.components import components
-from tesserakt.llm.sketches import at_most, frequencies, has
+from tesserakt.llm.sketches import among, at_most, frequencies, has
 from tesserakt.llm.sketches import sketch as key_flags
 
 BANDS, ROWS, PLACES = 40, 6, 320
@@ -49,7 +49,7 @@ CELL, STARS, LEFT = 256, 6, 8
 SMALL = 512
 #: Bits of the greatest width of the sketch of shingles: 12 MB are broadcast at most.
 MOST_BITS = 22
-#: The same of the filter of ids that share a bucket: 6 MB are broadcast at most, enough for some 5 million ids.
+#: The same of the filters of ids, sets and buckets that are shared: 6 MB are broadcast at most, enough for some 5 million of them.
 MOST_ID_BITS = 24
 
 
@@ -215,17 +215,31 @@ def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame | None = None) -> Da
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the pairs (a, b) whose full sets are similar enough. Only sets that a Bloom filter of their ids lets through are shuffled."""
+    pairs = materialise(pairs, "pairs")
+    asked = among(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("h")), MOST_ID_BITS)
+    sets = sets.filter(asked(F.xxhash64("id")))
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     found = found.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     found = found.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
     return found.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _one_of_each(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) from copies to the smallest id of their set, and id, n, bands of one row of each set; bands are shuffled only for what may have copies."""
+    classes = materialise(whole.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("set_key", "rep"), "classes")
+    copied = among(classes.select(F.xxhash64("set_key").alias("h")), MOST_ID_BITS)(F.xxhash64("set_key"))
+    # An id that occurs with several texts is one node with several sets: its classes are linked through it.
+    links = whole.filter(copied).select("id", "set_key").join(classes, "set_key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    first = whole.filter(copied).groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))  # equal sets have equal bands
+    return links, whole.filter(~copied).select("id", "n", "bands").union(materialise(first.select("id", "n", "bands"), "representatives"))
+
+
 def _buckets(reps: DataFrame) -> DataFrame:
     """bucket, id, n of the buckets with two members or more; of buckets with the same members, one."""
-    crowded = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    members = materialise(reps.join(crowded.hint("merge"), "bucket").distinct(), "crowded")  # crowded buckets grow with the documents: none are broadcast
+    crowded = materialise(reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"), "crowded-buckets")
+    shared = among(crowded.select(F.col("bucket").alias("h")), MOST_ID_BITS)
+    members = materialise(reps.filter(shared("bucket")).join(crowded.hint("merge"), "bucket").distinct(), "crowded")  # crowded buckets grow with the documents: none are broadcast
     names = [F.xxhash64("id", "n"), F.xxhash64("n", "id")]
     halves = [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))) for h in names] + [F.sum(F.shiftrightunsigned(h, 32)) for h in names]
     named = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *(x.alias(f"h{i}") for i, x in enumerate(halves))).filter("c > 1")
@@ -305,8 +319,9 @@ def _few(members: DataFrame, sketch: DataFrame, sets: DataFrame, places: int, pe
     first = F.array_min(F.array_intersect("a.held", "b.held")) == F.col("a.bucket")
     both = F.size(F.array_intersect("a.cuts", "b.cuts")) + F.col("a.n") - F.size("a.cuts")
     enough = F.coalesce(100 * both >= percent * (F.col("a.n") + F.col("b.n") - both), F.lit(True))
-    rows = rows.withColumn("k", F.col("c"))
-    return _met(rows, rows, (F.col("a.id") > F.col("b.id")) & _near(places, percent) & first & enough)
+    rows = rows.select("bucket", "id", "n", "component", "held", "sketch", "cuts")  # the same on both sides, so that it is shuffled once
+    here = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+    return rows.alias("a").join(rows.alias("b"), here & _near(places, percent) & first & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def _left_over(pending: DataFrame, sketch: DataFrame, sets: DataFrame, places: int, percent: int) -> DataFrame:
@@ -324,11 +339,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(signatures(texts, k, bands, rows, places), "signatures")
     whole = signed.filter("n > 0 AND id IS NOT NULL")
-    copied = whole.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("set_key", "rep")
-    # An id that occurs with several texts is one node with several sets: its classes are linked through it.
-    members = materialise(whole.select("id", "n", "set_key", "bands").join(materialise(copied, "classes"), "set_key", "left"), "representatives")
-    links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = members.filter("rep IS NULL OR rep = id").select("id", "n", F.explode("bands").alias("bucket"))
+    links, reps = _one_of_each(whole)
+    reps = reps.select("id", "n", F.explode("bands").alias("bucket"))
     buckets = materialise(_buckets(reps), "buckets")
     sets = materialise(shingle_sets(texts, k, buckets), "sets")
     pending, labels = buckets.withColumn("component", F.col("id")), None
@@ -347,8 +359,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             break
         before = left["pairs"]
     if left["pairs"]:
-        sketch = whole.select("id", "n", "sketch").distinct()  # an id with several texts has several
-        found = _linked(_left_over(pending, sketch, sets, places, percent), sets, percent)
+        open_ = among(pending.select("id").distinct().select(F.xxhash64("id").alias("h")), MOST_ID_BITS)(F.xxhash64("id"))
+        sketch = whole.filter(open_).select("id", "n", "sketch").distinct()  # an id with several texts has several
+        found = _linked(_left_over(pending, sketch, sets.filter(open_), places, percent), sets, percent)
         labels = components(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     out = signed.select("id", "n").join(labels, signed["id"] == labels["node"], "left")
     component = F.coalesce("component", "id")

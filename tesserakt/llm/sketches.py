@@ -6,11 +6,13 @@ flags are a Bloom filter of the keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Rows of the sketch. With 2**24 cells in a row, the most that callers ask for, its flags take 6 MB.
 DEPTH = 3
@@ -31,6 +33,21 @@ def has(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return keep
 
 
+def among(keys: DataFrame, most_bits: int) -> Callable[[Column], Column]:
+    """Whether a hash may be one of the keys (h long), as a condition on a column; true for every key.
+
+    The Bloom filter's size follows the number of keys up to 2**most_bits cells in a row; with more keys it lets more of the others through.
+    """
+    bits = min(max((8 * keys.count()).bit_length(), 16), most_bits)
+    shared = keys.sparkSession.sparkContext.broadcast(sketch(keys.select("h", F.lit(1).alias("n")), 1, bits))
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(has(shared.value, h.to_numpy(), bits))
+
+    return may
+
+
 def at_most(counts: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """How often keys occur at most, but for what a cell can hold, from the counts of ``frequencies``."""
     return np.minimum.reduce([counts[row][cells_of(hashes, row, bits)] for row in range(DEPTH)])

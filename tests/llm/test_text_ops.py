@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tesserakt.llm import bpe, components, decontam, langid, minhash, pii, queries, suffix_dedup, toxicity
+from tesserakt.llm import bpe, components, decontam, langid, minhash, pii, queries, sketches, suffix_dedup, toxicity
 from tesserakt.llm.common import fold, read_table
 
 
@@ -614,3 +614,26 @@ def test_near_duplicates_shuffle_no_texts(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
     assert found == {i: i % 20 for i in range(30)} | {50: 3}
     assert "Exchange" not in plans["sets"]
+
+
+def test_near_duplicates_shuffle_bands_of_copies_only(spark, monkeypatch):
+    rows, materialise = {}, minhash.materialise
+
+    def seen(df, name):
+        out = materialise(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(300)]
+    docs = spark.createDataFrame([(i, texts[i % 290]) for i in range(300)] + [(500, texts[20] + " more")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert found == {i: i % 290 for i in range(300)} | {500: 20}
+    assert 10 <= rows["representatives"] < 30 and rows["pairs"] == 1
+
+
+def test_filter_of_keys(spark):
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    left = {r["id"] for r in spark.range(3000).filter(sketches.among(keys, 24)(F.xxhash64("id"))).collect()}
+    assert left >= set(range(0, 3000, 3)) and len(left) < 1100
+    assert spark.range(100).filter(sketches.among(keys.limit(0), 24)(F.xxhash64("id"))).count() == 0
