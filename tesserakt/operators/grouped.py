@@ -225,17 +225,21 @@ def majority_at(df: DataFrame, source: str, uid: str, answer: str, score: str, r
     """maj@n: the score of the most frequent answer among n draws with replacement, mean and deviation over rounds, then means over prompts by source.
 
     Draw j of a round is the row that a seeded hash names, so every prompt can be
-    resampled wherever it lies; answers as frequent tie to the one drawn first.
+    resampled wherever it lies; answers as frequent tie to the one drawn first. A prompt's rows are
+    shuffled once, to be numbered; its draws and votes stay in the same task. Of a prompt with more rows than draws only the drawn ones are held.
     """
     w = Window.partitionBy(source, uid)
-    rows = df.select(source, uid, F.col(answer).alias("_a"), F.col(score).alias("_s"), (F.row_number().over(w.orderBy(row)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n")).filter("_n > 1")
-    prompts = rows.groupBy(source, uid).agg(F.max("_n").alias("_n"))
-    out = None
-    for n in sizes:
-        draws = prompts.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), source, uid, "_round", "_draw"), F.col("_n")).cast("int")).drop("_n")
-        votes = draws.join(rows, [source, uid, "_i"]).groupBy(source, uid, "_round", "_a").agg(F.count(F.lit(1)).alias("_c"), F.min("_draw").alias("_first"), F.min_by("_s", "_draw").alias("_s"))
-        each = votes.groupBy(source, uid, "_round").agg(F.max_by("_s", F.struct("_c", -F.col("_first"))).alias("_s"))
-        part = each.groupBy(source, uid).agg(F.avg("_s").alias("_m"), F.stddev_pop("_s").alias("_d")).groupBy(source).agg(F.lit(n).alias("n"), F.avg("_m").alias("mean"), F.avg("_d").alias("std"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    most = max(sizes)
+    at = lambda i, j: F.pmod(F.xxhash64(F.lit(seed), source, uid, i, j), F.col("_n")).cast("int")
+    rows = df.filter(F.col(source).isNotNull() & F.col(uid).isNotNull())
+    rows = rows.select(source, uid, F.col(answer).alias("_a"), F.col(score).alias("_s"), (F.row_number().over(w.orderBy(row)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n")).filter("_n > 1")
+    drawn = F.exists(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda i: F.exists(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: at(i, j) == F.col("_i")))
+    rows = rows.filter((F.col("_n") <= rounds * most) | drawn)
+    prompts = rows.groupBy(source, uid).agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_i", "_a", "_s"))).alias("_rows"))
+    draws = prompts.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    place = F.when(F.size("_rows") == F.col("_n"), at("_round", "_draw")).otherwise(F.array_position(F.col("_rows._i"), at("_round", "_draw")).cast("int") - 1)
+    draws = draws.select(source, uid, "_round", "_draw", F.get("_rows", place).alias("_row"))
+    draws = draws.withColumn("n", F.explode(F.array(*(F.lit(n) for n in dict.fromkeys(sizes))))).filter("_draw < n")
+    votes = draws.groupBy(source, uid, "n", "_round", F.col("_row._a").alias("_a")).agg(F.count(F.lit(1)).alias("_c"), F.min("_draw").alias("_first"), F.min_by("_row._s", "_draw").alias("_s"))
+    each = votes.groupBy(source, uid, "n", "_round").agg(F.max_by("_s", F.struct("_c", -F.col("_first"))).alias("_s"))
+    return each.groupBy(source, uid, "n").agg(F.avg("_s").alias("_m"), F.stddev_pop("_s").alias("_d")).groupBy(source, "n").agg(F.avg("_m").alias("mean"), F.avg("_d").alias("std"))

@@ -183,3 +183,24 @@ def test_bm25_ranks_scores_that_differ_by_rounding_only_by_key(spark):
     rows = similarity.bm25(asked, docs, "q", "d", "t", 2, k1=1e-12).orderBy("rank").collect()
     assert [r["id"] for r in rows] == [1, 2]
     assert rows[0]["score"] == pytest.approx(math.log(1 + (4 - 2 + 0.5) / 2.5))  # four documents, though two of them share a key and a length
+
+
+def test_majority_shuffles_no_draws(spark):
+    """Prompts with fewer and with more rows than draws against plain Python; no join in the plan."""
+    rows = [("s", u, i, f"a{i % 3}", float(i % 7)) for u, n in (("few", 4), ("many", 90)) for i in range(n)] + [("s", None, 1, "x", 5.0), ("s", None, 2, "x", 5.0)]
+    df = spark.createDataFrame(rows, "s string, u string, i long, a string, v double")
+    out = grouped.majority_at(df, "s", "u", "a", "v", "i", [2, 4], rounds=5)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    draws = spark.range(5).selectExpr("int(id) AS r").crossJoin(spark.range(4).selectExpr("int(id) AS d")).crossJoin(spark.createDataFrame([("few", 4), ("many", 90)], "u string, n long"))
+    at = {(r["u"], r["r"], r["d"]): r["at"] for r in draws.select("u", "r", "d", F.expr("int(pmod(xxhash64(42, 's', u, r, d), n))").alias("at")).collect()}
+    for r in out.collect():
+        means = []
+        for u in ("few", "many"):
+            scores = []
+            for k in range(5):
+                got = [at[u, k, d] for d in range(r["n"])]
+                answers = [i % 3 for i in got]
+                best = max(answers, key=lambda a: (answers.count(a), -answers.index(a)))
+                scores.append(float(got[answers.index(best)] % 7))
+            means.append(np.mean(scores))
+        assert abs(r["mean"] - np.mean(means)) < 1e-9
