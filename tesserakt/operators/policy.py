@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserakt.operators import correction, losses
 from tesserakt.operators.losses import clip
+from tesserakt.operators.stages import first_of
 
 _LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -126,9 +127,11 @@ def _covariance(df: DataFrame, t: Tokens) -> DataFrame:
     return df.join(F.broadcast(means)).withColumn("cov", F.when(on, (adv - F.col("_a")) * (logp - F.col("_l"))))
 
 
-def _named(df: DataFrame, t: Tokens, order: list[Column], number: int) -> DataFrame:
-    """Keys of the first `number` rows in an order."""
-    return df.orderBy(*order, t.seq, t.pos).limit(number).select(F.col(t.seq).alias("_s"), F.col(t.pos).alias("_p"), F.lit(True).alias("_hit"))
+def _named(df: DataFrame, t: Tokens, order: list[Column], number: int, down: bool = False) -> DataFrame:
+    """Keys of the first `number` rows in an order (down: the greatest first), then by sequence and position."""
+    keys = df.select(F.col(t.seq).alias("_s"), F.col(t.pos).alias("_p"), *(c.alias(f"_o{i}") for i, c in enumerate(order)))
+    ranks = [F.col(f"_o{i}").desc() if down else F.col(f"_o{i}").asc() for i in range(len(order))]
+    return first_of(keys, [*ranks, F.col("_s"), F.col("_p")], number).select("_s", "_p", F.lit(True).alias("_hit"))
 
 
 @register("clip_cov")
@@ -155,7 +158,7 @@ def penalised_covariance(df: DataFrame, t: Tokens, share: float = 0.0002, coeffi
     logp, old, adv, on = t.values()
     df = _covariance(df, t)
     number = max(1, int((df.agg(F.max("_n")).first()[0] or 0) * share))
-    hit = _named(df.filter(on), t, [F.desc("cov")], number)
+    hit = _named(df.filter(on), t, [F.col("cov")], number, down=True)
     out = df.join(hit, (F.col(t.seq) == F.col("_s")) & (F.col(t.pos) == F.col("_p")), "left")
     loss = -adv * F.exp(logp - old) + F.when(F.col("_hit"), coefficient * F.abs(logp - old)).otherwise(0.0)
     return out.withColumn("loss", loss).drop("_a", "_l", "_n", "_s", "_p", "_hit", "cov")

@@ -30,3 +30,13 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return parts.join(sizes.select("_part", before.alias("_before")), "_part").select(*df.columns, (F.col("_before") + within).alias(out))
+
+
+def first_of(df: DataFrame, order: list[Column], number: int) -> DataFrame:
+    """The first rows of an order, which has no ties; only the ranges of the order that hold one of them are numbered, each by itself."""
+    parts = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = parts.join(F.broadcast(sizes.select("_part", before.alias("_before")).filter(F.col("_before") < number)), "_part")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return held.withColumn("_at", F.col("_before") + within).filter(F.col("_at") <= number).select(*df.columns)

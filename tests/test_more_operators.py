@@ -204,3 +204,17 @@ def test_majority_shuffles_no_draws(spark):
                 scores.append(float(got[answers.index(best)] % 7))
             means.append(np.mean(scores))
         assert abs(r["mean"] - np.mean(means)) < 1e-9
+
+
+def test_greatest_covariances_meet_in_no_single_task(spark):
+    df = spark.range(400).selectExpr("id % 40 AS seq", "int(id / 40) AS pos", "double(hash(id) % 9) AS adv", "double(hash(id, 1) % 7) AS logp", "0.0D AS old", "int(id % 5 > 0) AS m")
+    names = policy.Tokens(seq="seq", pos="pos", logp="logp", old="old", adv="adv", mask="m")
+    out = policy.policy_loss("kl_cov")(df, names, share=0.1, coefficient=1e6)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+    rows = [r.asDict() for r in df.collect() if r["m"]]
+    a, b = np.mean([r["adv"] for r in rows]), np.mean([r["logp"] for r in rows])
+    rows.sort(key=lambda r: (-(r["adv"] - a) * (r["logp"] - b), r["seq"], r["pos"]))
+    want = {(r["seq"], r["pos"]) for r in rows[:32] if r["logp"] != 0}
+    got = {(r["seq"], r["pos"]) for r in out.collect() if abs(r["loss"]) > 1e5}
+    assert got == want and len(want) > 20
