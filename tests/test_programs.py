@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -137,6 +138,13 @@ def test_odd_patches(spark):
     assert loose["applied"] == 1 and "\nb\n" in loose["text"]
 
 
+def test_marks_are_those_of_their_pattern():
+    pattern, rng = re.compile(r"(?:#|//|)?\s*EVOLVE-BLOCK-(START|END)"), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(["#", "/", "//", " ", "\n", "x", "EVOLVE-BLOCK-START", "EVOLVE-BLOCK-END"]) for _ in range(rng.randint(0, 9)))
+        assert patches.marks(text) == [(m.start(), m.end(), m[1]) for m in pattern.finditer(text)]
+
+
 def test_diff_summary(spark):
     diff = "--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,4 @@\n a\n-b\n-c\n+d\n+e\n+f\n g\n@@ -9 +9 @@\n-h\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n+n\n"
     got = spark.range(1).select(patches.diff_summary(F.lit(diff)).alias("s")).first()["s"]
