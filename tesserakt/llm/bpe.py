@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tesserakt.llm.common import trimmed
+
 #: Pretokens whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_ENTRIES = 500_000
 
@@ -277,7 +279,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kind = dict(docs.select(id_col).dtypes)[id_col]
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +102,21 @@ def chunks(offs: np.ndarray, target: int = 1 << 20) -> Iterator[tuple[int, int]]
         i = j
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow; its worker, which may lie idle for long, gives free memory back to the system when the task ends."""
+
+    @wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64)."""
     h = h ^ (h >> np.uint64(30))

@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, unused, word_hashes
+from tesserakt.llm.common import buffers, chunks, materialise, mix, shingle_hashes, trimmed, unused, word_hashes
 from tesserakt.llm.components import components
 from tesserakt.llm.sketches import among, at_most, frequencies, has
 from tesserakt.llm.sketches import sketch as key_flags
 
 BANDS, ROWS, PLACES = 40, 6, 320
 _EMPTY = np.uint64(2**64 - 1)
-#: Elements whose permutations are held at once.
-SLICE = 40_000
+#: Elements whose permutations are held at once; bytes of text whose sets are.
+SLICE, PIECE = 10_000, 1 << 18
 #: Members that one task compares with as many; star rounds at most; pairs left for each member that call for another one.
 CELL, STARS, LEFT = 256, 6, 8
 #: Sets of so many shingles or fewer go with the members of crowded buckets; larger ones are told apart by their sketches first.
@@ -174,7 +174,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, places: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = buffers(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, PIECE):
                 elements, starts = document_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 sizes = np.diff(starts)
                 signed = super_minhash(elements, starts, places)
@@ -188,7 +188,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, places: int) -> D
                     names=["id", "n", "set_key", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, n long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -207,11 +207,11 @@ def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame | None = None) -> Da
             if chosen:
                 batch = batch.filter(pa.array(has(shared.value, batch.column(2).to_numpy(), bits)))
             raw, offs = buffers(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, PIECE):
                 elements, starts = document_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(elements, starts)], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, shingles array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import LOWER, buffers, chunks, materialise, portion, prefix_sums, range_hash, word_spans
+from tesserakt.llm.common import LOWER, buffers, chunks, materialise, portion, prefix_sums, range_hash, trimmed, word_spans
 
 #: Labelled rows of each class that are learned from, about.
 SAMPLE_ROWS = 4_000
@@ -44,6 +44,8 @@ VOTERS = 300
 #: What the given label is trusted with before its reliability is estimated, and the least correlation within a class that is modelled.
 TRUST, DEPENDS = 0.9, 0.1
 THRESHOLD = 0.3
+#: Bytes of text whose features are made at once.
+PIECE = 1 << 18
 #: Insults in English, German, French and Spanish.
 LEXICON = """idiot moron stupid trash loser scum clown pathetic worthless disgusting dumb fool jerk garbage filth vermin creep imbecile
 dumm dummkopf trottel abschaum versager widerlich wertlos erbärmlich ekelhaft müll
@@ -73,6 +75,7 @@ def features(data: np.ndarray, doc_offs: np.ndarray, wanted: np.ndarray | None =
     doc = np.repeat(np.arange(len(doc_offs) - 1), np.diff(first))
     sums = prefix_sums(lowered)
     docs, numbers = [], []
+    forms = None if wanted is None else wanted.view(np.uint32) != 0  # whether any of the four numbers of a word form counts
     for p in PREFIXES:
         long_enough = ends - starts >= p
         end = np.minimum(starts + p, ends) if p else ends
@@ -80,7 +83,7 @@ def features(data: np.ndarray, doc_offs: np.ndarray, wanted: np.ndarray | None =
         d = doc[long_enough]
         base = (h % np.uint64(SPACE // 4)).astype(np.int64) * 4  # up to four numbers for one word form: how often it recurs
         if wanted is not None:
-            some = wanted.reshape(-1, 4).any(axis=1)[base >> 2]
+            some = forms[base >> 2]
             base, d = base[some], d[some]
         key, times = np.unique(d * SPACE + base, return_counts=True)
         for r, least in enumerate(RECURS):
@@ -237,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = buffers(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, PIECE):
                 data, own = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 doc, number = features(data, own)
                 ends = np.searchsorted(doc, np.arange(j - i + 1))
@@ -246,12 +249,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(marks.astype(np.int32)), lists], names=["toxic", "marks", "features"])
 
     got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_toxic", "_text")
-    got = materialise(got.mapInArrow(run, "toxic int, marks int, features binary"), "toxicity-sample")
+    got = materialise(got.mapInArrow(trimmed(run), "toxic int, marks int, features binary"), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in got.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return *nothing, 40.0 if n1 > n0 else -40.0
     s1, s0 = sizes[1], sizes[0]
-    counts = got.coalesce(4).mapInArrow(_counted, "feature long, has1 long, has0 long").groupBy("feature").agg(F.sum("has1").alias("has1"), F.sum("has0").alias("has0"))
+    counts = got.coalesce(4).mapInArrow(trimmed(_counted), "feature long, has1 long, has0 long").groupBy("feature").agg(F.sum("has1").alias("has1"), F.sum("has0").alias("has0"))
     a, b = F.col("has1") / s1, F.col("has0") / s0
     gain = (a - b) * (a - b) / (a + b + 2 / (s1 + s0))
     best = counts.filter("has1 + has0 >= 3").orderBy(gain.desc(), "feature").limit(KEPT).select("feature").collect()
@@ -266,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lists = pa.array([x[np.isin(x, shared.value)].tobytes() for x in held], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["toxic", "marks", "features"])
 
-    rows = [tuple(r) for r in got.mapInArrow(only, "toxic int, marks int, features binary").collect()]
+    rows = [tuple(r) for r in got.mapInArrow(trimmed(only), "toxic int, marks int, features binary").collect()]
     rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))  # the same model whatever the order of rows
     held = [np.frombuffer(r[2], np.uint32) for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in held])
@@ -280,7 +283,7 @@ def _scores(column: pa.Array, model: tuple[np.ndarray, np.ndarray, float]) -> np
     wanted[used], table[used] = True, weights
     raw, offs = buffers(column)
     z = np.full(len(column), bias)
-    for i, j in chunks(offs):
+    for i, j in chunks(offs, PIECE):
         doc, number = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wanted)
         z[i:j] += np.bincount(doc, table[number], j - i)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -295,7 +298,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), shared.value))], names=["id", "score"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, score double")
+    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(trimmed(run), f"id {kind}, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -306,6 +309,8 @@ def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), shared.value) < threshold))
+            keep = pa.array(_scores(batch.column(at), shared.value) < threshold)
+            for i, j in chunks(buffers(batch.column(at))[1]):  # never a second copy of the whole batch
+                yield batch.slice(i, j - i).filter(keep.slice(i, j - i))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -637,3 +639,29 @@ def test_filter_of_keys(spark):
     left = {r["id"] for r in spark.range(3000).filter(sketches.among(keys, 24)(F.xxhash64("id"))).collect()}
     assert left >= set(range(0, 3000, 3)) and len(left) < 1100
     assert spark.range(100).filter(sketches.among(keys.limit(0), 24)(F.xxhash64("id"))).count() == 0
+
+
+def test_signatures_hold_little_memory():
+    elements = np.unique(np.random.default_rng(1).integers(0, 2**63, 60_000).astype(np.uint64))
+    offs = np.arange(0, len(elements) + 1, 600)
+    minhash.super_minhash(elements[:600], offs[:2], 320)
+    tracemalloc.start()
+    minhash.super_minhash(elements, offs, 320)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25e6  # permutations of 40,000 elements alone are 26 MB
+
+
+def test_toxic_rows_leave_a_task_in_small_batches(spark):
+    class Docs:  # what reject() asks of a frame
+        columns, schema = ["doc_id", "text"], None
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(6_000)), "text": ["some words " * 100] * 6_000})
+    run = toxicity.reject(Docs(), (np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0))
+    got = list(run(iter([docs])))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([docs]))
+    assert max(b.nbytes for b in got) < 2e6
