@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import buffers, materialise
-from tesserakt.llm.sketches import has, sketch
+from tesserakt.llm.common import LOWER, buffers, materialise, mix, prefix_sums, range_hash
+from tesserakt.llm.sketches import has, sketch_of
 
-#: Runs of ASCII letters and code points from 128 on, in the bytes of a text in lower case.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-NOT_TERM = re.compile(rb"[^a-z\x80-\xff]")
-#: Terms that a task holds before it writes their counts.
-HELD = 400_000
+#: Terms are runs of ASCII letters and code points from 128 on, in lower case: each byte of UTF-8 as such a run has it, or a space.
+LETTERS = bytes(int(LOWER[b]) if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
+NOT_TERM = re.compile(rb"[^A-Za-z\x80-\xff]")
+#: Terms that a task holds before it writes their counts, and terms in a row then.
+HELD, PACK = 600_000, 10_000
 #: Bytes of a text taken at once.
 PIECE = 1 << 22
 #: Bits of the least and greatest width of the sketch: what is broadcast takes 6 MB at most (3 * 2**24 bits).
@@ -41,58 +42,98 @@ SCALE = 1_000_000_000
 
 
 def pieces(data: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text in lower case, in lists; a longer text is cut between terms."""
+    """The terms of a text, in lists; a longer text is cut between terms."""
     start = 0
     while len(data) - start > PIECE:
         cut = NOT_TERM.search(data, start + PIECE)
         end = cut.start() if cut else len(data)
-        yield TERM.findall(data, start, end)
+        yield data[start:end].translate(LETTERS).split()
         start = end
-    yield TERM.findall(data, start)
+    yield data[start:].translate(LETTERS).split()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest of them needs."""
+    return values.astype(np.min_scalar_type(values.max())).tobytes()
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
-    """Of docs (lang, source, text): lang, source, term, n_docs, n, several rows of a term where several tasks or portions have it."""
+    """Of docs (lang, source, text): counts of terms of a language and source, PACK terms in a row, several times for a term where several tasks or portions have it.
+
+    size: how many terms the row has; terms, lens: the terms one after another and their lengths; n: their occurrences. n_docs: in how many texts of the
+    language a portion has the term; one of its sources says so and the others 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        groups: dict[tuple[str, str], Counter] = {}
+        in_docs: dict[str, Counter] = {}
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (in_docs, terms) in groups.items():
-                names = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
-                counts = [pa.array(x, pa.int64()) for x in (map(in_docs.__getitem__, terms), terms.values())]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(terms.keys(), pa.binary()), *counts], names=["lang", "source", "term", "n_docs", "n"])
+            for (lang, source), counts in groups.items():
+                terms, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                n_docs = np.fromiter(map(in_docs[lang].pop, terms, repeat(0)), np.int64, len(terms))
+                for i in range(0, len(terms), PACK):
+                    some = terms[i : i + PACK]
+                    lens = np.fromiter(map(len, some), np.int64, len(some))
+                    row = [lang, source, len(some), b"".join(some), *map(_packed, (lens, n_docs[i : i + PACK], n[i : i + PACK]))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=["lang", "source", "size", "terms", "lens", "n_docs", "n"])
             groups.clear()
+            in_docs.clear()
 
+        kinds = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4]
         for batch in batches:
             raw, offs = buffers(batch.column(2))
             for r, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                in_docs, terms = groups.setdefault(key, (Counter(), Counter()))
+                terms = groups.setdefault(key, Counter())
                 before, seen = len(terms), set()
-                for found in pieces(raw[offs[r] : offs[r + 1]].tobytes().lower()):
+                for found in pieces(raw[offs[r] : offs[r + 1]].tobytes()):
                     terms.update(found)
                     seen.update(found)
-                in_docs.update(seen)
+                in_docs.setdefault(key[0], Counter()).update(seen)
                 held += len(terms) - before
                 if held > HELD:
                     yield from out()
                     held = 0
         yield from out()
 
-    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
+    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, size int, terms binary, lens binary, n_docs binary, n binary")
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // size}").astype(np.int64)
+
+
+def _hashes(lang: str, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the language and each term."""
+    name = np.frombuffer(lang.encode(), np.uint8)
+    own = range_hash(prefix_sums(name), np.array([0]), np.array([len(name)]))
+    return mix(range_hash(prefix_sums(data), offs[:-1], offs[1:]) + own * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _in_texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows (lang, size, terms, lens, n_docs): hashes of terms and in how many texts they are, where any are said."""
+    for lang, size, terms, lens, n_docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        n = _unpacked(n_docs, size)
+        h = _hashes(lang, np.frombuffer(terms, np.uint8), np.concatenate(([0], np.cumsum(_unpacked(lens, size)))))
+        yield h[n > 0], n[n > 0]
 
 
 def possible(partial: DataFrame, flags: np.ndarray, bits: int) -> DataFrame:
-    """The rows whose term the sketch doesn't rule out."""
+    """lang, source, term, n_docs, n of the terms that the sketch doesn't rule out."""
     shared = partial.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = has(shared.value, batch.column(5).to_numpy(), bits)
-            yield batch.filter(pa.array(keep)).select(range(5))
+            for lang, source, size, terms, lens, n_docs, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                offs = np.concatenate(([0], np.cumsum(_unpacked(lens, size))))
+                keep = has(shared.value, _hashes(lang, np.frombuffer(terms, np.uint8), offs), bits)
+                names = [pa.repeat(pa.scalar(x, pa.string()), int(keep.sum())) for x in (lang, source)]
+                column = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(terms)]).filter(pa.array(keep))
+                counts = [pa.array(_unpacked(x, size)[keep]) for x in (n_docs, n)]
+                yield pa.RecordBatch.from_arrays([*names, column, *counts], names=["lang", "source", "term", "n_docs", "n"])
 
-    return partial.select("lang", "source", "term", "n_docs", "n", "h").mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
+    return partial.mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
 
 
 def _p(count: str, total: str, terms: str) -> Column:
@@ -166,11 +207,11 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, text_col: str = "text
     """lang, source, part ('pair': item is another source; 'term': item is a term that is more frequent here), item, value, rank."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
-    partial = materialise(partial_counts(docs).withColumn("h", F.xxhash64("lang", "term")), "terms")
+    partial = materialise(partial_counts(docs), "terms")
     occurring = materialise(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")), "groups")
     rows = occurring.agg(F.sum("rows")).first()[0] or 0
     bits = min(max(int(16 * rows).bit_length(), LEAST_BITS), MOST_BITS)
-    left = possible(partial, sketch(partial.select("h", F.col("n_docs").alias("n")), least, bits), bits)
+    left = possible(partial, sketch_of(partial.select("lang", "size", "terms", "lens", "n_docs"), _in_texts, least, bits), bits)
     exact = materialise(left.groupBy("lang", "term", "source").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), "counts")
     kept = exact.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("all")).filter(F.col("n_docs") >= least).drop("n_docs")
     cells = materialise(exact.drop("n_docs").join(kept, ["lang", "term"]), "kept")

@@ -6,7 +6,7 @@ flags are a Bloom filter of the keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,26 +55,28 @@ def at_most(counts: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def frequencies(lists: DataFrame, bits: int) -> np.ndarray:
     """DEPTH x 2**bits counts, 255 at most, of the keys in lists (h array of long)."""
-    return _merged(lists.select("h"), 255, bits, False)
+    return _merged(lists.select("h"), lambda batch: [(batch.column(0).flatten().to_numpy(), None)], 255, bits, False)
 
 
 def sketch(keys: DataFrame, least: int, bits: int) -> np.ndarray:
     """DEPTH x 2**bits flags, packed: whether what the keys (h long, n long) of a cell count is `least` or more, or 255 if that's less."""
-    return _merged(keys.select("h", "n"), least, bits, True)
+    return sketch_of(keys.select("h", "n"), lambda batch: [(batch.column(0).to_numpy(), batch.column(1).to_numpy())], least, bits)
 
 
-def _merged(keys: DataFrame, least: int, bits: int, packed: bool) -> np.ndarray:
+def sketch_of(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray]]], least: int, bits: int) -> np.ndarray:
+    """The same of rows of which `read` gets hashes and counts, a batch at a time."""
+    return _merged(rows, read, least, bits, True)
+
+
+def _merged(keys: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray | None]]], least: int, bits: int, packed: bool) -> np.ndarray:
     per_row = max(1, (1 << bits) // _CHUNK)
     size = min(1 << bits, _CHUNK)
     limit = min(least, 255)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((DEPTH, 1 << bits), dtype=np.uint8)
-        for batch in batches:
-            if packed:
-                h, n = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), limit)
-            else:
-                h, n = batch.column(0).flatten().to_numpy(), None
+        for h, n in (pair for batch in batches for pair in read(batch)):
+            n = None if n is None else np.minimum(n, limit)
             for row in range(DEPTH):
                 at, where = np.unique(cells_of(h, row, bits), return_inverse=True)
                 table[row, at] = np.minimum(table[row, at] + np.bincount(where, n), limit)

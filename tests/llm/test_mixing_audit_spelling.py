@@ -131,6 +131,25 @@ def test_audit(spark, small, monkeypatch):
     assert order(got) == order(plain_audit(rows, 12, 5))
 
 
+def test_counts_leave_a_task_many_terms_in_a_row(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "PACK", 8)
+    rows = audit_rows()
+    docs = frame(spark, rows).selectExpr("coalesce(lang, '') lang", "coalesce(source, '') source", "coalesce(text, '') text").coalesce(1)
+    partial = divergence.partial_counts(docs)
+    terms = divergence.possible(partial, np.full((3, 1 << 13), 255, np.uint8), 16).collect()
+    assert partial.count() < len(terms) / 3
+    n, n_docs = Counter(), Counter()
+    for t in terms:
+        n[t["lang"], t["source"], bytes(t["term"]).decode()] += t["n"]
+        n_docs[t["lang"], bytes(t["term"]).decode()] += t["n_docs"]
+    want_n, want_docs = Counter(), Counter()
+    for r in docs.collect():
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in r["text"]))
+        want_n.update((r["lang"], r["source"], t) for t in found)
+        want_docs.update((r["lang"], t) for t in set(found))
+    assert n == want_n and n_docs == want_docs
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audit(frame(spark, [])).count() == 0
     got = divergence.audit(frame(spark, [(1, None, None, "a"), (2, "a b", None, "b")])).collect()
