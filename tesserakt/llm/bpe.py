@@ -27,10 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tesserakt.llm.common import trimmed
+from tesserakt.llm.common import buffers, chunks, trimmed
 
 #: Pretokens whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_ENTRIES = 500_000
+#: Pretokens, and pairs of tokens, that it still remembers when a task has ended and it may lie idle.
+IDLE_ENTRIES = 50_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -233,6 +235,11 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def shrink(self) -> None:
+        for held in (self, self.bpe.pairs):
+            if len(held) > IDLE_ENTRIES:
+                held.clear()
+
 
 _encoders: dict[tuple[str, str], tuple[_Pieces, regex.Pattern]] = {}
 
@@ -262,19 +269,24 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _encoder(vocabulary, pattern)[0].bpe.tokens
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = encode_text(text.as_py(), vocabulary, pattern)
-                numbers = memoryview(ids).cast("I").tolist()
-                decoded = b"".join(map(tokens.__getitem__, numbers))
-                rows.append((len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if keep_ids else None))
-            n, a, b, ids = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if keep_ids:
-                columns.append(pa.array(ids, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        pieces = _encoder(vocabulary, pattern)[0]
+        tokens = pieces.bpe.tokens
+        try:
+            for batch in batches:
+                for i, j in chunks(buffers(batch.column(1))[1]):  # never the ids of the whole batch
+                    rows = []
+                    for text in batch.column(1).slice(i, j - i):
+                        ids = encode_text(text.as_py(), vocabulary, pattern)
+                        numbers = memoryview(ids).cast("I").tolist()
+                        decoded = b"".join(map(tokens.__getitem__, numbers))
+                        rows.append((len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if keep_ids else None))
+                    n, a, b, ids = zip(*rows, strict=True)
+                    columns = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                    if keep_ids:
+                        columns.append(pa.array(ids, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            pieces.shrink()
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kind = dict(docs.select(id_col).dtypes)[id_col]

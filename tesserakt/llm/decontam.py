@@ -31,13 +31,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserakt.llm.common import LOWER, buffers, chunks, materialise, mix, prefix_sums, range_hash, unused, word_spans
+from tesserakt.llm.common import LOWER, buffers, chunks, materialise, mix, prefix_sums, range_hash, trimmed, unused, word_spans
 from tesserakt.llm.sketches import has, sketch
 
 WINDOW = 8
@@ -45,6 +46,8 @@ MIN_WORDS = 5
 NEED = 6
 #: Bits of the least and greatest width of the filter of the items' windows.
 LEAST_BITS, MOST_BITS = 16, 24
+#: Bytes of text whose templates are made at once; matched groups that are Python objects at once.
+PIECE, GROUPS = 1 << 18, 64
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half quarter".split()
 UNITS = "mm cm km m mg kg g lb lbs oz ml l s ms min h hr hrs kb mb gb tb w kw v kwh hz mph kmh ft inch inches feet foot yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms pound pounds ounce ounces ton tons litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split()
@@ -180,17 +183,17 @@ def item_windows(items: DataFrame) -> DataFrame:
         names = ["h", "no", "view", "place", "size", "need", "total", "own"]
         for batch in batches:
             raw, offs = buffers(batch.column(1))
-            for v, view in enumerate(VIEWS):
-                words, filler, first = template(raw[offs[0] : offs[-1]], offs - offs[0], view)
-                for r, no in enumerate(batch.column(0).to_pylist()):
+            for v, (i, j) in product(range(len(VIEWS)), chunks(offs, PIECE)):
+                words, filler, first = template(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], VIEWS[v])
+                for r, no in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
                     own, fill = words[first[r] : first[r + 1]], filler[first[r] : first[r + 1]]
-                    place, size = chosen(own, fill, view)
+                    place, size = chosen(own, fill, VIEWS[v])
                     count, many = len(own) - size + 1, len(place)
                     if many:
                         whole = [pa.array(np.full(many, x, np.int32)) for x in (size, needed(count), count)]
                         yield pa.RecordBatch.from_arrays([pa.array(_keys(windows(own, size)[place], v)), pa.array(np.full(many, no)), pa.array(np.full(many, v, np.int32)), pa.array(place.astype(np.int32)), *whole, _around(fill, place, size)], names=names)
 
-    return items.select("no", "text").mapInArrow(run, "h long, no long, view int, place int, size int, need int, total int, own array<long>")
+    return items.select("no", "text").mapInArrow(trimmed(run), "h long, no long, view int, place int, size int, need int, total int, own array<long>")
 
 
 def hits(texts: DataFrame, flags: np.ndarray, bits: int, sizes: list[tuple[int, int]]) -> DataFrame:
@@ -200,7 +203,7 @@ def hits(texts: DataFrame, flags: np.ndarray, bits: int, sizes: list[tuple[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = buffers(batch.column(2))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, PIECE):
                 data, own = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 read = {}
                 for v, size in sizes:
@@ -216,7 +219,7 @@ def hits(texts: DataFrame, flags: np.ndarray, bits: int, sizes: list[tuple[int,
                         row = pa.array(doc + i)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[at]), pa.array((at - first[doc]).astype(np.int32)), _around(filler, at, size)], names=["t1", "t2", "h", "at", "there"])
 
-    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, h long, at int, there array<long>")
+    return texts.select("t1", "t2", "text").mapInArrow(trimmed(run), "t1 long, t2 long, h long, at int, there array<long>")
 
 
 def occurrences(pairs: list[tuple[int, int]], view: str, total: int, size: int) -> Iterator[list[int]]:
@@ -276,13 +279,13 @@ def matched(texts: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in (row for i in range(0, batch.num_rows, GROUPS) for row in batch.slice(i, GROUPS).to_pylist()):
                 got = found_in(row["view"], row["need"], row["total"], row["size"], row["matches"])
                 if got:
                     out.append({k: row[k] for k in ("t1", "t2", "no", "view")} | {"n_found": got[0], "n_windows": row["total"], "same": got[1]})
             yield from pa.Table.from_pylist(out, schema=pa.schema([(k, pa.int64()) for k in ("t1", "t2", "no")] + [("view", pa.int32()), ("n_found", pa.int64()), ("n_windows", pa.int64()), ("same", pa.bool_())])).to_batches()
 
-    checked = groups.mapInArrow(run, "t1 long, t2 long, no long, view int, n_found long, n_windows long, same boolean")
+    checked = groups.mapInArrow(trimmed(run), "t1 long, t2 long, no long, view int, n_found long, n_windows long, same boolean")
     return checked.groupBy("t1", "t2", "no").agg(F.min(F.struct("view", "n_found", "n_windows", "same")).alias("x")).select("t1", "t2", "no", "x.n_found", "x.n_windows", "x.same")
 
 

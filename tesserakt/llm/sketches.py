@@ -7,6 +7,7 @@ flags are a Bloom filter of the keys.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserakt.llm.common import trimmed
+
 #: Rows of the sketch. With 2**24 cells in a row, the most that callers ask for, its flags take 6 MB.
 DEPTH = 3
 _CHUNK = 1 << 16
+#: Keys that a task counts at once.
+_KEYS = 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -76,10 +81,10 @@ def _merged(keys: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[np.
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((DEPTH, 1 << bits), dtype=np.uint8)
         for h, n in (pair for batch in batches for pair in read(batch)):
-            n = None if n is None else np.minimum(n, limit)
-            for row in range(DEPTH):
-                at, where = np.unique(cells_of(h, row, bits), return_inverse=True)
-                table[row, at] = np.minimum(table[row, at] + np.bincount(where, n), limit)
+            for i, row in product(range(0, len(h), _KEYS), range(DEPTH)):
+                at, where = np.unique(cells_of(h[i : i + _KEYS], row, bits), return_inverse=True)
+                times = np.bincount(where, None if n is None else np.minimum(n[i : i + _KEYS], limit))
+                table[row, at] = np.minimum(table[row, at] + times, limit)
         parts = table.reshape(DEPTH * per_row, size)
         for i in np.flatnonzero(parts.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["part", "cells"])
@@ -93,8 +98,8 @@ def _merged(keys: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[np.
         done = [np.packbits(x >= limit).tobytes() if packed else x.astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(done, pa.binary())], names=["part", "bits"])
 
-    rows = keys.mapInArrow(counted, "part int, cells binary")
-    flags = rows.repartition(DEPTH * min(per_row, 64), "part").mapInArrow(merged, "part int, bits binary")
+    rows = keys.mapInArrow(trimmed(counted), "part int, cells binary")
+    flags = rows.repartition(DEPTH * min(per_row, 64), "part").mapInArrow(trimmed(merged), "part int, bits binary")
     out = np.zeros((DEPTH * per_row, size // 8 if packed else size), dtype=np.uint8)
     for r in flags.collect():  # DEPTH * 2**bits bits or bytes at most
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)

@@ -665,3 +665,66 @@ def test_toxic_rows_leave_a_task_in_small_batches(spark):
     got = list(run(iter([docs])))
     assert pa.Table.from_batches(got).equals(pa.Table.from_batches([docs]))
     assert max(b.nbytes for b in got) < 2e6
+
+
+class Tasks:
+    """What an operator asks of a frame, so that the function that it runs in tasks can be called by itself."""
+
+    dtypes = [("doc_id", "bigint")]
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_templates_hold_little_memory(spark):
+    text = "one sample of words, with 12 metres and names like Mary in it, that goes on and on. " * 25
+    rows = 1_000  # 2 MB
+    texts = pa.RecordBatch.from_pydict({"t1": list(range(rows)), "t2": [0] * rows, "text": [text] * rows})
+    run = decontam.hits(Tasks(spark), np.zeros((sketches.DEPTH, 1 << 13), np.uint8), 16, [(0, 8), (1, 8), (2, 8)])
+    assert not list(run(iter([texts.slice(0, 10)])))
+    tracemalloc.start()
+    assert not list(run(iter([texts])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6  # a quarter of a MB at once; 1 MB at once takes twice as much as that
+
+
+def test_token_ids_leave_a_task_in_small_batches_and_its_memory_is_bounded(spark, monkeypatch):
+    path, pattern = queries.vocabulary()
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(3_000)), "text": [None, "", *(f"word{i} and {i * 7919} more, " * 40 for i in range(2_998))]})
+    got = list(bpe.encode_documents(Tasks(spark), path, pattern)(iter([docs])))
+    assert len(got) > 1 and max(b.num_rows for b in got) < 2_000
+    got = pa.Table.from_batches(got).to_pydict()
+    assert got["doc_id"] == docs.column(0).to_pylist()
+    assert got["ids"] == [bpe.encode_text(t, path, pattern) for t in docs.column(1).to_pylist()]
+    monkeypatch.setattr(bpe, "IDLE_ENTRIES", 10)
+    list(bpe.encode_documents(Tasks(spark), path, pattern)(iter([docs.slice(0, 100)])))
+    pieces = bpe._encoder(path, pattern)[0]
+    assert len(pieces) <= 10 and len(pieces.bpe.pairs) <= 10
+
+
+def test_counts_of_long_lists_hold_little_memory(spark):
+    class Keys(Tasks):
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            self.cells = list(run(iter([keys])))
+            self.most = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return self
+
+        def repartition(self, *how):
+            return spark.createDataFrame([(i, bytes(c)) for b in self.cells for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], "part int, cells binary")
+
+    h = np.arange(1_000_000, dtype=np.int64) % 300_007
+    keys = pa.RecordBatch.from_pydict({"h": [h]})
+    counts = sketches.frequencies(frame := Keys(spark), 22)
+    assert frame.most < 50e6  # all keys at once take more
+    exact = np.bincount(h)
+    most = sketches.at_most(counts, np.arange(300_007), 22)
+    assert (most >= exact).all() and (most == exact).mean() > 0.99
